@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import pieces, simhash
+from tidemark.llm import extract, ledger, licenses, pieces, resample, rules, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": ledger.op1_token_counts,
+        "op2_extract": extract.op2_extract,
+        "op3_rules": rules.op3_rules,
         "op4_pieces": pieces.op4_pieces,
+        "op5_licenses": licenses.op5_licenses,
+        "op7_resample": resample.op7_resample,
         "op10_simhash": simhash.op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_rules": rules.ORACLE}
