@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import extract, ledger, licenses, pieces, resample, rules, simhash
+from tidemark.llm import decontaminate, extract, ledger, licenses, passages, pieces, resample, rules, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,7 +16,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_rules": rules.op3_rules,
         "op4_pieces": pieces.op4_pieces,
         "op5_licenses": licenses.op5_licenses,
+        "op6_passages": passages.op6_passages,
         "op7_resample": resample.op7_resample,
+        "op8_decontaminate": decontaminate.op8_decontaminate,
         "op10_simhash": simhash.op10_simhash,
     }
 
