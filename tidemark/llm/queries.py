@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, extract, ledger, licenses, passages, pieces, resample, rules, simhash
+from tidemark.llm import decontaminate, extract, ledger, licenses, passages, pieces, resample, rules, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_passages": passages.op6_passages,
         "op7_resample": resample.op7_resample,
         "op8_decontaminate": decontaminate.op8_decontaminate,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_simhash": simhash.op10_simhash,
     }
 
