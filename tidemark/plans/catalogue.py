@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
-from tidemark.operators import asof, automaton, engagement, matching, peaks, signals, timeline
+from tidemark.operators import asof, automaton, engagement, frames, matching, peaks, signals, timeline
 from tidemark.plans.oracle import ORACLES
+from tidemark.streaming import live
 
 KEY = ["session_id"]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -626,3 +627,48 @@ def axis_maps(spark: SparkSession, sf: str) -> DataFrame:
 def tick_rates(spark: SparkSession, sf: str) -> DataFrame:
     rows = events(spark, sf).groupBy(*KEY).agg(F.sum("k").alias("ticks"), (F.count("*") / 2).alias("seconds"))
     return rounded(rows.select(*KEY, scalars.tick_rate(F.when(F.col("session_id") % 5 != 0, F.col("ticks")), F.col("seconds")).alias("rate")))
+
+
+# streams, run over what the source has now
+
+
+def event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.readStream.schema(read(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return rows.withColumn("us", scalars.epoch_micros("ts")).withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+
+
+@query
+def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    rows = event_stream(spark, sf).where(F.col("event_type").isin("signup", "purchase")).select(F.col("user_id").alias("session_id"), F.expr("us div 60000000").cast("double").alias("time_s"))
+    return live.drained(live.live_dedup(rows, 1440.0), "dedup")
+
+
+@query
+def stream_transitions(spark: SparkSession, sf: str) -> DataFrame:
+    label = F.when(F.col("k") % 11 != 0, 8 + F.floor(F.col("k") / 40) * 2)
+    rows = event_stream(spark, sf).select(F.col("user_id").alias("session_id"), F.col("us").cast("double").alias("time_s"), label.alias("label"))
+    made = live.drained(live.live_transitions(rows), "transitions")
+    return rounded(made.select(*KEY, F.col("time_s").cast("long").alias("us"), "from_count", "to_count"))
+
+
+@query
+def stream_delta(spark: SparkSession, sf: str) -> DataFrame:
+    rows = event_stream(spark, sf).select(F.col("user_id").alias("session_id"), F.col("us").cast("double").alias("time_s"), "value")
+    made = live.drained(live.live_delta(rows), "delta")
+    return rounded(made.select(*KEY, F.col("time_s").cast("long").alias("us"), "delta"))
+
+
+# pixels
+
+
+@query
+def otsu_levels(spark: SparkSession, sf: str) -> DataFrame:
+    values = F.transform("embedding", lambda x: F.least(F.floor(F.abs(x) * 512), F.lit(255)).cast("int"))
+    return rounded(read(spark, sf, "embeddings").select("vec_id", frames.otsu_threshold(values).alias("level")))
+
+
+@query
+def column_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    mask = F.transform(frames.fixed_threshold(F.transform("embedding", lambda x: F.abs(x) * 512), 60), lambda v: (v > 0).cast("int"))
+    sums = frames.column_sums(frames.blanked(mask, 16), 16)
+    return read(spark, sf, "embeddings").select("vec_id", F.array_join(sums.cast("array<string>"), ",").alias("profile"))

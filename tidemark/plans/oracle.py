@@ -406,3 +406,16 @@ ORACLES |= {
     "axis_maps": sql("ev", body="SELECT event_id, CAST(trunc(40 + value / 500.0::DOUBLE * 1280) AS BIGINT) AS x, CAST(trunc(least(1 + value / 100 - 1, 0.4::DOUBLE) / 0.4::DOUBLE * 90) AS BIGINT) AS bar FROM ev"),
     "tick_rates": sql("ev", body="SELECT session_id, coalesce(CASE WHEN session_id % 5 <> 0 THEN CAST(round_even(sum(k) / greatest(count(*) / 2.0::DOUBLE, 1), 0) AS BIGINT) END, 64) AS rate FROM ev GROUP BY 1"),
 }
+ORACLES |= {
+    "stream_dedup": ORACLES["dedup_anchor"],
+    "stream_transitions": sql(
+        "sig",
+        body="SELECT session_id, c.t AS us, c.f AS from_count, c.g AS to_count FROM chg",
+        more={"lb": "SELECT session_id, us AS idx, CASE WHEN k % 11 <> 0 THEN 8 + (k // 40) * 2 END AS l FROM sig", "chg": CTES["auto"].replace("idx::DOUBLE", "idx").replace("t DOUBLE", "t BIGINT").replace("FROM lb2", "FROM lb")},
+    ),
+    "stream_delta": sql("sig", body="SELECT session_id, us, round(value - coalesce(lag(value) OVER (PARTITION BY session_id ORDER BY us), value), 6) AS delta FROM sig"),
+    "otsu_levels": """SELECT vec_id, CAST(b AS BIGINT) AS level FROM (SELECT vec_id, b, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, b) AS r FROM (SELECT vec_id, b, power(m * n - q * t, 2) / (n * (t - n)) AS s FROM (
+        SELECT vec_id, b, len(v)::DOUBLE AS t, list_sum(v)::DOUBLE AS m, len(list_filter(v, lambda x: x <= b))::DOUBLE AS n, coalesce(list_sum(list_filter(v, lambda x: x <= b)), 0)::DOUBLE AS q
+        FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(least(floor(abs(x) * 512), 255) AS BIGINT)) AS v FROM embeddings), (SELECT unnest(range(256)) AS b)) WHERE n > 0 AND n < t)) WHERE r = 1""",
+    "column_profiles": """SELECT vec_id, array_to_string(list_transform(range(16), lambda c: CASE WHEN c < 3 THEN 0 ELSE len(list_filter(range(4), lambda r: abs(embedding[r * 16 + c + 1]) * 512 > 60)) END), ',') AS profile FROM embeddings""",
+}
