@@ -47,6 +47,17 @@ def texts(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select("doc_id", *columns, F.coalesce("text", F.lit("")).alias("text"))
 
 
+def identified(docs: DataFrame, *columns: str) -> DataFrame:
+    """doc_id (long), text_hash, text and any further named columns: what tells one row of docs from another."""
+    return texts(docs, *columns).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text", *columns)
+
+
+def same_rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """docs joined (left_semi, left_anti) with rows of doc_id and text_hash; null ids are equal."""
+    rows = rows.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(rows, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash")), how)
+
+
 def map_batches(df: DataFrame, each: Callable[[dict[str, list]], pa.RecordBatch | None], schema: str, setup: Callable[[], object] | None = None, rows: int = 1000) -> DataFrame:
     """mapInArrow over lists of at most `rows` rows; each(columns, state) gives an Arrow batch or None.
 
@@ -66,25 +77,41 @@ def map_batches(df: DataFrame, each: Callable[[dict[str, list]], pa.RecordBatch
     return df.mapInArrow(run, schema)
 
 
-def bucket_links(members: DataFrame, key: str, node: str, linked: Callable[[Column, Column], Column], carry: tuple[str, ...] = ()) -> DataFrame:
-    """Links (src, dst) that join the same nodes as all pairs of one bucket that satisfy linked(a, b).
+def bucket_components(members: DataFrame, linked: Callable[[Column, Column], Column], facts: DataFrame, rounds: int = 3) -> DataFrame:
+    """node, root: the components of the links between nodes that share a bucket and satisfy linked(a, b).
+
+    members: key, node, weight, a row for each node and bucket that it is in. facts: a row for each node with
+    what linked() needs; it gets two structs of them. Nodes without links may be absent.
 
-    members: a row for each node and bucket it is in; carry: columns that linked() needs.
-    linked gets two structs. Each bucket's smallest node is its hub: members that
-    link to it are one component already, so they are not paired with each other;
-    any member that does not is compared with the whole bucket. A bucket of copies
-    thus costs a row a member, and no link is lost.
+    In each round the members of a bucket that are not yet in its hub's component are compared with the hub: first
+    the heaviest node (of near copies, the original), then others by hash. At last the members of another
+    component than the hub's are compared with all members of the bucket that are not in theirs. So a
+    bucket of copies costs a few rows a member, and no two nodes that a chain of links joins are parted.
     """
-    item = F.struct(node, *carry)
-    inside = members.select(F.col(key).alias("_key"), item.alias("_item"))
-    hubs = inside.groupBy("_key").agg(F.min("_item").alias("_hub"), F.min(f"_item.{node}").alias("_low"), F.max(f"_item.{node}").alias("_high")).where("_low < _high").drop("_low", "_high")
-    shared = inside.join(hubs, "_key").select("_key", "_item", "_hub", linked(F.col("_item"), F.col("_hub")).alias("_near"))
-    shared = materialize(shared)
-    near = shared.where("_near").select(F.col(f"_item.{node}").alias("src"), F.col(f"_hub.{node}").alias("dst"))
-    apart = shared.where("not _near").select("_key", F.col("_item").alias("_a"))
-    far = apart.join(shared.select("_key", F.col("_item").alias("_b")), "_key").where((F.col(f"_a.{node}") != F.col(f"_b.{node}")) & linked(F.col("_a"), F.col("_b")))
-    far = far.select(F.col(f"_a.{node}").alias("src"), F.col(f"_b.{node}").alias("dst"))
-    return near.where("src <> dst").unionByName(far).distinct()
+    facts = facts.select(F.col("node"), F.struct(*facts.columns).alias("fact"))
+    several = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    left = materialize(members.join(several, "key").withColumn("root", F.col("node")))
+    links = roots = None
+    for turn in range(rounds):
+        first = F.struct(-F.col("weight"), "node") if turn == 0 else F.xxhash64("node", F.lit(turn))
+        hubs = left.groupBy("key").agg(F.min_by(F.struct("node", "root"), first).alias("hub"))
+        pairs = left.join(hubs, "key").where("root <> hub.root").select("node", F.col("hub.node").alias("hub")).distinct()
+        pairs = pairs.join(facts.withColumnRenamed("fact", "_a"), "node").join(facts.select(F.col("node").alias("hub"), F.col("fact").alias("_b")), "hub")
+        new = pairs.where(linked(F.col("_a"), F.col("_b"))).select(F.col("node").alias("src"), F.col("hub").alias("dst"))
+        links = materialize(new if links is None else links.unionByName(new))
+        roots = components(links)
+        known = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+        left = left.drop("root").join(known, left["node"] == known["_node"], "left").withColumn("root", F.coalesce("_root", "node")).drop("_node", "_root")
+        mixed = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        left = materialize(left.join(mixed, "key", "left_semi"))
+        if left.isEmpty():
+            return roots
+    hubs = left.groupBy("key").agg(F.min_by("root", F.struct(-F.col("weight"), "node")).alias("hub_root"))
+    told = materialize(left.join(hubs, "key").join(facts, "node").select("key", "root", "hub_root", "fact"))
+    apart = told.where("root <> hub_root").select("key", F.col("root").alias("_own"), F.col("fact").alias("_a"))
+    far = apart.join(told.select("key", "root", F.col("fact").alias("_b")), "key").where((F.col("_own") != F.col("root")) & linked(F.col("_a"), F.col("_b")))
+    far = materialize(far.select(F.col("_a.node").alias("src"), F.col("_b.node").alias("dst")).distinct())
+    return roots if far.isEmpty() else components(links.unionByName(far))
 
 
 def components(links: DataFrame) -> DataFrame:

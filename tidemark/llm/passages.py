@@ -11,8 +11,8 @@ holds one of the same blocks wherever it stands. Blocks are banded by their whol
 hash.
 
 Equal paragraphs count as one, however many documents hold them. Clusters are the
-components of verified links; of each cluster the first occurrence (smallest doc_id, then
-place) stays, the others are removals. Removals and first occurrences that overlap or
+components of verified links; of each cluster the occurrences in the smallest doc_id stay, the
+others are removals. Removals and first occurrences that overlap or
 touch are merged to runs, and runs shorter than `least_words` are dropped.
 """
 
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, bucket_links, components, materialize, table, texts
+from tidemark.llm.common import WORD, bucket_components, materialize, table, texts
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 WIDTH = 5
@@ -154,7 +154,7 @@ def lines(rows: DataFrame, line_words: int, bands: int, band_rows: int, seed: in
             for k, factor in enumerate(factors):
                 keys[:, k // band_rows] = mixed(keys[:, k // band_rows] + np.minimum.reduceat(mixed(own * factor), starts))
             keys = mixed(keys + np.arange(1, bands + 1, dtype=np.uint64))
-            hashes = np.array([xxhash.xxh64_intdigest(b" ".join(flat[i].translate(LOWER).split()), 42) for i in long], np.uint64).view(np.int64)
+            hashes = np.array([hashed(flat[i]) for i in long], np.int64)
             n_lines = np.bincount(owner)
             begun = first[np.cumsum(n_lines) - n_lines]  # each text's first word
             start = (first[long] - begun[owner[long]]).astype(np.int32)
@@ -164,28 +164,34 @@ def lines(rows: DataFrame, line_words: int, bands: int, band_rows: int, seed: in
     return rows.select("doc_id", "text").mapInArrow(run, "line long, doc_id long, start int, n_words int, bands array<long>")
 
 
-def shingle_sets(rows: DataFrame, wanted: DataFrame, line_words: int) -> DataFrame:
-    """line, shingles (sorted distinct hashes): of the wanted lines alone."""
+def shingle_sets(rows: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node (the line), shingles (distinct hashes): of the wanted lines alone, each read from one document that holds it."""
+    holders = found.join(wanted, "line", "left_semi").groupBy("line").agg(F.min("doc_id").alias("doc_id"))
+    holders = holders.groupBy("doc_id").agg(F.collect_list("line").alias("wanted"))  # lines of one document
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for part in _batches(batches):
-            flat = [t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
-            words, line, first, shingle = hasher.shingles(flat)
-            counts = np.bincount(line, minlength=len(flat))
-            sets = [np.unique(shingle[first[i] : first[i] + counts[i] - WIDTH + 1].view(np.int64)) for i in range(len(flat))]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["line", "shingles"])
+            kept, names = [], []
+            for text, some in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                some = set(some)
+                for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
+                    if (name := hashed(line)) in some:
+                        kept.append(line)
+                        names.append(name)
+                        some.discard(name)
+            words, line, first, shingle = hasher.shingles(kept)
+            counts = np.bincount(line, minlength=len(kept))
+            sets = [np.unique(shingle[first[i] : first[i] + counts[i] - WIDTH + 1].view(np.int64)) for i in range(len(kept))]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    each = rows.select(F.explode(F.split("text", "\n")).alias("line_text")).where(F.length("line_text") >= 2 * line_words - 1)
-    each = each.select(normal_hash(F.col("line_text")).alias("line"), "line_text").join(wanted, "line", "left_semi")
-    one = each.groupBy("line").agg(F.first("line_text").alias("line_text"))
-    return one.mapInArrow(run, "line long, shingles array<long>")
+    made = rows.join(holders, "doc_id").select("text", "wanted").mapInArrow(run, "node long, shingles array<long>")
+    return made.dropDuplicates(["node"])  # rows that repeat a doc_id
 
 
-def normal_hash(line: Column) -> Column:
-    """Hash of a line's words, ASCII letters in lower case, joined by single spaces; lines() hashes alike."""
-    lowered = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.xxhash64(F.regexp_replace(F.regexp_replace(lowered, r"[\x20\x09-\x0D]+", " "), "^ | $", ""))
+def hashed(line: bytes) -> int:
+    """Hash of a line's words, ASCII letters in lower case, joined by single spaces."""
+    return xxhash.xxh64_intdigest(b" ".join(line.translate(LOWER).split()), 42) - (1 << 63)
 
 
 def jaccard_at_least(a: Column, b: Column, least: float) -> Column:
@@ -195,42 +201,40 @@ def jaccard_at_least(a: Column, b: Column, least: float) -> Column:
     return (small >= least * large) & (shared >= least * (small + large - shared))
 
 
-def line_clusters(rows: DataFrame, found: DataFrame, similarity: float, line_words: int) -> DataFrame:
+def line_clusters(rows: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     """node, root: lines that near duplicates tie together."""
-    distinct = found.groupBy("line").agg(F.first("bands").alias("bands"))
-    banded = materialize(distinct.select("line", F.explode("bands").alias("key")))
-    shared = banded.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low < high").select("key")
+    banded = found.groupBy("line").agg(F.first("bands").alias("bands"), F.count("*").alias("weight")).select(F.col("line").alias("node"), "weight", F.explode("bands").alias("key"))
+    banded = materialize(banded)
+    shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     members = materialize(banded.join(shared, "key", "left_semi"))
-    sets = materialize(shingle_sets(rows, members.select("line").distinct(), line_words))
-    links = bucket_links(members.join(sets, "line"), "key", "line", lambda a, b: jaccard_at_least(a, b, similarity), ("shingles",))
-    return components(links)
+    sets = materialize(shingle_sets(rows, found, members.select(F.col("node").alias("line")).distinct()))
+    return bucket_components(members, lambda a, b: jaccard_at_least(a, b, similarity), sets)
 
 
 def repeats(docs: DataFrame, similarity: float = 0.8, recall: float = 0.995, band_rows: int = 3, line_words: int = 50, spread: int = 16, block_words: int = 20, least_words: int = 32) -> DataFrame:
     """doc_id, start, end (words, end excluded), n_words, first_doc_id, removed: runs that repeat across documents.
 
-    first_doc_id: the smallest document that holds a part of the run; removed: whether an earlier occurrence stays.
+    first_doc_id: the smallest document that holds a part of the run; removed: whether that is another document than this one.
     A passage counts if two different doc_ids hold it: repeats inside one document, and those of a null doc_id, are none. Rows that
     repeat a doc_id are one document. A null or empty text has no passages.
     """
     rows = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    place = F.struct("doc_id", "start")
 
-    cut = blocks(rows, spread, block_words)
-    several = cut.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(place).alias("first")).where("low < high").select("hash", "first")
-    in_blocks = cut.join(several, "hash").select("doc_id", "start", "end", "first")
+    def of_several(spans: DataFrame, key: str) -> DataFrame:
+        first = spans.groupBy(key).agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_last")).where("first_doc_id < _last")
+        return spans.join(first.drop("_last"), key).select("doc_id", "start", "end", "first_doc_id")
 
+    in_blocks = of_several(materialize(blocks(rows, spread, block_words)), "hash")
     found = materialize(lines(rows, line_words, bands_for(similarity, band_rows, recall), band_rows))
-    tied = line_clusters(rows, found, similarity, line_words)
-    placed = found.select("line", "doc_id", "start", "n_words").join(tied, found["line"] == tied["node"], "left").select(F.coalesce("root", "line").alias("root"), "doc_id", "start", "n_words")
-    several = placed.groupBy("root").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(place).alias("first")).where("low < high").select("root", "first")
-    in_lines = placed.join(several, "root").select("doc_id", "start", (F.col("start") + F.col("n_words")).alias("end"), "first")
-    return runs(in_blocks.unionByName(in_lines), least_words)
+    tied = line_clusters(rows, found, similarity)
+    placed = found.join(tied, found["line"] == tied["node"], "left")
+    placed = placed.select(F.coalesce("root", "line").alias("root"), "doc_id", "start", (F.col("start") + F.col("n_words")).alias("end"))
+    return runs(in_blocks.unionByName(of_several(placed, "root")), least_words)
 
 
 def runs(spans: DataFrame, least_words: int) -> DataFrame:
     """Spans of a document that overlap or touch, merged; removals and first occurrences apart."""
-    spans = spans.select("doc_id", "start", "end", F.col("first.doc_id").alias("first_doc_id"), (F.struct("doc_id", "start") != F.col("first")).alias("removed"))
+    spans = spans.withColumn("removed", F.col("doc_id") != F.col("first_doc_id"))
     so_far = Window.partitionBy("doc_id", "removed").orderBy("start", "end")
     begins = spans.withColumn("reach", F.max("end").over(so_far.rowsBetween(Window.unboundedPreceding, -1)))
     numbered = begins.withColumn("run", F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(so_far.rowsBetween(Window.unboundedPreceding, 0)))

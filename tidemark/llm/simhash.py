@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bucket_links, components, map_batches, materialize, table, texts
+from tidemark.llm.common import bucket_components, identified, map_batches, materialize, same_rows, table
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -40,13 +40,13 @@ def fingerprint(text: str, width: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed 64-bit integer): one row for each row of docs."""
+    """doc_id, text_hash, fp (the fingerprint as a signed 64-bit integer): one row for each row of docs."""
 
     def each(columns: dict[str, list]) -> pa.RecordBatch:
         fps = np.array([fingerprint(t, width, seed) for t in columns["text"]], dtype=np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(columns["doc_id"], pa.int64()), pa.array(fps)], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([pa.array(columns["doc_id"], pa.int64()), pa.array(columns["text_hash"], pa.int64()), pa.array(fps)], ["doc_id", "text_hash", "fp"])
 
-    return map_batches(texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), each, "doc_id long, fp long")
+    return map_batches(identified(docs).select("doc_id", "text_hash", "text"), each, "doc_id long, text_hash long, fp long")
 
 
 def posting_sets(size: int) -> list[tuple[int, ...]]:
@@ -63,49 +63,52 @@ def byte_at(fp: Column, position: int) -> Column:
 
 
 def postings(fps: DataFrame, size: int) -> DataFrame:
-    """fp, key: a row for each set of positions; the key holds the set's number and the bytes there."""
+    """node (the fingerprint), weight, key: a row for each set of positions; the key holds the set's number and the bytes there."""
     keys = []
     for number, positions in enumerate(posting_sets(size)):
         key = F.lit(number).cast("long")
         for p in positions:
             key = F.shiftleft(key, 8).bitwiseOR(byte_at(F.col("fp"), p))
         keys.append(key)
-    return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+    return fps.select(F.col("fp").alias("node"), "weight", F.explode(F.array(*keys)).alias("key"))
 
 
 def within(a: Column, b: Column, bits: int) -> Column:
-    """Count filter, then verification, of two structs with a field fp."""
-    differ = a["fp"].bitwiseXOR(b["fp"])
+    """Count filter, then verification, of two structs with a fingerprint each, the field node."""
+    differ = a["node"].bitwiseXOR(b["node"])
     shared = sum((F.when(byte_at(differ, p) == 0, 1).otherwise(0) for p in range(8)), F.lit(0))
     return (shared >= 8 - bits) & (F.bit_count(differ) <= bits)
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, wide_from: int = 2_000_000_000) -> DataFrame:
-    """doc_id, fp, component_id: a row for each row of docs; fingerprints link at 4 or fewer differing bits.
+    """doc_id, text_hash, fp, root, component_id: a row for each row of docs; fingerprints link at 4 or fewer differing bits.
 
-    Documents without words have fingerprint zero and are linked as any other. A
+    root is the component's smallest fingerprint. Documents without words have fingerprint zero and are linked as any other. A
     null doc_id stays a row and names no component unless it stands alone (then the
     id is null). wide_from: from so many distinct fingerprints on, sets of 4
     positions are posted instead of triples; the links are the same.
     """
     marked = materialize(fingerprints(docs, width, seed))
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("weight"))
     size = 3 if marked.count() < wide_from else 4
-    links = bucket_links(postings(distinct.select("fp"), size), "key", "fp", lambda a, b: within(a, b, 4))
-    reached = components(links)
+    reached = bucket_components(postings(distinct, size), lambda a, b: within(a, b, 4), distinct.select(F.col("fp").alias("node")))
     rooted = distinct.join(reached, distinct["fp"] == reached["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(named, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(named, "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs but for near copies: of each component the row with the smallest doc_id stays, with all columns.
+    """The rows of docs but for near copies: of each component one row with the smallest doc_id stays, with all columns.
 
-    Rows that repeat a doc_id are copies too, if their texts are.
+    Rows that repeat a doc_id are copies too, if their texts are near; a component of null ids alone keeps one of its rows.
     """
-    kept = near_duplicates(docs, **options).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    found = materialize(near_duplicates(docs, **options))
+    first = found.where("doc_id <=> component_id").groupBy("root").agg(F.first("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"))
+    kept = same_rows(docs, first.select("doc_id", "text_hash"), "left_semi")
+    if found.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        return kept
+    return kept.dropDuplicates(["doc_id", "text"])
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
