@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, texts
+from tidemark.llm.common import identified, same_rows, table
 
 NORMAL = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 FOUND = "doc_id long, text_hash long, item_id long, similarity double, start_word int, end_word int, passage string"
@@ -155,7 +155,7 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 3, least: float = 0
     Items that repeat with one id count once; equal items of different ids are each found; repeated rows of docs
     are each searched.
     """
-    rows = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    rows = identified(docs)
     parts = [_search(rows, items, width, least) for items in _blocks(benchmark, block_chars)]
     found = docs.sparkSession.createDataFrame([], FOUND)
     for part in parts:
@@ -219,8 +219,7 @@ def _search(rows: DataFrame, items: list[tuple[int, str]], width: int, least: fl
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs in which no item was found, with all their columns."""
-    found = find(docs, benchmark, **options).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash")), "left_anti")
+    return same_rows(docs, find(docs, benchmark, **options), "left_anti")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

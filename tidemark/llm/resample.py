@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, materialize, table, texts
+from tidemark.llm.common import identified, map_batches, materialize, same_rows, table, texts
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Added to the hashed buckets: a token like none, the last, the last but one.
@@ -108,8 +108,7 @@ def log_weights(docs: DataFrame, ratios: np.ndarray, buckets: int) -> DataFrame:
         weights = np.bincount(text, weights=ratios[features], minlength=len(columns["text"]))
         return pa.RecordBatch.from_arrays([pa.array(columns["doc_id"], pa.int64()), pa.array(columns["text_hash"], pa.int64()), pa.array(weights)], ["doc_id", "text_hash", "log_weight"])
 
-    rows = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return map_batches(rows, each, "doc_id long, text_hash long, log_weight double", lambda: Hasher(buckets))
+    return map_batches(identified(docs), each, "doc_id long, text_hash long, log_weight double", lambda: Hasher(buckets))
 
 
 def gumbel(seed: int, *keys: str) -> Column:
@@ -178,8 +177,7 @@ def select(docs: DataFrame, labels: DataFrame, buckets: int = 10_000, max_labell
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that are selected, with all their columns."""
-    kept = select(docs, labels, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash")), "left_semi")
+    return same_rows(docs, select(docs, labels, **options).where("kept"), "left_semi")
 
 
 def op7_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
