@@ -52,10 +52,18 @@ def identified(docs: DataFrame, *columns: str) -> DataFrame:
     return texts(docs, *columns).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text", *columns)
 
 
+def spare(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def same_rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     """docs joined (left_semi, left_anti) with rows of doc_id and text_hash; null ids are equal."""
-    rows = rows.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(rows, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash")), how)
+    of_row, of_text = spare(docs, "_id"), spare(docs, "_hash")
+    rows = rows.select(F.col("doc_id").alias(of_row), F.col("text_hash").alias(of_text)).distinct()
+    return docs.join(rows, F.col("doc_id").cast("long").eqNullSafe(F.col(of_row)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(of_text)), how)
 
 
 def map_batches(df: DataFrame, each: Callable[[dict[str, list]], pa.RecordBatch | None], schema: str, setup: Callable[[], object] | None = None, rows: int = 1000) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, bucket_components, materialize, table, texts
+from tidemark.llm.common import WORD, bucket_components, materialize, spare, table, texts
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 WIDTH = 5
@@ -264,9 +264,10 @@ def cut_repeats(docs: DataFrame, **options) -> DataFrame:
 
     Documents without removals stay as they are, empty ones included. All columns stay.
     """
-    gone = materialize(repeats(docs, **options).where("removed").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("_spans")))  # a document's own spans
-    joined_docs = docs.join(gone.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
-    touched = F.col("_spans").isNotNull()
+    owner, own = spare(docs, "_id"), spare(docs, "_spans")
+    gone = repeats(docs, **options).where("removed").groupBy(F.col("doc_id").alias(owner)).agg(F.collect_list(F.struct("start", "end")).alias(own))  # a document's own spans
+    joined_docs = docs.join(materialize(gone), F.col("doc_id").cast("long") == F.col(owner), "left").drop(owner)
+    touched = F.col(own).isNotNull()
 
     @F.pandas_udf("string")
     def shortened(text, spans):  # noqa: ANN001, ANN202
@@ -274,7 +275,7 @@ def cut_repeats(docs: DataFrame, **options) -> DataFrame:
 
         return pd.Series([t if s is None else without(t or "", [(x["start"], x["end"]) for x in s]) for t, s in zip(text, spans, strict=True)])
 
-    made = joined_docs.withColumn("text", shortened("text", "_spans"))
+    made = joined_docs.withColumn("text", shortened("text", own))
     made = made.where(~touched | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         made = made.withColumn("n_chars", F.when(touched, F.length("text").cast("long")).otherwise(F.col("n_chars")))

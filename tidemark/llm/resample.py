@@ -105,7 +105,7 @@ def log_weights(docs: DataFrame, ratios: np.ndarray, buckets: int) -> DataFrame:
 
     def each(columns: dict[str, list], hasher: Hasher) -> pa.RecordBatch:
         features, text = hasher.features(columns["text"])
-        weights = np.bincount(text, weights=ratios[features], minlength=len(columns["text"]))
+        weights = np.bincount(text, weights=ratios[features], minlength=len(columns["text"])).astype(float)  # whole numbers where no text has a token
         return pa.RecordBatch.from_arrays([pa.array(columns["doc_id"], pa.int64()), pa.array(columns["text_hash"], pa.int64()), pa.array(weights)], ["doc_id", "text_hash", "log_weight"])
 
     return map_batches(identified(docs), each, "doc_id long, text_hash long, log_weight double", lambda: Hasher(buckets))
