@@ -34,14 +34,35 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared
 
 
+#: Spark removes a query's shuffle files at its end, where else they wait for the driver's garbage collection.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """The same rows, written as Parquet in the shared folder and read again: computed once, lineage cut."""
+    """The same rows, written as Parquet in the shared folder and read again: computed once, lineage cut.
+
+    Nothing refers to the shuffles behind the table once it is written, so they go at once.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(made: DataFrame) -> None:
+    """Deletes the tables of materialize() that these rows are read from, once nothing else will read them."""
+    spark = made.sparkSession
+    for folder in {f.rpartition("/")[0] for f in made.inputFiles()}:
+        if folder.rpartition("/")[2].startswith("stage-"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def texts(docs: DataFrame, *columns: str) -> DataFrame:
     """doc_id, the text (null: empty) and any further named columns."""
     return docs.select("doc_id", *columns, F.coalesce("text", F.lit("")).alias("text"))
@@ -106,12 +127,18 @@ def bucket_components(members: DataFrame, linked: Callable[[Column, Column], Col
         pairs = left.join(hubs, "key").where("root <> hub.root").select("node", F.col("hub.node").alias("hub")).distinct()
         pairs = pairs.join(facts.withColumnRenamed("fact", "_a"), "node").join(facts.select(F.col("node").alias("hub"), F.col("fact").alias("_b")), "hub")
         new = pairs.where(linked(F.col("_a"), F.col("_b"))).select(F.col("node").alias("src"), F.col("hub").alias("dst"))
-        links = materialize(new if links is None else links.unionByName(new))
-        roots = components(links)
+        grown = materialize(new if links is None else links.unionByName(new))
+        reached = components(grown)
+        for past in (links, roots):
+            if past is not None:
+                discard(past)
+        links, roots = grown, reached
         known = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-        left = left.drop("root").join(known, left["node"] == known["_node"], "left").withColumn("root", F.coalesce("_root", "node")).drop("_node", "_root")
-        mixed = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        left = materialize(left.join(mixed, "key", "left_semi"))
+        rooted = left.drop("root").join(known, left["node"] == known["_node"], "left").withColumn("root", F.coalesce("_root", "node")).drop("_node", "_root")
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        still = materialize(rooted.join(mixed, "key", "left_semi"))
+        discard(left)
+        left = still
         if left.isEmpty():
             return roots
     hubs = left.groupBy("key").agg(F.min_by("root", F.struct(-F.col("weight"), "node")).alias("hub_root"))
@@ -128,7 +155,7 @@ def components(links: DataFrame) -> DataFrame:
     Alternates the large star and the small star (Kiveris et al., 2014): in each
     round every node's larger neighbours, then its smaller ones, are tied to its
     smallest. Rounds grow with the logarithm of a component's size. Each round is
-    checkpointed to the shared folder.
+    written to the shared folder, in place of the one before.
     """
     links = links.select(F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high")).where("low < high").distinct()
     links, before = materialize(links), None
@@ -140,7 +167,9 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy(F.col("high").alias("mid")).agg(F.min("low").alias("root"))
         small = large.join(least, large["high"] == least["mid"]).select("root", F.col("low").alias("near"), F.col("high").alias("far"))
         small = small.select(F.explode(F.array("near", "far")).alias("high"), F.col("root").alias("low")).where("low < high").select("low", "high").distinct()
-        links = materialize(small)
+        shorter = materialize(small)
+        discard(links)
+        links = shorter
         now = links.agg(F.count("*"), F.expr("bit_xor(xxhash64(low, high))")).first()
         if now == before:
             return links.select(F.col("high").alias("node"), F.col("low").alias("root")).unionByName(links.select(F.col("low").alias("node"), F.col("low").alias("root")).distinct())
