@@ -59,3 +59,32 @@ def test_the_passage_is_returned(spark):
     bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     row = dc.find(df, bench).first()
     assert (row["passage"], row["start_word"], row["end_word"], row["similarity"]) == ("one two three four five six", 3, 9, 1.0)
+
+
+def test_one_edited_copy_in_many_texts(spark):
+    rng = random.Random(5)
+    item = [f"v{k}" for k in range(38)]
+    edited = [f"new{k}" if k % 8 == 4 else w for k, w in enumerate(item)]  # 1 word in 8: over a quarter of the trigrams occur nowhere
+    partial = item[:24]
+    docs = [(d, " ".join(x[:60] + (edited if d < 1000 else partial) + x[60:])) for d, x in enumerate(corpus(rng, 1100))]
+    docs += [(2000 + d, " ".join(x)) for d, x in enumerate(corpus(rng, 50))]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    made = {r["doc_id"]: r["similarity"] for r in dc.find(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert set(made) == set(range(1100))
+    assert min(made[d] for d in range(1000)) > 0.75 and min(made[d] for d in range(1000, 1100)) > 0.6
+
+
+def test_bounds_lose_no_alignment():
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{k}" for k in range(12)]
+    items = [(k, " ".join(rng.choice(vocabulary, rng.integers(4, 14)))) for k in range(30)]
+    seeds = dc.Seeds(items, 3)
+    for _ in range(60):
+        text = [*rng.choice(vocabulary, 12), "x", *rng.choice(vocabulary, 12)]
+        _, ids, _, where, place = seeds.hits([" ".join(text)])
+        kept = set(seeds.candidates(ids[0], np.unique(place), 0.5).tolist())
+        for item in range(len(items)):
+            starts = [int(w) - int(i) for w, p in zip(where, place, strict=True) for i in np.flatnonzero(seeds.places[item] == p)]
+            if starts:
+                most = dc.passages_of(item, seeds, ids[0], np.array(starts), 0.0)
+                assert most[0] < 0.5 or item in kept and dc.passages_of(item, seeds, ids[0], np.array(starts), 0.5) == most

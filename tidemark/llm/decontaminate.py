@@ -1,20 +1,20 @@
-"""Benchmark decontamination: rare word n-grams as seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word n-grams as seeds, then Smith-Waterman alignment.
 
-The n-grams of the test items are looked up in every text. A first pass over the
-corpus counts, for each, the texts that hold it; an item's seeds are those of its
-n-grams that are rare beside its others, so common phrases seed nothing, while an
-item that leaked a thousand times keeps its seeds. In a second pass a seed found in
-a text puts the passage around it beside the item; the local alignment's score,
-over that of the item with itself, tells copies, edited and paraphrased ones too.
+Every n-gram of a test item is a seed, however many texts hold it: the copies of an
+item that leaked often make its n-grams common, so rarity tells nothing. A text that
+shares one n-gram with an item is held against bounds that no alignment can exceed
+(the item's words that the text has at all; those of the passage around the seeds),
+which common phrases alone do not reach. What is left is aligned: the local
+alignment's score, over that of the item with itself, tells copies, edited and
+paraphrased ones too.
 
 Items are taken in blocks of bounded size, so the tables that tasks hold don't grow
-with the benchmark; one block is one pair of passes.
+with the benchmark; one block is one pass.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,8 +47,17 @@ class Seeds:
         if self.bits * width > 62:
             raise ValueError("too many words in a block of items; lower block_chars")
         self.ids = [np.array([vocabulary[w] for w in words], np.int64) for words in self.words]
-        self.of_item = [np.unique(self.keys(i)) for i in self.ids]
-        self.all = np.unique(np.concatenate([np.zeros(0, np.int64), *self.of_item]))
+        keys = [self.keys(i) for i in self.ids]
+        self.all = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]))
+        #: of each item the place in all of its n-grams, in order
+        self.places = [np.searchsorted(self.all, k) for k in keys]
+        # the items that hold each n-gram, each n-gram's together
+        place, item = np.concatenate([np.zeros(0, np.int64), *self.places]), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        order = np.argsort(place, kind="stable")
+        self.holders, self.held = item[order], np.searchsorted(place[order], np.arange(len(self.all) + 1))
+        self.flat = np.concatenate([np.zeros(0, np.int64), *self.ids])
+        self.sizes = np.array([len(i) for i in self.ids], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
 
     def keys(self, ids: np.ndarray) -> np.ndarray:
         if len(ids) < self.width:
@@ -58,25 +67,17 @@ class Seeds:
             key = (key << self.bits) | ids[k : k + len(key)]
         return key
 
-    def rare(self, count: np.ndarray) -> np.ndarray:
-        """Keys that seed: for each item those found in at most 4 times as many texts, and 8, as its lower quartile."""
-        kept = [np.zeros(0, np.int64)]
-        for keys in self.of_item:
-            if len(keys):
-                n = count[np.searchsorted(self.all, keys)]
-                kept.append(keys[n <= 4 * np.sort(n)[(len(n) - 1) // 4] + 8])
-        return np.unique(np.concatenate(kept))
-
-    def hits(self, batch: list[str], keys: np.ndarray) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-        """Words of each text; and of each n-gram found: its text, its place there, its place in keys."""
+    def hits(self, batch: list[str]) -> tuple[list[list[bytes]], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """Words of each text and their numbers (-1: in no item); and of each n-gram found: its text, its place there, its place in all."""
         get = self.vocabulary.get
         words = [words_of(t) for t in batch]
         counts = np.fromiter(map(len, words), np.int64, len(words))
         ids = np.fromiter((get(w, -1) for text in words for w in text), np.int64, int(counts.sum()))
+        of_text = np.split(ids, np.cumsum(counts)[:-1])
         n = len(ids) - self.width + 1
-        if n < 1 or not len(keys):
+        if n < 1 or not len(self.all):
             none = np.zeros(0, np.int64)
-            return words, none, none, none
+            return words, of_text, none, none, none
         text = np.repeat(np.arange(len(batch)), counts)
         known = ids >= 0
         whole = text[self.width - 1 :] == text[:n]
@@ -86,11 +87,27 @@ class Seeds:
         key = np.zeros(len(at), np.int64)
         for k in range(self.width):
             key = (key << self.bits) | ids[at + k]
-        place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        met = keys[place] == key
+        place = np.minimum(np.searchsorted(self.all, key), len(self.all) - 1)
+        met = self.all[place] == key
         at, place = at[met], place[met]
         starts = np.cumsum(counts) - counts
-        return words, text[at], at - starts[text[at]], place
+        return words, of_text, text[at], at - starts[text[at]], place
+
+    def candidates(self, text_ids: np.ndarray, place: np.ndarray, least: float) -> np.ndarray:
+        """Items that share an n-gram with a text, and of whose words the text has a share of `least`: no fewer are matched where an alignment reaches it."""
+        items = np.unique(self.holders[_ranges(self.held[place], self.held[place + 1])])
+        has = np.zeros(len(self.vocabulary) + 1, np.int64)
+        has[text_ids] = 1
+        has[-1] = 0
+        sizes = self.sizes[items]
+        met = np.add.reduceat(has[self.flat[_ranges(self.begins[items], self.begins[items] + sizes)]], np.cumsum(sizes) - sizes)
+        return items[met >= least * sizes - 1e-9]
+
+
+def _ranges(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers from each begin up to its end, one range after the other."""
+    sizes = ends - begins
+    return np.arange(sizes.sum()) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
 
 
 def align(item: np.ndarray, passage: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, int, int]:
@@ -122,18 +139,31 @@ def _rows(item: np.ndarray, passage: np.ndarray, match: int, mismatch: int, gap:
     return best
 
 
-def passages_of(item: int, seeds: Seeds, text_ids: np.ndarray, starts: np.ndarray) -> tuple[float, int, int]:
-    """The best alignment of an item over the passages where seeds would have it begin: similarity, first and end word."""
+def passages_of(item: int, seeds: Seeds, text_ids: np.ndarray, starts: np.ndarray, least: float) -> tuple[float, int, int]:
+    """The best alignment of an item over the passages where seeds would have it begin: similarity, first and end word.
+
+    Passages that cannot reach `least`, or better than the best so far, are not aligned; without any the similarity is 0.
+    """
     ids = seeds.ids[item]
     pad = len(ids) // 4 + 3
     starts = np.unique(starts)
-    cut = np.flatnonzero(np.diff(starts) > len(ids)) + 1
+    cut = np.flatnonzero(np.diff(starts) > len(ids))
+    low = np.maximum(0, starts[np.append(0, cut + 1)] - pad)
+    high = np.minimum(len(text_ids), starts[np.append(cut, len(starts) - 1)] + len(ids) + pad)
+    own = np.zeros(len(seeds.vocabulary) + 1, bool)
+    own[ids] = True
+    so_far = np.append(0, np.cumsum(own[text_ids]))
     best = (0.0, 0, 0)
-    for group in np.split(starts, cut):
-        low, high = max(0, int(group[0]) - pad), min(len(text_ids), int(group[-1]) + len(ids) + pad)
-        score, first, end = align(ids, text_ids[low:high])
+    for k in np.flatnonzero(so_far[high] - so_far[low] >= least * len(ids) - 1e-9).tolist():
+        passage = text_ids[low[k] : high[k]]
+        # each of the item's words adds 2 if the passage has it, else takes 1, so the best stretch of the item bounds the score
+        gains = np.append(0, np.cumsum(np.where(np.isin(ids, passage), 2, -1)))
+        bound = int((gains - np.minimum.accumulate(gains)).max()) / (2 * len(ids))
+        if bound < least or bound <= best[0]:
+            continue
+        score, first, end = align(ids, passage)
         if score / (2 * len(ids)) > best[0]:
-            best = (score / (2 * len(ids)), low + first, low + end)
+            best = (score / (2 * len(ids)), int(low[k]) + first, int(low[k]) + end)
     return best
 
 
@@ -152,7 +182,8 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 3, least: float = 0
     that reaches `least` of the item's own score.
 
     An item of common words alone reaches 0.46 in unrelated texts by chance; one with an eighth of its words edited, 0.8.
-    Texts that are null or empty hold nothing; items of under `width` words have no seeds and are never found.
+    Texts that are null or empty hold nothing; a text that shares no `width` words in a row with an item, as one with
+    every third word edited, does not hold it, so items of fewer words are never found.
     Items that repeat with one id count once; equal items of different ids are each found; repeated rows of docs
     are each searched.
     """
@@ -169,46 +200,23 @@ def _search(rows: DataFrame, items: list[tuple[int, str]], width: int, least: fl
     shared = spark.sparkContext.broadcast(Seeds(items, width))
     names = [i for i, _ in items]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = shared.value
-        n = np.zeros(len(seeds.all), np.int64)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                _, text, _, place = seeds.hits(batch.slice(start, 1000).column(0).to_pylist(), seeds.all)
-                n += np.bincount(np.unique(text * max(1, len(n)) + place) % max(1, len(n)), minlength=len(n)) if len(place) else 0
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["seed", "n"])
-
-    counted = rows.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    n = np.zeros(len(shared.value.all), np.int64)
-    for r in counted.toLocalIterator():  # a row for each n-gram of the block at most
-        n[r["seed"]] = r["n"]
-    rare = spark.sparkContext.broadcast(shared.value.rare(n))
-
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, keys = shared.value, rare.value
-        holders: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for item, ids in enumerate(seeds.ids):
-            key = seeds.keys(ids)
-            at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-            for where, place in enumerate(at if len(keys) else []):
-                if keys[place] == key[where]:
-                    holders[int(place)].append((item, where))
+        seeds = shared.value
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
-                words, text, where, place = seeds.hits(part.column(2).to_pylist(), keys)
-                begins: dict[tuple[int, int], list[int]] = defaultdict(list)
-                for t, w, p in zip(text.tolist(), where.tolist(), place.tolist(), strict=True):
-                    for item, inner in holders[p]:
-                        begins[t, item].append(w - inner)
-                made, ids_of = [], {}
-                for (t, item), at in begins.items():
-                    if t not in ids_of:
-                        ids_of[t] = np.array([seeds.vocabulary.get(w, -1) for w in words[t]], np.int64)
-                    similarity, first, end = passages_of(item, seeds, ids_of[t], np.array(at))
-                    if similarity >= least:
-                        made.append((t, names[item], similarity, first, end, b" ".join(words[t][first:end]).decode("utf-8", "replace")))
+                words, ids, text, where, place = seeds.hits(part.column(2).to_pylist())
+                made = []
+                for own in np.split(np.arange(len(text)), np.flatnonzero(np.diff(text)) + 1) if len(text) else []:
+                    t = int(text[own[0]])
+                    own = own[np.argsort(place[own], kind="stable")]
+                    at, seed = where[own], place[own]
+                    for item in seeds.candidates(ids[t], np.unique(seed), least).tolist():
+                        low, high = np.searchsorted(seed, seeds.places[item]), np.searchsorted(seed, seeds.places[item], "right")
+                        begins = at[_ranges(low, high)] - np.repeat(np.arange(len(low)), high - low)
+                        similarity, first, end = passages_of(item, seeds, ids[t], begins, least)
+                        if similarity >= least:
+                            made.append((t, names[item], similarity, first, end, b" ".join(words[t][first:end]).decode("utf-8", "replace")))
                 if made:
                     t, item, similarity, first, end, passage = map(list, zip(*made, strict=True))
                     own = part.take(pa.array(t))
