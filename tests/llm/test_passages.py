@@ -83,3 +83,28 @@ def test_the_first_occurrence_stays(spark):
     assert set(made) == {0, 1, 2}
     assert made[0]["text"] == rows[0][1] and made[0]["n_chars"] == 0
     assert made[1]["text"] == own[1] and made[1]["n_chars"] == len(own[1])
+
+
+def test_exact_passages_are_found_whole(spark):
+    rng = random.Random(7)
+    rows, bounds = [], {}
+    for n in [36, 40, *[51] * 40, 60, 200]:
+        planted = prose(rng, n)
+        for _ in range(2):
+            at, doc = rng.randrange(100), len(rows)
+            text = prose(rng, 100)
+            rows.append((doc, " ".join(text[:at] + planted + text[at:])))
+            bounds[doc] = (at, at + n)
+    made = found(spark, rows)
+    assert {r[0]: (r[1], r[2]) for r in made} == bounds and len(made) == len(rows)
+    assert all(r[4] == r[0] // 2 * 2 and r[5] == bool(r[0] % 2) for r in made)
+
+
+def test_longer_runs_with_later_documents_are_whole_too(spark):
+    rng = random.Random(8)
+    planted = prose(rng, 90)
+    texts = [prose(rng, 40) + part + prose(rng, 40) for part in (planted[25:65], planted, planted)]
+    made = found(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])
+    assert (0, 40, 80, 40, 0, False) in made
+    assert {w for r in made if r[0] == 2 and r[5] for w in range(r[1], r[2])} == set(range(40, 130))
+    assert {w for r in made if r[0] == 1 for w in range(r[1], r[2])} == set(range(40, 130))

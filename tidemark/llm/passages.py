@@ -7,8 +7,10 @@ coefficient of their shingles. A passage that stands inside other text has no
 lines of its own, so texts are also cut into short overlapping blocks that begin at
 words chosen by their surroundings (the least hash among `spread` neighbouring
 five-word shingles, as in winnowing): a passage of spread + block_words words or more
-holds one of the same blocks wherever it stands. Blocks are banded by their whole
-hash.
+holds one of the same blocks wherever it stands, its first and last such blocks are
+fewer than `spread` words from its ends, and those between touch. Blocks are banded by
+their whole hash, and one that others hold reaches as far into the words around it,
+fewer than `spread` to a side, as these are equal too: so the passage is found whole.
 
 Equal paragraphs count as one, however many documents hold them. Clusters are the
 components of verified links; of each cluster the occurrences in the smallest doc_id stay, the
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, bucket_components, materialize, spare, table, texts
+from tidemark.llm.common import WORD, bucket_components, discard, materialize, spare, table, texts
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 WIDTH = 5
@@ -129,6 +131,45 @@ def blocks(rows: DataFrame, spread: int, block_words: int) -> DataFrame:
     return rows.select("doc_id", "text").mapInArrow(run, "hash long, doc_id long, start int, end int")
 
 
+def with_neighbours(rows: DataFrame, shared: DataFrame, spread: int, block_words: int) -> DataFrame:
+    """The shared blocks (hash, doc_id, start, end, first_doc_id) with left, right: hashes of the 1, 2, ... (under spread)
+    words before and after each, as many as the text has."""
+    of_doc = shared.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "start", "end", "first_doc_id")).alias("spans"))  # blocks of one document
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for part in _batches(batches):
+            words, text, first, _ = hasher.shingles([t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()])
+            if len(words) < block_words:
+                continue
+            lists = part.column(2)
+            owner, spans = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy()), lists.flatten()
+            hashes, start, end, of = (c.to_numpy() for c in spans.flatten())
+            past = np.append(first[1:], len(words))
+            # of the rows that repeat a doc_id only those with the block itself
+            fits = first[owner] + end <= past[owner]
+            at = np.where(fits, first[owner] + start, 0)
+            fits &= joined(words, block_words)[at].view(np.int64) == hashes
+            owner, hashes, start, end, of, at = owner[fits], hashes[fits], start[fits], end[fits], of[fits], at[fits]
+            after = first[owner] + end
+            sides = [around(words, at - 1, -1, np.minimum(start, spread - 1)), around(words, after, 1, np.minimum(past[owner] - after, spread - 1))]
+            columns = [pa.array(hashes), part.column(0).take(pa.array(owner)), pa.array(start), pa.array(end), pa.array(of), *sides]
+            yield pa.RecordBatch.from_arrays(columns, ["hash", "doc_id", "start", "end", "first_doc_id", "left", "right"])
+
+    schema = "hash long, doc_id long, start int, end int, first_doc_id long, left array<int>, right array<int>"
+    return rows.join(of_doc, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, schema)
+
+
+def around(words: np.ndarray, at: np.ndarray, step: int, sizes: np.ndarray) -> pa.ListArray:
+    """For each place the hashes of the first, the first two, ... of `sizes` words from there on in that direction."""
+    most = int(sizes.max(initial=0))
+    chain, made = np.zeros(len(at), np.uint64), np.zeros((len(at), most), np.int32)
+    for k in range(most):
+        chain = mixed(chain * np.uint64(0x9E3779B97F4A7C15) + words[np.clip(at + k * step, 0, len(words) - 1)])
+        made[:, k] = (chain >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(made[np.arange(most) < sizes[:, None]]))
+
+
 def lines(rows: DataFrame, line_words: int, bands: int, band_rows: int, seed: int = 11) -> DataFrame:
     """line (hash of its text), doc_id, start, n_words, bands: a row for each line of at least line_words words."""
     rng = np.random.default_rng(seed)
@@ -224,7 +265,7 @@ def repeats(docs: DataFrame, similarity: float = 0.8, recall: float = 0.995, ban
         first = spans.groupBy(key).agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_last")).where("first_doc_id < _last")
         return spans.join(first.drop("_last"), key).select("doc_id", "start", "end", "first_doc_id")
 
-    in_blocks = of_several(materialize(blocks(rows, spread, block_words)), "hash")
+    in_blocks = whole_runs(rows, materialize(blocks(rows, spread, block_words)), of_several, spread, block_words)
     found = materialize(lines(rows, line_words, bands_for(similarity, band_rows, recall), band_rows))
     tied = line_clusters(rows, found, similarity)
     placed = found.join(tied, found["line"] == tied["node"], "left")
@@ -232,6 +273,31 @@ def repeats(docs: DataFrame, similarity: float = 0.8, recall: float = 0.995, ban
     return runs(in_blocks.unionByName(of_several(placed, "root")), least_words)
 
 
+def whole_runs(rows: DataFrame, found: DataFrame, of_several: Callable[[DataFrame, str], DataFrame], spread: int, block_words: int) -> DataFrame:
+    """doc_id, start, end, first_doc_id: blocks that several documents hold, with the words around them that they share.
+
+    Where all that hold a block have the same words on a side, those are added; else each number of words is a key of its own.
+    """
+    sides = {side: F.xxhash64(side) for side in ("left", "right")}
+    ends = [f(h).alias(f"{side}_{f.__name__}") for side, h in sides.items() for f in (F.min, F.max)]
+    known = found.groupBy("hash").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_last")).where("first_doc_id < _last").drop("_last")
+    blocks_of_several = materialize(found.join(known, "hash"))
+    discard(found)
+    placed = materialize(with_neighbours(rows, blocks_of_several, spread, block_words))
+    discard(blocks_of_several)
+    same = placed.groupBy("hash").agg(*ends).select("hash", *[(F.col(f"{side}_min") == F.col(f"{side}_max")).alias(f"{side}_same") for side in sides])
+    shared = materialize(placed.join(same, "hash"))
+    discard(placed)
+    before, after = (F.when(F.col(f"{side}_same"), F.size(side)).otherwise(0) for side in sides)
+    whole = shared.withColumns({"start": F.col("start") - before, "end": F.col("end") + after}).select("doc_id", "start", "end", "first_doc_id")
+    parts = []
+    for side in sides:
+        part = shared.where(~F.col(f"{side}_same")).select("hash", "doc_id", "start", "end", F.posexplode(side).alias("n", "words"))
+        reach = {"start": F.col("start") - F.col("n") - 1} if side == "left" else {"end": F.col("end") + F.col("n") + 1}
+        parts.append(part.withColumns(reach).select(F.xxhash64("hash", F.lit(side), "n", "words").alias("key"), "doc_id", "start", "end"))
+    return whole.unionByName(of_several(parts[0].unionByName(parts[1]), "key"))
+
+
 def runs(spans: DataFrame, least_words: int) -> DataFrame:
     """Spans of a document that overlap or touch, merged; removals and first occurrences apart."""
     spans = spans.withColumn("removed", F.col("doc_id") != F.col("first_doc_id"))
