@@ -41,3 +41,21 @@ def test_lines_paragraphs_and_whole_texts(spark):
     assert made == {(1, "line", "MIT"), (2, "paragraph", "MIT"), (3, "text", "MIT"), (5, "line", "All-Rights-Reserved")}
     first = licenses.scan(docs.where("doc_id = 1")).first()
     assert "prose\nReleased under the MIT License.\nmore"[first["start"] : first["end"]] == "Released under the MIT License."
+
+
+def test_notices_inside_other_text(spark):
+    mit = licenses.TEMPLATES[4][1]
+    gpl = next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0" and t.startswith("This program"))
+    cc = next(t for n, t in licenses.TEMPLATES if n == "CC-BY-4.0" and "Creative" in t)
+    half, prose = mit.split(), "some words of prose before and after it " * 12
+    rows = [
+        (1, f"{prose}\n\n{' '.join(half[:90])}\n\n{' '.join(half[90:])}\n\n{prose}"),
+        (2, f"é {prose}{cc} {prose}"),
+        (3, prose + "\n" + "\n".join(" * " + " ".join(gpl.split()[k : k + 9]) for k in range(0, 90, 9)) + f"\n * {prose}"),
+        (4, "Copyright 2020 the authors and their friends and heirs. All rights reserved."),
+        (5, prose),
+    ]
+    made = {(r["doc_id"], r["passage"], r["license"]): r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(made) == {(1, "span", "MIT"), (2, "span", "CC-BY-4.0"), (3, "span", "GPL-3.0"), (4, "span", "All-Rights-Reserved")}
+    r = made[2, "span", "CC-BY-4.0"]
+    assert rows[1][1][r["start"] : r["end"]] == cc.rstrip(".") and r["dice"] == 1.0

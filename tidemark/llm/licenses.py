@@ -5,10 +5,16 @@ bags of a and b bigrams with Dice coefficient d or more differ in size by a fact
 of at most (2 - d) / d, so only templates within those bounds are candidates for a
 passage; the bigrams that a passage shares with them are then tallied through an
 index of the templates' bigrams.
+
+A notice that stands in other text has no such passage of its own. So spans of words
+are tried too, within the same sizes, from each bigram of a template that has enough
+others of it behind it; a span counts where no better or equal licence is found.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from typing import NamedTuple
@@ -69,6 +75,10 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
 
+#: A word in the text as it stands.
+WORD = re.compile(r"(?:[^\x00-\x7f]|[0-9A-Za-z])+")
+
+
 class Match(NamedTuple):
     passage: str
     start: int
@@ -85,7 +95,7 @@ class Templates:
     """Templates by size, and the bigrams of all as an index; templates of under two words are left out."""
 
     def __init__(self, templates: tuple[tuple[str, str], ...], least: float):
-        self.least, self.bags = least, []
+        self.least, self.bags, self.names = least, [], [name for name, _ in templates]
         for place, (_, text) in enumerate(templates):
             words = words_of(text)
             if len(words) > 1:
@@ -117,6 +127,57 @@ class Templates:
         return (-place, dice) if dice >= self.least else None
 
 
+    def spans(self, words: list[bytes]) -> list[tuple[int, int, int, float]]:
+        """First word, end word, template, Dice of spans of at least `least`, those of one template apart; the most alike first."""
+        pairs = list(zip(words, words[1:], strict=False))
+        places: dict[int, list[int]] = defaultdict(list)
+        for at, pair in enumerate(pairs):
+            for bag, _ in self.index.get(pair, ()):
+                places[bag].append(at)
+        chosen = []
+        for bag, hits in places.items():
+            size, place, template = self.bags[bag]
+            longest = int(size * (2 - self.least) / self.least + 1e-9)
+            fewest = math.ceil(size * self.least / (2 - self.least) - 1e-9)  # shared bigrams of a span, at the least
+            made = []
+            for i in range(len(hits) - fewest + 1):
+                if hits[i + fewest - 1] - hits[i] >= longest:
+                    continue
+                shared, seen, best = 0, Counter(), (0.0, 0, 0)
+                for at in hits[i : i + longest]:
+                    n = at - hits[i] + 1
+                    if n > longest:
+                        break
+                    seen[pairs[at]] += 1
+                    shared += seen[pairs[at]] <= template[pairs[at]]
+                    best = max(best, (2 * shared / (n + size), 3 * shared - n - size, at))
+                if best[0] >= self.least:
+                    made.append((-best[1], hits[i], best[2] + 2, place, best[0]))
+            taken = Taken()
+            chosen += [m for m in sorted(made) if taken.add(m[1], m[2])]
+        return [m[1:] for m in sorted(chosen)]
+
+
+class Taken:
+    """Spans that do not overlap, in order."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def overlap(self, start: int, end: int) -> slice:
+        return slice(bisect_right(self.ends, start), bisect_left(self.starts, end))
+
+    def add(self, start: int, end: int) -> bool:
+        """Takes the span if nothing there is taken."""
+        there = self.overlap(start, end)
+        if there.start < there.stop:
+            return False
+        self.starts.insert(there.start, start)
+        self.ends.insert(there.start, end)
+        return True
+
+
 def passages(text: str) -> list[tuple[str, int, int]]:
     """kind, start, end of the lines with a character, of paragraphs of several lines, and of a text of several such."""
     lines, found, at, block, blocks = text.split("\n"), [], 0, [], 0
@@ -146,13 +207,31 @@ def scan_text(text: str, known: Templates) -> list[Match]:
             words = [w for at, line in lines if start <= at < end for w in line]
         if best := known.nearest(words):
             found.append(Match(kind, start, end, *best))
+    spans = known.spans([w for _, line in lines for w in line])
+    if spans:
+        at = [(m.start(), m.end()) for m in WORD.finditer(text)]
+        taken: dict[tuple[str, int], tuple[Taken, dict[int, Match]]] = defaultdict(lambda: (Taken(), {}))
+
+        def take(match: Match) -> None:
+            there, own = taken[match.passage, match.template]
+            if there.add(match.start, match.end):
+                own[match.start] = match
+
+        for match in found:
+            take(match)
+        for first, end, template, dice in spans:
+            match = Match("span", at[first][0], at[end - 1][1], template, dice)
+            others = [own[s] for there, own in taken.values() for s in there.starts[there.overlap(match.start, match.end)]]
+            if not any(o.dice >= dice or known.names[o.template] == known.names[template] for o in others):
+                take(match)
+                found.append(match)
     return found
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = 0.85) -> DataFrame:
     """doc_id, passage (kind), start, end (code points), template, license, dice: a row for each passage that matches.
 
-    A null or empty text, and passages of one word, match nothing; a passage takes its best template, the
+    A span is a notice inside other text; it is left out where a passage or span of the same licence, or of no lower Dice, overlaps. A null or empty text, and passages of one word, match nothing; a passage takes its best template, the
     earliest of equals. Repeated rows are scanned alike.
     """
     schema = "doc_id long, passage string, start int, end int, template int, license string, dice double"
