@@ -7,64 +7,76 @@ name pass by unread.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import shared_dir
+
 #: A word is a run of characters other than ASCII white space; bytes.split() divides the UTF-8 form alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
+# Settings that hold unless the application was started with its own. Arrow batches of bounded size, and
+# shuffle files that go at a query's end, where else they wait for the driver's garbage collection.
+SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+TUNED = "spark.tidemark.tuned"
+#: Characters of text that a task takes up at a time, and bytes of a table that it keeps from batch to batch.
+BATCH_BYTES, TABLE_BYTES = 1 << 20, 32 << 20
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """The session with SETTINGS; they are set once a session and never put back, so threads don't race."""
+    if spark.conf.get(TUNED, None) is None:
+        given = spark.sparkContext.getConf()
+        for name, value in SETTINGS.items():
+            if not given.contains(name):
+                spark.conf.set(name, value)
+        spark.conf.set(TUNED, "true")
+    return spark
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one only where the session names none (tests)."""
-    context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not shared:
-        shared = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared)
-    return shared
-
-
-#: Spark removes a query's shuffle files at its end, where else they wait for the driver's garbage collection.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    """The folder that all executors and the driver share."""
+    return shared_dir(spark)
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """The same rows, written as Parquet in the shared folder and read again: computed once, lineage cut.
-
-    Nothing refers to the shuffles behind the table once it is written, so they go at once.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    """The same rows, written as Parquet in the shared folder and read again: computed once, lineage cut."""
+    spark = tuned(df.sparkSession)
+    path = f"{scratch_dir(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(made: DataFrame) -> None:
+def discard(*made: DataFrame | None) -> None:
     """Deletes the tables of materialize() that these rows are read from, once nothing else will read them."""
-    spark = made.sparkSession
-    for folder in {f.rpartition("/")[0] for f in made.inputFiles()}:
-        if folder.rpartition("/")[2].startswith("stage-"):
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for df in made:
+        if df is None:
+            continue
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if folder.rpartition("/")[2].startswith("stage-"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts(docs: DataFrame, *columns: str) -> DataFrame:
     """doc_id, the text (null: empty) and any further named columns."""
+    tuned(docs.sparkSession)
     return docs.select("doc_id", *columns, F.coalesce("text", F.lit("")).alias("text"))
 
 
@@ -87,66 +99,206 @@ def same_rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     return docs.join(rows, F.col("doc_id").cast("long").eqNullSafe(F.col(of_row)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(of_text)), how)
 
 
-def map_batches(df: DataFrame, each: Callable[[dict[str, list]], pa.RecordBatch | None], schema: str, setup: Callable[[], object] | None = None, rows: int = 1000) -> DataFrame:
-    """mapInArrow over lists of at most `rows` rows; each(columns, state) gives an Arrow batch or None.
+def slices(batches: Iterable[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most `most` bytes of text, or of one row where that has more."""
+    for batch in batches:
+        sizes = np.full(batch.num_rows, 16, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+                sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(sizes), 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
+class Grown:
+    """A numpy array that rows are added to; its room doubles, so that adding copies each row a few times at most."""
+
+    def __init__(self, dtype, *shape: int):  # noqa: ANN001
+        self.size, self.room = 0, np.zeros((1024, *shape), dtype)
+
+    def add(self, rows: np.ndarray) -> None:
+        end = self.size + len(rows)
+        if end > len(self.room):
+            room = np.zeros((max(end, 2 * len(self.room)), *self.room.shape[1:]), self.room.dtype)
+            room[: self.size] = self.room[: self.size]
+            self.room = room
+        self.room[self.size : end] = rows
+        self.size = end
+
+    @property
+    def rows(self) -> np.ndarray:
+        return self.room[: self.size]
+
+
+class Places:
+    """A place for each distinct word that a task has met, in the order met, as far as a bound of bytes allows.
+
+    An entry counts as its length, what Python keeps beside it, and `each` bytes of what the owner keeps for it.
+    full() is looked at between batches, which are bounded themselves.
+    """
+
+    def __init__(self, each: int = 8, most: int = TABLE_BYTES):
+        self.each, self.most = each, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.place, self.held = {}, 0
+
+    def full(self) -> bool:
+        return self.held > self.most
+
+    def missing(self, words: list) -> list:
+        """Words without a place, each once; they get the next places."""
+        place = self.place
+        found = [w for w in dict.fromkeys(words) if w not in place]
+        place.update(zip(found, range(len(place), len(place) + len(found)), strict=True))
+        self.held += sum(map(len, found)) + (150 + self.each) * len(found)
+        return found
+
+    def of(self, words: list) -> np.ndarray:
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+
+
+class HashedWords:
+    """64-bit hashes of words, through a table of those that a task has met."""
+
+    def __init__(self, seed: int):
+        self.seed, self.places, self.hashes = seed, Places(), Grown(np.uint64)
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if self.places.full():
+            self.places.clear()
+            self.hashes = Grown(np.uint64)
+        fresh = self.places.missing(words)
+        self.hashes.add(np.fromiter((xxhash.xxh64_intdigest(w, self.seed) for w in fresh), np.uint64, len(fresh)))
+        return self.hashes.rows[self.places.of(words)]
+
+
+def map_batches(df: DataFrame, each: Callable[..., pa.RecordBatch | None], schema: str, setup: Callable[[], object] | None = None) -> DataFrame:
+    """mapInArrow over lists of bounded size; each(columns, state) gives an Arrow batch or None.
 
     setup() makes the state once a task.
     """
+    tuned(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
-        for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                part = batch.slice(start, rows)
-                columns = dict(zip(part.schema.names, (c.to_pylist() for c in part.columns), strict=True))
-                made = each(columns, state) if setup else each(columns)
-                if made is not None:
-                    yield made
+        for part in slices(batches):
+            columns = dict(zip(part.schema.names, (c.to_pylist() for c in part.columns), strict=True))
+            made = each(columns, state) if setup else each(columns)
+            if made is not None:
+                yield made
 
     return df.mapInArrow(run, schema)
 
 
-def bucket_components(members: DataFrame, linked: Callable[[Column, Column], Column], facts: DataFrame, rounds: int = 3) -> DataFrame:
-    """node, root: the components of the links between nodes that share a bucket and satisfy linked(a, b).
+def bucket_components(members: DataFrame, distance: Callable[[Column, Column], Column], most: float, facts: DataFrame, rounds: int = 2) -> DataFrame:
+    """node, root: the components of the links between nodes that share a bucket and are at most `most` apart.
 
     members: key, node, weight, a row for each node and bucket that it is in. facts: a row for each node with
-    what linked() needs; it gets two structs of them. Nodes without links may be absent.
-
-    In each round the members of a bucket that are not yet in its hub's component are compared with the hub: first
-    the heaviest node (of near copies, the original), then others by hash. At last the members of another
-    component than the hub's are compared with all members of the bucket that are not in theirs. So a
-    bucket of copies costs a few rows a member, and no two nodes that a chain of links joins are parted.
+    what distance() needs; it gets two structs of them and must be a metric. Nodes without links may be absent.
+
+    First each bucket's members are compared with its heaviest node (of near copies, the original). From then on a
+    bucket holds one row for each component in it: in a few rounds these components' heaviest nodes are
+    compared with the bucket's heaviest. At last the components that still share a bucket are compared: by their
+    heaviest nodes and the radius around these, beyond which (by the triangle inequality) no two members can be
+    linked, and only where that leaves a link possible by those members that it leaves. So a bucket of copies
+    costs a row a member, and no two nodes that a chain of links joins are parted.
+    """
+    facts = facts.select("node", F.struct(*facts.columns).alias("fact"))
+    shared = materialize(of_several_nodes(members))
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """src, dst of the pairs a, b that are linked."""
+        pairs = pairs.where("a <> b").select("a", "b").distinct()
+        pairs = pairs.join(_facts(facts, "a"), "a").join(_facts(facts, "b"), "b")
+        return materialize(pairs.where(distance(F.col("fact_a"), F.col("fact_b")) <= most).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+    def heaviest(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.groupBy(*by).agg(F.min_by(F.struct("node", "weight"), F.struct(-F.col("weight"), "node")).alias("_top")).select(*by, "_top.node", "_top.weight")
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """The rows of buckets with several components."""
+        keys = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        return rows.join(keys, "key", "left_semi")
+
+    hubs = heaviest(shared, "key").select("key", F.col("node").alias("b"))
+    links = close(shared.select("key", F.col("node").alias("a")).join(hubs, "key"))
+    roots = components(links)
+    rooted = materialize(mixed(_rooted(shared, "node", roots)))
+    discard(links, shared)
+    tops = materialize(heaviest(rooted, "key", "root"))
+    for _ in range(rounds):
+        hubs = heaviest(tops, "key").select("key", F.col("node").alias("b"))
+        links = close(tops.select("key", F.col("node").alias("a")).join(hubs, "key"))
+        if links.isEmpty():
+            discard(links)
+            break
+        roots, step, past, before = *_merged(roots, links, tops), tops, roots
+        tops = materialize(heaviest(mixed(_rooted(tops, "root", step)), "key", "root"))
+        discard(links, step, past, before)
+    left = materialize(mixed(_rooted(rooted.drop("root"), "node", roots)))
+    discard(rooted, tops)
+    # each component's heaviest node in each bucket, how far its members lie from it, and how many it has
+    tops = heaviest(left, "key", "root").select("key", "root", F.col("node").alias("top"))
+    placed = left.join(tops, ["key", "root"]).join(_facts(facts, "node"), "node").join(_facts(facts, "top"), "top")
+    placed = materialize(placed.select("key", "root", "node", "top", distance(F.col("fact_node"), F.col("fact_top")).alias("off")))
+    groups = placed.groupBy("key", "root", "top").agg(F.max("off").alias("radius"))
+    a, b = (groups.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("root", "top", "radius")]) for side in "ab")
+    pairs = a.join(b, "key").where("root_a < root_b").join(_facts(facts, "top_a"), "top_a").join(_facts(facts, "top_b"), "top_b")
+    pairs = pairs.withColumn("apart", distance(F.col("fact_top_a"), F.col("fact_top_b"))).where(F.col("apart") <= F.col("radius_a") + F.col("radius_b") + F.lit(most + 1e-9))
+    pairs = materialize(pairs.select("key", "root_a", "root_b", "top_a", "top_b", "radius_a", "radius_b", "apart"))
+    near = pairs.where(F.col("apart") <= most).select(F.col("top_a").alias("src"), F.col("top_b").alias("dst"))
+    open_pairs = pairs.where((F.col("apart") > most) & (F.col("radius_a") + F.col("radius_b") > 0))
+    first = placed.select("key", F.col("root").alias("root_a"), F.col("node").alias("a"))
+    first = open_pairs.join(first, ["key", "root_a"]).join(_facts(facts, "a"), "a").join(_facts(facts, "top_b"), "top_b")
+    first = first.withColumn("far", distance(F.col("fact_a"), F.col("fact_top_b"))).where(F.col("far") <= F.col("radius_b") + F.lit(most + 1e-9))
+    second = placed.select("key", F.col("root").alias("root_b"), F.col("node").alias("b"), "off")
+    both = first.select("key", "root_b", "a", "far").join(second, ["key", "root_b"]).where(F.abs(F.col("far") - F.col("off")) <= F.lit(most + 1e-9))
+    met = close(both.select("a", "b"))
+    new = materialize(near.unionByName(met))
+    discard(left, pairs, met, placed)
+    if new.isEmpty():
+        discard(new)
+        return roots
+    made, step = _merged(roots, new, None)
+    discard(new, step, roots)
+    return made
+
+
+def of_several_nodes(members: DataFrame) -> DataFrame:
+    """The rows of members (key, node, weight) whose key has two nodes or more.
+
+    Keys are counted with a map-side combine and met by a join that Spark can split, so one key may hold any
+    share of the rows. A common exchange for both would be half the shuffle, but could not be split.
     """
-    facts = facts.select(F.col("node"), F.struct(*facts.columns).alias("fact"))
-    several = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
-    left = materialize(members.join(several, "key").withColumn("root", F.col("node")))
-    links = roots = None
-    for turn in range(rounds):
-        first = F.struct(-F.col("weight"), "node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-        hubs = left.groupBy("key").agg(F.min_by(F.struct("node", "root"), first).alias("hub"))
-        pairs = left.join(hubs, "key").where("root <> hub.root").select("node", F.col("hub.node").alias("hub")).distinct()
-        pairs = pairs.join(facts.withColumnRenamed("fact", "_a"), "node").join(facts.select(F.col("node").alias("hub"), F.col("fact").alias("_b")), "hub")
-        new = pairs.where(linked(F.col("_a"), F.col("_b"))).select(F.col("node").alias("src"), F.col("hub").alias("dst"))
-        grown = materialize(new if links is None else links.unionByName(new))
-        reached = components(grown)
-        for past in (links, roots):
-            if past is not None:
-                discard(past)
-        links, roots = grown, reached
-        known = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-        rooted = left.drop("root").join(known, left["node"] == known["_node"], "left").withColumn("root", F.coalesce("_root", "node")).drop("_node", "_root")
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        still = materialize(rooted.join(mixed, "key", "left_semi"))
-        discard(left)
-        left = still
-        if left.isEmpty():
-            return roots
-    hubs = left.groupBy("key").agg(F.min_by("root", F.struct(-F.col("weight"), "node")).alias("hub_root"))
-    told = materialize(left.join(hubs, "key").join(facts, "node").select("key", "root", "hub_root", "fact"))
-    apart = told.where("root <> hub_root").select("key", F.col("root").alias("_own"), F.col("fact").alias("_a"))
-    far = apart.join(told.select("key", "root", F.col("fact").alias("_b")), "key").where((F.col("_own") != F.col("root")) & linked(F.col("_a"), F.col("_b")))
-    far = materialize(far.select(F.col("_a.node").alias("src"), F.col("_b.node").alias("dst")).distinct())
-    return roots if far.isEmpty() else components(links.unionByName(far))
+    members = members.select("key", "node", "weight")
+    keys = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    return members.join(keys, "key", "left_semi")
+
+
+def _facts(facts: DataFrame, name: str) -> DataFrame:
+    return facts.select(F.col("node").alias(name), F.col("fact").alias(f"fact_{name}"))
+
+
+def _rooted(rows: DataFrame, of: str, roots: DataFrame) -> DataFrame:
+    """rows with `root`, that of the node (or former root) in the column `of`."""
+    known = roots.select(F.col("node").alias("_of"), F.col("root").alias("_root"))
+    return rows.join(known, rows[of] == known["_of"], "left").withColumn("root", F.coalesce("_root", of)).drop("_of", "_root")
+
+
+def _merged(roots: DataFrame, links: DataFrame, tops: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """node, root after further links between nodes, and what became of former roots that were tied."""
+    ends = [_rooted(links.select(F.col(c).alias("node"), F.col(o).alias("_other")), "node", roots) for c, o in (("src", "dst"), ("dst", "src"))]
+    low = ends[0].select(F.col("node").alias("src"), F.col("_other").alias("dst"), F.col("root").alias("root_src"))
+    high = ends[1].select(F.col("_other").alias("src"), F.col("node").alias("dst"), F.col("root").alias("root_dst"))
+    step = materialize(components(low.join(high, ["src", "dst"]).select(F.col("root_src").alias("src"), F.col("root_dst").alias("dst"))))
+    fresh = step.join(roots.select("node"), "node", "left_anti")
+    moved = _rooted(roots.withColumnRenamed("root", "_was"), "_was", step).select("node", "root")
+    return materialize(moved.unionByName(fresh.select("node", "root"))), step
 
 
 def components(links: DataFrame) -> DataFrame:

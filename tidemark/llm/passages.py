@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, bucket_components, discard, materialize, spare, table, texts
+from tidemark.llm.common import WORD, HashedWords, bucket_components, discard, materialize, of_several_nodes, slices, spare, table, texts
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 WIDTH = 5
@@ -42,26 +42,21 @@ def bands_for(similarity: float, rows: int, recall: float) -> int:
 
 
 class Hasher:
-    """Word hashes and shingle hashes of a batch of texts; a task's word table, emptied at `most`."""
+    """Word hashes and shingle hashes of a batch of texts."""
 
-    def __init__(self, most: int = 400_000):
-        self.most, self.place, self.hashes = most, {}, np.zeros(0, np.uint64)
+    def __init__(self) -> None:
+        self.words = HashedWords(3)
 
     def shingles(self, batch: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Word hashes, the text of each word, the first word of each text; and at each word the hash of the five
         words that begin there (of no use where the text ends before)."""
-        if len(self.place) > self.most:
-            self.place, self.hashes = {}, np.zeros(0, np.uint64)
         words: list[bytes] = []
         counts = np.zeros(len(batch), np.int64)
         for n, text in enumerate(batch):
             found = text.translate(LOWER).split()
             counts[n] = len(found)
             words += found
-        missing = [w for w in dict.fromkeys(words) if w not in self.place]
-        self.place.update(zip(missing, range(len(self.place), len(self.place) + len(missing)), strict=True))
-        self.hashes = np.concatenate([self.hashes, np.fromiter((xxhash.xxh64_intdigest(w, 3) for w in missing), np.uint64, len(missing))])
-        word = self.hashes[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]
+        word = self.words.of(words)
         return word, np.repeat(np.arange(len(batch)), counts), np.cumsum(counts) - counts, joined(word, WIDTH)
 
 
@@ -97,18 +92,12 @@ def anchors(shingle: np.ndarray, usable: np.ndarray, spread: int) -> np.ndarray:
     return np.unique(place)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
-
 def blocks(rows: DataFrame, spread: int, block_words: int) -> DataFrame:
     """hash, doc_id, start, end (words): the anchored blocks of each text; those that follow each other with one hash are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for part in _batches(batches):
+        for part in slices(batches):
             words, text, first, shingle = hasher.shingles([t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()])
             n = len(words) - block_words + 1
             if n < 1:
@@ -138,7 +127,7 @@ def with_neighbours(rows: DataFrame, shared: DataFrame, spread: int, block_words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for part in _batches(batches):
+        for part in slices(batches):
             words, text, first, _ = hasher.shingles([t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()])
             if len(words) < block_words:
                 continue
@@ -177,7 +166,7 @@ def lines(rows: DataFrame, line_words: int, bands: int, band_rows: int, seed: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for part in _batches(batches):
+        for part in slices(batches):
             raw = [t.encode("utf-8", "surrogatepass").split(b"\n") for t in part.column(1).to_pylist()]
             owner = np.repeat(np.arange(len(raw)), [len(x) for x in raw])
             flat = [line for x in raw for line in x]
@@ -212,7 +201,7 @@ def shingle_sets(rows: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for part in _batches(batches):
+        for part in slices(batches):
             kept, names = [], []
             for text, some in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 some = set(some)
@@ -235,21 +224,20 @@ def hashed(line: bytes) -> int:
     return xxhash.xxh64_intdigest(b" ".join(line.translate(LOWER).split()), 42) - (1 << 63)
 
 
-def jaccard_at_least(a: Column, b: Column, least: float) -> Column:
-    """Exact Jaccard coefficient of two structs' shingles; sizes too far apart are told first."""
-    small, large = F.least(F.size(a["shingles"]), F.size(b["shingles"])), F.greatest(F.size(a["shingles"]), F.size(b["shingles"]))
+def jaccard_distance(a: Column, b: Column) -> Column:
+    """1 less the exact Jaccard coefficient of two structs' shingles: a metric."""
     shared = F.size(F.array_intersect(a["shingles"], b["shingles"]))
-    return (small >= least * large) & (shared >= least * (small + large - shared))
+    return 1 - shared / (F.size(a["shingles"]) + F.size(b["shingles"]) - shared)
 
 
 def line_clusters(rows: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     """node, root: lines that near duplicates tie together."""
     banded = found.groupBy("line").agg(F.first("bands").alias("bands"), F.count("*").alias("weight")).select(F.col("line").alias("node"), "weight", F.explode("bands").alias("key"))
-    banded = materialize(banded)
-    shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
-    members = materialize(banded.join(shared, "key", "left_semi"))
+    members = materialize(of_several_nodes(banded))
     sets = materialize(shingle_sets(rows, found, members.select(F.col("node").alias("line")).distinct()))
-    return bucket_components(members, lambda a, b: jaccard_at_least(a, b, similarity), sets)
+    tied = bucket_components(members, jaccard_distance, 1 - similarity, sets)
+    discard(members)
+    return tied
 
 
 def repeats(docs: DataFrame, similarity: float = 0.8, recall: float = 0.995, band_rows: int = 3, line_words: int = 50, spread: int = 16, block_words: int = 20, least_words: int = 32) -> DataFrame:

@@ -3,11 +3,12 @@
 Two 64-bit fingerprints within 4 bits of each other agree in at least 4 of their 8
 bytes, wherever the bits fall. Lists of single (position, byte) pairs hold a 256th
 of all fingerprints each, and tallying them meets every pair of fingerprints again
-and again, so the index posts small sets of positions: 20 triples of positions such
-that any 4 positions contain one of them (Turan's (8, 4, 3) system), or all 70 sets
-of 4. A pair that shares 4 positional bytes shares a posting; pairs from a posting
-are kept if the tally of shared positional bytes reaches 4, and then verified by
-their differing bits. The result is exact.
+and again. So the index posts the 70 sets of 4 positions with the bytes there: sharing one
+posting is the same as a tally of 4 shared positional bytes, which is the guaranteed
+minimum, and a list holds a 2^32nd of unlike fingerprints. That is the count filter;
+what passes it is verified by its differing bits, and the result is exact. The index
+has 70 small rows for each distinct fingerprint at every size of the corpus: lists
+of 3 positions would be fewer (20), but hold 256 times as many chance meetings.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bucket_components, identified, map_batches, materialize, same_rows, table
+from tidemark.llm.common import bucket_components, discard, identified, map_batches, materialize, same_rows, table
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -49,53 +50,45 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     return map_batches(identified(docs).select("doc_id", "text_hash", "text"), each, "doc_id long, text_hash long, fp long")
 
 
-def posting_sets(size: int) -> list[tuple[int, ...]]:
-    """Sets of byte positions such that each 4 of the 8 positions contain one of them."""
-    if size == 4:
-        return list(combinations(range(8), 4))
-    group = [0, 0, 0, 1, 1, 1, 2, 2]
-    cycle = [sorted((g, g, (g + 1) % 3)) for g in range(3)] + [[g] * 3 for g in range(3)]
-    return [s for s in combinations(range(8), 3) if sorted(group[p] for p in s) in cycle]
+POSTINGS = tuple(combinations(range(8), 4))
 
 
 def byte_at(fp: Column, position: int) -> Column:
     return F.shiftrightunsigned(fp, 8 * position).bitwiseAND(F.lit(255))
 
 
-def postings(fps: DataFrame, size: int) -> DataFrame:
-    """node (the fingerprint), weight, key: a row for each set of positions; the key holds the set's number and the bytes there."""
+def postings(fps: DataFrame) -> DataFrame:
+    """key, node (the fingerprint), weight: a row for each set of positions; the key holds the set's number and the bytes there."""
     keys = []
-    for number, positions in enumerate(posting_sets(size)):
+    for number, positions in enumerate(POSTINGS):
         key = F.lit(number).cast("long")
         for p in positions:
             key = F.shiftleft(key, 8).bitwiseOR(byte_at(F.col("fp"), p))
         keys.append(key)
-    return fps.select(F.col("fp").alias("node"), "weight", F.explode(F.array(*keys)).alias("key"))
+    return fps.select(F.explode(F.array(*keys)).alias("key"), F.col("fp").alias("node"), "weight")
 
 
-def within(a: Column, b: Column, bits: int) -> Column:
-    """Count filter, then verification, of two structs with a fingerprint each, the field node."""
-    differ = a["node"].bitwiseXOR(b["node"])
-    shared = sum((F.when(byte_at(differ, p) == 0, 1).otherwise(0) for p in range(8)), F.lit(0))
-    return (shared >= 8 - bits) & (F.bit_count(differ) <= bits)
+def differing_bits(a: Column, b: Column) -> Column:
+    """Of two structs with a fingerprint each, the field node: a metric."""
+    return F.bit_count(a["node"].bitwiseXOR(b["node"]))
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, wide_from: int = 2_000_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, text_hash, fp, root, component_id: a row for each row of docs; fingerprints link at 4 or fewer differing bits.
 
     root is the component's smallest fingerprint. Documents without words have fingerprint zero and are linked as any other. A
     null doc_id stays a row and names no component unless it stands alone (then the
-    id is null). wide_from: from so many distinct fingerprints on, sets of 4
-    positions are posted instead of triples; the links are the same.
+    id is null). Repeated rows have one fingerprint and so one component; an empty table has none.
     """
     marked = materialize(fingerprints(docs, width, seed))
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("weight"))
-    size = 3 if marked.count() < wide_from else 4
-    reached = bucket_components(postings(distinct, size), lambda a, b: within(a, b, 4), distinct.select(F.col("fp").alias("node")))
+    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("weight")))
+    reached = bucket_components(postings(distinct), differing_bits, 4, distinct.select(F.col("fp").alias("node")))
     rooted = distinct.join(reached, distinct["fp"] == reached["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(named, "root").select("fp", "root", "component_id")
-    return marked.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    made = materialize(marked.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id"))
+    discard(marked, distinct, reached)
+    return made
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
@@ -103,7 +96,7 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
 
     Rows that repeat a doc_id are copies too, if their texts are near; a component of null ids alone keeps one of its rows.
     """
-    found = materialize(near_duplicates(docs, **options))
+    found = near_duplicates(docs, **options)
     first = found.where("doc_id <=> component_id").groupBy("root").agg(F.first("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"))
     kept = same_rows(docs, first.select("doc_id", "text_hash"), "left_semi")
     if found.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
