@@ -19,11 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import identified, map_batches, materialize, same_rows, table, texts
+from tidemark.llm.common import HashedWords, identified, map_batches, materialize, same_rows, slices, table, texts
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Added to the hashed buckets: a token like none, the last, the last but one.
@@ -31,40 +30,31 @@ REPEATS = 3
 
 
 class Hasher:
-    """Buckets of all n-grams of a batch of texts; a task's hashes of tokens, emptied at `most`."""
+    """Buckets of all n-grams of a batch of texts."""
 
-    def __init__(self, buckets: int, most: int = 400_000):
-        self.buckets, self.most = buckets, most
-        self.place: dict[str, int] = {}
-        self.hashes = np.zeros(0, np.uint64)
+    def __init__(self, buckets: int):
+        self.buckets, self.words = buckets, HashedWords(7)
 
     def features(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The n-grams' buckets and the texts that they belong to."""
-        if len(self.place) > self.most:
-            self.place, self.hashes = {}, np.zeros(0, np.uint64)
-        tokens: list[str] = []
+        tokens: list[bytes] = []
         counts = np.zeros(len(batch), np.int64)
         for n, text in enumerate(batch):
             found = TOKEN.findall(text)
             counts[n] = len(found)
-            tokens += found
-        missing = [t for t in dict.fromkeys(tokens) if t not in self.place]
-        self.place.update(zip(missing, range(len(self.place), len(self.place) + len(missing)), strict=True))
-        fresh = np.fromiter((xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 7) for t in missing), np.uint64, len(missing))
-        self.hashes = np.concatenate([self.hashes, fresh])
-        at = np.fromiter(map(self.place.__getitem__, tokens), np.int64, len(tokens))
-        text = np.repeat(np.arange(len(batch)), counts)
-        h = self.hashes[at]
-        one = (h % np.uint64(self.buckets)).astype(np.int64)
+            tokens += [t.encode("utf-8", "surrogatepass") for t in found]
+        h = self.words.of(tokens)
+        text = np.repeat(np.arange(len(batch), dtype=np.int32), counts)
+        one = (h % np.uint64(self.buckets)).astype(np.int32)
         same = text[1:] == text[:-1]
         pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ h[1:]
-        pair = pair ^ (pair >> np.uint64(29))
-        two = (pair % np.uint64(self.buckets)).astype(np.int64)[same]
-        last = np.zeros(len(at), bool)
-        last[1:] = same & (at[1:] == at[:-1])
-        before = np.zeros(len(at), bool)
-        before[2:] = (text[2:] == text[:-2]) & (at[2:] == at[:-2])
-        repeat = self.buckets + np.where(last, 1, np.where(before, 2, 0))
+        pair ^= pair >> np.uint64(29)
+        two = (pair % np.uint64(self.buckets)).astype(np.int32)[same]
+        last = np.zeros(len(h), bool)
+        last[1:] = same & (h[1:] == h[:-1])
+        before = np.zeros(len(h), bool)
+        before[2:] = (text[2:] == text[:-2]) & (h[2:] == h[:-2])
+        repeat = (self.buckets + np.where(last, 1, np.where(before, 2, 0))).astype(np.int32)
         return np.concatenate([one, two, repeat]), np.concatenate([text, text[1:][same], text])
 
 
@@ -74,13 +64,11 @@ def count_models(docs: DataFrame, target: str, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, raw, good = Hasher(buckets), np.zeros(size, np.int64), np.zeros(size, np.int64)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                wanted = np.array([bool(x) for x in part.column(1).to_pylist()])
-                features, text = hasher.features(part.column(0).to_pylist())
-                raw += np.bincount(features, minlength=size)
-                good += np.bincount(features[wanted[text]], minlength=size)
+        for part in slices(batches):
+            wanted = np.array([bool(x) for x in part.column(1).to_pylist()])
+            features, text = hasher.features(part.column(0).to_pylist())
+            raw += np.bincount(features, minlength=size)
+            good += np.bincount(features[wanted[text]], minlength=size)
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(good[some])], ["bucket", "raw", "target"])
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, table, texts
+from tidemark.llm.common import Grown, Places, discard, materialize, slices, table, texts
 
 LETTERS = bytes(b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
 Weights = dict[str, np.ndarray]
@@ -237,38 +237,39 @@ def logits(weights: Weights, x: np.ndarray, ids: np.ndarray, mask: np.ndarray |
 
 
 class Scorer:
-    """Highest window logits of texts; keeps the input products of the words that it has met, up to `most`."""
+    """Highest window logits of texts; keeps the input products of the words that it has met, as far as their bytes allow."""
 
-    def __init__(self, weights: Weights, known: dict[bytes, int], shape: Shape, most: int = 200_000, chunk: int = 2048):
-        self.known, self.weights, self.shape, self.most, self.chunk = known, weights, shape, most, chunk
+    def __init__(self, weights: Weights, known: dict[bytes, int], shape: Shape, chunk: int = 1024):
+        self.known, self.weights, self.shape, self.chunk = known, weights, shape, chunk
+        self.places = Places(2 * 4 * 3 * shape.hidden)
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.gates = {w: np.zeros((0, 3 * self.shape.hidden), np.float32) for w in "fb"}
+        self.places.clear()
+        self.gates = {w: Grown(np.float32, 3 * self.shape.hidden) for w in "fb"}
 
     def add(self, missing: list[bytes]) -> None:
-        self.place.update(zip(missing, range(len(self.place), len(self.place) + len(missing)), strict=True))
-        x = inputs(self.weights, *features(missing, self.known, self.shape))
-        for w in "fb":
-            self.gates[w] = np.concatenate([self.gates[w], x @ self.weights[f"W{w}"] + self.weights[f"c{w}"]])
+        for at in range(0, len(missing), 8192):
+            x = inputs(self.weights, *features(missing[at : at + 8192], self.known, self.shape))
+            for w in "fb":
+                self.gates[w].add(x @ self.weights[f"W{w}"] + self.weights[f"c{w}"])
 
     def windows(self, ids: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
-        states = np.concatenate([read_way(self.gates[w], ids, mask, self.weights[f"U{w}"], w == "b", None) for w in "fb"], axis=2)
+        states = np.concatenate([read_way(self.gates[w].rows, ids, mask, self.weights[f"U{w}"], w == "b", None) for w in "fb"], axis=2)
         return pool(self.weights, states, mask)[0]
 
     def highest(self, batch: list[str]) -> np.ndarray:
         """For each text the highest logit of its windows; nan for one without words."""
-        if len(self.place) > self.most:
+        if self.places.full():
             self.clear()
         shape, words, counts = self.shape, [], np.zeros(len(batch), np.int64)
         for n, text in enumerate(batch):
             found = words_of(text)
             counts[n] = len(found)
             words += found
-        if missing := [w for w in dict.fromkeys(words) if w not in self.place]:
+        if missing := self.places.missing(words):
             self.add(missing)
-        ids = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        ids = self.places.of(words)
         first = np.cumsum(counts) - counts
         best = np.full(len(batch), -np.inf)
         long = np.flatnonzero(counts > shape.window)
@@ -316,6 +317,7 @@ def training_windows(docs: DataFrame, chosen: DataFrame, shape: Shape, a_text: i
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], ["doc_id", "toxic", "words"])
 
     rows = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # one text an id, so what is collected is bounded
     found = rows.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(run, "doc_id long, toxic int, words binary")
     return sorted((r["doc_id"], r["toxic"], bytes(r["words"]).split()) for r in found.collect())
 
@@ -351,17 +353,15 @@ def score(docs: DataFrame, labels: DataFrame, shape: Shape = Shape(), most: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value, shape)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                best = scorer.highest(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best, pa.float64(), from_pandas=True)], ["doc_id", "logit"])
+        for part in slices(batches):
+            best = scorer.highest(part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best, pa.float64(), from_pandas=True)], ["doc_id", "logit"])
 
     rows = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = materialize(rows.mapInArrow(run, "doc_id long, logit double"))
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out())
     share = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
-    pairs = made.join(F.broadcast(chosen.where("fits")), "doc_id").where("logit is not null").select("logit", "toxic").collect()  # a fifth of the sample, and rows that repeat its ids
+    pairs = made.join(F.broadcast(chosen.where("fits")), "doc_id").where("logit is not null").groupBy("doc_id", "toxic").agg(F.max("logit").alias("logit")).collect()  # a fifth of the sample
     slope, shift = calibrated([(r["logit"], r["toxic"]) for r in pairs])
     toxic = sum(r["toxic"] for r in pairs)
     # the sample holds the kinds in other shares than the labels do
