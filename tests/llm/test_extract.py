@@ -1,9 +1,12 @@
 import html
+import random
 import re
+import time
 
 import pyarrow.parquet as pq
+import pytest
 
-from tidemark.llm.extract import main_text
+from tidemark.llm.extract import extract, main_text
 
 LONG = "The cat sat on the mat and it was of the opinion that the house is for all. " * 4
 
@@ -32,3 +35,69 @@ def test_unclosed_and_cut_off_markup():
     assert main_text(f"<article><p>{LONG}<p>And so on") == f"{LONG.strip()} And so on"
     assert main_text(f"<article><p>{LONG}</p><!-- cut") == LONG.strip()
     assert main_text("<div <p>") == ""
+
+
+def page_of(*blocks):
+    return "<body><nav><a href=/>Home</a></nav>" + "".join(blocks) + "<footer>end</footer>"
+
+
+@pytest.mark.parametrize("wrapper", ["content has-sidebar", "layout no-comments", "with-menu", "page article-share", "site tag", "post header"])
+def test_a_container_of_the_text_is_no_boilerplate(wrapper):
+    assert main_text(page_of(f'<div class="{wrapper}"><p>{LONG}</p><p>{LONG}</p></div>')) == f"{LONG.strip()} {LONG.strip()}"
+    assert main_text(page_of(f'<div class="{wrapper}"><article><p>{LONG}</p></article></div><p>{LONG}</p>')) == LONG.strip()
+
+
+def test_marked_elements_beside_the_text_go():
+    for mark in ("share-buttons", "post-comments", "ad", "side-bar", "related", "cookie-notice"):
+        assert main_text(page_of(f"<p>{LONG}</p><p>{LONG}</p>", f'<div class="{mark}"><p>{LONG}</p></div>')) == f"{LONG.strip()} {LONG.strip()}"
+    # reader comments may be longer than the text
+    assert main_text(page_of(f"<p>{LONG}</p>", f'<section id=comments><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></section>')) == LONG.strip()
+
+
+def test_attributes_as_browsers_read_them():
+    assert main_text(page_of(f"<p title=don't>{LONG}</p><p data-x='a>b' class=\"x\">{LONG}</p><p title=it's id=y>{LONG}")) == " ".join([LONG.strip()] * 3)
+    assert main_text(page_of(f'<p title="never closed>{LONG}</p>')) == LONG.strip()
+    assert main_text(page_of(f"<p =x a = b c>{LONG}</p>")) == LONG.strip()
+
+
+def test_other_languages_by_length_and_links():
+    for text in ("Это длинный абзац о том, как люди жили в городе и что они делали каждый день. " * 4, "这是一个很长的段落讲述人们在城市里如何生活以及他们每天都在做什么事情。" * 8, "Dit is nogal wat tekst over mensen die samen iets moois bouwden zonder veel geld. " * 4):
+        page = page_of("<ul>" + "<li><a href=/>Link</a></li>" * 9 + "</ul>", f"<p>{text}</p><p>{text}</p>")
+        assert main_text(page) == f"{text.strip()} {text.strip()}"
+
+
+def test_code_and_long_links_between_paragraphs_stay():
+    code = "x = f(y); " * 40
+    linked = LONG + "<a href=/>" + LONG[: len(LONG) // 2] + "</a>"
+    plain = re.sub("<[^>]*>", "", linked).strip()
+    assert main_text(page_of(f"<p>{LONG}</p><pre>{code}</pre><p>{LONG}</p>")) == f"{LONG.strip()} {code.strip()} {LONG.strip()}"
+    assert main_text(page_of(f"<p>{LONG}</p><p>{linked}</p><p>{LONG}</p>")) == " ".join(f"{LONG.strip()} {plain} {LONG.strip()}".split())
+
+
+def test_time_is_linear():
+    began = time.perf_counter()
+    assert main_text("<div class=x>" * 8000 + f"<p>{LONG}</p>") == LONG.strip()
+    assert main_text("<div class=share>" * 8000 + f"<p>{LONG}</p>") == LONG.strip()
+    main_text("<p title='" * 20000)
+    main_text("<a href=x " * 20000)
+    main_text("<!-- " * 20000)
+    assert time.perf_counter() - began < 5
+
+
+def test_random_pages_against_a_parser(spark):
+    """Articles and boilerplate of known places, their text read by the library's own parser."""
+    rng = random.Random(1)
+    pages, wanted = [], []
+    for _ in range(150):
+        kept, out = [], []
+        for _ in range(rng.randrange(1, 6)):
+            words = " ".join(rng.choice(["the", "of", "and", "to", "was", "river", "stone", "&amp;", "caf&eacute;", "<b>bold</b>", "<i>so</i>,", "in", "it"]) for _ in range(80))
+            kept.append(words)
+            out.append(f"<p{rng.choice(['', ' class=text', ' data-a=\"x>y\"'])}>\n {words}{rng.choice(['</p>', ''])}")
+        for mark in rng.sample(["<nav><a href=/>x y</a></nav>", "<div class='ad'>Buy the things of the day and be of good cheer.</div>", "<script>if (a<b) c('</p>')</script>", "<!-- <p>no</p> -->", "<form><input><p>Name of the user</p></form>"], 2):
+            out.insert(rng.choice([0, len(out)]), f"</p>{mark}")
+        pages.append("<html><body><header><h1>Site</h1></header>" + "".join(out) + "<footer>f</footer>")
+        wanted.append(" ".join(" ".join(html.unescape(re.sub("<[^>]*>", "", w)).split()) for w in kept))
+    assert [main_text(p) for p in pages] == wanted
+    df = spark.createDataFrame([(i, "u", p, "x", "y") for i, p in enumerate(pages)], "page_id long, url string, html string, text string, n_chars string")
+    assert {r["page_id"]: r["text"] for r in extract(df).collect()} == dict(enumerate(wanted))

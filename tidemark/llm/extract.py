@@ -39,16 +39,26 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY_BLOCK = frozenset("p li dt dd tr td th option".split())
 
-#: Words in class, id or role that mark boilerplate.
-NOTES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|comments?|comment\w*|disqus|respond|replies|"
-    r"side-?bar|widget|related|recommend\w*|share|sharing|social|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|header|masthead|site-header|page-header|toolbar|skip|login|search|tags?|complementary|contentinfo|search|alert)(?:$|[\s_-])",
-    re.I,
+# Words in class, id or role that mark boilerplate. A token such as "post-comments" is marked by its first or its last part,
+# one such as "has-sidebar" is not. What WEAK words mark counts as text where it holds the article, or most of the page's running text.
+STRONG = frozenset(
+    "comment comments commentlist disqus respond replies cookie cookies consent gdpr nav navbar navigation breadcrumb breadcrumbs pagination pager footer contentinfo newsletter subscribe signup login popup modal".split()
+)
+WEAK = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner notice overlay sidebar side-bar widget widgets related recommended recommendations share sharing social "
+    "menu header masthead toolbar skip search tag tags complementary alert".split()
+)
+NOT_NOTED = frozenset("has no not with without is hide show enable enabled disable disabled".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: An element's attributes as browsers read them: a value in quotes, or all up to white space or the tag's end.
+ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
+SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/$""")  # not the end of a value without quotes
+HIDING = re.compile(r"display\s*:\s*none", re.I)
+#: A comment, a declaration, or a tag with its attributes; one whose quotes are not closed ends at the next mark, one that the page's end cuts off counts too.
+MARKUP = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+))?+|=)*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""",
+    re.S,
 )
-NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""\s(?:hidden(?=[\s=/>]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
-#: A comment, a declaration, or a tag with its attributes; one that the page's end cuts off counts too.
-MARKUP = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|$)|<(/?)([a-zA-Z][\w:-]*)([^>]*)(?:>|$)""", re.S)
 RAW_TEXT = {name: re.compile(rf"</{name}(?=[\s>/]|$)", re.I) for name in ("script", "style", "textarea", "title", "iframe", "noscript", "template")}
 
 
@@ -59,14 +69,74 @@ class Block:
     boilerplate: bool
     main: bool
     heading: bool
+    preformatted: bool
+    note: int
+
+
+def noted(said: str) -> str:
+    """strong, weak or nothing: what the tokens of class, id and role mark."""
+    found = ""
+    for token in said.lower().split():
+        parts = re.split("[-_]+", token)
+        if NOT_NOTED.isdisjoint(parts):
+            ends = {token, parts[0], parts[-1]}
+            if not STRONG.isdisjoint(ends):
+                return "strong"
+            if not WEAK.isdisjoint(ends):
+                found = "weak"
+    return found
+
+
+class Open:
+    """The open elements, with counts by kind, so that a tag costs the same at any depth."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, bool, bool, int]] = []  # name, unseen, boilerplate, main, note
+        self.places: dict[str, list[int]] = {}
+        self.sections: list[int] = []
+        self.headings = 0
+
+    def top(self) -> tuple[str, bool, bool, bool, int]:
+        return self.stack[-1] if self.stack else ("", False, False, False, -1)
+
+    def count(self, name: str) -> int:
+        return len(self.places.get(name, ()))
 
+    def push(self, element: tuple[str, bool, bool, bool, int]) -> None:
+        name, place = element[0], len(self.stack)
+        self.stack.append(element)
+        self.places.setdefault(name, []).append(place)
+        if name in MAIN or name in BOILERPLATE:
+            self.sections.append(place)
+        self.headings += name in HEADINGS
 
-def blocks_of(page: str) -> list[Block]:
-    """The page's blocks in order, empty ones left out."""
+    def pop(self) -> None:
+        name = self.stack.pop()[0]
+        self.places[name].pop()
+        if name in MAIN or name in BOILERPLATE:
+            self.sections.pop()
+        self.headings -= name in HEADINGS
+
+    def close(self, name: str) -> None:
+        """An end tag: closes the last element of that name; but not beyond the section that it stands in, if it is of a kind found in texts."""
+        if not self.count(name):
+            return
+        place = self.places[name][-1]
+        inside = self.sections and self.sections[-1] > place
+        if not inside or name in CLOSED_BY_BLOCK or name in MAIN or name in BOILERPLATE or name in ("div", "section", "body", "html"):
+            while len(self.stack) > place:
+                self.pop()
+
+
+def blocks_of(page: str, low: int = 70, links: float = 0.3) -> list[Block]:
+    """The page's blocks in order, empty ones left out; time is linear in the page's length, whatever its depth."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, unseen, boilerplate, main
-    parts: list[str] = []
-    link_chars = links = 0
+    open_, parts = Open(), []
+    #: of each element with a note: the note around it, its strength, whether it holds an article
+    around: list[int] = []
+    strong: list[bool] = []
+    holds: list[bool] = []
+    link_chars = 0
     heading = False
 
     def flush() -> None:
@@ -74,17 +144,18 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                top = stack[-1] if stack else ("", False, False, False)
-                found.append(Block(text, link_chars, top[2], top[3], heading))
+                _, _, boilerplate, main, note = open_.top()
+                found.append(Block(text, link_chars, boilerplate, main, heading, open_.count("pre") > 0, note))
             parts.clear()
-        link_chars, heading = 0, any(re.fullmatch("h[1-6]", s[0]) for s in stack)
+        link_chars, heading = 0, open_.headings > 0
 
     def text(raw: str) -> None:
         nonlocal link_chars
-        if raw and not (stack and stack[-1][1]):
+        if raw and not open_.top()[1]:
             plain = html.unescape(raw)
             parts.append(plain)
-            link_chars += links and len(plain)
+            if open_.count("a"):
+                link_chars += len(plain)
 
     at = 0
     while match := MARKUP.search(page, at):
@@ -97,52 +168,92 @@ def blocks_of(page: str) -> list[Block]:
         if name in BLOCKS or name in UNSEEN:
             flush()
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                # an end tag does not reach beyond the section that it stands in
-                if name in CLOSED_BY_BLOCK or not any(s[0] in MAIN | BOILERPLATE for s in stack[depth + 1 :]) or name in MAIN | BOILERPLATE or name in ("div", "section", "body", "html"):
-                    del stack[depth:]
-                links = sum(s[0] == "a" for s in stack)
-            heading = any(re.fullmatch("h[1-6]", s[0]) for s in stack)
+            open_.close(name)
+            heading = open_.headings > 0
             continue
-        if name in VOID or attributes.endswith("/") and name not in BLOCKS:
+        if name in VOID or name not in BLOCKS and SELF_CLOSED.search(attributes):
             continue
-        if name in CLOSED_BY_BLOCK and stack and stack[-1][0] == name:
-            stack.pop()
-        _, unseen, boilerplate, main = stack[-1] if stack else ("", False, False, False)
-        said = " ".join(x for m in NAMED.findall(attributes) for x in m if x)
-        unseen = unseen or name in UNSEEN or bool(HIDDEN.search(" " + attributes))
-        main = main or name in MAIN or 'role="main"' in attributes
+        if name in CLOSED_BY_BLOCK and open_.top()[0] == name:
+            open_.pop()
+        _, unseen, boilerplate, main, note = open_.top()
+        said: dict[str, str] = {}
+        for own in ATTRIBUTE.finditer(attributes):
+            said.setdefault(own[1].lower(), own[2] or own[3] or own[4] or "")  # the first of a name counts
+        unseen = unseen or name in UNSEEN or "hidden" in said or said.get("aria-hidden", "").lower() == "true" or bool(HIDING.search(said.get("style", "")))
+        marked = noted(f"{said.get('class', '')} {said.get('id', '')} {said.get('role', '')}")
+        if name in MAIN or said.get("role", "").lower() == "main":
+            main = True
+            if note >= 0:
+                holds[note] = True
         # a header inside the article may hold its title; anywhere else it is the site's
-        noted = name not in MAIN and name not in ("body", "html") and bool(NOTES.search(said))
-        boilerplate = boilerplate or noted or (name in BOILERPLATE)
-        stack.append((name, unseen, boilerplate, main))
-        links += name == "a"
-        heading = heading or bool(re.fullmatch("h[1-6]", name))
+        elif name in BOILERPLATE:
+            boilerplate = boilerplate or not (name == "header" and main)
+        if marked and name not in MAIN and name not in ("body", "html") and not (main and marked == "weak" and name in ("header", *HEADINGS)):
+            around.append(note)
+            strong.append(marked == "strong")
+            holds.append(False)
+            note = len(around) - 1
+        open_.push((name, unseen, boilerplate, main, note))
+        heading = heading or name in HEADINGS
         if name in RAW_TEXT:
             end = RAW_TEXT[name].search(page, at)
             at = end.start() if end else len(page)
     text(page[at:])
     flush()
+    return settled(found, around, strong, holds, low, links)
+
+
+def settled(found: list[Block], around: list[int], strong: list[bool], holds: list[bool], low: int, links: float) -> list[Block]:
+    """The blocks, those under a note marked as boilerplate, unless the note is weak and what it marks holds the article or most of the running text."""
+    running = [0] * len(around)
+    total = 0
+    for block in found:
+        if not block.boilerplate and len(block.text) >= low and block.link_chars <= links * len(block.text):
+            total += len(block.text)
+            if block.note >= 0:
+                running[block.note] += len(block.text)
+    for i in range(len(around) - 1, -1, -1):  # an inner note comes after the outer one
+        if around[i] >= 0:
+            running[around[i]] += running[i]
+            holds[around[i]] = holds[around[i]] or holds[i]
+    marks: list[bool] = []
+    for i, outer in enumerate(around):
+        own = strong[i] or not (holds[i] or 2 * running[i] > total)
+        marks.append(own or outer >= 0 and marks[outer])
+    for block in found:
+        block.boilerplate = block.boilerplate or block.note >= 0 and marks[block.note]
     return found
 
 
-def first_pass(block: Block, low: int, high: int, stop_low: float, stop_high: float, links: float) -> str:
-    """good, bad, near or short, by the block alone."""
+def stop_density(text: str) -> float:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+
+
+def first_pass(block: Block, low: int, high: int, stop_low: float, stop_high: float, links: float, known: bool) -> str:
+    """good, bad, near or short, by the block alone; known: whether the page's language is one of the stop words'."""
     if block.boilerplate:
         return "bad"
     size = len(block.text)
-    if block.link_chars > links * size and not block.main:
+    linked = block.link_chars > links * size and not block.main
+    if linked and (size <= high or block.link_chars > 2 * links * size):
         return "bad"
     if size < low:
         return "short" if block.link_chars < size or block.main else "bad"
-    words = block.text.lower().split()
-    density = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+    if not known or foreign(block.text):  # stop words tell nothing: length and links do
+        return "near" if linked or size <= high else "good"
+    density = stop_density(block.text)
     if density >= stop_high:
-        return "good" if size > high else "near"
-    if density >= stop_low:
+        return "good" if size > high and not linked else "near"
+    if density >= stop_low and not linked:
         return "near"
-    return "short" if block.main else "bad"
+    return "short" if block.main or block.preformatted else "bad"
+
+
+def foreign(text: str) -> bool:
+    """Whether most letters are of other scripts than the stop words'."""
+    letters = [c for c in text if c.isalpha()]
+    return 2 * sum(c > "\u024f" for c in letters) > len(letters)
 
 
 def nearest(decided: list[str | None]) -> list[str | None]:
@@ -156,10 +267,12 @@ def nearest(decided: list[str | None]) -> list[str | None]:
 
 def main_text(page: str | None, low: int = 70, high: int = 200, stop_low: float = 0.15, stop_high: float = 0.25, links: float = 0.3) -> str:
     """The article's text: white space within a block as one space, blocks joined by one space."""
-    blocks = blocks_of(page or "")
+    blocks = blocks_of(page or "", low, links)
     if any(b.main and not b.boilerplate for b in blocks):
         blocks = [b for b in blocks if b.main]
-    labels = [first_pass(b, low, high, stop_low, stop_high, links) for b in blocks]
+    running = [b for b in blocks if not b.boilerplate and len(b.text) >= low and b.link_chars <= links * len(b.text)]
+    known = any(stop_density(b.text) >= stop_low for b in running if not foreign(b.text))
+    labels = [first_pass(b, low, high, stop_low, stop_high, links, known) for b in blocks]
     if "good" not in labels:  # a page of short blocks: near good ones decide, else those of a marked article do
         best = "near" if "near" in labels else "short"
         labels = ["good" if x == best and (best == "near" or b.main) else x for x, b in zip(labels, blocks, strict=True)]
@@ -182,7 +295,8 @@ def main_text(page: str | None, low: int = 70, high: int = 200, stop_low: float
 def extract(pages: DataFrame, **thresholds) -> DataFrame:
     """page_id, url, text of every page; a null page, or one without main text, has the empty text.
 
-    Pages that repeat, and pages with null ids, keep rows of their own.
+    Pages that repeat, and pages with null ids, keep rows of their own; an empty table gives an empty one. A page is
+    one row and one task's work, linear in its length. In a language without stop words here, long blocks with few links are good.
     """
 
     def each(columns: dict[str, list]) -> pa.RecordBatch:
