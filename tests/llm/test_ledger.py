@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers
 import tiktoken
 
@@ -36,7 +38,7 @@ def test_inserts_deletes_revisions(spark, tmp_path):
 def test_a_batch_that_broke_off_is_written_anew(spark, tmp_path):
     book = ledger.Ledger(spark, f"file://{tmp_path}/l")
     signed = book.signed(changes(spark, [("insert", 1, "a", "en", "one")]), "words", words)
-    signed.write.parquet(f"file://{tmp_path}/l/rows/b1")  # no marker
+    signed.write.parquet(f"file://{tmp_path}/l/rows/b1/attempt")  # no marker
     assert totals(book) == {}
     assert book.commit("b1", signed)
     assert totals(book) == {("a", "en"): (1, 1)}
@@ -53,3 +55,48 @@ def test_counts_are_the_tokenizer_s(spark):
     assert made == {r["doc_id"]: len(coder.encode_ordinary(r["text"])) for r in docs.collect()}
     query = ledger.op1_token_counts(spark, "/root/testdata/sf0.001").collect()
     assert sum(r["n_tokens"] for r in query) == sum(made.values())
+
+
+def random_changes(rng, n, seqs):
+    made = []
+    for _ in range(n):
+        op = rng.choice(["insert", "delete", "revise"])
+        text = None if op == "delete" else rng.choice(["", "a", "a b", "a b c", None])
+        made.append((op, rng.choice([None, 1, 2, 3, 4, 5]), rng.choice(["s", "t", None]), rng.choice(["en", None]), text, rng.randrange(6) if seqs else 0))
+    return made
+
+
+def apply(held, batch):
+    """Brute force: each document's changes one after the other."""
+    order = {"insert": 0, "revise": 1, "delete": 2}
+    for op, doc, source, lang, text, _ in sorted(batch, key=lambda c: (c[5], order[c[0]], c[4] is not None, c[4] or "", c[2] is not None, c[2] or "", c[3] is not None, c[3] or "")):
+        if op != "insert":
+            held = [h for h in held if h[0] != doc]
+        if op != "delete":
+            held = [*held, (doc, source, lang, len((text or "").split()))]
+    return held
+
+
+def test_random_batches_against_one_by_one(spark, tmp_path):
+    rng = random.Random(1)
+    for seqs in (True, False):
+        book, held = ledger.Ledger(spark, f"file://{tmp_path}/{seqs}", buckets=3), []
+        for n in (12, 0, 9, 14):
+            batch = random_changes(rng, n, seqs)
+            df = spark.createDataFrame(batch, "op string, doc_id long, source string, lang string, text string, seq long")
+            assert book.commit(f"b{n}", book.signed(df if seqs else df.drop("seq"), "words", words))
+            held = apply(held, batch)
+            wanted = {}
+            for _, source, lang, tokens in held:
+                d, t = wanted.get((source, lang), (0, 0))
+                wanted[source, lang] = (d + 1, t + tokens)
+            assert totals(book) == wanted
+
+
+def test_of_two_attempts_at_a_batch_one_counts(spark, tmp_path):
+    one, other = (ledger.Ledger(spark, f"file://{tmp_path}/l") for _ in range(2))
+    signed = one.signed(changes(spark, [("insert", 1, "a", "en", "one two")]), "words", words)
+    other.committed = lambda: {}  # it looked before the first was done
+    assert one.commit("b", signed) and not other.commit("b", signed)
+    assert totals(one) == {("a", "en"): (1, 2)}
+    assert len(list((tmp_path / "l/rows/b").iterdir())) == 1

@@ -4,22 +4,28 @@ A batch of changes (inserts, deletes, revised texts) becomes signed rows: an ins
 adds a document's counts, a delete takes away those that the ledger holds, a
 revision does both. The rows are additive, so totals by source, language and
 tokenizer version are a sum over committed batches, however they were cut. A batch
-is committed once: its rows and their rollup are written under its id, and a marker
-is created last; a batch whose marker exists is passed over, one that failed half-way
-is written anew.
+is committed once: its rows and their rollup are written to a folder of the attempt, and a
+marker that names the attempt is created last, which only one attempt can do; a batch
+whose marker exists is passed over, what an attempt that failed or lost has written is never read.
+
+Rows are kept in buckets by hash of doc_id. A delete or revision reads the buckets of its documents
+alone, so what a small batch costs depends on its documents' buckets, not on the corpus.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, scratch_dir, table, texts
+from tidemark.llm.common import map_batches, scratch_dir, table, texts, tuned
 
 SIGNED = "doc_id long, source string, lang string, tokenizer string, n_docs long, n_tokens long"
 TOTALS = ("source", "lang", "tokenizer")
@@ -53,54 +59,99 @@ def count_tokens(docs: DataFrame, tokenizer: str, setup: Callable[[], Callable[[
 
 
 class Ledger:
-    """Signed counts in a shared folder: a folder for each batch, and markers of those committed.
+    """Signed counts in a shared folder: a folder for each attempt at a batch, and markers of those committed.
 
-    Null sources and languages are groups of their own. A delete or revision of a
+    Null sources, languages and ids are values of their own. A delete or revision of a
     document that the ledger does not hold takes nothing away; inserting a document
     that it holds counts it twice, as a table with repeated rows does.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = tuned(spark), path.rstrip("/"), buckets
 
     def _at(self, place: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{place}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def committed(self) -> list[str]:
+    def committed(self) -> dict[str, str]:
+        """The attempt that each committed batch was written by."""
         system, path = self._at("markers")
-        return sorted(f.getPath().getName() for f in system.listStatus(path)) if system.exists(path) else []
+        made = {}
+        for status in system.listStatus(path) if system.exists(path) else []:
+            name = status.getPath().getName()
+            if not name.startswith("."):
+                stream = system.open(status.getPath())
+                attempt = bytes(stream.readAllBytes()).decode()
+                stream.close()
+                if attempt:  # else just being written
+                    made[name] = attempt
+        return made
+
+    def _bucket(self, doc_id: str = "doc_id") -> Column:
+        return F.pmod(F.xxhash64(doc_id), F.lit(self.buckets)).cast("int")
 
     def _read(self, kind: str, schema: str) -> DataFrame:
-        paths = [f"{self.path}/{kind}/{b}" for b in self.committed()]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        paths = [f"{self.path}/{kind}/{batch}/{attempt}" for batch, attempt in sorted(self.committed().items())]
+        parts = [self.spark.read.schema(schema).parquet(p) for p in paths]
+        return functools.reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
 
-    def rows(self) -> DataFrame:
-        """All signed rows of committed batches."""
-        return self._read("rows", SIGNED)
+    def rows(self, buckets: list[int] | None = None) -> DataFrame:
+        """All signed rows of committed batches, or those of some buckets."""
+        found = self._read("rows", f"{SIGNED}, bucket int")
+        return (found if buckets is None else found.where(F.col("bucket").isin(buckets))).drop("bucket")
 
-    def held(self, tokenizer: str) -> DataFrame:
+    def held(self, tokenizer: str, buckets: list[int] | None = None) -> DataFrame:
         """What the ledger holds of each document now."""
-        sums = self.rows().where(F.col("tokenizer") == tokenizer).groupBy("doc_id", *TOTALS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        sums = self.rows(buckets).where(F.col("tokenizer") == tokenizer).groupBy("doc_id", *TOTALS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 or n_tokens <> 0")
 
-    def signed(self, changes: DataFrame, tokenizer: str, setup) -> DataFrame:
-        """Signed rows of changes (op: insert, delete or revise; doc_id, source, lang, text)."""
-        added = count_tokens(changes.where("op in ('insert', 'revise')"), tokenizer, setup)
-        gone = changes.where("op in ('delete', 'revise')").select("doc_id").distinct()
-        taken = self.held(tokenizer).join(gone, "doc_id", "left_semi")
+    def signed(self, changes: DataFrame, tokenizer: str, setup: Callable[[], Callable[[list[str]], list[int]]]) -> DataFrame:
+        """Signed rows of changes (op: insert, delete or revise; doc_id, source, lang, text; seq, if there is such a column).
+
+        A document's changes take effect in the order of seq; where that is equal, null or not given, inserts come
+        before revisions (by text) and these before deletes. So the last delete or revision of a batch replaces what
+        the ledger holds of the document and what came before in the batch; a delete after inserts leaves nothing. Null ids are one
+        document in this. A batch of no changes has no rows.
+        """
+        rank = F.when(F.col("op") == "insert", 0).when(F.col("op") == "revise", 1).when(F.col("op") == "delete", 2)
+        seq = F.coalesce(F.col("seq").cast("long"), F.lit(0)) if "seq" in changes.columns else F.lit(0).cast("long")
+        columns = [F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("source", "lang", "text"))]
+        rows = changes.select(*columns, seq.alias("seq"), rank.alias("rank")).where("rank is not null")
+        last = rows.where("rank > 0").groupBy("doc_id").agg(F.max(F.struct("seq", "rank", "text", "source", "lang")).alias("last"))
+        cuts = last.select(F.col("doc_id").alias("_id"), F.struct("last.seq", "last.rank").alias("_cut"))
+        inserts = rows.where("rank = 0").join(cuts, F.col("doc_id").eqNullSafe(F.col("_id")), "left").where(F.col("_cut").isNull() | (F.struct("seq", "rank") > F.col("_cut")))
+        revised = last.where("last.rank = 1").select("doc_id", "last.source", "last.lang", "last.text")
+        added = count_tokens(inserts.select("doc_id", "source", "lang", "text").unionByName(revised), tokenizer, setup)
+        touched = sorted(r["bucket"] for r in last.select(self._bucket().alias("bucket")).distinct().collect())  # at most `buckets`
+        gone = last.select(F.col("doc_id").alias("_id"))
+        held = self.held(tokenizer, touched)
+        taken = held.join(gone, held["doc_id"].eqNullSafe(gone["_id"]), "left_semi")
         return added.unionByName(taken.select("doc_id", *TOTALS, (-F.col("n_docs")).alias("n_docs"), (-F.col("n_tokens")).alias("n_tokens")))
 
     def commit(self, batch: str, signed: DataFrame) -> bool:
-        """Writes a batch once; False if it was committed before."""
+        """Writes a batch once; False if it was committed before, or by another driver meanwhile.
+
+        Signed rows are computed against the ledger as it was; batches that change the same documents must follow each other.
+        """
         if batch in self.committed():
             return False
-        signed.write.mode("overwrite").parquet(f"{self.path}/rows/{batch}")
-        written = self.spark.read.schema(SIGNED).parquet(f"{self.path}/rows/{batch}")
-        rollup = written.groupBy(*TOTALS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        rollup.write.mode("overwrite").parquet(f"{self.path}/rollups/{batch}")
+        attempt = uuid.uuid4().hex
+        rows, rollups = f"{self.path}/rows/{batch}/{attempt}", f"{self.path}/rollups/{batch}/{attempt}"
+        # a bucket's rows together, large ones in parts
+        signed.withColumn("bucket", self._bucket()).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(rows)
+        written = self.spark.read.schema(f"{SIGNED}, bucket int").parquet(rows)
+        written.groupBy(*TOTALS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.parquet(rollups)
         system, marker = self._at(f"markers/{batch}")
-        system.create(marker, True).close()
+        try:
+            stream = system.create(marker, False)  # fails where it exists
+        except Py4JJavaError:
+            if not system.exists(marker):
+                raise
+            for lost in (rows, rollups):
+                system.delete(self.spark._jvm.org.apache.hadoop.fs.Path(lost), True)
+            return False
+        stream.write(bytearray(attempt.encode()))
+        stream.close()
         return True
 
     def totals(self) -> DataFrame:
@@ -111,14 +162,22 @@ class Ledger:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as one batch of inserts, sent twice: the second commit is passed over."""
-    import uuid
-
+    """Totals after four batches: all documents are inserted, the same again (passed over); those labelled bad are taken
+    down and those labelled good revised, with the text that they have; those taken down are restored. So the totals are the table's."""
     import public_tokenizers
 
     ledger = Ledger(spark, f"{scratch_dir(spark)}/ledger-{uuid.uuid4().hex}")
     setup = byte_pair_counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    changes = table(spark, sf_dir, "documents").withColumn("op", F.lit("insert"))
-    for _ in range(2):
-        ledger.commit("backfill", ledger.signed(changes, "byte_bpe_50k", setup))
+    docs, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
+    quality = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("doc_id is not null and quality is not null")
+    labelled = docs.select("doc_id", "source", "lang", "text").join(quality, "doc_id")
+    bad, good = labelled.where("quality = 0").drop("quality"), labelled.where("quality = 1").drop("quality")
+    for batch, changes in (
+        ("backfill", docs.withColumn("op", F.lit("insert"))),
+        ("backfill", docs.withColumn("op", F.lit("insert"))),
+        ("review", bad.withColumn("op", F.lit("delete")).unionByName(good.withColumn("op", F.lit("revise")))),
+        ("restore", bad.withColumn("op", F.lit("insert"))),
+    ):
+        if batch not in ledger.committed():
+            ledger.commit(batch, ledger.signed(changes, "byte_bpe_50k", setup))
     return ledger.totals()
