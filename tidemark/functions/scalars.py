@@ -53,6 +53,26 @@ def read_count(text: Column) -> Column:
     return F.when(value.between(0, 12), value)
 
 
+def renamed(name: Column, prefix: str, other: str) -> Column:
+    """The name with another prefix, where it has that one."""
+    return F.when(name.startswith(prefix), F.concat(F.lit(other), F.substring(name, len(prefix) + 1, 1 << 30))).otherwise(name)
+
+
+def titled(label: Column) -> Column:
+    """A label for people: underscores are spaces, words begin in upper case."""
+    return F.initcap(F.translate(label, "_", " "))
+
+
+def with_suffix(path: Column, suffix: str, other: str) -> Column:
+    """The path with another suffix in place of that one; other paths get it added."""
+    return F.concat(F.when(path.endswith(suffix), F.substring(path, F.lit(1), F.length(path) - len(suffix))).otherwise(path), F.lit(other))
+
+
+def numbered(stem: str, number: Column, digits: int = 3) -> Column:
+    """stem_007 and the like."""
+    return F.format_string(f"{stem}_%0{digits}d", number)
+
+
 def first_number(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(\d+)", 1), F.lit("")).cast("int")
 

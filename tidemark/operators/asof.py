@@ -20,11 +20,10 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_o
     rows = left.select(*by, F.col(left_on).alias("_at"), F.lit(0 if forward else 1).alias("_side"), nothing.alias("_tie"), mine.alias("_left"))
     others = right.select(*by, F.col(right_on).alias("_at"), F.lit(1 if forward else 0).alias("_side"), (F.col(tie).cast("long") if tie else nothing).alias("_tie"), theirs.alias("_right"))
     both = rows.unionByName(others, allowMissingColumns=True)
-    order = Window.partitionBy(*by).orderBy("_at", "_side", "_tie")
-    if forward:
-        found = F.first("_right", ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    else:
-        found = F.last("_right", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    columns = ("_at", "_side", "_tie")
+    # forward in descending order: a frame from each row to the end would be read anew for each row
+    order = Window.partitionBy(*by).orderBy(*([F.desc(c) for c in columns] if forward else columns))
+    found = F.last("_right", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     met = both.withColumn("_found", found).where("_left is not null")
     if tolerance is not None:
         met = met.withColumn("_found", F.when(F.abs(F.col("_found._time") - F.col("_at")) <= tolerance, F.col("_found")))

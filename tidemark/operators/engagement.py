@@ -65,14 +65,45 @@ def kill_metadata(kills: DataFrame) -> DataFrame:
 
 
 def engagement_map(shots: DataFrame, hits: DataFrame, kills: DataFrame, rate: float = 64.0, window: int = 8) -> DataFrame:
-    """One row for each kill with shots: its sixteen figures; kills without shots keep their number but have no row."""
-    attached = attach_shots(shots, kills)
-    sizes = attached.where("engagement_id is not null").groupBy(*KEY, "engagement_id").agg(
-        F.first("kill_tick").alias("kill_tick"), F.first("prev_kill_tick").alias("prev_kill_tick"), F.min("tick").alias("first_shot"), F.count("*").alias("shots_fired")
+    """One row for each kill with shots: its sixteen figures; kills without shots keep their number but have no row.
+
+    All three kinds are dealt out by session once; what a shot has to do with hits and kills is found by windows over
+    the session in order of ticks (at one tick shots, hits, kills), a shot's hits being the few ticks of its own window.
+    """
+    rows = shots.select(*KEY, "tick", "event_id", F.lit(0).alias("_side"))
+    rows = rows.unionByName(hits.select(*KEY, "tick", "event_id", F.lit(1).alias("_side"), "damage"), allowMissingColumns=True)
+    rows = rows.unionByName(kills.select(*KEY, "tick", "event_id", F.lit(2).alias("_side"), "headshot", "weapon"), allowMissingColumns=True)
+    shot, hit, kill = (F.col("_side") == i for i in range(3))
+    by_tick = Window.partitionBy(*KEY).orderBy("tick")
+    columns = ("tick", "_side", "event_id")
+    up = Window.partitionBy(*KEY).orderBy(*columns).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy(*KEY).orderBy(*[F.desc(c) for c in columns]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({"engagement_id": F.count_if(kill).over(up) + 1, "prev_kill_tick": F.last(F.when(kill, F.col("tick")), ignorenulls=True).over(up)})
+    rows = rows.withColumns(
+        {
+            "_meta": F.max_by(F.struct("headshot", "weapon"), F.when(kill, F.col("event_id"))).over(by_tick.rangeBetween(0, 0)),
+            "_damage": F.sum("damage").over(by_tick.rangeBetween(0, 0)),
+            "_hits": F.array_sort(F.collect_set(F.when(hit, F.col("tick"))).over(by_tick.rangeBetween(0, window))),
+        }
     )
-    damage = first_hits(attached.where("engagement_id is not null"), hits, window).groupBy(*KEY, "engagement_id").agg(F.coalesce(F.sum("damage"), F.lit(0)).alias("damage_dealt"))
-    flags = match_hits(attached, hits, window)
-    joined = sizes.join(damage, [*KEY, "engagement_id"]).join(flags, [*KEY, "engagement_id"]).join(kill_metadata(kills), [*KEY, "kill_tick"], "left")
+    rows = rows.withColumns({name: F.last(F.when(side, F.struct("tick", column)), ignorenulls=True).over(down) for name, side, column in (("_kill", kill, "_meta"), ("_hit", hit, "_damage"))})
+    joined = (
+        rows.where(shot & F.col("_kill").isNotNull())
+        .groupBy(*KEY, "engagement_id")
+        .agg(
+            F.first("_kill.tick").alias("kill_tick"),
+            F.first("_kill._meta.headshot").alias("headshot"),
+            F.first("_kill._meta.weapon").alias("weapon"),
+            F.first("prev_kill_tick").alias("prev_kill_tick"),
+            F.min("tick").alias("first_shot"),
+            F.count("*").alias("shots_fired"),
+            F.coalesce(F.sum(F.when(F.col("_hit.tick") - F.col("tick") <= window, F.col("_hit._damage"))), F.lit(0)).alias("damage_dealt"),
+            F.array_sort(F.collect_list(F.struct("tick", "_hits"))).alias("_shots"),  # of one engagement
+        )
+    )
+    free = "array_min(filter(s._hits, h -> not coalesce(array_contains(filter(taken, t -> t is not null), h), false)))"
+    flags = F.expr(f"transform(aggregate(_shots, cast(array() as array<bigint>), (taken, s) -> concat(taken, array({free}))), t -> if(t is null, 'M', 'Y'))")
+    joined = joined.withColumn("flags", flags).withColumn("shot_ticks", F.col("_shots.tick"))
     start = F.coalesce("prev_kill_tick", "first_shot")
     hit = F.size(F.filter("flags", lambda x: x == "Y"))
     return joined.select(
@@ -106,12 +137,17 @@ def wide_shots(engagements: DataFrame, most: int = 15) -> DataFrame:
     return engagements.select(*[c for c in engagements.columns if c != "shots"], *columns)
 
 
+def with_one_taps(engagements: DataFrame) -> DataFrame:
+    """one_taps: of a one-shot engagement, how many of them follow each other there; else 0."""
+    one = F.col("shots_fired") == 1
+    change = F.col("shots_fired") != F.lag("shots_fired").over(Window.partitionBy(*KEY).orderBy("engagement_id"))
+    runs = islands(engagements, KEY, ["engagement_id"], ~(one & ~change))
+    return runs.withColumn("one_taps", F.when(one, F.count("*").over(Window.partitionBy(*KEY, "island"))).otherwise(0)).drop("island")
+
+
 def one_tap_streak(engagements: DataFrame) -> DataFrame:
     """The longest run of one-shot engagements of each session, 0 if it has none."""
-    change = F.col("shots_fired") != F.lag("shots_fired").over(Window.partitionBy(*KEY).orderBy("engagement_id"))
-    both_one = (F.col("shots_fired") == 1) & ~change
-    runs = islands(engagements, KEY, ["engagement_id"], ~both_one).groupBy(*KEY, "island").agg(F.count_if(F.col("shots_fired") == 1).alias("n"))
-    return runs.groupBy(*KEY).agg(F.max("n").alias("best_one_tap_streak"))
+    return with_one_taps(engagements).groupBy(*KEY).agg(F.max("one_taps").alias("best_one_tap_streak"))
 
 
 def settled(value: Column, digits: int) -> Column:
@@ -122,7 +158,8 @@ def settled(value: Column, digits: int) -> Column:
 def session_summary(engagements: DataFrame) -> DataFrame:
     """A row of figures for each session with engagements."""
     n = F.count("*")
-    figures = engagements.groupBy(*KEY).agg(
+    figures = with_one_taps(engagements).groupBy(*KEY).agg(
+        F.max("one_taps").alias("best_one_tap_streak"),
         n.alias("total_engagements"),
         F.sum("shots_fired").alias("total_shots"),
         F.sum("shots_hit").alias("total_hits"),
@@ -135,8 +172,7 @@ def session_summary(engagements: DataFrame) -> DataFrame:
         settled(F.median("inter_engagement_gap_ms"), 1).alias("median_gap_ms"),
         settled(F.avg("inter_engagement_gap_ms"), 1).alias("mean_gap_ms"),
     )
-    figures = figures.withColumn("ttff_cv", F.when(F.col("mean_ttff_ms") > 0, F.bround(F.col("std_ttff_ms") / F.col("mean_ttff_ms"), 3)))
-    return figures.join(one_tap_streak(engagements), KEY)
+    return figures.withColumn("ttff_cv", F.when(F.col("mean_ttff_ms") > 0, F.bround(F.col("std_ttff_ms") / F.col("mean_ttff_ms"), 3)))
 
 
 def rolling_hit_rate(engagements: DataFrame, window: int = 10) -> DataFrame:

@@ -1,58 +1,62 @@
 """One-to-one matching of detections to truths, time offsets, and scores.
 
-det and truth: session_id and a time; sessions are matched in parallel. Ordered
-choices fold over a session's two time arrays; the closest-pair matcher folds over the pairs of a
-band join.
+det and truth: session_id and a time. Times further apart than the tolerance from all others of their session never
+meet, so a session falls into islands, which are matched in parallel: choices in order fold over an island's two
+arrays of times, the closest-pair matcher over the pairs of a band join within one.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.asof import band_join
+from tidemark.operators.asof import band_join, islands
 
 BY = ["session_id"]
 
 
-def sides(det: DataFrame, truth: DataFrame, time: str = "time_s", by: list[str] = BY) -> DataFrame:
-    """d, g: sorted times of both sides of each session that either knows; empty arrays for none."""
-    d = det.groupBy(*by).agg(F.array_sort(F.collect_list(time)).alias("d"))
-    g = truth.groupBy(*by).agg(F.array_sort(F.collect_list(time)).alias("g"))
-    both = d.join(g, by, "full_outer")
-    kind = dict(det.dtypes)[time]
-    none = F.expr(f"cast(array() as array<{kind}>)")
-    return both.select(*by, F.coalesce("d", none).alias("d"), F.coalesce("g", none).alias("g"))
+def in_islands(det: DataFrame, truth: DataFrame, tolerance: float | None, time: str, by: list[str]) -> DataFrame:
+    """_t, _det, _island of the times of both sides: a new island after each gap wider than the tolerance (None: one a session)."""
+    both = det.select(*by, F.col(time).alias("_t"), F.lit(True).alias("_det")).unionByName(truth.select(*by, F.col(time).alias("_t"), F.lit(False).alias("_det")))
+    if tolerance is None:
+        return both.withColumn("_island", F.lit(0).cast("long"))
+    return islands(both, by, ["_t"], F.col("_t") - F.lag("_t").over(Window.partitionBy(*by).orderBy("_t")) > tolerance, "_island")
 
 
-def _greedy(shift: str, tolerance: float, first: bool) -> str:
+def sides(det: DataFrame, truth: DataFrame, tolerance: float | None, time: str = "time_s", by: list[str] = BY) -> DataFrame:
+    """d, g: sorted times of both sides of each island; empty arrays for none."""
+    times = [F.array_sort(F.collect_list(F.when(side, F.col("_t")))).alias(name) for name, side in (("d", F.col("_det")), ("g", ~F.col("_det")))]  # of one island
+    return in_islands(det, truth, tolerance, time, by).groupBy(*by, "_island").agg(*times)
+
+
+def _greedy(tolerance: float, first: bool) -> str:
     """A fold over detections in order; each takes the nearest (or the first) unused truth within the tolerance."""
     rank = "j" if first else "abs(x - g[j])"
-    near = f"filter(transform(g, (y, j) -> j), j -> not array_contains(o.used, j) and abs(x - g[j]) <= {tolerance})"
+    near = f"filter(transform(g, (y, j) -> j), j -> abs(x - g[j]) <= {tolerance} and not array_contains(o.used, j))"
     best = f"array_min(transform({near}, j -> struct({rank} as r, j)))"
     took = f"transform(array({best}), b -> if(b is null, o, named_struct('used', array_append(o.used, b.j), 'i', array_append(o.i, o.n), 'n', o.n + 1)))[0]"
     step = f"transform(array({took}), u -> named_struct('used', u.used, 'i', u.i, 'n', o.n + 1))[0]"
-    return f"aggregate(transform(d, v -> v - ({shift})), named_struct('used', cast(array() as array<int>), 'i', cast(array() as array<int>), 'n', 0), (o, x) -> {step})"
+    return f"aggregate(d, named_struct('used', cast(array() as array<int>), 'i', cast(array() as array<int>), 'n', 0), (o, x) -> {step})"
 
 
 def greedy_in_order(det: DataFrame, truth: DataFrame, tolerance: float, time: str = "time_s", by: list[str] = BY, first: bool = False) -> DataFrame:
     """det_time, truth_time: each detection in time order takes the nearest truth not yet taken (first: the earliest)."""
-    both = sides(det, truth, time, by).withColumn("_o", F.expr(_greedy("0", tolerance, first)))
+    both = sides(det, truth, tolerance, time, by).withColumn("_o", F.expr(_greedy(tolerance, first)))
     pairs = both.select(*by, "d", "g", F.explode(F.arrays_zip(F.col("_o.i").alias("i"), F.col("_o.used").alias("j"))).alias("_p"))
     return pairs.select(*by, F.expr("d[_p.i]").alias("det_time"), F.expr("g[_p.j]").alias("truth_time"))
 
 
 def closest_pairs(det: DataFrame, truth: DataFrame, tolerance: float, time: str = "time_s", by: list[str] = BY) -> DataFrame:
     """det_time, truth_time: pairs within the tolerance, the closest of all first, each time used once."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(*by).orderBy(time)
-    left = det.select(*by, F.col(time).alias("dt"), F.row_number().over(order).alias("i"))
-    right = truth.select(*by, F.col(time).alias("gt"), F.row_number().over(order).alias("j"))
-    near = band_join(left, right, by, "dt", "gt", tolerance, tolerance).withColumn("dist", F.abs(F.col("dt") - F.col("gt")))
-    sorted_pairs = near.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("dist", "i", "j", "dt", "gt"))).alias("_all"))
+    by_island = [*by, "_island"]
+    both = in_islands(det, truth, tolerance, time, by)
+    order = Window.partitionBy(*by_island).orderBy("_t")
+    left = both.where("_det").select(*by_island, F.col("_t").alias("dt"), F.row_number().over(order).alias("i"))
+    right = both.where("not _det").select(*by_island, F.col("_t").alias("gt"), F.row_number().over(order).alias("j"))
+    near = band_join(left, right, by_island, "dt", "gt", tolerance, tolerance).withColumn("dist", F.abs(F.col("dt") - F.col("gt")))
+    sorted_pairs = near.groupBy(*by_island).agg(F.array_sort(F.collect_list(F.struct("dist", "i", "j", "dt", "gt"))).alias("_all"))  # of one island
     fold = """aggregate(_all, slice(_all, 1, 0), (o, p) -> if(exists(o, q -> q.i = p.i or q.j = p.j), o, array_append(o, p)))"""
     return sorted_pairs.select(*by, F.explode(F.expr(fold)).alias("_p")).select(*by, F.col("_p.dt").alias("det_time"), F.col("_p.gt").alias("truth_time"))
 
@@ -92,10 +96,11 @@ def _assign(d: np.ndarray, g: np.ndarray, tolerance: float, most: bool) -> list[
 def optimal_assignment(det: DataFrame, truth: DataFrame, tolerance: float, time: str = "time_s", by: list[str] = BY, most: bool = True) -> DataFrame:
     """det_time, truth_time: best one-to-one pairs within the tolerance.
 
-    most: the most pairs, then the least total distance; else the least total distance with the smaller side wholly
-    matched, pairs beyond the tolerance dropped afterwards.
+    most: the most pairs, then the least total distance, of each island by itself; else the least total distance with the
+    smaller side wholly matched, pairs beyond the tolerance dropped afterwards: those may span any gap, so a session is one group then.
     """
-    both = sides(det.withColumn(time, F.col(time).cast("double")), truth.withColumn(time, F.col(time).cast("double")), time, by)
+    det, truth = (x.withColumn(time, F.col(time).cast("double")) for x in (det, truth))
+    both = sides(det, truth, tolerance if most else None, time, by)
     kinds = dict(det.dtypes)
 
     def each(rows: pd.DataFrame) -> pd.DataFrame:
@@ -128,9 +133,11 @@ def rates(tp: str, n_det: str, n_gt: str) -> list[Column]:
 
 def offset_grid(det: DataFrame, truth: DataFrame, offsets: list[int], tolerance: int, time: str = "time_s", by: list[str] = BY) -> DataFrame:
     """best_offset, best_tp: the offset (whole units) to take off the detections that matches the most, in order; of equals the first that beats none before."""
-    both = sides(det, truth, time, by)
-    tried = both.withColumn("_rank", F.explode(F.array(*[F.lit(i) for i in range(len(offsets))]))).withColumn("_shift", F.element_at(F.array(*[F.lit(int(o)).cast("long") for o in offsets]), F.col("_rank") + 1))
-    counted = tried.withColumn("_tp", F.size(F.expr(_greedy("_shift", tolerance, False) + ".used")))
+    ranks = F.posexplode(F.array(*[F.lit(int(o)).cast("long") for o in offsets])).alias("_rank", "_shift")
+    by_offset = [*by, "_rank", "_shift"]
+    moved = det.select(*by, time, ranks).withColumn(time, F.col(time) - F.col("_shift"))
+    tried = sides(moved, truth.select(*by, time, ranks), tolerance, time, by_offset)
+    counted = tried.groupBy(*by_offset).agg(F.sum(F.size(F.expr(_greedy(tolerance, False) + ".used"))).alias("_tp"))
     return counted.groupBy(*by).agg(F.max_by(F.struct("_shift", "_tp"), F.struct("_tp", -F.col("_rank"))).alias("_b")).select(*by, F.when(F.col("_b._tp") > 0, F.col("_b._shift")).otherwise(0).alias("best_offset"), F.col("_b._tp").cast("long").alias("best_tp"))
 
 

@@ -53,13 +53,31 @@ def find_peaks(signal: DataFrame, height: float | str | None = None, distance: i
     return peaks
 
 
-def with_prominence(peaks: DataFrame, signal: DataFrame, value: str = "value", by: list[str] = BY) -> DataFrame:
-    """prominence: height over the higher of the least values to either side, as far as the next strictly higher sample."""
-    whole = signal.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.col(value).cast("double").alias("v")))), lambda s: s["v"]).alias("_values"), F.min("idx").alias("_start"))
-    side = "aggregate({part}, named_struct('stop', false, 'low', height), (a, x) -> if(a.stop or x > height, named_struct('stop', true, 'low', a.low), named_struct('stop', false, 'low', least(a.low, x)))).low"
-    left = F.expr(side.format(part="reverse(slice(_values, 1, cast(idx - _start as int)))"))
-    right = F.expr(side.format(part="slice(_values, cast(idx - _start + 2 as int), size(_values))"))
-    return peaks.withColumn("height", F.col("height").cast("double")).join(whole, by).withColumn("prominence", F.col("height") - F.greatest(left, right)).drop("_values", "_start")
+def with_prominence(peaks: DataFrame, signal: DataFrame, value: str = "value", by: list[str] = BY, block: int = 1024) -> DataFrame:
+    """prominence: height over the higher of the least values to either side, as far as the next strictly higher sample.
+
+    Samples are taken in blocks with their highest and least value. A peak looks through its own block, then over its session's
+    block summaries for the first block with a higher sample, then through that one: three blocks and a summary a peak, not the session.
+    """
+    at = F.floor(F.col("idx") / block)
+    blocks = signal.withColumn("_b", at).groupBy(*by, "_b").agg(F.array_sort(F.collect_list(F.struct("idx", F.col(value).cast("double").alias("v")))).alias("_own"))
+    blocks = blocks.withColumns({"_high": F.array_max(F.transform("_own", lambda s: s["v"])), "_low": F.array_min(F.transform("_own", lambda s: s["v"]))})
+    summary = blocks.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("_b").alias("b"), F.col("_high").alias("h"), F.col("_low").alias("l")))).alias("_all"))
+    scan = "aggregate({part}, named_struct('stop', {stop}, 'low', {low}), (a, x) -> if(a.stop or x.v > height, named_struct('stop', true, 'low', a.low), named_struct('stop', false, 'low', least(a.low, x.v))))"
+    skip = "aggregate({part}, named_struct('at', cast(null as bigint), 'low', {side}.low), (a, x) -> if(a.at is not null or x.h > height, named_struct('at', coalesce(a.at, x.b), 'low', a.low), named_struct('at', a.at, 'low', least(a.low, x.l))))"
+    made = peaks.withColumn("height", F.col("height").cast("double")).withColumn("_b", at).join(blocks.select(*by, "_b", "_own"), [*by, "_b"])
+    turned = {"_l": "reverse(filter({0}, s -> s.{1} < {2}))", "_r": "filter({0}, s -> s.{1} > {2})"}
+    made = made.withColumns({side: F.expr(scan.format(part=t.format("_own", "idx", "idx"), stop="false", low="height")) for side, t in turned.items()}).drop("_own")
+    made = made.join(summary, by)
+    for side, t in turned.items():
+        made = made.withColumn(f"{side}2", F.expr(f"if({side}.stop, named_struct('at', cast(null as bigint), 'low', {side}.low), {skip.format(part=t.format('_all', 'b', '_b'), side=side)})"))
+    made = made.drop("_all")
+    for side, t in turned.items():
+        there = blocks.select(*by, F.col("_b").alias(f"{side}_at"), F.col("_own").alias(f"{side}_own"))
+        made = made.withColumn(f"{side}_at", F.col(f"{side}2.at")).join(there, [*by, f"{side}_at"], "left")
+        part = f"reverse({side}_own)" if side == "_l" else f"{side}_own"
+        made = made.withColumn(f"{side}_low", F.expr(f"if({side}_at is null, {side}2.low, {scan.format(part=part, stop='false', low=f'{side}2.low')}.low)")).drop(f"{side}_own")
+    return made.withColumn("prominence", F.col("height") - F.greatest("_l_low", "_r_low")).select(*peaks.columns, "prominence")
 
 
 def narrow(peaks: DataFrame, signal: DataFrame, threshold: float, longest: int, value: str = "value", by: list[str] = BY) -> DataFrame:
@@ -73,8 +91,11 @@ def narrow(peaks: DataFrame, signal: DataFrame, threshold: float, longest: int,
     return sized.where("_is").where(F.col("width") <= longest).select(*by, "idx", F.col(value).alias("height"), "width")
 
 
-def _folded(events: DataFrame, item: Column, kind: str, step: str, by: list[str]) -> DataFrame:
-    items = events.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("_all"))
+def _folded(events: DataFrame, item: Column, kind: str, step: str, by: list[str], time: str, gap: float, closed: bool = True) -> DataFrame:
+    """A fold over events in order; after a pause of `gap` (closed: or more) the step keeps nothing of what came before, so events are folded by island."""
+    pause = F.col(time).cast("double") - F.lag(F.col(time).cast("double")).over(Window.partitionBy(*by).orderBy(time))
+    parts = islands(events, by, [time], pause >= gap if closed else pause > gap, "_island")
+    items = parts.groupBy(*by, "_island").agg(F.array_sort(F.collect_list(item)).alias("_all"))  # of one island
     return items.select(*by, F.explode(F.expr(f"aggregate(_all, cast(array() as array<{kind}>), (o, x) -> {step})")).alias("_o"))
 
 
@@ -82,13 +103,13 @@ def keep_louder(peaks: DataFrame, gap: float, time: str = "time_s", loudness: st
     """Peaks nearer than gap to the last kept one replace it if louder, else go; the anchor moves with the replacement."""
     item = F.struct(F.col(time).cast("double").alias("t"), F.col(loudness).cast("double").alias("e"))
     step = f"case when size(o) = 0 or x.t - element_at(o, -1).t >= {gap} then array_append(o, x) when x.e > element_at(o, -1).e then array_append(slice(o, 1, size(o) - 1), x) else o end"
-    return _folded(peaks, item, "struct<t:double,e:double>", step, by).select(*by, F.col("_o.t").alias(time), F.col("_o.e").alias(loudness))
+    return _folded(peaks, item, "struct<t:double,e:double>", step, by, time, gap).select(*by, F.col("_o.t").alias(time), F.col("_o.e").alias(loudness))
 
 
 def anchored_dedup(events: DataFrame, window: float, time: str = "time_s", by: list[str] = BY) -> DataFrame:
     """Times at least a window after the last kept one."""
     step = f"if(size(o) = 0 or x - element_at(o, -1) >= {window}, array_append(o, x), o)"
-    return _folded(events, F.col(time).cast("double"), "double", step, by).select(*by, F.col("_o").alias(time))
+    return _folded(events, F.col(time).cast("double"), "double", step, by, time, window).select(*by, F.col("_o").alias(time))
 
 
 def vote_clusters(peaks: DataFrame, window: float, votes: int, min_gap: float, time: str = "time_s", roi: str = "roi", by: list[str] = BY) -> DataFrame:
@@ -99,7 +120,7 @@ def vote_clusters(peaks: DataFrame, window: float, votes: int, min_gap: float, t
     last = "element_at(o, -1)"
     grown = f"named_struct('s', {last}.s, 'n', {last}.n + 1L, 'sum', {last}.sum + x.t, 'rois', array_distinct(array_append({last}.rois, cast(x.r as string))))"
     step = f"case when size(o) = 0 or x.t - {last}.s > {window} then array_append(o, {fresh}) else array_append(slice(o, 1, size(o) - 1), {grown}) end"
-    clusters = _folded(peaks, item, kind, step, by).where(F.size("_o.rois") >= votes)
+    clusters = _folded(peaks, item, kind, step, by, time, window, closed=False).where(F.size("_o.rois") >= votes)
     return anchored_dedup(clusters.select(*by, (F.col("_o.sum") / F.col("_o.n")).alias(time)), min_gap, time, by)
 
 

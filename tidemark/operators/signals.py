@@ -61,6 +61,32 @@ def frame_delta(frames: DataFrame, patch: str = "patch", order: str = "idx", by:
     return frames.withColumn("delta", F.when(before.isNotNull(), total / F.size(patch)))
 
 
+def crop(patch: Column, width: int, top: int, bottom: int, left: int, right: int) -> Column:
+    """The values of a region (bottom and right excluded) of an image kept row by row in one array; the region is cut at the image's edges."""
+    rows = F.sequence(F.lit(max(0, top)), F.greatest(F.least(F.lit(bottom), F.floor(F.size(patch) / width).cast("int")) - 1, F.lit(max(0, top))))
+    first, n = max(0, left), max(0, min(right, width) - max(0, left))
+    return F.flatten(F.transform(rows, lambda r: F.slice(patch, r * width + first + 1, n)))
+
+
+def zone_motion(frames: DataFrame, width: int, x: int, y: int, reach: int, patch: str = "patch", order: str = "idx", by: list[str] = BY) -> DataFrame:
+    """delta: mean absolute change in the square around (x, y) since the frame before; null for the first."""
+    zone = frames.withColumn("_zone", crop(F.col(patch), width, y - reach, y + reach, x - reach, x + reach))
+    return frame_delta(zone, "_zone", order, by).drop("_zone")
+
+
+def padded_delta(signal: DataFrame, deltas: DataFrame, by: list[str] = BY) -> DataFrame:
+    """The signal with `delta`, 0 where there is none."""
+    return signal.join(deltas.select(*by, "idx", "delta"), [*by, "idx"], "left").withColumn("delta", F.coalesce("delta", F.lit(0.0)))
+
+
+def effective_rate(times: DataFrame, time: str = "time_s", fallback: float = 30.0, by: list[str] = BY) -> DataFrame:
+    """rate: one over the time between the first two samples; the fallback where there are fewer, or no time between them."""
+    order = Window.partitionBy(*by).orderBy(time)
+    first = times.select(*by, F.col(time).cast("double").alias("_t"), F.row_number().over(order).alias("_n")).where("_n <= 2")
+    gap = first.groupBy(*by).agg((F.max("_t") - F.min("_t")).alias("_gap"))
+    return gap.select(*by, F.when(F.col("_gap") > 0, 1 / F.col("_gap")).otherwise(F.lit(fallback)).alias("rate"))
+
+
 def array_mean(values: Column) -> Column:
     """Mean of an array, 0 if it is empty."""
     total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double"))

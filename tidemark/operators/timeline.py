@@ -27,6 +27,18 @@ def settle_time(frames: DataFrame, threshold: float = 4.0, motion: str = "motion
     return least.join(settled, by, "left").select(*by, F.coalesce("_settled", "_least").alias("acquired"))
 
 
+def with_degenerate(rows: DataFrame, frame: float) -> DataFrame:
+    """acquired of windows shorter than a frame: their start, as nothing can be seen in them."""
+    return rows.withColumn("acquired", F.when(F.col("first_shot") - F.col("start") < frame, F.col("start")).otherwise(F.col("acquired")))
+
+
+def motion_profile(frames: DataFrame, engagements: DataFrame, least: float, offset: float = 0.0, width: float = 60.0, by: list[str] = BY) -> DataFrame:
+    """engagement_id, relative_ms, motion of the frames of each engagement's window, those of windows shorter than `least` left out."""
+    long = engagements.where(F.col("first_shot") - F.col("start") >= least)
+    found = window_frames(frames, long, offset, width, by).join(long.select(*by, "engagement_id", "start"), [*by, "engagement_id"])
+    return found.select(*by, "engagement_id", ((F.col("time_s") - offset - F.col("start")) * 1000).alias("relative_ms"), "motion")
+
+
 def acquisition_metrics(rows: DataFrame) -> DataFrame:
     """acquisition_ms and true_ttff_ms from start, acquired and first_shot in seconds."""
     return rows.withColumn("acquisition_ms", F.bround((F.col("acquired") - F.col("start")) * 1000, 1)).withColumn("true_ttff_ms", F.bround((F.col("first_shot") - F.col("acquired")) * 1000, 1))

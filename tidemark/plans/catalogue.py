@@ -202,6 +202,33 @@ def frame_delta(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(signals.frame_delta(frames, "embedding", "vec_id").select("vec_id", "delta"))
 
 
+@query
+def zone_motion(spark: SparkSession, sf: str) -> DataFrame:
+    frames = read(spark, sf, "embeddings").select(F.expr("vec_id div 50").alias("session_id"), "vec_id", "embedding")
+    return rounded(signals.zone_motion(frames, 8, 4, 3, 2, "embedding", "vec_id").select("vec_id", "delta"))
+
+
+@query
+def padded_delta(spark: SparkSession, sf: str) -> DataFrame:
+    rows = items(spark, sf)
+    deltas = rows.select(*KEY, "idx", signals.first_difference().cast("double").alias("delta")).where("idx > 0")  # the first sample has none
+    return rounded(signals.padded_delta(rows.select(*KEY, "idx", "value"), deltas))
+
+
+@query
+def effective_rate(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(signals.effective_rate(minutes(spark, sf, "click")))
+
+
+@query
+def text_labels(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("n_nationkey").cast("int")
+    name = F.concat(F.lit("raw_"), F.translate(F.lower("n_name"), " ", "_"), F.when(key % 2 == 0, ".mp4").otherwise(""))
+    made = [scalars.titled(F.lower("n_name")), scalars.renamed(name, "raw_", "clip_"), scalars.with_suffix(name, ".mp4", "_kills.csv"), scalars.numbered("nation", key), F.upper(name)]
+    names = ("label", "clip", "path", "number", "upper")
+    return read(spark, sf, "nation").select("n_nationkey", *[c.alias(n) for c, n in zip(made, names, strict=True)])
+
+
 @query
 def brightness(spark: SparkSession, sf: str) -> DataFrame:
     at = lambda i: F.element_at("embedding", i).cast("double")
@@ -390,6 +417,14 @@ def nearest_diag(spark: SparkSession, sf: str) -> DataFrame:
     return asof.nearest(det, truth, KEY, "time_s", "time_s")
 
 
+@query
+def misses_diag(spark: SparkSession, sf: str) -> DataFrame:
+    """Truths without a detection, with the nearest detection of any kind and how far it is."""
+    det, truth = both(spark, sf)
+    missed = truth.join(matching.closest_pairs(det, truth, 1440).select(*KEY, F.col("truth_time").alias("time_s")), [*KEY, "time_s"], "left_anti")
+    return asof.nearest(missed, det, KEY, "time_s", "time_s")
+
+
 @query
 def in_range_filter(spark: SparkSession, sf: str) -> DataFrame:
     return matching.in_range(*both(spark, sf), 60)
@@ -518,8 +553,9 @@ def label_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def benchmark_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    rows = signal(spark, sf).where("idx % 3 <> 1").select(*KEY, F.col("idx").alias("frame_n"), "label")
-    wanted = signal(spark, sf).where("idx % 5 = 0").select(*KEY, F.col("idx").alias("frame_n"))
+    rows = signal(spark, sf)
+    wanted = rows.where("kind = 'click'").select(*KEY, F.col("idx").alias("frame_n"))
+    rows = rows.where("kind = 'view'").select(*KEY, F.col("idx").alias("frame_n"), "label")
     return rounded(automaton.benchmark_lookup(wanted, rows))
 
 
@@ -548,11 +584,20 @@ def motion(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).where("kind = 'error'").groupBy(*KEY, F.col("tick").cast("double").alias("time_s")).agg(F.max("value").alias("motion"))
 
 
+def windows(spark: SparkSession, sf: str) -> DataFrame:
+    """session_id, engagement_id, start (the kill before, or else the first shot), first_shot."""
+    ticks = engagement.attach_shots(shots(spark, sf), kills(spark, sf)).where("engagement_id is not null").groupBy(*KEY, "engagement_id").agg(F.min("tick").alias("first_shot"), F.first("prev_kill_tick").alias("prev"))
+    return ticks.select(*KEY, "engagement_id", F.coalesce("prev", "first_shot").cast("double").alias("start"), F.col("first_shot").cast("double").alias("first_shot"))
+
+
 @query
 def range_window_frames(spark: SparkSession, sf: str) -> DataFrame:
-    ticks = engagement.attach_shots(shots(spark, sf), kills(spark, sf)).where("engagement_id is not null").groupBy(*KEY, "engagement_id").agg(F.min("tick").alias("first_shot"), F.first("prev_kill_tick").alias("prev"))
-    made = ticks.select(*KEY, "engagement_id", F.coalesce("prev", "first_shot").cast("double").alias("start"), F.col("first_shot").cast("double").alias("first_shot"))
-    return rounded(timeline.window_frames(motion(spark, sf), made, 0.0, 16.0).select(*KEY, "engagement_id", "time_s", "motion"))
+    return rounded(timeline.window_frames(motion(spark, sf), windows(spark, sf), 0.0, 16.0).select(*KEY, "engagement_id", "time_s", "motion"))
+
+
+@query
+def motion_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(timeline.motion_profile(motion(spark, sf), windows(spark, sf), 2.0, 0.0, 16.0))
 
 
 @query
@@ -560,14 +605,21 @@ def settle_time(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(timeline.settle_time(motion(spark, sf), 10.0))
 
 
+def acquired(spark: SparkSession, sf: str) -> DataFrame:
+    made, by = windows(spark, sf), [*KEY, "engagement_id"]
+    found = timeline.settle_time(timeline.window_frames(motion(spark, sf), made, 0.0, 16.0), 10.0, by=by)
+    return timeline.acquisition_metrics(timeline.with_degenerate(made.join(found, by, "left"), 1.0))
+
+
 @query
 def acquisition(spark: SparkSession, sf: str) -> DataFrame:
-    ticks = engagement.attach_shots(shots(spark, sf), kills(spark, sf)).where("engagement_id is not null").groupBy(*KEY, "engagement_id").agg(F.min("tick").alias("first_shot"), F.first("prev_kill_tick").alias("prev"))
-    made = ticks.select(*KEY, "engagement_id", F.coalesce("prev", "first_shot").cast("double").alias("start"), F.col("first_shot").cast("double").alias("first_shot"))
-    by = [*KEY, "engagement_id"]
-    acquired = timeline.settle_time(timeline.window_frames(motion(spark, sf), made, 0.0, 16.0), 10.0, by=by)
-    whole = timeline.acquisition_metrics(made.join(acquired, by, "left"))
-    return rounded(whole.select(*by, "acquired", "acquisition_ms", "true_ttff_ms"))
+    return rounded(acquired(spark, sf).select(*KEY, "engagement_id", "acquired", "acquisition_ms", "true_ttff_ms"))
+
+
+@query
+def acquisition_means(spark: SparkSession, sf: str) -> DataFrame:
+    ttff = F.bround((F.col("first_shot") - F.col("start")) * 1000, 1)
+    return rounded(acquired(spark, sf).groupBy(*KEY).agg(F.avg("true_ttff_ms").alias("mean_true_ttff_ms"), F.avg(ttff).alias("mean_ttff_ms")))
 
 
 @query
@@ -596,7 +648,7 @@ def even_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def ocr_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.concat(F.substring("p_name", 1, 2), F.col("p_size"))
+    text = F.concat("p_name", "p_size")
     return rounded(read(spark, sf, "part").select("p_partkey", scalars.read_digits(text).alias("digits"), scalars.read_count(text).alias("n")))
 
 

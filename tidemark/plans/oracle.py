@@ -75,6 +75,10 @@ CTES = {
     "mo": "SELECT session_id, tick::DOUBLE AS t, max(value) AS motion FROM ev WHERE kind = 'error' GROUP BY 1, 2",
     "en": "SELECT session_id, engagement_id, coalesce(prev, fs)::DOUBLE AS start, fs::DOUBLE AS first_shot FROM sz",
     "wf": "SELECT e.session_id, e.engagement_id, mo.t, mo.motion FROM en e JOIN mo ON mo.session_id = e.session_id AND mo.t >= greatest(e.start, 0) AND mo.t < e.first_shot",
+    "alw": "SELECT *, motion <= 10 AS low, lag(motion <= 10) OVER (PARTITION BY session_id, engagement_id ORDER BY t) AS b FROM wf",
+    "aac": "SELECT session_id, engagement_id, coalesce(max(CASE WHEN low AND coalesce(NOT b, true) THEN t END), arg_min(t, {'m': motion, 't': t})) AS acquired FROM alw GROUP BY 1, 2",
+    # a window shorter than a frame has its start
+    "aq": "SELECT session_id, engagement_id, start, first_shot, CASE WHEN first_shot - start < 1 THEN start ELSE acquired END AS acquired FROM en LEFT JOIN aac USING (session_id, engagement_id)",
     "stab": """SELECT *, CASE WHEN raw = 1 THEN CASE WHEN r = 12 AND (l IS NULL OR l = 12) THEN 12 ELSE 11 END ELSE clear END AS fixed FROM (
         SELECT *, last_value(clear IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l,
         first_value(clear IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r FROM (
@@ -180,6 +184,17 @@ ORACLES: dict[str, str] = {
     "rms_energy": "SELECT vec_id, f AS frame, round(f * 4 / 1000.0::DOUBLE, 6) AS time_s, round(sqrt(list_sum(list_transform(embedding[f * 4 + 1 : f * 4 + 8], lambda x: x::DOUBLE * x::DOUBLE)) / 8), 6) AS energy FROM (SELECT vec_id, embedding, unnest(range(14)) AS f FROM embeddings)",
     "frame_delta": """SELECT vec_id, round(list_sum(list_transform(list_zip(embedding, b), lambda p: abs(p[1]::DOUBLE - p[2]::DOUBLE))) / len(embedding), 6) AS delta FROM (
         SELECT vec_id, embedding, lag(embedding) OVER (PARTITION BY vec_id // 50 ORDER BY vec_id) AS b FROM embeddings)""",
+    "zone_motion": """SELECT vec_id, round(list_sum(list_transform(list_zip(z, b), lambda p: abs(p[1]::DOUBLE - p[2]::DOUBLE))) / len(z), 6) AS delta FROM (
+        SELECT vec_id, z, lag(z) OVER (PARTITION BY vec_id // 50 ORDER BY vec_id) AS b FROM (SELECT vec_id, flatten(list_transform(range(1, 5), lambda r: embedding[r * 8 + 3 : r * 8 + 6])) AS z FROM embeddings))""",
+    "padded_delta": sql("it", body="SELECT session_id, idx, value, round((value - coalesce(lag(value) OVER (PARTITION BY session_id ORDER BY idx), value))::DOUBLE, 6) AS delta FROM it"),
+    "effective_rate": sql(
+        "ev",
+        body="""SELECT session_id, CASE WHEN count(*) > 1 THEN round(1 / (max(m) - min(m))::DOUBLE, 6) ELSE 30 END AS rate FROM (
+        SELECT session_id, m, row_number() OVER (PARTITION BY session_id ORDER BY m) AS n FROM (SELECT DISTINCT session_id, m FROM ev WHERE kind = 'click')) WHERE n <= 2 GROUP BY 1""",
+    ),
+    "text_labels": """SELECT n_nationkey, array_to_string(list_transform(string_split(replace(lower(n_name), '_', ' '), ' '), lambda w: upper(w[1:1]) || w[2:]), ' ') AS label, 'clip_' || w || e AS clip,
+        'raw_' || w || '_kills.csv' AS path, 'nation_' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS number, upper('raw_' || w || e) AS upper
+        FROM (SELECT *, replace(lower(n_name), ' ', '_') AS w, CASE WHEN n_nationkey % 2 = 0 THEN '.mp4' ELSE '' END AS e FROM nation)""",
     "brightness": """SELECT vec_id, round(list_sum(list_transform(range(21), lambda i: greatest(embedding[3 * i + 1]::DOUBLE, embedding[3 * i + 2]::DOUBLE, embedding[3 * i + 3]::DOUBLE))) / 21, 6) AS brightness,
         round(list_sum(list_transform(range(21), lambda i: round_even(0.299::DOUBLE * (100 * embedding[3 * i + 3]::DOUBLE) + 0.587::DOUBLE * (100 * embedding[3 * i + 2]::DOUBLE) + 0.114::DOUBLE * (100 * embedding[3 * i + 1]::DOUBLE), 0))) / 21, 6) AS gray FROM embeddings""",
     "red_share": sql("ev", body="SELECT session_id, round(avg(CASE WHEN (k * 2 BETWEEN 0 AND 10 OR k * 2 BETWEEN 170 AND 180) AND value >= 80 AND value + 10 >= 80 THEN 1.0::DOUBLE ELSE 0 END) * 100, 6) AS red_pct FROM ev GROUP BY 1"),
@@ -296,6 +311,14 @@ ORACLES |= {
         "gt",
         body="SELECT det.session_id, det.t AS time_s, arg_min(gt.t, {'r': abs(gt.t - det.t), 't': gt.t}) AS nearest, min(abs(gt.t - det.t)) AS nearest_gap FROM det LEFT JOIN gt ON gt.session_id = det.session_id GROUP BY 1, 2",
     ),
+    "misses_diag": sql(
+        "cp",
+        "det",
+        "gt",
+        body="""SELECT ms.session_id, ms.t AS time_s, arg_min(det.t, {'r': abs(det.t - ms.t), 't': det.t}) AS nearest, min(abs(det.t - ms.t)) AS nearest_gap
+        FROM ms LEFT JOIN det ON det.session_id = ms.session_id GROUP BY 1, 2""",
+        more={"ms": "SELECT session_id, t FROM gt WHERE NOT EXISTS (SELECT 1 FROM cp WHERE cp.session_id = gt.session_id AND cp.g = gt.t)"},
+    ),
     "in_range_filter": sql("det", "gt", body="SELECT session_id, t AS time_s FROM det JOIN (SELECT session_id, min(t) - 60 AS lo, max(t) + 60 AS hi FROM gt GROUP BY 1) USING (session_id) WHERE t BETWEEN lo AND hi"),
     "tp_fp_fn_labels": sql("lab", body="SELECT * FROM lab"),
     "match_scores": sql("det", "gt", "cp", body=f"SELECT session_id, n_det, n_gt, tp, n_det - tp AS fp, n_gt - tp AS fn, {RATES}, mean_error, median_error FROM totals", more=SCORES),
@@ -353,7 +376,7 @@ ORACLES |= {
     "label_counts": sql("ev_e", body="SELECT truth, confidence, count(*) AS n FROM ev_e GROUP BY 1, 2"),
     "benchmark_lookup": sql(
         "sig",
-        body="SELECT w.session_id, w.idx AS frame_n, arg_min({'l': t.label}, {'r': abs(t.idx - w.idx), 'i': t.idx}).l AS pred FROM sig w LEFT JOIN sig t ON t.session_id = w.session_id AND t.idx % 3 <> 1 WHERE w.idx % 5 = 0 GROUP BY 1, 2",
+        body="SELECT w.session_id, w.idx AS frame_n, arg_min({'l': t.label}, {'r': abs(t.idx - w.idx), 'i': t.idx}).l AS pred FROM sig w LEFT JOIN sig t ON t.session_id = w.session_id AND t.kind = 'view' WHERE w.kind = 'click' GROUP BY 1, 2",
     ),
     "json_label": sql(
         "ev",
@@ -371,14 +394,12 @@ ORACLES |= {
         body="SELECT session_id, coalesce(max(CASE WHEN low AND coalesce(NOT b, true) THEN t END), arg_min(t, {'m': motion, 't': t})) AS acquired FROM lw GROUP BY 1",
         more={"lw": "SELECT *, motion <= 10 AS low, lag(motion <= 10) OVER (PARTITION BY session_id ORDER BY t) AS b FROM mo"},
     ),
-    "acquisition": sql(
-        "wf",
-        "en",
-        body="SELECT session_id, engagement_id, acquired, round_even((acquired - start) * 1000, 1) AS acquisition_ms, round_even((first_shot - acquired) * 1000, 1) AS true_ttff_ms FROM en LEFT JOIN ac USING (session_id, engagement_id)",
-        more={
-            "lw": "SELECT *, motion <= 10 AS low, lag(motion <= 10) OVER (PARTITION BY session_id, engagement_id ORDER BY t) AS b FROM wf",
-            "ac": "SELECT session_id, engagement_id, coalesce(max(CASE WHEN low AND coalesce(NOT b, true) THEN t END), arg_min(t, {'m': motion, 't': t})) AS acquired FROM lw GROUP BY 1, 2",
-        },
+    "motion_profile": sql("wf", "en", body="SELECT session_id, engagement_id, (t - start) * 1000 AS relative_ms, round(motion, 6) AS motion FROM wf JOIN en USING (session_id, engagement_id) WHERE first_shot - start >= 2"),
+    "acquisition": sql("aq", body="SELECT session_id, engagement_id, acquired, round_even((acquired - start) * 1000, 1) AS acquisition_ms, round_even((first_shot - acquired) * 1000, 1) AS true_ttff_ms FROM aq"),
+    "acquisition_means": sql(
+        "aq",
+        body="""SELECT session_id, round(avg(round_even((first_shot - acquired) * 1000, 1)), 6) AS mean_true_ttff_ms, round(avg(round_even((first_shot - start) * 1000, 1)), 6) AS mean_ttff_ms
+        FROM aq GROUP BY 1""",
     ),
     "running_tally": sql("ev", "gt", body="SELECT gt.session_id, gt.t AS time_s, count(s.m) AS n FROM gt LEFT JOIN ev s ON s.session_id = gt.session_id AND s.kind = 'click' AND s.m <= gt.t GROUP BY 1, 2"),
     "proximity": sql(
@@ -395,8 +416,8 @@ ORACLES |= {
         "sig",
         body="SELECT w.session_id, w.frame_n, w.sample, sig.value FROM (SELECT session_id, unnest(range(10)) AS sample, CAST(round_even(unnest(range(10)) * max(idx) / 9.0::DOUBLE, 0) AS BIGINT) AS frame_n FROM sig GROUP BY 1) w JOIN sig ON sig.session_id = w.session_id AND sig.idx = w.frame_n",
     ),
-    "ocr_normalize": r"""SELECT p_partkey, d AS digits, CASE WHEN f <> '' AND length(f) <= 2 AND CAST(f AS INT) BETWEEN 0 AND 12 THEN CAST(f AS BIGINT) END AS n FROM (SELECT p_partkey, d, CASE WHEN d IN ('00', '01') THEN '10' ELSE d END AS f FROM (
-        SELECT p_partkey, regexp_replace(translate(trim(substr(p_name, 1, 2) || p_size), 'lI|TnNwWpPBEoODQmMyYaARzZ', '1111111111100000000000222'), '[^0-9]', '', 'g') AS d FROM part))""",
+    "ocr_normalize": r"""SELECT p_partkey, d AS digits, CASE WHEN f <> '' AND length(f) <= 2 AND TRY_CAST(f AS INT) BETWEEN 0 AND 12 THEN TRY_CAST(f AS BIGINT) END AS n FROM (SELECT p_partkey, d, CASE WHEN d IN ('00', '01') THEN '10' ELSE d END AS f FROM (
+        SELECT p_partkey, regexp_replace(translate(trim(p_name || p_size), 'lI|TnNwWpPBEoODQmMyYaARzZ', '1111111111100000000000222'), '[^0-9]', '', 'g') AS d FROM part))""",
     "parse_ratio": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 OR p_partkey % 3 = 0 THEN p_size::BIGINT END AS kills, CASE WHEN p_partkey % 2 = 0 OR p_partkey % 3 = 0 THEN p_size::BIGINT END AS ammo FROM part",
     "roi_resolve": "SELECT c_custkey, CAST(round_even(0.5063::DOUBLE * (c_custkey + 640), 0) AS BIGINT) AS x1, CAST(round_even(0.06::DOUBLE * (c_custkey % 700 + 360), 0) AS BIGINT) AS y1, CAST(round_even(0.5235::DOUBLE * (c_custkey + 640), 0) AS BIGINT) AS x2, CAST(round_even(0.0775::DOUBLE * (c_custkey % 700 + 360), 0) AS BIGINT) AS y2 FROM customer",
     "digit_classify": """SELECT vec_id, CAST(CASE WHEN fr IS NULL THEN NULL WHEN c[1] >= 5 AND c[1] >= c[3] THEN 11 WHEN c[3] >= 5 AND c[3] > c[1] OR fr >= 8 THEN CASE WHEN c[10] <= 6 THEN 8 ELSE 9 END
