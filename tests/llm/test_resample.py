@@ -51,3 +51,15 @@ def test_a_hot_temperature_samples_otherwise(spark):
     docs, labels = corpus(spark)
     kept = {r["doc_id"] for r in resample.select(docs, labels, temperature=1e4).where("kept").collect()}
     assert any(d >= 300 for d in kept) and any(d not in kept for d in range(300))
+
+
+def test_held_out_labels_are_told(spark):
+    """Fitted on half of the labels, tried on the others."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    known = labels.orderBy("doc_id").collect()
+    half = [(r["doc_id"], r["quality"]) for r in known[::2]]
+    made = {r["doc_id"]: r for r in resample.select(docs, spark.createDataFrame(half, "doc_id long, quality int")).collect()}
+    good, bad = ([made[r["doc_id"]] for r in known[1::2] if r["quality"] == q] for q in (1, 0))
+    assert sum(r["kept"] for r in good) >= 0.98 * len(good)
+    assert sum(r["kept"] for r in bad) <= 0.15 * len(bad)

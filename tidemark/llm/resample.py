@@ -80,7 +80,7 @@ def log_ratios(models: DataFrame, buckets: int) -> np.ndarray:
     """log of target over raw probability by bucket, one added to each count; a fixed, small number of rows."""
     size = buckets + REPEATS
     raw, target = np.ones(size), np.ones(size)
-    for row in models.toLocalIterator():
+    for row in models.collect():  # one row a bucket
         raw[row["bucket"]] += row["raw"]
         target[row["bucket"]] += row["target"]
     if target.sum() == size:  # no target text: nothing is told apart
