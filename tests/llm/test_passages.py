@@ -108,3 +108,61 @@ def test_longer_runs_with_later_documents_are_whole_too(spark):
     assert (0, 40, 80, 40, 0, False) in made
     assert {w for r in made if r[0] == 2 and r[5] for w in range(r[1], r[2])} == set(range(40, 130))
     assert {w for r in made if r[0] == 1 for w in range(r[1], r[2])} == set(range(40, 130))
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_lines_against_all_pairs(spark):
+    # lines of one template share half of their words; some have near copies, some of these as a chain
+    rng = random.Random(9)
+    template, lines = prose(rng, 30), []
+    for _ in range(40):
+        base = prose(rng, 15) + template + prose(rng, 15)
+        lines.append(base)
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            base = list(base)
+            base[rng.randrange(60)] = prose(rng, 1)[0]
+            lines.append(base)
+    rng.shuffle(lines)
+    parent = list(range(len(lines)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(lines)):
+        for k in range(i):
+            if jaccard(lines[i], lines[k]) >= 0.8:
+                a, b = find(i), find(k)
+                parent[max(a, b)] = min(a, b)
+    groups = {}
+    for i in range(len(lines)):
+        groups.setdefault(find(i), []).append(i)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "doc_id long, text string")
+    rows = df.select("doc_id", "text")
+    found = passages.lines(rows, 32, passages.bands_for(0.8, 3, 0.995), 3)
+    tied = passages.line_clusters(rows, found, 0.8)
+    of_line = {r["line"]: r["doc_id"] for r in found.collect()}
+    made = {}
+    for r in tied.collect():
+        made.setdefault(r["root"], []).append(of_line[r["node"]])
+    made = {frozenset(g) for g in made.values()}
+    wanted = {frozenset(g) for g in groups.values() if len(g) > 1}
+    assert all(any(m <= w for w in wanted) for m in made)  # no link below the threshold
+    assert len(made & wanted) >= 0.9 * len(wanted)
+
+
+def test_prefixes_meet_where_lines_are_alike(spark):
+    rng = random.Random(10)
+    template = prose(rng, 40)
+    sets = {i: set(template) | set(prose(rng, 20)) for i in range(30)}
+    sets |= {100 + i: set(list(sets[i])[:-2]) | {"x"} for i in range(0, 30, 3)}
+    table = spark.createDataFrame([(i, sorted(hash(w) for w in s)) for i, s in sets.items()], "node long, shingles array<long>")
+    left = table.selectExpr("node", "node as root")
+    met = {frozenset((r["a"], r["b"])) for r in passages.prefix_pairs(left, table, 0.8).collect()}
+    wanted = {frozenset((a, b)) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert wanted <= met and len(met) < 40

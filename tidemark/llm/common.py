@@ -31,7 +31,7 @@ SETTINGS = {
 }
 TUNED = "spark.tidemark.tuned"
 #: Characters of text that a task takes up at a time, and bytes of a table that it keeps from batch to batch.
-BATCH_BYTES, TABLE_BYTES = 1 << 20, 32 << 20
+BATCH_BYTES, TABLE_BYTES = 1 << 20, 48 << 20
 
 
 def tuned(spark: SparkSession) -> SparkSession:
@@ -195,7 +195,7 @@ def map_batches(df: DataFrame, each: Callable[..., pa.RecordBatch | None], schem
     return df.mapInArrow(run, schema)
 
 
-def bucket_components(members: DataFrame, distance: Callable[[Column, Column], Column], most: float, facts: DataFrame, rounds: int = 2) -> DataFrame:
+def bucket_components(members: DataFrame, distance: Callable[[Column, Column], Column], most: float, facts: DataFrame, rounds: int = 2, last: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """node, root: the components of the links between nodes that share a bucket and are at most `most` apart.
 
     members: key, node, weight, a row for each node and bucket that it is in. facts: a row for each node with
@@ -205,8 +205,9 @@ def bucket_components(members: DataFrame, distance: Callable[[Column, Column], C
     bucket holds one row for each component in it: in a few rounds these components' heaviest nodes are
     compared with the bucket's heaviest. At last the components that still share a bucket are compared: by their
     heaviest nodes and the radius around these, beyond which (by the triangle inequality) no two members can be
-    linked, and only where that leaves a link possible by those members that it leaves. So a bucket of copies
-    costs a row a member, and no two nodes that a chain of links joins are parted.
+    linked, and only where that leaves a link possible by those members that it leaves. last, where given, does
+    this last step in their stead: from node, root of the nodes that still share a bucket with another root's, the pairs a, b that
+    may be linked. So a bucket of copies costs a row a member, and no two nodes that a chain of links joins are parted.
     """
     facts = facts.select("node", F.struct(*facts.columns).alias("fact"))
     shared = materialize(of_several_nodes(members))
@@ -237,11 +238,23 @@ def bucket_components(members: DataFrame, distance: Callable[[Column, Column], C
         if links.isEmpty():
             discard(links)
             break
-        roots, step, past, before = *_merged(roots, links, tops), tops, roots
+        roots, step, past, before = *_merged(roots, links), tops, roots
         tops = materialize(heaviest(mixed(_rooted(tops, "root", step)), "key", "root"))
         discard(links, step, past, before)
     left = materialize(mixed(_rooted(rooted.drop("root"), "node", roots)))
     discard(rooted, tops)
+    new = close(last(left.select("node", "root").distinct())) if last else _near_groups(left, close, distance, most, facts, heaviest)
+    discard(left)
+    if new.isEmpty():
+        discard(new)
+        return roots
+    made, step = _merged(roots, new)
+    discard(new, step, roots)
+    return made
+
+
+def _near_groups(left: DataFrame, close: Callable, distance: Callable, most: float, facts: DataFrame, heaviest: Callable) -> DataFrame:
+    """src, dst: links between nodes of different roots that share a bucket; left: key, node, weight, root of such buckets."""
     # each component's heaviest node in each bucket, how far its members lie from it, and how many it has
     tops = heaviest(left, "key", "root").select("key", "root", F.col("node").alias("top"))
     placed = left.join(tops, ["key", "root"]).join(_facts(facts, "node"), "node").join(_facts(facts, "top"), "top")
@@ -260,13 +273,8 @@ def bucket_components(members: DataFrame, distance: Callable[[Column, Column], C
     both = first.select("key", "root_b", "a", "far").join(second, ["key", "root_b"]).where(F.abs(F.col("far") - F.col("off")) <= F.lit(most + 1e-9))
     met = close(both.select("a", "b"))
     new = materialize(near.unionByName(met))
-    discard(left, pairs, met, placed)
-    if new.isEmpty():
-        discard(new)
-        return roots
-    made, step = _merged(roots, new, None)
-    discard(new, step, roots)
-    return made
+    discard(pairs, met, placed)
+    return new
 
 
 def of_several_nodes(members: DataFrame) -> DataFrame:
@@ -290,7 +298,7 @@ def _rooted(rows: DataFrame, of: str, roots: DataFrame) -> DataFrame:
     return rows.join(known, rows[of] == known["_of"], "left").withColumn("root", F.coalesce("_root", of)).drop("_of", "_root")
 
 
-def _merged(roots: DataFrame, links: DataFrame, tops: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+def _merged(roots: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """node, root after further links between nodes, and what became of former roots that were tied."""
     ends = [_rooted(links.select(F.col(c).alias("node"), F.col(o).alias("_other")), "node", roots) for c, o in (("src", "dst"), ("dst", "src"))]
     low = ends[0].select(F.col("node").alias("src"), F.col("_other").alias("dst"), F.col("root").alias("root_src"))

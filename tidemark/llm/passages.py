@@ -1,7 +1,7 @@
 """Repeated passages across documents: paragraphs banded by MinHash, verified, clustered, and cut.
 
-Paragraphs are of two kinds. Lines of at least `line_words` words get MinHash
-signatures over five-word shingles, banded so that a pair at the threshold collides
+Paragraphs are of two kinds. Lines of at least `line_words` words (of fewer than 49, one changed word inside takes
+the Jaccard coefficient of five-word shingles under 0.8) get MinHash signatures over five-word shingles, banded so that a pair at the threshold collides
 with the wanted recall; lines that collide are verified by the exact Jaccard
 coefficient of their shingles. A passage that stands inside other text has no
 lines of its own, so texts are also cut into short overlapping blocks that begin at
@@ -121,14 +121,15 @@ def blocks(rows: DataFrame, spread: int, block_words: int) -> DataFrame:
 
 
 def with_neighbours(rows: DataFrame, shared: DataFrame, spread: int, block_words: int) -> DataFrame:
-    """The shared blocks (hash, doc_id, start, end, first_doc_id) with left, right: hashes of the 1, 2, ... (under spread)
-    words before and after each, as many as the text has."""
+    """The shared blocks (hash, doc_id, start, end, first_doc_id) with a 128-bit digest of their words, and left, right: hashes of the 1, 2, ... (under
+    spread) words before and after each, as many as the text has."""
     of_doc = shared.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "start", "end", "first_doc_id")).alias("spans"))  # blocks of one document
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for part in slices(batches):
-            words, text, first, _ = hasher.shingles([t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()])
+            raw = [t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
+            words, text, first, _ = hasher.shingles(raw)
             if len(words) < block_words:
                 continue
             lists = part.column(2)
@@ -142,10 +143,15 @@ def with_neighbours(rows: DataFrame, shared: DataFrame, spread: int, block_words
             owner, hashes, start, end, of, at = owner[fits], hashes[fits], start[fits], end[fits], of[fits], at[fits]
             after = first[owner] + end
             sides = [around(words, at - 1, -1, np.minimum(start, spread - 1)), around(words, after, 1, np.minimum(past[owner] - after, spread - 1))]
-            columns = [pa.array(hashes), part.column(0).take(pa.array(owner)), pa.array(start), pa.array(end), pa.array(of), *sides]
-            yield pa.RecordBatch.from_arrays(columns, ["hash", "doc_id", "start", "end", "first_doc_id", "left", "right"])
-
-    schema = "hash long, doc_id long, start int, end int, first_doc_id long, left array<int>, right array<int>"
+            split, last, told = [], -1, []
+            for n, begin in zip(owner.tolist(), start.tolist(), strict=True):
+                if n != last:
+                    split, last = raw[n].translate(LOWER).split(), n
+                told.append(xxhash.xxh3_128_digest(b" ".join(split[begin : begin + block_words])))
+            columns = [pa.array(hashes), part.column(0).take(pa.array(owner)), pa.array(start), pa.array(end), pa.array(of), pa.array(told, pa.binary()), *sides]
+            yield pa.RecordBatch.from_arrays(columns, ["hash", "doc_id", "start", "end", "first_doc_id", "block", "left", "right"])
+
+    schema = "hash long, doc_id long, start int, end int, first_doc_id long, block binary, left array<int>, right array<int>"
     return rows.join(of_doc, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, schema)
 
 
@@ -230,13 +236,31 @@ def jaccard_distance(a: Column, b: Column) -> Column:
     return 1 - shared / (F.size(a["shingles"]) + F.size(b["shingles"]) - shared)
 
 
+def prefix_pairs(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: pairs of nodes of different roots that may reach the similarity, by prefix filtering, exactly.
+
+    Of n shingles, the rarest n - ceil(similarity * n) + 1 are a line's prefix. Two lines of that Jaccard
+    coefficient share a shingle of their prefixes, whatever the order of shingles is; by rarity, what a common template gives
+    to thousands of lines of one bucket comes last, and such lines don't meet.
+    """
+    words = left.join(sets, "node").select("node", "root", F.explode("shingles").alias("shingle"))
+    rarity = words.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    of_line = words.join(rarity, "shingle").groupBy("node", "root").agg(F.sort_array(F.collect_list(F.struct("n", "shingle", "low", "high"))).alias("ordered"))  # shingles of one line
+    size = F.size("ordered")
+    prefix = F.slice("ordered", 1, (size - F.ceil(size * F.lit(similarity) - F.lit(1e-9)) + 1).cast("int"))
+    held = of_line.select("node", "root", F.explode(prefix).alias("p")).where("p.low < p.high").select("node", "root", F.col("p.shingle").alias("shingle"))
+    held = materialize(held)
+    a, b = (held.select("shingle", F.col("node").alias(side), F.col("root").alias(f"root_{side}")) for side in "ab")
+    return a.join(b, (a["shingle"] == b["shingle"]) & (F.col("root_a") < F.col("root_b"))).select("a", "b")
+
+
 def line_clusters(rows: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     """node, root: lines that near duplicates tie together."""
-    banded = found.groupBy("line").agg(F.first("bands").alias("bands"), F.count("*").alias("weight")).select(F.col("line").alias("node"), "weight", F.explode("bands").alias("key"))
-    members = materialize(of_several_nodes(banded))
+    distinct = materialize(found.groupBy(F.col("line").alias("node")).agg(F.first("bands").alias("bands"), F.count("*").alias("weight")))
+    members = materialize(of_several_nodes(distinct.select("node", "weight", F.explode("bands").alias("key"))))
     sets = materialize(shingle_sets(rows, found, members.select(F.col("node").alias("line")).distinct()))
-    tied = bucket_components(members, jaccard_distance, 1 - similarity, sets)
-    discard(members)
+    tied = bucket_components(members, jaccard_distance, 1 - similarity, sets, last=lambda left: prefix_pairs(left, sets, similarity))
+    discard(distinct, members, sets)
     return tied
 
 
@@ -258,12 +282,15 @@ def repeats(docs: DataFrame, similarity: float = 0.8, recall: float = 0.995, ban
     tied = line_clusters(rows, found, similarity)
     placed = found.join(tied, found["line"] == tied["node"], "left")
     placed = placed.select(F.coalesce("root", "line").alias("root"), "doc_id", "start", (F.col("start") + F.col("n_words")).alias("end"))
-    return runs(in_blocks.unionByName(of_several(placed, "root")), least_words)
+    made = materialize(runs(in_blocks.unionByName(of_several(placed, "root")), least_words))
+    discard(in_blocks, found, tied)
+    return made
 
 
 def whole_runs(rows: DataFrame, found: DataFrame, of_several: Callable[[DataFrame, str], DataFrame], spread: int, block_words: int) -> DataFrame:
     """doc_id, start, end, first_doc_id: blocks that several documents hold, with the words around them that they share.
 
+    A block is verified by a 128-bit digest of its words: where those of one hash differ, the blocks that have the first document's are kept.
     Where all that hold a block have the same words on a side, those are added; else each number of words is a key of its own.
     """
     sides = {side: F.xxhash64(side) for side in ("left", "right")}
@@ -273,8 +300,8 @@ def whole_runs(rows: DataFrame, found: DataFrame, of_several: Callable[[DataFram
     discard(found)
     placed = materialize(with_neighbours(rows, blocks_of_several, spread, block_words))
     discard(blocks_of_several)
-    same = placed.groupBy("hash").agg(*ends).select("hash", *[(F.col(f"{side}_min") == F.col(f"{side}_max")).alias(f"{side}_same") for side in sides])
-    shared = materialize(placed.join(same, "hash"))
+    same = placed.groupBy("hash").agg(*ends, F.min_by("block", "doc_id").alias("first_block")).select("hash", "first_block", *[(F.col(f"{side}_min") == F.col(f"{side}_max")).alias(f"{side}_same") for side in sides])
+    shared = materialize(placed.join(same, "hash").where("block = first_block").drop("block", "first_block"))
     discard(placed)
     before, after = (F.when(F.col(f"{side}_same"), F.size(side)).otherwise(0) for side in sides)
     whole = shared.withColumns({"start": F.col("start") - before, "end": F.col("end") + after}).select("doc_id", "start", "end", "first_doc_id")
