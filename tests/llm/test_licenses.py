@@ -59,3 +59,37 @@ def test_notices_inside_other_text(spark):
     assert set(made) == {(1, "span", "MIT"), (2, "span", "CC-BY-4.0"), (3, "span", "GPL-3.0"), (4, "span", "All-Rights-Reserved")}
     r = made[2, "span", "CC-BY-4.0"]
     assert rows[1][1][r["start"] : r["end"]] == cc.rstrip(".") and r["dice"] == 1.0
+
+
+def test_planted_notices_are_found(spark):
+    """Each licence inside prose, on its own lines, wrapped, and with a word in twenty edited."""
+    rng = random.Random(2)
+    rows, wanted = [], {}
+    prose = lambda n: " ".join(rng.choice(["river", "stone", "walked", "under", "and", "the", "of"]) for _ in range(n))
+    for name, text in licenses.TEMPLATES:
+        words = text.split()
+        edited = [w if rng.random() > 0.05 or len(words) < 30 else "word" for w in words]
+        wrapped = "\n".join(" ".join(words[i : i + 11]) for i in range(0, len(words), 11))
+        halves = " ".join(words[: len(words) // 2]) + "\n\n" + " ".join(words[len(words) // 2 :])
+        for shown in (f"{prose(60)}\n{text}\n{prose(60)}", f"{prose(50)}\n\n{wrapped}\n\n{prose(50)}", f"{prose(40)}\n{' '.join(edited)}\n{prose(9)}", f"{prose(40)}\n\n{halves}\n\n{prose(9)}"):
+            wanted[len(rows)] = name
+            rows.append((len(rows), shown))
+    clean = [(10_000 + i, prose(300)) for i in range(50)]
+    found = {}
+    for r in licenses.scan(spark.createDataFrame(rows + clean, "doc_id long, text string")).collect():
+        found.setdefault(r["doc_id"], set()).add(r["license"])
+    hit = sum(name in found.get(doc, ()) for doc, name in wanted.items())
+    assert hit >= 0.95 * len(wanted), [(licenses.TEMPLATES[d // 4][0], d % 4) for d, n in wanted.items() if n not in found.get(d, ())]
+    assert not any(doc >= 10_000 for doc in found)
+
+
+def test_many_paragraphs_take_linear_time():
+    import time
+
+    known = licenses.Templates(licenses.TEMPLATES, 0.85)
+    took = []
+    for n in (2000, 16000):
+        began = time.perf_counter()
+        licenses.scan_text("a line of words\nand another line\n\n" * n, known)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 24 * took[0] + 1
