@@ -88,3 +88,13 @@ def test_bounds_lose_no_alignment():
             if starts:
                 most = dc.passages_of(item, seeds, ids[0], np.array(starts), 0.0)
                 assert most[0] < 0.5 or item in kept and dc.passages_of(item, seeds, ids[0], np.array(starts), 0.5) == most
+
+
+def test_blocks_with_too_many_words_to_pack():
+
+    packed, hashed = (dc.Seeds([(1, "one two three four"), (2, "two three four five six")], 3) for _ in range(2))
+    hashed.bits = 40
+    hashed.all = np.unique(np.concatenate([hashed.keys(i) for i in hashed.ids]))
+    texts = ["x one two three four five", "six five four", ""]
+    for a, b in zip(packed.hits(texts)[2:4], hashed.hits(texts)[2:4], strict=True):
+        assert a.tolist() == b.tolist()

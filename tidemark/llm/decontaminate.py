@@ -34,7 +34,7 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Seeds:
-    """The n-grams of a block of items, as sorted keys of packed word numbers."""
+    """The n-grams of a block of items, as sorted keys of word numbers."""
 
     def __init__(self, items: list[tuple[int, str]], width: int):
         self.width = width
@@ -44,8 +44,6 @@ class Seeds:
             for w in words:
                 vocabulary.setdefault(w, len(vocabulary))
         self.vocabulary, self.bits = vocabulary, max(1, len(vocabulary).bit_length())
-        if self.bits * width > 62:
-            raise ValueError("too many words in a block of items; lower block_chars")
         self.ids = [np.array([vocabulary[w] for w in words], np.int64) for words in self.words]
         keys = [self.keys(i) for i in self.ids]
         self.all = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]))
@@ -64,9 +62,13 @@ class Seeds:
             return np.zeros(0, np.int64)
         key = np.zeros(len(ids) - self.width + 1, np.int64)
         for k in range(self.width):
-            key = (key << self.bits) | ids[k : k + len(key)]
+            key = self.joined(key, ids[k : k + len(key)])
         return key
 
+    def joined(self, key: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Keys with one word more: packed, or hashed where so many words don't fit; what two n-grams of one hash seed wrongly, alignment drops."""
+        return (key << self.bits) | ids if self.bits * self.width <= 62 else key * np.int64(0x1E3779B97F4A7C15) + ids
+
     def hits(self, batch: list[str]) -> tuple[list[list[bytes]], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
         """Words of each text and their numbers (-1: in no item); and of each n-gram found: its text, its place there, its place in all."""
         get = self.vocabulary.get
@@ -86,7 +88,7 @@ class Seeds:
         at = np.flatnonzero(whole)
         key = np.zeros(len(at), np.int64)
         for k in range(self.width):
-            key = (key << self.bits) | ids[at + k]
+            key = self.joined(key, ids[at + k])
         place = np.minimum(np.searchsorted(self.all, key), len(self.all) - 1)
         met = self.all[place] == key
         at, place = at[met], place[met]
