@@ -75,3 +75,18 @@ def test_learns_from_labels_that_are_not_held_out(spark):
 def test_held_out(spark):
     df = spark.range(200).withColumnRenamed("id", "doc_id")
     assert all(r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in df.select("doc_id", tox.held_out().alias("h")).collect())
+
+
+def rank_area(scores, labels):
+    """Area under the ROC curve, ties as halves."""
+    pos, neg = ([s for s, y in zip(scores, labels, strict=True) if y == k] for k in (1, 0))
+    return sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+
+
+def test_held_out_labels_are_told(spark):
+    sf = "/root/testdata/sf0.1"
+    made = {r["doc_id"]: r for r in tox.op9_toxicity(spark, sf).collect()}
+    rows = [(made[r["doc_id"]]["score"], r["toxic"], made[r["doc_id"]]["predicted"]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if made[r["doc_id"]]["held_out"]]
+    assert rank_area([r[0] for r in rows], [r[1] for r in rows]) >= 0.92
+    flagged = [r[1] for r in rows if r[2] == 1]
+    assert sum(flagged) >= 0.75 * len(flagged) and sum(flagged) >= 0.7 * sum(r[1] for r in rows)
