@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, passages, pieces, resample, simhash
-from tidemark.llm.common import materialize, table
+from tidemark.llm.common import discard, materialize, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,14 +51,17 @@ STAGES = [
     ("encoding", encoding),
 ]
 
-#: No SQL: hashed n-gram models, SimHash, MinHash and SentencePiece are beyond it. tests/llm holds each stage against brute force.
+#: No SQL: hashed n-gram models, SimHash, MinHash and SentencePiece are beyond it. tests/llm holds the operators of the stages against
+#: brute force (the quality model against held-out labels), and what the stages do to the smallest tables.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = materialize(docs)
+        made = stage(spark, docs, sf_dir)
+        if name == STAGES[-1][0]:
+            return made
+        docs = materialize(made)
+        discard(made)  # what the stage was read from
     return docs
