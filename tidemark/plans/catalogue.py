@@ -456,7 +456,7 @@ def signal_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     merged = peaks.anchored_dedup(one.unionByName(two), 200.0).withColumn("time_s", F.col("time_s").cast("long"))
     by = ["signal", *KEY]
     det = one.withColumn("signal", F.lit("delta")).unionByName(two.withColumn("signal", F.lit("red"))).unionByName(merged.withColumn("signal", F.lit("merged")))
-    truths = truth.crossJoin(spark.createDataFrame([("delta",), ("red",), ("merged",)], "signal string"))
+    truths = truth.withColumn("signal", F.explode(F.array(*[F.lit(s) for s in ("delta", "red", "merged")])))
     kept = matching.in_range(det, truths, 60, by=by)
     pairs = matching.closest_pairs(kept, truths, 720, by=by)
     totals = kept.groupBy("signal").agg(F.count("*").alias("n_det")).join(truths.groupBy("signal").agg(F.count("*").alias("n_gt")), "signal").join(pairs.groupBy("signal").agg(F.count("*").alias("tp")), "signal")
@@ -710,6 +710,23 @@ def stream_delta(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(made.select(*KEY, F.col("time_s").cast("long").alias("us"), "delta"))
 
 
+@query
+def stream_energy(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows that a day's watermark has closed: those that end a day before the last event, or earlier."""
+    rows = event_stream(spark, sf).select(F.col("user_id").alias("session_id"), F.timestamp_micros("us").alias("ts"), "value")
+    made = live.drained(live.live_energy(rows, "2 days", "1 day", "1 day"), "energy")
+    return rounded(made.select(*KEY, F.unix_micros("start").alias("start_us"), "energy", "n"))
+
+
+@query
+def stream_fusion(spark: SparkSession, sf: str) -> DataFrame:
+    def of(kind: str) -> DataFrame:
+        return event_stream(spark, sf).where(F.col("event_type") == kind).select(F.col("user_id").alias("session_id"), F.timestamp_micros("us").alias("ts"))
+
+    made = live.drained(live.live_fusion(of("purchase"), of("click"), "12 hours", "1 day"), "fusion")
+    return made.select(*KEY, F.unix_micros("kill_ts").alias("kill_us"), F.unix_micros("shot_ts").alias("shot_us"))
+
+
 # pixels
 
 

@@ -435,6 +435,17 @@ ORACLES |= {
         more={"lb": "SELECT session_id, us AS idx, CASE WHEN k % 11 <> 0 THEN 8 + (k // 40) * 2 END AS l FROM sig", "chg": CTES["auto"].replace("idx::DOUBLE", "idx").replace("t DOUBLE", "t BIGINT").replace("FROM lb2", "FROM lb")},
     ),
     "stream_delta": sql("sig", body="SELECT session_id, us, round(value - coalesce(lag(value) OVER (PARTITION BY session_id ORDER BY us), value), 6) AS delta FROM sig"),
+    "stream_energy": sql(
+        "ev",
+        body="""SELECT session_id, start_us, round(sqrt(avg(value * value)), 6) AS energy, count(*) AS n FROM (
+        SELECT session_id, value, CAST((us // 86400000000 - i) * 86400000000 AS BIGINT) AS start_us FROM ev, (SELECT unnest(range(2)) AS i))
+        WHERE start_us + 172800000000 <= (SELECT max(us) - 86400000000 FROM ev) GROUP BY 1, 2""",
+    ),
+    "stream_fusion": sql(
+        "ev",
+        body="""SELECT p.session_id, p.us AS kill_us, c.us AS shot_us FROM ev p JOIN ev c ON c.session_id = p.session_id AND c.us BETWEEN p.us - 43200000000 AND p.us
+        WHERE p.kind = 'purchase' AND c.kind = 'click'""",
+    ),
     "otsu_levels": """SELECT vec_id, CAST(b AS BIGINT) AS level FROM (SELECT vec_id, b, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, b) AS r FROM (SELECT vec_id, b, power(m * n - q * t, 2) / (n * (t - n)) AS s FROM (
         SELECT vec_id, b, len(v)::DOUBLE AS t, list_sum(v)::DOUBLE AS m, len(list_filter(v, lambda x: x <= b))::DOUBLE AS n, coalesce(list_sum(list_filter(v, lambda x: x <= b)), 0)::DOUBLE AS q
         FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(least(floor(abs(x) * 512), 255) AS BIGINT)) AS v FROM embeddings), (SELECT unnest(range(256)) AS b)) WHERE n > 0 AND n < t)) WHERE r = 1""",

@@ -38,10 +38,15 @@ def read_events(spark: SparkSession, path: str, kinds: tuple[str, ...] = EVENT_K
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """One CSV file with a header, for results of report size; large ones go to Parquet."""
+    """One CSV file with a header, for results of report size, as one task writes it; large ones go to write_parquet."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_parquet(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
+    """Parquet files, as many as there are tasks; by: columns that become folders."""
+    df.write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
 def truth_times(df: DataFrame, preferred: str = "kill_time_s", fallback: str = "engagement_start_s") -> DataFrame:
     """time_s of a truth table: the preferred column if the table has it, else the fallback; nulls go."""
     name = preferred if preferred in df.columns else fallback

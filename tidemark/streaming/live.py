@@ -93,7 +93,10 @@ def live_energy(samples: DataFrame, length: str = "10 milliseconds", hop: str =
 
 
 def live_fusion(kills: DataFrame, shots: DataFrame, within: str = "500 milliseconds", late: str = "10 seconds", key: str = "session_id") -> DataFrame:
-    """Pairs of a kill and the shots of its session in the time before it: an interval join of two streams with watermarks."""
+    """Pairs of a kill and each shot of its session in the time before it: an interval join of two streams with watermarks.
+
+    Each shot is given as it comes; which of a kill's shots is the last is known only once the watermark has passed the kill.
+    """
     k = kills.select(F.col(key), F.col("ts").alias("kill_ts")).withWatermark("kill_ts", late)
     s = shots.select(F.col(key).alias("_key"), F.col("ts").alias("shot_ts")).withWatermark("shot_ts", late)
     near = F.expr(f"{key} = _key and shot_ts <= kill_ts and shot_ts >= kill_ts - interval {within}")
