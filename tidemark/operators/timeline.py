@@ -65,6 +65,28 @@ def tally(frames: DataFrame, events: DataFrame, time: str = "time_s", by: list[s
     return both.withColumn("n", n).where("_row is not null").select("_row.*", "n")
 
 
+def visible(frames: DataFrame, events: DataFrame, before: float, after: float, time: str = "time_s", by: list[str] = BY) -> DataFrame:
+    """event_time, offset: for each frame the events that a strip around it shows, from `before` earlier to `after` later."""
+    near = band_join(frames, events.select(*by, F.col(time).alias("event_time")), by, time, "event_time", before, after)
+    return near.withColumn("offset", F.col("event_time") - F.col(time))
+
+
+def latest(frames: DataFrame, events: DataFrame, within: float, time: str = "time_s", by: list[str] = BY) -> DataFrame:
+    """latest: the last event up to each frame that is no older than `within`; null without one."""
+    return asof(frames, events.select(*by, F.col(time).alias("_e"), F.col(time).alias("latest")), by, time, "_e", ["latest"], "backward", tolerance=within)
+
+
+def within_duration(events: DataFrame, sessions: DataFrame, time: str = "time_s", duration: str = "duration", by: list[str] = BY) -> DataFrame:
+    """n: events of each session up to its duration."""
+    counted = events.join(sessions, by).where(F.col(time) <= F.col(duration)).groupBy(*by).agg(F.count("*").alias("n"))
+    return sessions.select(*by).join(counted, by, "left").na.fill(0, ["n"])
+
+
+def tail(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The last n rows in that order; each task sends its own n at most."""
+    return rows.orderBy(*[F.desc(c) for c in order]).limit(n)
+
+
 def proximity(frames: DataFrame, events: DataFrame, ramp: float, fade: float, time: str = "time_s", by: list[str] = BY) -> DataFrame:
     """intensity: the largest of ramps up to an event and fades after it; 0 away from any."""
     near = band_join(frames, events.select(*by, F.col(time).alias("_e")), by, time, "_e", fade, ramp)

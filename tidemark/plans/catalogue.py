@@ -282,6 +282,12 @@ def rise_peaks(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(peaks.find_peaks(rise, distance=3, prominence=30.0))
 
 
+@query
+def rise_height_peaks(spark: SparkSession, sf: str) -> DataFrame:
+    rise = signal(spark, sf).select(*KEY, "idx", signals.rises().alias("value"))
+    return rounded(peaks.find_peaks(rise, height=20.0, distance=4))
+
+
 @query
 def width_filter(spark: SparkSession, sf: str) -> DataFrame:
     rows = signal(spark, sf)
@@ -627,6 +633,27 @@ def running_tally(spark: SparkSession, sf: str) -> DataFrame:
     return timeline.tally(minutes(spark, sf, "purchase"), of_kind(spark, sf, "click").select(*KEY, F.col("m").alias("time_s")))
 
 
+@query
+def visible_events(spark: SparkSession, sf: str) -> DataFrame:
+    return timeline.visible(minutes(spark, sf, "purchase"), minutes(spark, sf, "signup"), 4320, 7200)
+
+
+@query
+def latest_event(spark: SparkSession, sf: str) -> DataFrame:
+    return timeline.latest(minutes(spark, sf, "purchase"), minutes(spark, sf, "signup"), 2160)
+
+
+@query
+def within_duration(spark: SparkSession, sf: str) -> DataFrame:
+    det, truth = both(spark, sf)
+    return timeline.within_duration(det, truth.groupBy(*KEY).agg(F.max("time_s").alias("duration")))
+
+
+@query
+def last_events(spark: SparkSession, sf: str) -> DataFrame:
+    return timeline.tail(events(spark, sf).select(*KEY, "event_id", "us"), 20, "us", "event_id")
+
+
 @query
 def proximity(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(timeline.proximity(minutes(spark, sf, "purchase"), minutes(spark, sf, "signup"), 900.0, 600.0))
@@ -670,6 +697,14 @@ def digit_classify(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(read(spark, sf, "embeddings").select("vec_id", scalars.classify_profile(profile).alias("digit")))
 
 
+@query
+def scanned_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames classified one by one, and the confirmed changes of what they show."""
+    profile = F.transform(F.slice("embedding", 1, 15), lambda x: F.floor(F.abs(x) * 40).cast("int"))
+    frames_ = read(spark, sf, "embeddings").select(F.expr("vec_id div 50").alias("session_id"), F.col("vec_id").alias("idx"), F.col("vec_id").cast("double").alias("time_s"), scalars.classify_profile(profile).alias("label"))
+    return rounded(automaton.transitions(frames_, 2, 8, 0.5))
+
+
 @query
 def axis_maps(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(events(spark, sf).select("event_id", scalars.to_pixel(F.col("value"), 0.0, 500.0, 40, 1280).alias("x"), scalars.confidence_bar(1 + F.col("value") / 100, 90).alias("bar")))

@@ -229,6 +229,15 @@ _NARROW = {
 }
 _AUDIO = audio(0.8, 3, 6.0, "a")
 ORACLES |= {
+    "rise_height_peaks": sql(
+        "sig",
+        body="SELECT session_id, idx, round(height, 6) AS height FROM (" + thinned("rm", "height >= 20", 4) + ")",
+        more={
+            "rs": "SELECT session_id, idx, greatest(value - coalesce(lag(value) OVER (PARTITION BY session_id ORDER BY idx), value), 0) AS value FROM sig",
+            "rr": "SELECT session_id, run, min(idx) AS i0, max(idx) AS i1, any_value(value) AS v FROM (SELECT *, sum(b) OVER (PARTITION BY session_id ORDER BY idx) AS run FROM (SELECT *, CASE WHEN value = lag(value) OVER (PARTITION BY session_id ORDER BY idx) THEN 0 ELSE 1 END AS b FROM rs)) GROUP BY 1, 2",
+            "rm": "SELECT session_id, (i0 + i1) // 2 AS idx, v AS height FROM (SELECT *, lag(v) OVER w AS p, lead(v) OVER w AS q FROM rr WINDOW w AS (PARTITION BY session_id ORDER BY run)) WHERE v > p AND v > q",
+        },
+    ),
     "width_filter": sql("smax", "sig", body="SELECT session_id, idx, value AS height, width FROM rn WHERE is_peak AND width <= 2", more=_NARROW),
     "rejected_peaks": sql("smax", "sig", body="SELECT pk.session_id, pk.idx, pk.height FROM pk JOIN rn ON rn.session_id = pk.session_id AND rn.idx = pk.idx WHERE width > 2", more=_NARROW),
     "red_gate": sql("smax", "sig", body="SELECT pk.session_id, pk.idx, height FROM pk JOIN sig ON sig.session_id = pk.session_id AND sig.idx = pk.idx WHERE k >= 30", more={"pk": thinned("smax", "height >= 20", 4)}),
@@ -402,6 +411,14 @@ ORACLES |= {
         FROM aq GROUP BY 1""",
     ),
     "running_tally": sql("ev", "gt", body="SELECT gt.session_id, gt.t AS time_s, count(s.m) AS n FROM gt LEFT JOIN ev s ON s.session_id = gt.session_id AND s.kind = 'click' AND s.m <= gt.t GROUP BY 1, 2"),
+    "visible_events": sql("det", "gt", body="SELECT gt.session_id, gt.t AS time_s, det.t AS event_time, det.t - gt.t AS offset FROM gt JOIN det ON det.session_id = gt.session_id AND det.t - gt.t BETWEEN -4320 AND 7200"),
+    "latest_event": sql("det", "gt", body="SELECT gt.session_id, gt.t AS time_s, max(det.t) AS latest FROM gt LEFT JOIN det ON det.session_id = gt.session_id AND det.t BETWEEN gt.t - 2160 AND gt.t GROUP BY 1, 2"),
+    "within_duration": sql(
+        "det",
+        "gt",
+        body="SELECT g.session_id, count(det.t) AS n FROM (SELECT session_id, max(t) AS duration FROM gt GROUP BY 1) g LEFT JOIN det ON det.session_id = g.session_id AND det.t <= g.duration GROUP BY 1",
+    ),
+    "last_events": sql("ev", body="SELECT session_id, event_id, us FROM ev ORDER BY us DESC, event_id DESC LIMIT 20"),
     "proximity": sql(
         "det",
         "gt",
@@ -428,6 +445,10 @@ ORACLES |= {
     "tick_rates": sql("ev", body="SELECT session_id, coalesce(CASE WHEN session_id % 5 <> 0 THEN CAST(round_even(sum(k) / greatest(count(*) / 2.0::DOUBLE, 1), 0) AS BIGINT) END, 64) AS rate FROM ev GROUP BY 1"),
 }
 ORACLES |= {
+    "scanned_counts": sql(
+        body=CTES["tr"].replace("FROM auto", "FROM chg"),
+        more={"dg": ORACLES["digit_classify"], "lb": "SELECT vec_id // 50 AS session_id, vec_id AS idx, digit AS l FROM dg", "chg": CTES["auto"].replace("FROM lb2", "FROM lb")},
+    ),
     "stream_dedup": ORACLES["dedup_anchor"],
     "stream_transitions": sql(
         "sig",
