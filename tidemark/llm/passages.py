@@ -241,17 +241,23 @@ def prefix_pairs(left: DataFrame, sets: DataFrame, similarity: float) -> DataFra
 
     Of n shingles, the rarest n - ceil(similarity * n) + 1 are a line's prefix. Two lines of that Jaccard
     coefficient share a shingle of their prefixes, whatever the order of shingles is; by rarity, what a common template gives
-    to thousands of lines of one bucket comes last, and such lines don't meet.
+    to thousands of lines of one bucket comes last, and such lines don't meet. Shingles that one root alone holds can't be
+    shared, which bounds what two lines can reach: edited copies of one line, each with edits of its own, are told apart by these counts.
     """
     words = left.join(sets, "node").select("node", "root", F.explode("shingles").alias("shingle"))
     rarity = words.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
     of_line = words.join(rarity, "shingle").groupBy("node", "root").agg(F.sort_array(F.collect_list(F.struct("n", "shingle", "low", "high"))).alias("ordered"))  # shingles of one line
     size = F.size("ordered")
     prefix = F.slice("ordered", 1, (size - F.ceil(size * F.lit(similarity) - F.lit(1e-9)) + 1).cast("int"))
-    held = of_line.select("node", "root", F.explode(prefix).alias("p")).where("p.low < p.high").select("node", "root", F.col("p.shingle").alias("shingle"))
-    held = materialize(held)
-    a, b = (held.select("shingle", F.col("node").alias(side), F.col("root").alias(f"root_{side}")) for side in "ab")
-    return a.join(b, (a["shingle"] == b["shingle"]) & (F.col("root_a") < F.col("root_b"))).select("a", "b")
+    own = F.size(F.filter("ordered", lambda p: p["low"] == p["high"]))
+    shared = F.transform(F.filter(prefix, lambda p: p["low"] < p["high"]), lambda p: p["shingle"])
+    held = of_line.select("node", "root", size.alias("size"), (size - own).alias("most"), shared.alias("prefix")).select("node", "root", "size", "most", "prefix", F.posexplode("prefix").alias("n", "shingle"))
+    # a pair meets at the first shingle that both prefixes have, and those before it are no part of what it shares
+    held = materialize(held.select("shingle", "node", "root", "size", (F.col("most") - F.col("n")).alias("most"), F.expr("slice(prefix, 1, n)").alias("before")))
+    a, b = (held.select("shingle", F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("root", "size", "most", "before")]) for side in "ab")
+    most = F.least("most_a", "most_b")
+    reach = most >= F.lit(similarity) * (F.col("size_a") + F.col("size_b") - most) - F.lit(1e-9)
+    return a.join(b, (a["shingle"] == b["shingle"]) & (F.col("root_a") < F.col("root_b")) & reach & ~F.arrays_overlap("before_a", "before_b")).select("a", "b")
 
 
 def line_clusters(rows: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
