@@ -100,3 +100,13 @@ def test_of_two_attempts_at_a_batch_one_counts(spark, tmp_path):
     assert one.commit("b", signed) and not other.commit("b", signed)
     assert totals(one) == {("a", "en"): (1, 2)}
     assert len(list((tmp_path / "l/rows/b").iterdir())) == 1
+
+
+def test_a_batch_is_taken_back(spark, tmp_path):
+    book = ledger.Ledger(spark, f"file://{tmp_path}/l")
+    assert book.commit("b1", book.signed(changes(spark, [("insert", 1, "a", "en", "one two"), ("insert", None, "a", "en", "three")]), "words", words))
+    assert book.commit("b2", book.signed(changes(spark, [("delete", None, None, None, None), ("revise", 1, "b", "de", "x")]), "words", words))
+    assert totals(book) == {("b", "de"): (1, 1)}
+    assert book.reversal("b9").count() == 0
+    assert book.commit("b3", book.reversal("b2"))
+    assert totals(book) == {("a", "en"): (2, 3)}

@@ -128,6 +128,12 @@ class Ledger:
         taken = held.join(gone, held["doc_id"].eqNullSafe(gone["_id"]), "left_semi")
         return added.unionByName(taken.select("doc_id", *TOTALS, (-F.col("n_docs")).alias("n_docs"), (-F.col("n_tokens")).alias("n_tokens")))
 
+    def reversal(self, batch: str) -> DataFrame:
+        """Signed rows that take a committed batch back; none of one that isn't committed."""
+        attempt = self.committed().get(batch)
+        rows = self.spark.read.schema(SIGNED).parquet(f"{self.path}/rows/{batch}/{attempt}") if attempt else self.spark.createDataFrame([], SIGNED)
+        return rows.withColumns({c: -F.col(c) for c in ("n_docs", "n_tokens")})
+
     def commit(self, batch: str, signed: DataFrame) -> bool:
         """Writes a batch once; False if it was committed before, or by another driver meanwhile.
 
@@ -162,22 +168,18 @@ class Ledger:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after four batches: all documents are inserted, the same again (passed over); those labelled bad are taken
-    down and those labelled good revised, with the text that they have; those taken down are restored. So the totals are the table's."""
+    """Totals after four batches: all documents are inserted; the same again, which is passed over; those labelled bad are taken
+    down and empty texts revised; that review is taken back. So the totals are the table's."""
     import public_tokenizers
 
     ledger = Ledger(spark, f"{scratch_dir(spark)}/ledger-{uuid.uuid4().hex}")
     setup = byte_pair_counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     docs, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
-    quality = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("doc_id is not null and quality is not null")
-    labelled = docs.select("doc_id", "source", "lang", "text").join(quality, "doc_id")
-    bad, good = labelled.where("quality = 0").drop("quality"), labelled.where("quality = 1").drop("quality")
-    for batch, changes in (
-        ("backfill", docs.withColumn("op", F.lit("insert"))),
-        ("backfill", docs.withColumn("op", F.lit("insert"))),
-        ("review", bad.withColumn("op", F.lit("delete")).unionByName(good.withColumn("op", F.lit("revise")))),
-        ("restore", bad.withColumn("op", F.lit("insert"))),
-    ):
-        if batch not in ledger.committed():
-            ledger.commit(batch, ledger.signed(changes, "byte_bpe_50k", setup))
+    everything = docs.withColumn("op", F.lit("insert"))
+    for _ in range(2):
+        ledger.commit("backfill", ledger.signed(everything, "byte_bpe_50k", setup))
+    taken = labels.where("quality = 0").select("doc_id", F.lit("delete").alias("op"))
+    empty = docs.where("text is null or text = ''").select("doc_id", "source", "lang", "text", F.lit("revise").alias("op"))
+    ledger.commit("review", ledger.signed(empty.unionByName(taken, allowMissingColumns=True), "byte_bpe_50k", setup))
+    ledger.commit("appeal", ledger.reversal("review"))
     return ledger.totals()
