@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, extract, ledger, licenses, passages, pieces, resample, rules, simhash, toxicity
+from tidemark.llm import decontaminate, divergence, extract, ledger, licenses, passages, pieces, resample, rules, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_simhash": simhash.op10_simhash,
+        "op11_divergence": divergence.op11_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_rules": rules.ORACLE}
+    return {"op3_rules": rules.ORACLE, "op11_divergence": divergence.ORACLE}
