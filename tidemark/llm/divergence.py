@@ -1,9 +1,10 @@
 """Source divergence audit: how far each source's use of words lies from the other sources and from its language.
 
-Terms are counted by (lang, source) with a map-side combine, then each kept term becomes one wide row: an array with
-a place for each source of its language. Higher-order functions make smoothed shares of it and emit a contribution for
-each pair of sources, which a map-side aggregation sums; nothing is collected but a term's array, which is as long as
-its language has sources, as is each row of the result's groups.
+Each text's terms are counted where it is read, and summed by (lang, source, term) with a map-side combine. Then each
+kept term becomes one wide row: an array with a place for each source of its language. Higher-order functions make
+smoothed shares of it and emit a contribution for each pair of sources, which a map-side aggregation sums. Nothing is
+collected but a term's array and a language's, which are as long as the language has sources, as is each `pair` group
+of the result.
 
 A null text, lang or source is ''. A text without terms counts nowhere, but its group exists. Repeated rows count as
 often as they stand. Ties rank by the item's UTF-8 bytes. An empty table gives no rows. Columns are taken by name, so
@@ -12,14 +13,20 @@ others of any name pass by unread. Shares are whole numbers, in parts of SCALE,
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, materialize, table, tuned
+from tidemark.llm.common import discard, map_batches, materialize, table
 
 #: A term is a run of letters: A to Z, a to z, and everything beyond ASCII.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What becomes of each byte of a text in UTF-8: A to Z are lowered, what parts terms becomes a space. Characters beyond ASCII have bytes from 128 on alone.
+LOWERED = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
 
 #: Parts that a share is counted in, and what is added to each count.
 SCALE, ADDED = 1_000_000_000, 5
@@ -27,16 +34,21 @@ SCALE, ADDED = 1_000_000_000, 5
 LEAST_DOCS, RANKS = 30, 50
 
 
+def _counted(columns: dict[str, list]) -> pa.RecordBatch:
+    """lang, source, term, n of each text's terms."""
+    own = [Counter(text.encode("utf-8", "surrogatepass").translate(LOWERED).split()) for text in columns["text"]]
+    row = pa.array(np.repeat(np.arange(len(own)), np.fromiter(map(len, own), np.int64, len(own))))
+    made = [pa.array(columns[c], pa.string()).take(row) for c in ("lang", "source")]
+    made.append(pa.array(list(chain.from_iterable(own)), pa.binary()).cast(pa.string()))
+    made.append(pa.array(list(chain.from_iterable(c.values() for c in own)), pa.int64()))
+    return pa.RecordBatch.from_arrays(made, ["lang", "source", "term", "n"])
+
+
 def term_counts(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
     """lang, term, n_docs, counts (source, n): the terms in at least so many documents of their language."""
-    text = F.coalesce("text", F.lit(""))
-    # only A to Z change; of a text of ASCII alone lower() changes nothing else, and is the faster
-    lowered = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    terms = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0)).alias("terms"))
-    # each occurrence, then each term of the document once more
-    each = terms.select("lang", "source", F.size("terms").alias("size"), F.posexplode(F.concat("terms", F.array_distinct("terms"))).alias("at", "term"))
-    own = F.when(F.col("at") < F.col("size"), 1).otherwise(0)
-    counted = each.groupBy("lang", "source", "term").agg(F.sum(own).alias("n"), F.sum(1 - own).alias("docs"))
+    named = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
+    met = map_batches(named, _counted, "lang string, source string, term string, n long")
+    counted = met.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
     wide = counted.groupBy("lang", "term").agg(F.sum("docs").alias("n_docs"), F.collect_list(F.struct("source", "n")).alias("counts"))  # a source each
     return wide.where(F.col("n_docs") >= least)
 
@@ -85,7 +97,6 @@ def term_divergence(wide: DataFrame) -> DataFrame:
 
 def audit(docs: DataFrame, least: int = LEAST_DOCS, ranks: int = RANKS) -> DataFrame:
     """lang, source, part, item, value, rank: part `pair` whole, part `term` to so many ranks."""
-    tuned(docs.sparkSession)
     kept = materialize(term_counts(docs, least))
     groups = materialize(source_groups(docs, kept))
     wide = shares(kept, groups)
