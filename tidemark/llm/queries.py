@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, divergence, extract, ledger, licenses, passages, pieces, resample, rules, simhash, toxicity
+from tidemark.llm import decontaminate, divergence, extract, ledger, licenses, passages, pieces, prefixes, resample, rules, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_simhash": simhash.op10_simhash,
         "op11_divergence": divergence.op11_divergence,
+        "op12_prefixes": prefixes.op12_prefixes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_rules": rules.ORACLE, "op11_divergence": divergence.ORACLE}
+    return {"op3_rules": rules.ORACLE, "op11_divergence": divergence.ORACLE, "op12_prefixes": prefixes.ORACLE}
