@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, divergence, extract, ledger, licenses, passages, pieces, prefixes, resample, rules, simhash, toxicity
+from tidemark.llm import decontaminate, divergence, extract, langid, ledger, licenses, passages, pieces, prefixes, resample, rules, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_simhash": simhash.op10_simhash,
         "op11_divergence": divergence.op11_divergence,
         "op12_prefixes": prefixes.op12_prefixes,
+        "op13_langid": langid.op13_langid,
     }
 
 
