@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import partial
 from itertools import islice
 
 import pyarrow as pa
@@ -58,14 +59,14 @@ def _turn(role: str, text: str) -> tuple[bytes, int]:
 class Family:
     """The trie of one family, made turn by turn; rows() are its nodes, each after its parent.
 
-    Beyond MOST_NODES the nodes met so far are given away and conversations to come have nodes of their own,
+    Beyond `most` nodes those met so far are given away and conversations to come have nodes of their own,
     which the global merge combines as it does those of other families.
     """
 
     ROOT = bytes(16)
 
-    def __init__(self, base: int):
-        self.base, self.head, self.placed = base, [], 0
+    def __init__(self, base: int, most: int):
+        self.base, self.most, self.head, self.placed = base, most, [], 0
         self.nodes: dict[bytes, list] = {}
         self.conv: int | None = None
         self.out: list[list] = []
@@ -73,7 +74,7 @@ class Family:
     def _visit(self, node: bytes, parent: bytes | None, depth: int, n_bytes: int) -> None:
         at = self.nodes.get(node)
         if at is None:
-            if len(self.nodes) >= MOST_NODES:
+            if len(self.nodes) >= self.most:
                 self.give()
             at = self.nodes[node] = [self.base, self.placed, self.here[1] if parent else -1, depth, node, parent, self.conv, 0, n_bytes, []]
             self.placed += 1
@@ -127,7 +128,7 @@ LONG, BYTES = pa.int64(), pa.binary()
 NODE_SCHEMA = pa.schema(list(zip("family place up depth node parent conv_id n_convs n_bytes ends".split(), [LONG] * 4 + [BYTES] * 2 + [LONG] * 3 + [pa.list_(LONG)], strict=True)))
 
 
-def _tries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tries(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Nodes of families, from base, conv_id, role, text: a family's rows together, its base's conversation first, each conversation's turns in order."""
 
     def made() -> Iterator[list]:
@@ -138,7 +139,7 @@ def _tries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     family.close()
                     family.give()
                     yield from family.out
-                family = Family(base)
+                family = Family(base, most)
             family.add(conv, role, text)
             if family.out:
                 yield from family.out
@@ -151,12 +152,12 @@ def _tries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _packed(made(), NODE_SCHEMA)
 
 
-def family_nodes(conversations: DataFrame) -> DataFrame:
+def family_nodes(conversations: DataFrame, most: int = MOST_NODES) -> DataFrame:
     """The nodes of each family's trie (NODES): up is the parent's place, ends are the conversations that end there."""
     tuned(conversations.sparkSession)
     rows = conversations.where("conv_id is not null").select(F.expr(base_of()).alias("base"), "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartition("base").sortWithinPartitions("base", F.expr("conv_id <> base"), "conv_id", "turn", "role", "text")
-    return ordered.select("base", "conv_id", "role", "text").mapInArrow(_tries, NODES)
+    return ordered.select("base", "conv_id", "role", "text").mapInArrow(partial(_tries, most=most), NODES)
 
 
 def merged_nodes(nodes: DataFrame) -> DataFrame:
@@ -225,9 +226,9 @@ def end_digests(nodes: DataFrame) -> DataFrame:
     return joined.repartition("node").sortWithinPartitions("node", "part").select("node", "text").mapInArrow(_hashed, "node binary, ends_sha256 string")
 
 
-def prefix_trie(conversations: DataFrame) -> DataFrame:
+def prefix_trie(conversations: DataFrame, most_nodes: int = MOST_NODES) -> DataFrame:
     """A row for each node: conv_id (smallest member), depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
-    nodes = materialize(family_nodes(conversations))
+    nodes = materialize(family_nodes(conversations, most_nodes))
     plain = materialize(merged_nodes(nodes))
     children = plain.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_children"))
     parents = plain.select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
