@@ -2,10 +2,13 @@
 
 import itertools
 import random
+import time
 
+import numpy as np
 import pytest
 
 from tidemark.operators import matching as m
+from tidemark.operators.assignment import assign, bands, pair_counts
 
 
 def frame(spark, times, name="time_s"):
@@ -67,15 +70,99 @@ def test_assignment_against_brute_force():
     for _ in range(200):
         det, truth = (sorted(rng.randrange(12) for _ in range(rng.randrange(1, 6))) for _ in range(2))
         for most in (True, False):
-            import numpy as np
-
-            found = m._assign(np.array(det, float), np.array(truth, float), 2.0, most)
+            found = assign(np.array(det, float), np.array(truth, float), 2.0, most)
             gaps = [abs(det[i] - truth[j]) for i, j in found]
             assert len({i for i, _ in found}) == len({j for _, j in found}) == len(found)
             key = (-len(gaps), sum(gaps)) if most else (sum(gaps),)
             assert key == pytest.approx(brute(det, truth, 2.0, most))
 
 
+def table_assign(d, g, tolerance, most):
+    """The same choice of equals, by whole tables: out goes the last column first, then the last row."""
+    if not most and len(d) > len(g):
+        return [(i, j) for j, i in table_assign(g, d, tolerance, most)]
+    best = {(0, j): (0, 0, 0) for j in range(len(g) + 1)} | ({(i, 0): (0, 0, 2) if most else (0, float("inf"), 2) for i in range(1, len(d) + 1)})
+    for i, x in enumerate(d, 1):
+        for j, y in enumerate(g, 1):
+            options = [(*best[i, j - 1][:2], 1)]
+            if most:
+                options.append((*best[i - 1, j][:2], 2))
+            if not most or abs(x - y) <= tolerance:
+                options.append((best[i - 1, j - 1][0] - most, best[i - 1, j - 1][1] + abs(x - y), 3))
+            best[i, j] = min(options)
+    pairs, i, j = [], len(d), len(g)
+    while i and j:
+        k = best[i, j][2]
+        if k == 3:
+            pairs.append((i - 1, j - 1))
+        i, j = i - (k != 1), j - (k != 2)
+    return pairs[::-1]
+
+
+def test_bands_choose_as_tables_do():
+    rng = random.Random(6)
+    for _ in range(400):
+        det, truth = (sorted(rng.randrange(rng.choice([10, 60])) for _ in range(rng.randrange(25))) for _ in range(2))
+        for most in (True, False):
+            assert assign(np.array(det, float), np.array(truth, float), 2.0, most) == table_assign(det, truth, 2, most)
+
+
+def test_bands_go_by_differences():
+    d, g = np.array([0.3, 0.7, 1.5, 2.0]), np.array([0.1, 0.6, 1.0, 1.1, 2.5])
+    for tolerance in (0.1, 0.2, 0.4, 0.5, 0.0):
+        low, high = bands(d, g, tolerance)
+        for i, x in enumerate(d):
+            assert [j for j, y in enumerate(g) if abs(x - y) <= tolerance] == list(range(low[i], high[i]))
+
+
+def test_long_sides_in_one_island():
+    """100,000 times in one island, a band of about a hundred; and 50,000 of which 30,000 are wholly paired."""
+    rng = np.random.default_rng(1)
+    d, g = (np.sort(rng.uniform(0, 5000, 50_000)) for _ in range(2))
+    start = time.perf_counter()
+    found = assign(d, g, 5.0, True)
+    assert len(found) == pair_counts(d, g, np.array([0]), 5.0)[0] > 49_000
+    assert len(assign(d[:30_000], g[:32_000], 5.0, False)) <= 30_000
+    assert time.perf_counter() - start < 60
+
+
+def test_counts_of_all_offsets():
+    rng = random.Random(8)
+    for _ in range(60):
+        det, truth = (sorted({rng.randrange(rng.choice([40, 200])) for _ in range(rng.randrange(14))}) for _ in range(2))
+        offsets = np.arange(-70, 70, rng.choice([1, 5]))
+        found = pair_counts(np.array(det, np.int64), np.array(truth, np.int64), offsets, 3)
+        assert found.tolist() == [len(table_assign([x - o for x in det], truth, 3, True)) for o in offsets.tolist()]
+        assert (pair_counts(np.array(det, float), np.array(truth, float), offsets / 10, 0.3) == [len(table_assign([x - o for x in det], truth, 0.3, True)) for o in (offsets / 10).tolist()]).all()
+
+
+def searched(det, truth, coarse, fine, tolerance):
+    """Every offset tried by a match of its own."""
+    best, most = 0, 0
+    for tried in (coarse, fine):
+        at = best if tried is fine else 0
+        for o in tried:
+            n = len(table_assign([x - at - o for x in det], truth, tolerance, True))
+            if n > most:
+                best, most = at + o, n
+    return best, most
+
+
+def test_offset_search_against_a_match_of_each_offset(spark):
+    rng = random.Random(9)
+    sessions = {f"s{i}": [sorted({rng.randrange(3000) for _ in range(rng.randrange(12))}) for _ in range(2)] for i in range(40)}
+    sessions["hit"] = [[x + 37 for x in (100, 250, 300, 470, 600)], [100, 250, 300, 470, 600]]
+    sessions["far"] = [[10, 5000], [20, 5030]]
+    d = spark.createDataFrame([(s, t) for s, (x, _) in sessions.items() for t in x], "session_id string, time_s long")
+    g = spark.createDataFrame([(s, t) for s, (_, y) in sessions.items() for t in y], "session_id string, time_s long")
+    coarse, fine = range(-70, 70, 10), range(-10, 10, 1)
+    found = {r["session_id"]: (r["best_offset"], r["best_tp"]) for r in m.offset_search(d, g, coarse, fine, 4).collect()}
+    assert found == {s: searched(x, y, coarse, fine, 4) for s, (x, y) in sessions.items() if x or y}
+    moved = {tuple(r) for r in m.shifted(d, m.offset_search(d, g, coarse, fine, 4)).where("session_id = 'hit'").collect()}
+    assert moved == {("hit", x + 37 - found["hit"][0]) for x in (100, 250, 300, 470, 600)}
+    assert m.offset_search(d.limit(0), g.limit(0), coarse, fine, 4).collect() == []
+
+
 def greedy(det, truth, tolerance):
     free, made = list(truth), []
     for d in sorted(det):

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import assignment
 from tidemark.operators.asof import band_join, islands
 
 BY = ["session_id"]
@@ -61,43 +62,12 @@ def closest_pairs(det: DataFrame, truth: DataFrame, tolerance: float, time: str
     return sorted_pairs.select(*by, F.explode(F.expr(fold)).alias("_p")).select(*by, F.col("_p.dt").alias("det_time"), F.col("_p.gt").alias("truth_time"))
 
 
-def _assign(d: np.ndarray, g: np.ndarray, tolerance: float, most: bool) -> list[tuple[int, int]]:
-    """Pairs in order of sorted times: least total distance with all of the smaller side matched, or (most) most pairs within tolerance and then least distance."""
-    n, m = len(d), len(g)
-    if not n or not m:
-        return []
-    if not most and n > m:
-        return [(i, j) for j, i in _assign(g, d, tolerance, most)]
-    gap = np.abs(d[:, None] - g[None, :])
-    # lexicographic cost: pairs first (negative count), then distance
-    count, cost = np.zeros((n + 1, m + 1)), np.zeros((n + 1, m + 1))
-    if not most:
-        cost[1:, 0] = np.inf
-    choice = np.zeros((n + 1, m + 1), np.int8)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            options = [(count[i, j - 1], cost[i, j - 1], 1)]
-            if most:
-                options.append((count[i - 1, j], cost[i - 1, j], 2))
-            if not most or gap[i - 1, j - 1] <= tolerance:
-                options.append((count[i - 1, j - 1] - (1 if most else 0), cost[i - 1, j - 1] + gap[i - 1, j - 1], 3))
-            count[i, j], cost[i, j], choice[i, j] = min(options)
-    pairs, i, j = [], n, m
-    while i and j:
-        c = choice[i, j]
-        if c == 3:
-            pairs.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        else:
-            i, j = (i, j - 1) if c == 1 else (i - 1, j)
-    return pairs[::-1]
-
-
 def optimal_assignment(det: DataFrame, truth: DataFrame, tolerance: float, time: str = "time_s", by: list[str] = BY, most: bool = True) -> DataFrame:
     """det_time, truth_time: best one-to-one pairs within the tolerance.
 
     most: the most pairs, then the least total distance, of each island by itself; else the least total distance with the
-    smaller side wholly matched, pairs beyond the tolerance dropped afterwards: those may span any gap, so a session is one group then.
+    smaller side wholly matched, pairs beyond the tolerance dropped afterwards: those may span any gap, so a session's times are one group then.
+    Either takes a group's two arrays of times and, beside them, its band times twice the root of its smaller side.
     """
     det, truth = (x.withColumn(time, F.col(time).cast("double")) for x in (det, truth))
     both = sides(det, truth, tolerance if most else None, time, by)
@@ -106,7 +76,7 @@ def optimal_assignment(det: DataFrame, truth: DataFrame, tolerance: float, time:
     def each(rows: pd.DataFrame) -> pd.DataFrame:
         made = []
         for *key, d, g in rows[[*by, "d", "g"]].itertuples(index=False):
-            for i, j in _assign(np.asarray(d, float), np.asarray(g, float), tolerance, most):
+            for i, j in assignment.assign(np.asarray(d, float), np.asarray(g, float), tolerance, most):
                 if abs(d[i] - g[j]) <= tolerance:
                     made.append((*key, d[i], g[j]))
         return pd.DataFrame(made, columns=[*by, "det_time", "truth_time"])
@@ -141,6 +111,45 @@ def offset_grid(det: DataFrame, truth: DataFrame, offsets: list[int], tolerance:
     return counted.groupBy(*by).agg(F.max_by(F.struct("_shift", "_tp"), F.struct("_tp", -F.col("_rank"))).alias("_b")).select(*by, F.when(F.col("_b._tp") > 0, F.col("_b._shift")).otherwise(0).alias("best_offset"), F.col("_b._tp").cast("long").alias("best_tp"))
 
 
+def offset_search(det: DataFrame, truth: DataFrame, coarse: range, fine: range, tolerance: int, time: str = "time_s", by: list[str] = BY) -> DataFrame:
+    """best_offset, best_tp: the offset (whole units) to take off the detections that allows the most pairs within the tolerance.
+
+    Tried are the coarse offsets, then the fine ones about the best of them; of equals the first, and a fine one only if it beats
+    the coarse. 0 where nothing pairs. No pair of any offset spans a gap wider than the reach and the tolerance, so a session's
+    islands are counted in parallel and their counts, a row an offset, summed. Sessions with one side only are there.
+    """
+    reach = max(abs(o) for o in coarse) + max(abs(o) for o in fine) + tolerance
+    both = sides(det.withColumn(time, F.col(time).cast("long")), truth.withColumn(time, F.col(time).cast("long")), reach, time, by)
+    kinds = ", ".join(f"{c} {dict(det.dtypes)[c]}" for c in by)
+
+    def counted(rows: DataFrame, offsets: range) -> DataFrame:
+        """_best: the first offset with the most pairs, of rows with _at, what the offsets are added to; nothing where no offset has a pair."""
+        tried = np.array(offsets, np.int64)
+
+        def each(part: pd.DataFrame) -> pd.DataFrame:
+            made = []
+            for *key, d, g, at in part[[*by, "d", "g", "_at"]].itertuples(index=False):
+                found = assignment.pair_counts(np.asarray(d, np.int64) - at, np.asarray(g, np.int64), tried, tolerance)
+                made += [(*key, at, n, tried[n], found[n]) for n in np.flatnonzero(found).tolist()]
+            return pd.DataFrame(made, columns=[*by, "_at", "_n", "_offset", "_tp"])
+
+        found = rows.mapInPandas(lambda parts: map(each, parts), f"{kinds}, _at long, _n int, _offset long, _tp long")
+        sums = found.groupBy(*by, "_at", "_n", "_offset").agg(F.sum("_tp").alias("_tp"))
+        return sums.groupBy(*by).agg(F.max_by(F.struct((F.col("_at") + F.col("_offset")).alias("o"), F.col("_tp").alias("tp")), F.struct("_tp", -F.col("_n"))).alias("_best"))
+
+    first = counted(both.withColumn("_at", F.lit(0).cast("long")), coarse)
+    start = both.select(*by).distinct().join(first, by, "left").select(*by, F.coalesce("_best.o", F.lit(0)).alias("_at"), F.coalesce("_best.tp", F.lit(0)).alias("_tp"))
+    second = counted(both.join(start.select(*by, "_at"), by), fine)
+    best = start.join(second, by, "left")
+    better = F.coalesce(F.col("_best.tp") > F.col("_tp"), F.lit(False))
+    return best.select(*by, F.when(better, F.col("_best.o")).otherwise(F.col("_at")).alias("best_offset"), F.when(better, F.col("_best.tp")).otherwise(F.col("_tp")).alias("best_tp"))
+
+
+def shifted(det: DataFrame, offsets: DataFrame, time: str = "time_s", by: list[str] = BY) -> DataFrame:
+    """The detections with their session's best_offset taken off."""
+    return det.join(offsets.select(*by, "best_offset"), by).withColumn(time, F.col(time) - F.col("best_offset")).drop("best_offset")
+
+
 def offset_correlation(det: DataFrame, truth: DataFrame, reach: int, step: int, sigma: float, time: str = "time_s", by: list[str] = BY) -> DataFrame:
     """best_offset: the lag whose Gaussian-blurred trains correlate most, from pairwise differences within reach plus four widths."""
     slack = 4 * sigma * 2**0.5

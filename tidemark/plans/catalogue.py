@@ -407,6 +407,32 @@ def min_cost_assignment(spark: SparkSession, sf: str) -> DataFrame:
     return matching.optimal_assignment(*both(spark, sf), 1440, most=False)
 
 
+@query
+def optimal_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of the optimal pairs, without an offset."""
+    det, truth = both(spark, sf)
+    return rounded(matching.scored(det, truth, matching.optimal_assignment(det, truth, 1440), scale=60.0))
+
+
+#: A unit of time is 12 minutes: offsets of 700 units either way in steps of ten, then 50 about the best of them in single ones, pairs within 50.
+COARSE, FINE = range(-8400, 8400, 120), range(-600, 600, 12)
+
+
+@query
+def offset_search(spark: SparkSession, sf: str) -> DataFrame:
+    return matching.offset_search(*both(spark, sf), COARSE, FINE, 600)
+
+
+@query
+def validated_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Each session's offset, and the scores of the optimal pairs of the detections that it is taken off."""
+    det, truth = both(spark, sf)
+    offsets = matching.offset_search(det, truth, COARSE, FINE, 600)
+    moved = matching.shifted(det, offsets)
+    made = matching.scored(moved, truth, matching.optimal_assignment(moved, truth, 540), scale=60.0)
+    return rounded(made.join(offsets.drop("best_tp"), KEY))
+
+
 @query
 def offset_grid(spark: SparkSession, sf: str) -> DataFrame:
     return matching.offset_grid(*both(spark, sf), list(range(-600, 601, 120)), 360)

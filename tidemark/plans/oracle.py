@@ -89,8 +89,8 @@ CTES = {
 }
 
 
-def sql(*names: str, body: str, more: dict[str, str] | None = None) -> str:
-    """A query after the named common expressions, and those that they need, in the order of CTES."""
+def sql(*names: str, body: str, more: dict[str, str] | None = None, recursive: bool = False) -> str:
+    """A query after the named common expressions, and those that they need, in the order of CTES; recursive: some of `more` refer to themselves."""
     import re
 
     wanted, todo = set(), list(names)
@@ -100,7 +100,50 @@ def sql(*names: str, body: str, more: dict[str, str] | None = None) -> str:
             wanted.add(name)
             todo += [other for other in CTES if other != name and re.search(rf"\b(?:FROM|JOIN)\s+{other}\b", CTES[name])]
     parts = [f"{name} AS ({text})" for name, text in CTES.items() if name in wanted] + [f"{name} AS ({text})" for name, text in (more or {}).items()]
-    return f"WITH {', '.join(parts)} {body}"
+    return f"WITH {'RECURSIVE ' * recursive}{', '.join(parts)} {body}"
+
+
+PAIRS = "[]::STRUCT(d BIGINT, g BIGINT)[]"
+
+
+def optimal(sides: str, tolerance: int) -> dict[str, str]:
+    """cp: the most pairs within the tolerance, then the least distance, of sides(session_id, d, g); a step a detection, whose row has a cell for each number of first truths: count (negative), distance, choice, pairs."""
+    cell = "CASE WHEN abs(z.x - z.y) <= {t} THEN {{'c': z.q[z.j].c - 1, 's': z.q[z.j].s + abs(z.x - z.y), 'k': 3, 'p': list_append(z.q[z.j].p, {{'d': z.x, 'g': z.y}})}} ELSE {{'c': 1::BIGINT, 's': 0::BIGINT, 'k': 3, 'p': z.q[z.j].p}} END".format(t=tolerance)
+    return {
+        "opt": f"""SELECT session_id, 1 AS i, d, g, list_transform(range(0, len(g) + 1), lambda j: {{'c': 0::BIGINT, 's': 0::BIGINT, 'k': 0, 'p': {PAIRS}}}) AS cells FROM {sides} WHERE len(d) > 0 AND len(g) > 0
+            UNION ALL SELECT session_id, i + 1, d, g, list_reduce(list_transform(range(1, len(g) + 1), lambda j: {{'j': j, 'x': d[i], 'y': g[j], 'q': cells}}), lambda a, z: list_append(a, list_min([
+            {{'c': a[z.j].c, 's': a[z.j].s, 'k': 1, 'p': a[z.j].p}}, {{'c': z.q[z.j + 1].c, 's': z.q[z.j + 1].s, 'k': 2, 'p': z.q[z.j + 1].p}}, {cell}])), [cells[1]]) FROM opt WHERE i <= len(d)""",
+        "cp": "SELECT session_id, p.d AS d, p.g AS g FROM (SELECT session_id, unnest(cells[-1].p) AS p FROM opt WHERE i = len(d) + 1)",
+    }
+
+
+#: op: the least total distance with the smaller side (d) wholly paired; f tells whether the sides were turned.
+LEAST = {
+    "ordered": "SELECT session_id, len(d) > len(g) AS f, CASE WHEN len(d) > len(g) THEN g ELSE d END AS d, CASE WHEN len(d) > len(g) THEN d ELSE g END AS g FROM sides WHERE len(d) > 0 AND len(g) > 0",
+    "least": f"""SELECT session_id, f, 1 AS i, d, g, list_transform(range(0, len(g) + 1), lambda j: {{'s': 0::BIGINT, 'k': 0, 'p': {PAIRS}}}) AS cells FROM ordered
+        UNION ALL SELECT session_id, f, i + 1, d, g, list_reduce(list_transform(range(1, len(g) + 1), lambda j: {{'j': j, 'x': d[i], 'y': g[j], 'q': cells}}), lambda a, z: list_append(a, list_min([
+        {{'s': a[z.j].s, 'k': 1, 'p': a[z.j].p}}, {{'s': z.q[z.j].s + abs(z.x - z.y), 'k': 3, 'p': list_append(z.q[z.j].p, {{'d': z.x, 'g': z.y}})}}])),
+        [{{'s': 1000000000000000::BIGINT, 'k': 1, 'p': {PAIRS}}}]) FROM least WHERE i <= len(d)""",
+    "op": "SELECT session_id, CASE WHEN f THEN p.g ELSE p.d END AS d, CASE WHEN f THEN p.d ELSE p.g END AS g FROM (SELECT session_id, f, unnest(cells[-1].p) AS p FROM least WHERE i = len(d) + 1)",
+}
+
+
+def walked(name: str, starts: str, tolerance: int) -> dict[str, str]:
+    """The most pairs at each offset o of starts(session_id, o, d, g): two pointers, first come, first paired; {name}b: the first best of each session."""
+    return {
+        name: f"""SELECT session_id, o, 1 AS i, 1 AS j, 0 AS n, d, g FROM ({starts})
+            UNION ALL SELECT session_id, o, i + CASE WHEN d[i] - o <= g[j] + {tolerance} THEN 1 ELSE 0 END, j + CASE WHEN d[i] - o >= g[j] - {tolerance} THEN 1 ELSE 0 END,
+            n + CASE WHEN abs(d[i] - o - g[j]) <= {tolerance} THEN 1 ELSE 0 END, d, g FROM {name} WHERE i <= len(d) AND j <= len(g)""",
+        f"{name}b": f"SELECT session_id, CASE WHEN max(n) > 0 THEN arg_max(o, {{'n': n, 'o': -o}}) ELSE 0 END AS o, max(n) AS n FROM {name} GROUP BY 1",
+    }
+
+
+#: best: the offset that a coarse search and a fine one about its best find, in units of 12 minutes.
+SEARCH = (
+    walked("co", "SELECT session_id, unnest(range(-8400, 8400, 120)) AS o, d, g FROM sides", 600)
+    | walked("fi", "SELECT session_id, cob.o + unnest(range(-600, 600, 12)) AS o, d, g FROM sides JOIN cob USING (session_id)", 600)
+    | {"best": "SELECT session_id, CASE WHEN fib.n > cob.n THEN fib.o ELSE cob.o END AS o, CAST(greatest(fib.n, cob.n) AS BIGINT) AS n FROM cob JOIN fib USING (session_id)"}
+)
 
 
 def thinned(source: str, where: str, distance: int) -> str:
@@ -297,6 +340,18 @@ ORACLES |= {
     ),
     "greedy_in_order": sql("greedy", body="SELECT session_id, p.d AS det_time, p.g AS truth_time FROM greedy"),
     "greedy_closest_pair": sql("cp", body="SELECT session_id, d AS det_time, g AS truth_time FROM cp"),
+    "optimal_assignment": sql("sides", body="SELECT session_id, d::DOUBLE AS det_time, g::DOUBLE AS truth_time FROM cp", more=optimal("sides", 1440), recursive=True),
+    "min_cost_assignment": sql("sides", body="SELECT session_id, d::DOUBLE AS det_time, g::DOUBLE AS truth_time FROM op WHERE abs(d - g) <= 1440", more=LEAST, recursive=True),
+    "optimal_scores": sql("sides", "det", "gt", body=f"SELECT session_id, n_det, n_gt, tp, n_det - tp AS fp, n_gt - tp AS fn, {RATES}, mean_error, median_error FROM totals", more=optimal("sides", 1440) | SCORES, recursive=True),
+    "offset_search": sql("sides", body="SELECT session_id, o AS best_offset, n AS best_tp FROM best", more=SEARCH, recursive=True),
+    "validated_scores": sql(
+        "sides",
+        "det",
+        "gt",
+        body=f"SELECT session_id, best.o AS best_offset, n_det, n_gt, tp, n_det - tp AS fp, n_gt - tp AS fn, {RATES}, mean_error, median_error FROM totals JOIN best USING (session_id)",
+        more=SEARCH | {"moved": "SELECT session_id, list_transform(d, lambda x: x - o) AS d, g FROM sides JOIN best USING (session_id)"} | optimal("moved", 540) | SCORES,
+        recursive=True,
+    ),
     "offset_grid": sql(
         "sides",
         body="SELECT session_id, CASE WHEN max(tp) > 0 THEN arg_max(o, tp * 100 - (o + 600) // 120) ELSE 0 END AS best_offset, max(tp) AS best_tp FROM tried GROUP BY 1",
