@@ -146,25 +146,35 @@ def offset_search(det: DataFrame, truth: DataFrame, coarse: range, fine: range,
 
 
 def shifted(det: DataFrame, offsets: DataFrame, time: str = "time_s", by: list[str] = BY) -> DataFrame:
-    """The detections with their session's best_offset taken off."""
-    return det.join(offsets.select(*by, "best_offset"), by).withColumn(time, F.col(time) - F.col("best_offset")).drop("best_offset")
+    """The detections with their session's best_offset taken off, where it has one."""
+    return det.join(offsets.select(*by, "best_offset"), by, "left").withColumn(time, F.col(time) - F.coalesce("best_offset", F.lit(0))).drop("best_offset")
 
 
 def offset_correlation(det: DataFrame, truth: DataFrame, reach: int, step: int, sigma: float, time: str = "time_s", by: list[str] = BY) -> DataFrame:
-    """best_offset: the lag whose Gaussian-blurred trains correlate most, from pairwise differences within reach plus four widths."""
+    """best_offset: the lag whose Gaussian-blurred trains correlate most, from differences of whole times within reach plus four widths.
+
+    Differences are counted first, so a session meets the lags with as many rows as it has distinct differences, however many pairs.
+    """
     slack = 4 * sigma * 2**0.5
     left, right = det.select(*by, F.col(time).alias("dt")), truth.select(*by, F.col(time).alias("gt"))
-    differences = band_join(left, right, by, "dt", "gt", reach + slack, reach + slack).select(*by, (F.col("dt") - F.col("gt")).alias("x"))
+    differences = band_join(left, right, by, "dt", "gt", reach + slack, reach + slack).groupBy(*by, (F.col("dt") - F.col("gt")).alias("x")).agg(F.count("*").alias("n"))
     lags = differences.withColumn("lag", F.explode(F.sequence(F.lit(-reach), F.lit(reach), F.lit(step))))
     kernel = F.exp(-((F.col("x") - F.col("lag")) ** 2) / F.lit(4 * sigma * sigma))
-    sums = lags.groupBy(*by, "lag").agg(F.round(F.sum(kernel), 6).alias("strength"))
+    sums = lags.groupBy(*by, "lag").agg(F.round(F.sum(F.col("n") * kernel), 6).alias("strength"))
     return sums.groupBy(*by).agg(F.max_by("lag", F.struct("strength", -F.col("lag"))).alias("best_offset"), F.max("strength").alias("strength"))
 
 
-def in_range(det: DataFrame, truth: DataFrame, margin: float, time: str = "time_s", by: list[str] = BY) -> DataFrame:
-    """Detections between the first and last truth, widened by the margin."""
+def matches_at(det: DataFrame, truth: DataFrame, offsets: DataFrame, tolerance: float, time: str = "time_s", by: list[str] = BY) -> DataFrame:
+    """offsets with n_matches: detections that take a truth, in order, once the offset is taken off."""
+    pairs = greedy_in_order(shifted(det, offsets, time, by), truth, tolerance, time, by)
+    return offsets.join(pairs.groupBy(*by).agg(F.count("*").alias("n_matches")), by, "left").na.fill(0, ["n_matches"])
+
+
+def in_range(det: DataFrame, truth: DataFrame, margin: float, time: str = "time_s", by: list[str] = BY, outside: bool = False) -> DataFrame:
+    """Detections between the first and last truth, widened by the margin; outside: those that are not. Sessions without truths have none of either."""
     bounds = truth.groupBy(*by).agg((F.min(time) - margin).alias("_lo"), (F.max(time) + margin).alias("_hi"))
-    return det.join(bounds, by).where(F.col(time).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    inside = F.col(time).between(F.col("_lo"), F.col("_hi"))
+    return det.join(bounds, by).where(~inside if outside else inside).drop("_lo", "_hi")
 
 
 def labelled(det: DataFrame, truth: DataFrame, pairs: DataFrame, time: str = "time_s", by: list[str] = BY) -> DataFrame:

@@ -440,7 +440,8 @@ def offset_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def offset_xcorr(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(matching.offset_correlation(*both(spark, sf), 600, 60, 90.0))
+    det, truth = both(spark, sf)
+    return rounded(matching.matches_at(det, truth, matching.offset_correlation(det, truth, 600, 60, 90.0), 180))
 
 
 @query
@@ -462,6 +463,11 @@ def in_range_filter(spark: SparkSession, sf: str) -> DataFrame:
     return matching.in_range(*both(spark, sf), 60)
 
 
+@query
+def out_of_range(spark: SparkSession, sf: str) -> DataFrame:
+    return matching.in_range(*both(spark, sf), 60, outside=True)
+
+
 @query
 def tp_fp_fn_labels(spark: SparkSession, sf: str) -> DataFrame:
     det, truth = both(spark, sf)
@@ -483,16 +489,20 @@ def pass_gates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def signal_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of three kinds of detection, each session's offset found and taken off first."""
     truth = minutes(spark, sf, "purchase")
     one, two = minutes(spark, sf, "signup"), minutes(spark, sf, "error")
     merged = peaks.anchored_dedup(one.unionByName(two), 200.0).withColumn("time_s", F.col("time_s").cast("long"))
     by = ["signal", *KEY]
     det = one.withColumn("signal", F.lit("delta")).unionByName(two.withColumn("signal", F.lit("red"))).unionByName(merged.withColumn("signal", F.lit("merged")))
     truths = truth.withColumn("signal", F.explode(F.array(*[F.lit(s) for s in ("delta", "red", "merged")])))
-    kept = matching.in_range(det, truths, 60, by=by)
+    offsets = matching.offset_correlation(det, truths, 600, 60, 90.0, by=by)
+    kept = matching.in_range(matching.shifted(det, offsets, by=by), truths, 60, by=by)
     pairs = matching.closest_pairs(kept, truths, 720, by=by)
-    totals = kept.groupBy("signal").agg(F.count("*").alias("n_det")).join(truths.groupBy("signal").agg(F.count("*").alias("n_gt")), "signal").join(pairs.groupBy("signal").agg(F.count("*").alias("tp")), "signal")
-    return rounded(totals.select("signal", "n_det", "n_gt", "tp", *matching.rates("tp", "n_det", "n_gt")))
+    error = F.abs(F.col("det_time") - F.col("truth_time"))  # at most 720 values
+    found = pairs.groupBy("signal").agg(F.count("*").alias("tp"), F.median(error).alias("median_error"))
+    totals = kept.groupBy("signal").agg(F.count("*").alias("n_det")).join(truths.groupBy("signal").agg(F.count("*").alias("n_gt")), "signal").join(found, "signal")
+    return rounded(totals.select("signal", "n_det", "n_gt", "tp", *matching.rates("tp", "n_det", "n_gt"), "median_error"))
 
 
 @query

@@ -364,10 +364,14 @@ ORACLES |= {
     "offset_xcorr": sql(
         "det",
         "gt",
-        body="SELECT session_id, arg_max(lag, {'s': strength, 'l': -lag}) AS best_offset, max(strength) AS strength FROM sums GROUP BY 1",
+        "sides",
+        body="SELECT session_id, best_offset, strength, CAST(coalesce(len(o), 0) AS BIGINT) AS n_matches FROM offs LEFT JOIN taken USING (session_id)",
         more={
             "df": "SELECT det.session_id, det.t - gt.t AS x FROM det JOIN gt ON gt.session_id = det.session_id AND gt.t BETWEEN det.t - (600 + 360 * sqrt(2)) AND det.t + (600 + 360 * sqrt(2))",
             "sums": "SELECT session_id, lag, round(sum(exp(-((x - lag) * (x - lag))::DOUBLE / 32400.0::DOUBLE)), 6) AS strength FROM df, (SELECT unnest(range(-600, 601, 60)) AS lag) GROUP BY 1, 2",
+            "offs": "SELECT session_id, arg_max(lag, {'s': strength, 'l': -lag}) AS best_offset, max(strength) AS strength FROM sums GROUP BY 1",
+            "taken": """SELECT session_id, list_reduce(list_transform(d, lambda x: {'x': x - best_offset, 'g': g}), lambda a, x: CASE WHEN len(list_filter(x.g, lambda y: abs(x.x - y) <= 180 AND NOT list_contains(a, y))) = 0 THEN a
+                ELSE list_append(a, list_min(list_transform(list_filter(x.g, lambda y: abs(x.x - y) <= 180 AND NOT list_contains(a, y)), lambda y: {'r': abs(x.x - y), 'y': y})).y) END, []::BIGINT[]) AS o FROM sides JOIN offs USING (session_id)""",
         },
     ),
     "nearest_diag": sql(
@@ -384,17 +388,22 @@ ORACLES |= {
         more={"ms": "SELECT session_id, t FROM gt WHERE NOT EXISTS (SELECT 1 FROM cp WHERE cp.session_id = gt.session_id AND cp.g = gt.t)"},
     ),
     "in_range_filter": sql("det", "gt", body="SELECT session_id, t AS time_s FROM det JOIN (SELECT session_id, min(t) - 60 AS lo, max(t) + 60 AS hi FROM gt GROUP BY 1) USING (session_id) WHERE t BETWEEN lo AND hi"),
+    "out_of_range": sql("det", "gt", body="SELECT session_id, t AS time_s FROM det JOIN (SELECT session_id, min(t) - 60 AS lo, max(t) + 60 AS hi FROM gt GROUP BY 1) USING (session_id) WHERE t NOT BETWEEN lo AND hi"),
     "tp_fp_fn_labels": sql("lab", body="SELECT * FROM lab"),
     "match_scores": sql("det", "gt", "cp", body=f"SELECT session_id, n_det, n_gt, tp, n_det - tp AS fp, n_gt - tp AS fn, {RATES}, mean_error, median_error FROM totals", more=SCORES),
     "pass_gates": sql("det", "gt", "cp", body=f"SELECT session_id, CAST(recall >= 60 AND precision >= 60 AS BIGINT) AS passes FROM (SELECT session_id, {RATES} FROM totals)", more=SCORES),
     "signal_leaderboard": sql(
         "ev",
         "gt",
-        body=f"SELECT signal, n_det, n_gt, tp, {RATES} FROM (SELECT signal, count(*) AS n_det, (SELECT count(*) FROM gt) AS n_gt FROM kept GROUP BY 1) JOIN (SELECT signal, count(*) AS tp FROM prs GROUP BY 1) USING (signal)",
+        body=f"SELECT signal, n_det, n_gt, tp, {RATES}, median_error FROM (SELECT signal, count(*) AS n_det, (SELECT count(*) FROM gt) AS n_gt FROM kept GROUP BY 1) JOIN (SELECT signal, count(*) AS tp, quantile_cont(p.s::DOUBLE, 0.5) AS median_error FROM prs GROUP BY 1) USING (signal)",
         more={
             "two": "SELECT DISTINCT session_id, m AS t, kind FROM ev WHERE kind IN ('signup', 'error')",
             "one": "SELECT 'delta' AS signal, session_id, t FROM two WHERE kind = 'signup' UNION ALL SELECT 'red', session_id, t FROM two WHERE kind = 'error' UNION ALL SELECT 'merged', session_id, CAST(time_s AS BIGINT) FROM (" + DEDUP.format(w=200.0, s="two") + ")",
-            "kept": "SELECT signal, session_id, t, row_number() OVER (PARTITION BY signal, session_id ORDER BY t) AS i FROM one JOIN (SELECT session_id, min(t) - 60 AS lo, max(t) + 60 AS hi FROM gt GROUP BY 1) USING (session_id) WHERE t BETWEEN lo AND hi",
+            "df": "SELECT signal, one.session_id, one.t - gt.t AS x FROM one JOIN gt ON gt.session_id = one.session_id AND gt.t BETWEEN one.t - (600 + 360 * sqrt(2)) AND one.t + (600 + 360 * sqrt(2))",
+            "sums": "SELECT signal, session_id, lag, round(sum(exp(-((x - lag) * (x - lag))::DOUBLE / 32400.0::DOUBLE)), 6) AS strength FROM df, (SELECT unnest(range(-600, 601, 60)) AS lag) GROUP BY 1, 2, 3",
+            "offs": "SELECT signal, session_id, arg_max(lag, {'s': strength, 'l': -lag}) AS o FROM sums GROUP BY 1, 2",
+            "moved": "SELECT signal, session_id, t - coalesce(o, 0) AS t FROM one LEFT JOIN offs USING (signal, session_id)",
+            "kept": "SELECT signal, session_id, t, row_number() OVER (PARTITION BY signal, session_id ORDER BY t) AS i FROM moved JOIN (SELECT session_id, min(t) - 60 AS lo, max(t) + 60 AS hi FROM gt GROUP BY 1) USING (session_id) WHERE t BETWEEN lo AND hi",
             "gj": "SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY t) AS j FROM gt",
             "prs": """SELECT signal, session_id, unnest(list_reduce(list({'s': abs(kept.t - gj.t), 'i': i, 'j': j} ORDER BY abs(kept.t - gj.t), i, j), lambda a, x: CASE WHEN len(list_filter(a, lambda q: q.i = x.i OR q.j = x.j)) > 0 THEN a
                 ELSE list_append(a, x) END, []::STRUCT(s BIGINT, i BIGINT, j BIGINT)[])) AS p FROM kept JOIN gj USING (session_id) WHERE abs(kept.t - gj.t) <= 720 GROUP BY 1, 2""",
