@@ -166,3 +166,11 @@ def test_prefixes_meet_where_lines_are_alike(spark):
     met = {frozenset((r["a"], r["b"])) for r in passages.prefix_pairs(left, table, 0.8).collect()}
     wanted = {frozenset((a, b)) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert wanted <= met and len(met) < 40
+
+
+def test_rows_of_one_doc_id_are_cut_by_their_own_text(spark):
+    rng = random.Random(3)
+    passage, *texts = (" ".join(rng.choice("abcdefgh") + str(rng.randrange(10**6)) for _ in range(n)) for n in (60, 80, 200, 70, 90))
+    rows = [(1, f"{texts[0]}\n{passage}"), (2, f"{texts[1]} {passage}"), (2, f"{texts[2]}"), (2, f"{passage} {texts[3]}"), (2, f"{passage} {texts[3]}"), (None, passage), (None, passage), (7, None)]
+    made = sorted(str(r["text"]) for r in passages.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert made == sorted(str(x) for x in [rows[0][1], texts[1], texts[2], f" {texts[3]}", f" {texts[3]}", passage, passage, None])

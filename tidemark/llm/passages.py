@@ -346,14 +346,34 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(kept) + text[at:]
 
 
+def told_apart(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column that holds doc_id as a long, but for rows that share a doc_id and differ in text: one text of these
+    (the least by hash) has the doc_id, each other an id of its own, beyond all others, so that it counts as a later document."""
+    known, of_text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash")).where("doc_id is not null"), spare(docs, "_hash")
+    several = materialize(known.groupBy("doc_id").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where("low < high"))
+    if several.isEmpty():
+        discard(several)
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
+    last = known.agg(F.max("doc_id")).first()[0]
+    others = known.join(several, "doc_id").where("hash > low").select("doc_id", "hash").distinct()
+    others = materialize(others.withColumn("other", F.lit(last + 1) + F.monotonically_increasing_id()))
+    of_row, new = spare(docs, "_id"), spare(docs, "_new")
+    others = others.select(F.col("doc_id").alias(of_row), F.col("hash").alias(of_text), F.col("other").alias(new))
+    same = (F.col("doc_id").cast("long") == F.col(of_row)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(of_text))
+    return docs.join(others, same, "left").withColumn(name, F.coalesce(F.col(new), F.col("doc_id").cast("long"))).drop(of_row, of_text, new)
+
+
 def cut_repeats(docs: DataFrame, **options) -> DataFrame:
     """docs with the removals cut out of their texts and n_chars counted anew; documents left without a word go.
 
-    Documents without removals stay as they are, empty ones included. All columns stay.
+    Documents without removals stay as they are, empty ones included. All columns stay. Rows of one doc_id and one text are
+    one document and are cut alike; rows of one doc_id and different texts are documents of their own. Rows with a null doc_id stay whole.
     """
-    owner, own = spare(docs, "_id"), spare(docs, "_spans")
-    gone = repeats(docs, **options).where("removed").groupBy(F.col("doc_id").alias(owner)).agg(F.collect_list(F.struct("start", "end")).alias(own))  # a document's own spans
-    joined_docs = docs.join(materialize(gone), F.col("doc_id").cast("long") == F.col(owner), "left").drop(owner)
+    key = spare(docs, "_key")
+    keyed = told_apart(docs, key)
+    owner, own = spare(keyed, "_id"), spare(keyed, "_spans")
+    gone = repeats(keyed.select(F.col(key).alias("doc_id"), "text"), **options).where("removed").groupBy(F.col("doc_id").alias(owner)).agg(F.collect_list(F.struct("start", "end")).alias(own))  # a document's own spans
+    joined_docs = keyed.join(materialize(gone), F.col(key) == F.col(owner), "left").drop(owner, key)
     touched = F.col(own).isNotNull()
 
     @F.pandas_udf("string")
