@@ -2,7 +2,7 @@
 
 import random
 
-from tidemark.operators import asof, engagement, matching, peaks, signals, timeline
+from tidemark.operators import asof, assignment, engagement, matching, peaks, signals, timeline
 
 
 def sessions(rng, n, most, reach):
@@ -51,7 +51,7 @@ def test_matchers(spark):
             assert moved[s] == best_offset(det[s], truth[s], offsets, 1)
         import numpy as np
 
-        whole = [abs(det[s][i] - truth[s][j]) for i, j in matching._assign(np.array(det[s], float), np.array(truth[s], float), 2.0, True)]
+        whole = [abs(det[s][i] - truth[s][j]) for i, j in assignment.assign(np.array(det[s], float), np.array(truth[s], float), 2.0, True)]
         own = [abs(r["det_time"] - r["truth_time"]) for r in optimal if r["session_id"] == s]
         assert (len(own), sum(own)) == (len(whole), sum(whole))
 

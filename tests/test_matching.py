@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 
 from tidemark.operators import matching as m
-from tidemark.operators.assignment import assign, bands, pair_counts
+from tidemark.operators.assignment import assign, bands, closest, pair_counts
+from tidemark.operators.assignment import greedy as in_order
 
 
 def frame(spark, times, name="time_s"):
@@ -136,6 +137,45 @@ def test_counts_of_all_offsets():
         assert (pair_counts(np.array(det, float), np.array(truth, float), offsets / 10, 0.3) == [len(table_assign([x - o for x in det], truth, 0.3, True)) for o in (offsets / 10).tolist()]).all()
 
 
+def closest_of_all(det, truth, tolerance):
+    made = []
+    for _, i, j in sorted((abs(x - y), i, j) for i, x in enumerate(det) for j, y in enumerate(truth) if abs(x - y) <= tolerance):
+        if all(i != a and j != b for a, b in made):
+            made.append((i, j))
+    return made
+
+
+def first_or_nearest(det, truth, tolerance, first):
+    made = []
+    for i, x in enumerate(det):
+        left = [(0 if first else abs(x - y), j) for j, y in enumerate(truth) if abs(x - y) <= tolerance and all(j != b for _, b in made)]
+        if left:
+            made.append((i, min(left)[1]))
+    return made
+
+
+def test_pointers_and_queue_choose_as_scans_do():
+    rng = random.Random(16)
+    for _ in range(500):
+        reach = rng.choice([8, 40, 200])
+        det, truth = (sorted(rng.randrange(reach) / rng.choice([1, 4]) for _ in range(rng.randrange(25))) for _ in range(2))
+        d, g = np.array(det, float), np.array(truth, float)
+        for tolerance in (0, 2, 7.5):
+            times = lambda pairs: sorted((det[i], truth[j]) for i, j in pairs)  # noqa: E731  equal times are alike
+            assert times(closest(d, g, tolerance)) == times(closest_of_all(det, truth, tolerance))
+            for first in (False, True):
+                assert times(in_order(d, g, tolerance, first)) == times(first_or_nearest(det, truth, tolerance, first))
+
+
+def test_dense_island_in_order_and_closest_first():
+    """100,000 of each side in one island."""
+    rng = np.random.default_rng(1)
+    d, g = (np.sort(rng.uniform(0, 1000, 100_000)) for _ in range(2))
+    start = time.perf_counter()
+    assert len(in_order(d, g, 100.0)) > 90_000 and len(in_order(d, g, 100.0, True)) > 90_000 and len(closest(d, g, 100.0)) > 90_000
+    assert time.perf_counter() - start < 60
+
+
 def searched(det, truth, coarse, fine, tolerance):
     """Every offset tried by a match of its own."""
     best, most = 0, 0

@@ -1,4 +1,4 @@
-"""Optimal one-to-one pairs of sorted times, and how many pairs each time offset allows: helpers of one island's two arrays.
+"""One-to-one pairs of sorted times (optimal, in order, closest first), and how many pairs each time offset allows: helpers of one island's two arrays.
 
 Best pairs keep the order of both sides, so a programme over rows (one side) and columns (a prefix of the other) finds
 them. Only the columns that a row can be paired with change, so a row costs its band; rows are kept at every root of
@@ -8,6 +8,7 @@ Costs are whole numbers, so that counts and costs compare exactly.
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
 from math import isqrt, log2
 
 import numpy as np
@@ -141,3 +142,89 @@ def pair_counts(d: np.ndarray, g: np.ndarray, offsets: np.ndarray, tolerance: fl
         if not inside.all():
             i, j, shift, live = i[inside], j[inside], shift[inside], live[inside]
     return counts[np.searchsorted(breaks, np.arange(len(offsets)), "right") - 1]
+
+
+class Free:
+    """Places that are not taken yet; finding the next one on a side costs next to nothing, as what was passed over is not looked at again."""
+
+    def __init__(self, n: int):
+        self.after, self.before = list(range(n + 1)), list(range(n + 1))  # before: by place + 1, so that 0 is none
+
+    @staticmethod
+    def _found(links: list[int], at: int) -> int:
+        end = at
+        while links[end] != end:
+            end = links[end]
+        while links[at] != end:
+            links[at], at = end, links[at]
+        return end
+
+    def next(self, at: int) -> int:
+        """The first free place from there on; n if there is none."""
+        return self._found(self.after, at)
+
+    def last(self, at: int) -> int:
+        """The last free place up to there; -1 if there is none."""
+        return self._found(self.before, at + 1) - 1
+
+    def take(self, at: int) -> None:
+        self.after[at] = at + 1
+        self.before[at + 1] = at
+
+
+def greedy(d: np.ndarray, g: np.ndarray, tolerance: float, first: bool = False) -> list[tuple[int, int]]:
+    """Pairs by place: each of d, in order, takes the nearest of g not yet taken within the tolerance (first: the earliest); of two as near the earlier."""
+    if not len(d) or not len(g):
+        return []
+    low, _ = bands(d, g, tolerance)
+    middle = np.searchsorted(g, d).tolist()
+    free, made, m, g = Free(len(g)), [], len(g), g.tolist()
+    for i, (x, start, at) in enumerate(zip(d.tolist(), low.tolist(), middle, strict=True)):
+        if first:
+            j = free.next(start)
+        else:
+            j, left = free.next(at), free.last(at - 1)
+            if left >= 0 and (j == m or x - g[left] <= g[j] - x):
+                j = left
+        if j < m and abs(x - g[j]) <= tolerance:
+            free.take(j)
+            made.append((i, j))
+    return made
+
+
+def closest(d: np.ndarray, g: np.ndarray, tolerance: float) -> list[tuple[int, int]]:
+    """Pairs by place: the closest of all first, of equals that of the first of d, then of g; each place once.
+
+    The closest pair of those left has nothing left between its two, so only neighbours in the order of both sides
+    are looked at: a queue of neighbours, to which what closes up is added.
+    """
+    n = len(d)
+    times = np.concatenate([d, g])
+    order = np.lexsort((np.arange(len(times)), times)).tolist()  # of equal times d before g
+    times = times.tolist()
+    left, right = list(range(-1, len(order) - 1)), list(range(1, len(order) + 1))
+
+    def near(a: int, b: int) -> None:
+        if a < 0 or b >= len(order) or (order[a] < n) == (order[b] < n):
+            return
+        i, j = min(order[a], order[b]), max(order[a], order[b])
+        if (gap := abs(times[i] - times[j])) <= tolerance:
+            heappush(queue, (gap, i, j, a, b))
+
+    queue: list[tuple] = []
+    for at in range(len(order) - 1):
+        near(at, at + 1)
+    gone, made = bytearray(len(order)), []
+    while queue:
+        _, i, j, a, b = heappop(queue)
+        if gone[a] or gone[b]:
+            continue
+        gone[a] = gone[b] = 1
+        made.append((i, j - n))
+        before, after = left[a], right[b]
+        if before >= 0:
+            right[before] = after
+        if after < len(order):
+            left[after] = before
+        near(before, after)
+    return made

@@ -1,12 +1,13 @@
 """One-to-one matching of detections to truths, time offsets, and scores.
 
 det and truth: session_id and a time. Times further apart than the tolerance from all others of their session never
-meet, so a session falls into islands, which are matched in parallel: choices in order fold over an island's two
-arrays of times, the closest-pair matcher over the pairs of a band join within one.
+meet, so a session falls into islands, which are matched in parallel, each by its two arrays of times and in time about linear in them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -32,34 +33,29 @@ def sides(det: DataFrame, truth: DataFrame, tolerance: float | None, time: str =
     return in_islands(det, truth, tolerance, time, by).groupBy(*by, "_island").agg(*times)
 
 
-def _greedy(tolerance: float, first: bool) -> str:
-    """A fold over detections in order; each takes the nearest (or the first) unused truth within the tolerance."""
-    rank = "j" if first else "abs(x - g[j])"
-    near = f"filter(transform(g, (y, j) -> j), j -> abs(x - g[j]) <= {tolerance} and not array_contains(o.used, j))"
-    best = f"array_min(transform({near}, j -> struct({rank} as r, j)))"
-    took = f"transform(array({best}), b -> if(b is null, o, named_struct('used', array_append(o.used, b.j), 'i', array_append(o.i, o.n), 'n', o.n + 1)))[0]"
-    step = f"transform(array({took}), u -> named_struct('used', u.used, 'i', u.i, 'n', o.n + 1))[0]"
-    return f"aggregate(d, named_struct('used', cast(array() as array<int>), 'i', cast(array() as array<int>), 'n', 0), (o, x) -> {step})"
+def _paired(both: DataFrame, det: DataFrame, pairs: Callable, by: list[str]) -> DataFrame:
+    """det_time, truth_time of pairs(d, g): places in the two arrays of each row of sides()."""
+    kinds, kind = dict(det.dtypes), dict(both.dtypes)["d"].removeprefix("array<").removesuffix(">")
+
+    def each(rows: pd.DataFrame) -> pd.DataFrame:
+        made = []
+        for *key, d, g in rows[[*by, "d", "g"]].itertuples(index=False):
+            d, g = np.asarray(d), np.asarray(g)
+            if len(d) and len(g):
+                made += [(*key, d[i], g[j]) for i, j in pairs(d, g)]
+        return pd.DataFrame(made, columns=[*by, "det_time", "truth_time"])
+
+    return both.mapInPandas(lambda parts: map(each, parts), ", ".join(f"{c} {kinds[c]}" for c in by) + f", det_time {kind}, truth_time {kind}")
 
 
 def greedy_in_order(det: DataFrame, truth: DataFrame, tolerance: float, time: str = "time_s", by: list[str] = BY, first: bool = False) -> DataFrame:
     """det_time, truth_time: each detection in time order takes the nearest truth not yet taken (first: the earliest)."""
-    both = sides(det, truth, tolerance, time, by).withColumn("_o", F.expr(_greedy(tolerance, first)))
-    pairs = both.select(*by, "d", "g", F.explode(F.arrays_zip(F.col("_o.i").alias("i"), F.col("_o.used").alias("j"))).alias("_p"))
-    return pairs.select(*by, F.expr("d[_p.i]").alias("det_time"), F.expr("g[_p.j]").alias("truth_time"))
+    return _paired(sides(det, truth, tolerance, time, by), det, lambda d, g: assignment.greedy(d, g, tolerance, first), by)
 
 
 def closest_pairs(det: DataFrame, truth: DataFrame, tolerance: float, time: str = "time_s", by: list[str] = BY) -> DataFrame:
     """det_time, truth_time: pairs within the tolerance, the closest of all first, each time used once."""
-    by_island = [*by, "_island"]
-    both = in_islands(det, truth, tolerance, time, by)
-    order = Window.partitionBy(*by_island).orderBy("_t")
-    left = both.where("_det").select(*by_island, F.col("_t").alias("dt"), F.row_number().over(order).alias("i"))
-    right = both.where("not _det").select(*by_island, F.col("_t").alias("gt"), F.row_number().over(order).alias("j"))
-    near = band_join(left, right, by_island, "dt", "gt", tolerance, tolerance).withColumn("dist", F.abs(F.col("dt") - F.col("gt")))
-    sorted_pairs = near.groupBy(*by_island).agg(F.array_sort(F.collect_list(F.struct("dist", "i", "j", "dt", "gt"))).alias("_all"))  # of one island
-    fold = """aggregate(_all, slice(_all, 1, 0), (o, p) -> if(exists(o, q -> q.i = p.i or q.j = p.j), o, array_append(o, p)))"""
-    return sorted_pairs.select(*by, F.explode(F.expr(fold)).alias("_p")).select(*by, F.col("_p.dt").alias("det_time"), F.col("_p.gt").alias("truth_time"))
+    return _paired(sides(det, truth, tolerance, time, by), det, lambda d, g: assignment.closest(d, g, tolerance), by)
 
 
 def optimal_assignment(det: DataFrame, truth: DataFrame, tolerance: float, time: str = "time_s", by: list[str] = BY, most: bool = True) -> DataFrame:
@@ -71,18 +67,7 @@ def optimal_assignment(det: DataFrame, truth: DataFrame, tolerance: float, time:
     """
     det, truth = (x.withColumn(time, F.col(time).cast("double")) for x in (det, truth))
     both = sides(det, truth, tolerance if most else None, time, by)
-    kinds = dict(det.dtypes)
-
-    def each(rows: pd.DataFrame) -> pd.DataFrame:
-        made = []
-        for *key, d, g in rows[[*by, "d", "g"]].itertuples(index=False):
-            for i, j in assignment.assign(np.asarray(d, float), np.asarray(g, float), tolerance, most):
-                if abs(d[i] - g[j]) <= tolerance:
-                    made.append((*key, d[i], g[j]))
-        return pd.DataFrame(made, columns=[*by, "det_time", "truth_time"])
-
-    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", det_time double, truth_time double"
-    return both.mapInPandas(lambda parts: map(each, parts), schema)
+    return _paired(both, det, lambda d, g: [(i, j) for i, j in assignment.assign(d, g, tolerance, most) if abs(d[i] - g[j]) <= tolerance], by)
 
 
 def scored(det: DataFrame, truth: DataFrame, pairs: DataFrame, by: list[str] = BY, scale: float = 1000.0) -> DataFrame:
@@ -101,45 +86,48 @@ def rates(tp: str, n_det: str, n_gt: str) -> list[Column]:
     return [recall.alias("recall"), precision.alias("precision"), f1.alias("f1")]
 
 
+def _best_offset(rows: DataFrame, offsets: list[int], count: Callable, by: list[str]) -> DataFrame:
+    """_best (o, tp): the first offset with the most pairs, of rows (d, g, and _at, what the offsets are added to); nothing where no offset has a pair.
+
+    count(d, g, offsets) gives an island's pairs at each offset; a session's islands are counted in parallel and summed, a row an offset.
+    """
+    tried, kinds = np.array(offsets, np.int64), dict(rows.dtypes)
+
+    def each(part: pd.DataFrame) -> pd.DataFrame:
+        made = []
+        for *key, d, g, at in part[[*by, "d", "g", "_at"]].itertuples(index=False):
+            found = count(np.asarray(d, np.int64) - at, np.asarray(g, np.int64), tried)
+            made += [(*key, at, n, tried[n], found[n]) for n in np.flatnonzero(found).tolist()]
+        return pd.DataFrame(made, columns=[*by, "_at", "_n", "_offset", "_tp"])
+
+    found = rows.mapInPandas(lambda parts: map(each, parts), ", ".join(f"{c} {kinds[c]}" for c in by) + ", _at long, _n int, _offset long, _tp long")
+    sums = found.groupBy(*by, "_at", "_n", "_offset").agg(F.sum("_tp").alias("_tp"))
+    return sums.groupBy(*by).agg(F.max_by(F.struct((F.col("_at") + F.col("_offset")).alias("o"), F.col("_tp").alias("tp")), F.struct("_tp", -F.col("_n"))).alias("_best"))
+
+
+def _whole_sides(det: DataFrame, truth: DataFrame, reach: int, time: str, by: list[str]) -> DataFrame:
+    return sides(det.withColumn(time, F.col(time).cast("long")), truth.withColumn(time, F.col(time).cast("long")), reach, time, by)
+
+
 def offset_grid(det: DataFrame, truth: DataFrame, offsets: list[int], tolerance: int, time: str = "time_s", by: list[str] = BY) -> DataFrame:
     """best_offset, best_tp: the offset (whole units) to take off the detections that matches the most, in order; of equals the first that beats none before."""
-    ranks = F.posexplode(F.array(*[F.lit(int(o)).cast("long") for o in offsets])).alias("_rank", "_shift")
-    by_offset = [*by, "_rank", "_shift"]
-    moved = det.select(*by, time, ranks).withColumn(time, F.col(time) - F.col("_shift"))
-    tried = sides(moved, truth.select(*by, time, ranks), tolerance, time, by_offset)
-    counted = tried.groupBy(*by_offset).agg(F.sum(F.size(F.expr(_greedy(tolerance, False) + ".used"))).alias("_tp"))
-    return counted.groupBy(*by).agg(F.max_by(F.struct("_shift", "_tp"), F.struct("_tp", -F.col("_rank"))).alias("_b")).select(*by, F.when(F.col("_b._tp") > 0, F.col("_b._shift")).otherwise(0).alias("best_offset"), F.col("_b._tp").cast("long").alias("best_tp"))
+    both = _whole_sides(det, truth, max(abs(o) for o in offsets) + tolerance, time, by)
+    found = _best_offset(both.withColumn("_at", F.lit(0).cast("long")), offsets, lambda d, g, tried: np.array([len(assignment.greedy(d - o, g, tolerance)) for o in tried]), by)
+    made = both.select(*by).distinct().join(found, by, "left")
+    return made.select(*by, F.coalesce("_best.o", F.lit(0)).alias("best_offset"), F.coalesce("_best.tp", F.lit(0)).alias("best_tp"))
 
 
 def offset_search(det: DataFrame, truth: DataFrame, coarse: range, fine: range, tolerance: int, time: str = "time_s", by: list[str] = BY) -> DataFrame:
     """best_offset, best_tp: the offset (whole units) to take off the detections that allows the most pairs within the tolerance.
 
     Tried are the coarse offsets, then the fine ones about the best of them; of equals the first, and a fine one only if it beats
-    the coarse. 0 where nothing pairs. No pair of any offset spans a gap wider than the reach and the tolerance, so a session's
-    islands are counted in parallel and their counts, a row an offset, summed. Sessions with one side only are there.
+    the coarse. 0 where nothing pairs. No pair of any offset spans a gap wider than the reach and the tolerance, so islands
+    end there. Sessions with one side only are there.
     """
-    reach = max(abs(o) for o in coarse) + max(abs(o) for o in fine) + tolerance
-    both = sides(det.withColumn(time, F.col(time).cast("long")), truth.withColumn(time, F.col(time).cast("long")), reach, time, by)
-    kinds = ", ".join(f"{c} {dict(det.dtypes)[c]}" for c in by)
-
-    def counted(rows: DataFrame, offsets: range) -> DataFrame:
-        """_best: the first offset with the most pairs, of rows with _at, what the offsets are added to; nothing where no offset has a pair."""
-        tried = np.array(offsets, np.int64)
-
-        def each(part: pd.DataFrame) -> pd.DataFrame:
-            made = []
-            for *key, d, g, at in part[[*by, "d", "g", "_at"]].itertuples(index=False):
-                found = assignment.pair_counts(np.asarray(d, np.int64) - at, np.asarray(g, np.int64), tried, tolerance)
-                made += [(*key, at, n, tried[n], found[n]) for n in np.flatnonzero(found).tolist()]
-            return pd.DataFrame(made, columns=[*by, "_at", "_n", "_offset", "_tp"])
-
-        found = rows.mapInPandas(lambda parts: map(each, parts), f"{kinds}, _at long, _n int, _offset long, _tp long")
-        sums = found.groupBy(*by, "_at", "_n", "_offset").agg(F.sum("_tp").alias("_tp"))
-        return sums.groupBy(*by).agg(F.max_by(F.struct((F.col("_at") + F.col("_offset")).alias("o"), F.col("_tp").alias("tp")), F.struct("_tp", -F.col("_n"))).alias("_best"))
-
-    first = counted(both.withColumn("_at", F.lit(0).cast("long")), coarse)
+    both = _whole_sides(det, truth, max(abs(o) for o in coarse) + max(abs(o) for o in fine) + tolerance, time, by)
+    first = _best_offset(both.withColumn("_at", F.lit(0).cast("long")), coarse, lambda d, g, tried: assignment.pair_counts(d, g, tried, tolerance), by)
     start = both.select(*by).distinct().join(first, by, "left").select(*by, F.coalesce("_best.o", F.lit(0)).alias("_at"), F.coalesce("_best.tp", F.lit(0)).alias("_tp"))
-    second = counted(both.join(start.select(*by, "_at"), by), fine)
+    second = _best_offset(both.join(start.select(*by, "_at"), by), fine, lambda d, g, tried: assignment.pair_counts(d, g, tried, tolerance), by)
     best = start.join(second, by, "left")
     better = F.coalesce(F.col("_best.tp") > F.col("_tp"), F.lit(False))
     return best.select(*by, F.when(better, F.col("_best.o")).otherwise(F.col("_at")).alias("best_offset"), F.when(better, F.col("_best.tp")).otherwise(F.col("_tp")).alias("best_tp"))
