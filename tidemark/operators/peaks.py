@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import islands
+from tidemark.operators.thinning import thinned
 
 BY = ["session_id"]
 
@@ -24,19 +25,6 @@ def local_maxima(signal: DataFrame, value: str = "value", by: list[str] = BY) ->
     return runs.withColumn("_peak", higher).where("_peak").select(*by, F.floor((F.col("_first") + F.col("_last")) / 2).alias("idx"), "height")
 
 
-def thinned(peaks: DataFrame, distance: int, by: list[str] = BY) -> DataFrame:
-    """Peaks so that none is nearer than `distance` to another: lower ones go first, of equals the earlier.
-
-    Peaks further apart than the distance never meet, so each cluster is folded by itself.
-    """
-    apart = F.col("idx") - F.lag("idx").over(Window.partitionBy(*by).orderBy("idx")) >= distance
-    clusters = islands(peaks, by, ["idx"], apart, "cluster")
-    tallest = clusters.groupBy(*by, "cluster").agg(F.array_sort(F.collect_list(F.struct((-F.col("height")).alias("h"), (-F.col("idx")).alias("i")))).alias("_all"))
-    fold = f"aggregate(_all, cast(array() as array<struct<h:double,i:bigint>>), (kept, p) -> if(exists(kept, k -> abs(k.i - p.i) < {distance}), kept, array_append(kept, named_struct('h', cast(p.h as double), 'i', cast(p.i as bigint)))))"
-    kept = tallest.select(*by, F.explode(F.expr(fold)).alias("_p"))
-    return kept.select(*by, (-F.col("_p.i")).alias("idx"), (-F.col("_p.h")).alias("height"))
-
-
 def find_peaks(signal: DataFrame, height: float | str | None = None, distance: int | None = None, prominence: float | None = None, value: str = "value", by: list[str] = BY) -> DataFrame:
     """idx, height (and prominence): conditions in the order height, distance, prominence. height: a number or a column."""
     extra = [height] if isinstance(height, str) else []
