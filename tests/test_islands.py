@@ -93,8 +93,8 @@ def test_prominence_by_blocks(spark):
     rng = random.Random(3)
     values = {f"s{i}": [float(rng.randrange(12)) for _ in range(rng.choice([3, 40, 200]))] for i in range(8)}
     signal = spark.createDataFrame([(s, i, v) for s, x in values.items() for i, v in enumerate(x)], "session_id string, idx long, value double")
-    for block in (4, 16, 1024):
-        made = {(r["session_id"], r["idx"]): r["prominence"] for r in peaks.with_prominence(peaks.local_maxima(signal), signal, block=block).collect()}
+    for block, fan in ((2, 3), (4, 8), (16, 1024), (1024, 1024)):
+        made = {(r["session_id"], r["idx"]): r["prominence"] for r in peaks.with_prominence(peaks.local_maxima(signal), signal, block=block, fan=fan).collect()}
         assert len(made) > 50
         for (s, i), prominence in made.items():
             x, lows = values[s], []

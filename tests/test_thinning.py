@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import thinning
+from tidemark.operators import peaks, thinning
 
 
 def plain(peaks, distance):
@@ -72,3 +72,16 @@ def test_a_million_peaks_in_one_session(spark):
         row = thinning.thinned(peaks, 20, ["session_id"]).agg(F.count("*").alias("n"), F.min("idx").alias("low"), F.max("idx").alias("high")).first()
         assert time.perf_counter() - start < 60
         assert n / 20 < row["n"] <= n / 10 + 1 and row["low"] < 40 and row["high"] > 2 * n - 41
+
+
+def test_prominence_of_a_long_session(spark):
+    """Samples of many blocks in one session; a ramp with saw teeth, where the next higher sample is near on one side and nowhere on the other."""
+    n = 300_000
+    teeth = F.when(F.col("id") % 2 == 1, 1.5).otherwise(0.0)
+    for value in (F.rand(3), F.col("id") / 10 + teeth):
+        signal = spark.range(n).select(F.lit("s").alias("session_id"), F.col("id").alias("idx"), value.alias("value"))
+        found = peaks.local_maxima(signal)
+        start = time.perf_counter()
+        row = peaks.with_prominence(found, signal).agg(F.count("*").alias("n"), F.min("prominence").alias("low"), F.max("prominence").alias("high")).first()
+        assert time.perf_counter() - start < 90
+        assert row["n"] > n / 4 and 0 < row["low"] and row["high"] <= n

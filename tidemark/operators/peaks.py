@@ -1,7 +1,7 @@
 """Peaks of signals, and the clean-up of event times.
 
-Candidates are found by windows; only choices that depend on earlier choices (distance,
-anchored merging, votes) fold over arrays, of a cluster of candidates or of a session's events.
+Candidates are found by windows; choices that depend on earlier choices are made by blocks of a signal (distance, prominence)
+or in a walk through an island's events (anchored merging, votes).
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import islands
+from tidemark.operators.prominence import with_prominence
 from tidemark.operators.thinning import thinned
 
 BY = ["session_id"]
@@ -41,33 +42,6 @@ def find_peaks(signal: DataFrame, height: float | str | None = None, distance: i
     return peaks
 
 
-def with_prominence(peaks: DataFrame, signal: DataFrame, value: str = "value", by: list[str] = BY, block: int = 1024) -> DataFrame:
-    """prominence: height over the higher of the least values to either side, as far as the next strictly higher sample.
-
-    Samples are taken in blocks with their highest and least value. A peak looks through its own block, then over its session's
-    block summaries for the first block with a higher sample, then through that one: three blocks and a summary a peak, not the session.
-    """
-    at = F.floor(F.col("idx") / block)
-    blocks = signal.withColumn("_b", at).groupBy(*by, "_b").agg(F.array_sort(F.collect_list(F.struct("idx", F.col(value).cast("double").alias("v")))).alias("_own"))
-    blocks = blocks.withColumns({"_high": F.array_max(F.transform("_own", lambda s: s["v"])), "_low": F.array_min(F.transform("_own", lambda s: s["v"]))})
-    summary = blocks.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("_b").alias("b"), F.col("_high").alias("h"), F.col("_low").alias("l")))).alias("_all"))
-    scan = "aggregate({part}, named_struct('stop', {stop}, 'low', {low}), (a, x) -> if(a.stop or x.v > height, named_struct('stop', true, 'low', a.low), named_struct('stop', false, 'low', least(a.low, x.v))))"
-    skip = "aggregate({part}, named_struct('at', cast(null as bigint), 'low', {side}.low), (a, x) -> if(a.at is not null or x.h > height, named_struct('at', coalesce(a.at, x.b), 'low', a.low), named_struct('at', a.at, 'low', least(a.low, x.l))))"
-    made = peaks.withColumn("height", F.col("height").cast("double")).withColumn("_b", at).join(blocks.select(*by, "_b", "_own"), [*by, "_b"])
-    turned = {"_l": "reverse(filter({0}, s -> s.{1} < {2}))", "_r": "filter({0}, s -> s.{1} > {2})"}
-    made = made.withColumns({side: F.expr(scan.format(part=t.format("_own", "idx", "idx"), stop="false", low="height")) for side, t in turned.items()}).drop("_own")
-    made = made.join(summary, by)
-    for side, t in turned.items():
-        made = made.withColumn(f"{side}2", F.expr(f"if({side}.stop, named_struct('at', cast(null as bigint), 'low', {side}.low), {skip.format(part=t.format('_all', 'b', '_b'), side=side)})"))
-    made = made.drop("_all")
-    for side, t in turned.items():
-        there = blocks.select(*by, F.col("_b").alias(f"{side}_at"), F.col("_own").alias(f"{side}_own"))
-        made = made.withColumn(f"{side}_at", F.col(f"{side}2.at")).join(there, [*by, f"{side}_at"], "left")
-        part = f"reverse({side}_own)" if side == "_l" else f"{side}_own"
-        made = made.withColumn(f"{side}_low", F.expr(f"if({side}_at is null, {side}2.low, {scan.format(part=part, stop='false', low=f'{side}2.low')}.low)")).drop(f"{side}_own")
-    return made.withColumn("prominence", F.col("height") - F.greatest("_l_low", "_r_low")).select(*peaks.columns, "prominence")
-
-
 def narrow(peaks: DataFrame, signal: DataFrame, threshold: float, longest: int, value: str = "value", by: list[str] = BY) -> DataFrame:
     """Peaks whose run of samples above half the threshold is no longer than `longest`; the peak's own sample counts as above."""
     marked = signal.join(peaks.select(*by, "idx", F.lit(True).alias("_is")), [*by, "idx"], "left")
