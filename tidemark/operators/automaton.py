@@ -10,29 +10,47 @@ from tidemark.operators.asof import asof, islands
 BY = ["session_id"]
 
 
-def transitions(timeline: DataFrame, confirm: int = 2, none_run: int = 8, back: float = 0.0, time: str = "time_s", label: str = "label", order: str = "idx", by: list[str] = BY) -> DataFrame:
+def label_runs(timeline: DataFrame, none_run: int, most: int, time: str, label: str, order: str, by: list[str], block: int = 1 << 16) -> DataFrame:
+    """by, label, first, last (places among the session's frames), n, times: parts of runs of one known label, nulls between them passed over unless
+    none_run follow each other; times: the first `most`. Runs are made by blocks of the order column, so a run over several blocks has a part in each.
+    """
+    rows = timeline.select(*by, F.col(order).alias("_o"), F.floor(F.col(order) / F.lit(block)).alias("_b"), F.col(time).cast("double").alias("_t"), F.col(label).cast("int").alias("label"))
+    own = [*by, "_b"]
+    placed = rows.withColumn("_p", F.row_number().over(Window.partitionBy(*own).orderBy("_o", "_t", "label")).cast("long"))
+    sizes = placed.groupBy(*own).agg(F.max("_p").alias("_n"))  # a row a block
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*own, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    known, in_order = placed.where("label is not null"), Window.partitionBy(*own).orderBy("_p")
+    begins = (F.col("label") != F.lag("label").over(in_order)) | (F.col("_p") - F.lag("_p").over(in_order) > none_run)
+    runs = islands(known, own, ["_p"], begins, "_run")
+    runs = runs.withColumn("_k", F.row_number().over(Window.partitionBy(*own, "_run").orderBy("_p")))
+    early = F.when(F.col("_k") <= most, F.struct("_p", "_t"))
+    parts = runs.groupBy(*own, "_run").agg(F.first("label").alias("label"), F.min("_p").alias("first"), F.max("_p").alias("last"), F.count("*").alias("n"), F.array_sort(F.collect_list(early)).alias("_early"))  # `most` frames
+    parts = parts.join(starts, own)
+    return parts.select(*by, "label", *[(F.col(c) + F.col("_before")).alias(c) for c in ("first", "last")], "n", F.col("_early._t").alias("times"))
+
+
+def transitions(timeline: DataFrame, confirm: int = 2, none_run: int = 8, back: float = 0.0, time: str = "time_s", label: str = "label", order: str = "idx", by: list[str] = BY, block: int = 1 << 16) -> DataFrame:
     """time, from_count, to_count, delta, direction, multi_step of confirmed changes of a nullable label.
 
     The first label is taken silently. A change counts once `confirm` labels in a row (nulls between
     them don't break the row, `none_run` nulls do) agree on it; its time is taken back by `back`. A change by more than one is
     told in unit steps towards the new label.
+
+    Whatever the state was, `confirm` labels that agree leave their label confirmed, and nothing else changes what is confirmed. So
+    the runs of that length tell all: each confirms its label at its confirm-th frame, a change if the run
+    of that length before it (or the first label) had another. Frames are only looked at by blocks, sessions only by their runs.
     """
-    frames = timeline.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(time).cast("double").alias("t"), F.col(label).cast("int").alias("l")))).alias("_f"))
-    kind = "c int, cand int, run int, nones int, o array<struct<t:double,f:int,g:int>>"
-    start = f"cast(named_struct('c', null, 'cand', null, 'run', 0, 'nones', 0, 'o', array()) as struct<{kind.replace(' int', ':int').replace('o array', 'o:array').replace(', ', ',')}>)"
-
-    def state(c: str, cand: str, run: str, nones: str, o: str = "a.o") -> str:
-        return f"named_struct('c', {c}, 'cand', {cand}, 'run', {run}, 'nones', {nones}, 'o', {o})"
-
-    null = "cast(null as int)"
-    run = "if(x.l <=> a.cand, a.run + 1, 1)"
-    step = f"""case
-        when x.l is null then {state("a.c", f"if(a.nones + 1 >= {none_run}, {null}, a.cand)", f"if(a.nones + 1 >= {none_run}, 0, a.run)", "a.nones + 1")}
-        when a.c is null then {state("x.l", "a.cand", "a.run", "0")}
-        when x.l = a.c then {state("a.c", null, "0", "0")}
-        when {run} >= {confirm} then {state("x.l", null, "0", "0", "array_append(a.o, named_struct('t', x.t, 'f', a.c, 'g', x.l))")}
-        else {state("a.c", "x.l", run, "0")} end"""
-    changed = frames.select(*by, F.explode(F.expr(f"aggregate(_f, {start}, (a, x) -> {step}).o")).alias("_c"))
+    parts = label_runs(timeline, none_run, confirm, time, label, order, by, block)
+    in_order = Window.partitionBy(*by).orderBy("first")
+    parts = parts.withColumn("_first", F.first("label").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    begins = (F.col("label") != F.lag("label").over(in_order)) | (F.col("first") - F.lag("last").over(in_order) > none_run)
+    runs = islands(parts, by, ["first"], begins, "_run")
+    so_far = F.coalesce(F.sum("n").over(Window.partitionBy(*by, "_run").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    there = runs.withColumn("_so_far", so_far).where((F.col("_so_far") < confirm) & (F.col("_so_far") + F.col("n") >= confirm))
+    confirmed = there.withColumn("_was", F.coalesce(F.lag("label").over(in_order), "_first"))
+    at = F.element_at("times", (F.lit(confirm) - F.col("_so_far")).cast("int"))
+    changed = confirmed.where("label <> _was").select(*by, F.struct(at.alias("t"), F.col("_was").alias("f"), F.col("label").alias("g")).alias("_c"))
     sign = F.when(F.col("_c.f") > F.col("_c.g"), -1).otherwise(1)
     steps = changed.select(*by, F.col("_c.t").alias("_t"), F.col("_c.f").alias("_f"), F.col("_c.g").alias("_g"), sign.alias("delta"), F.explode(F.sequence(F.lit(0), F.abs(F.col("_c.f") - F.col("_c.g")) - 1)).alias("_k"))
     return steps.select(

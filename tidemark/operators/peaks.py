@@ -6,12 +6,16 @@ or in a walk through an island's events (anchored merging, votes).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import islands
 from tidemark.operators.prominence import with_prominence
 from tidemark.operators.thinning import thinned
+from tidemark.operators.walks import Walk, walked
 
 BY = ["session_id"]
 
@@ -53,37 +57,63 @@ def narrow(peaks: DataFrame, signal: DataFrame, threshold: float, longest: int,
     return sized.where("_is").where(F.col("width") <= longest).select(*by, "idx", F.col(value).alias("height"), "width")
 
 
-def _folded(events: DataFrame, item: Column, kind: str, step: str, by: list[str], time: str, gap: float, closed: bool = True) -> DataFrame:
-    """A fold over events in order; after a pause of `gap` (closed: or more) the step keeps nothing of what came before, so events are folded by island."""
-    pause = F.col(time).cast("double") - F.lag(F.col(time).cast("double")).over(Window.partitionBy(*by).orderBy(time))
-    parts = islands(events, by, [time], pause >= gap if closed else pause > gap, "_island")
-    items = parts.groupBy(*by, "_island").agg(F.array_sort(F.collect_list(item)).alias("_all"))  # of one island
-    return items.select(*by, F.explode(F.expr(f"aggregate(_all, cast(array() as array<{kind}>), (o, x) -> {step})")).alias("_o"))
+DOUBLE = ("double", pa.float64())
+
+
+def _by_island(events: DataFrame, values: dict[str, Column], walk: Walk, made: dict[str, tuple], by: list[str], time: str, gap: float, closed: bool = True) -> DataFrame:
+    """A walk over events in order; after a pause of `gap` (closed: or more) it keeps nothing of what came before, so a session's islands are walked apart."""
+    rows = events.select(*by, *[c.alias(name) for name, c in values.items()]).where(F.col(time).isNotNull())
+    pause = F.col(time) - F.lag(time).over(Window.partitionBy(*by).orderBy(time))
+    parts = islands(rows, by, [time], pause >= gap if closed else pause > gap, "_island")
+    return walked(parts, [*by, "_island"], list(values), walk, made, by)
 
 
 def keep_louder(peaks: DataFrame, gap: float, time: str = "time_s", loudness: str = "energy", by: list[str] = BY) -> DataFrame:
     """Peaks nearer than gap to the last kept one replace it if louder, else go; the anchor moves with the replacement."""
-    item = F.struct(F.col(time).cast("double").alias("t"), F.col(loudness).cast("double").alias("e"))
-    step = f"case when size(o) = 0 or x.t - element_at(o, -1).t >= {gap} then array_append(o, x) when x.e > element_at(o, -1).e then array_append(slice(o, 1, size(o) - 1), x) else o end"
-    return _folded(peaks, item, "struct<t:double,e:double>", step, by, time, gap).select(*by, F.col("_o.t").alias(time), F.col("_o.e").alias(loudness))
+
+    def walk(rows: Iterator[tuple]) -> Iterator[tuple]:
+        last = next(rows)
+        for t, e in rows:
+            if t - last[0] >= gap:
+                yield last
+                last = t, e
+            elif e > last[1]:
+                last = t, e
+        yield last
+
+    return _by_island(peaks, {time: F.col(time).cast("double"), loudness: F.col(loudness).cast("double")}, walk, {time: DOUBLE, loudness: DOUBLE}, by, time, gap)
 
 
 def anchored_dedup(events: DataFrame, window: float, time: str = "time_s", by: list[str] = BY) -> DataFrame:
     """Times at least a window after the last kept one."""
-    step = f"if(size(o) = 0 or x - element_at(o, -1) >= {window}, array_append(o, x), o)"
-    return _folded(events, F.col(time).cast("double"), "double", step, by, time, window).select(*by, F.col("_o").alias(time))
+
+    def walk(rows: Iterator[tuple]) -> Iterator[tuple]:
+        last = float("-inf")
+        for (t,) in rows:
+            if t - last >= window:
+                yield (t,)
+                last = t
+
+    return _by_island(events, {time: F.col(time).cast("double")}, walk, {time: DOUBLE}, by, time, window)
 
 
 def vote_clusters(peaks: DataFrame, window: float, votes: int, min_gap: float, time: str = "time_s", roi: str = "roi", by: list[str] = BY) -> DataFrame:
     """Mean times of clusters (peaks within the window of a cluster's first) that at least `votes` regions share, and then min_gap apart."""
-    item = F.struct(F.col(time).cast("double").alias("t"), F.col(roi).alias("r"))
-    kind = "struct<s:double,n:bigint,sum:double,rois:array<string>>"
-    fresh = "named_struct('s', x.t, 'n', 1L, 'sum', x.t, 'rois', array(cast(x.r as string)))"
-    last = "element_at(o, -1)"
-    grown = f"named_struct('s', {last}.s, 'n', {last}.n + 1L, 'sum', {last}.sum + x.t, 'rois', array_distinct(array_append({last}.rois, cast(x.r as string))))"
-    step = f"case when size(o) = 0 or x.t - {last}.s > {window} then array_append(o, {fresh}) else array_append(slice(o, 1, size(o) - 1), {grown}) end"
-    clusters = _folded(peaks, item, kind, step, by, time, window, closed=False).where(F.size("_o.rois") >= votes)
-    return anchored_dedup(clusters.select(*by, (F.col("_o.sum") / F.col("_o.n")).alias(time)), min_gap, time, by)
+
+    def walk(rows: Iterator[tuple]) -> Iterator[tuple]:
+        start, n, total, regions = None, 0, 0.0, set()
+        for t, region in rows:
+            if start is None or t - start > window:
+                if len(regions) >= votes and n:
+                    yield (total / n,)
+                start, n, total, regions = t, 0, 0.0, set()
+            n, total = n + 1, total + t
+            regions.add(region)
+        if len(regions) >= votes:
+            yield (total / n,)
+
+    clusters = _by_island(peaks, {time: F.col(time).cast("double"), roi: F.col(roi).cast("string")}, walk, {time: DOUBLE}, by, time, window, closed=False)
+    return anchored_dedup(clusters, min_gap, time, by)
 
 
 def audio_peaks(energy: DataFrame, percent: float = 98.7, distance: int = 20, merge_gap: float = 0.12, by: list[str] = BY) -> DataFrame:
