@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.blocks import carried
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, take: list[str], direction: str = "backward", tie: str | None = None, tolerance: float | None = None) -> DataFrame:
+
+def asof(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, take: list[str], direction: str = "backward", tie: str | None = None, tolerance: float | None = None, width: float | None = None) -> DataFrame:
     """Each left row with the columns `take` of the nearest right row at or before it (backward), at or after it (forward).
 
     Of right rows at one time the first by `tie` counts forward, the last backward. Both
     sides are sorted together once by (by, time); nothing is compared pairwise. tolerance bounds
-    the distance; rows without a partner have nulls.
+    the distance; rows without a partner have nulls. width: of time blocks, so that a key's rows are not one task's work but
+    each block's, and what a block carries into the next.
     """
     forward = direction == "forward"
     mine = F.struct(*[F.col(c) for c in left.columns])
@@ -22,9 +25,12 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_o
     both = rows.unionByName(others, allowMissingColumns=True)
     columns = ("_at", "_side", "_tie")
     # forward in descending order: a frame from each row to the end would be read anew for each row
-    order = Window.partitionBy(*by).orderBy(*([F.desc(c) for c in columns] if forward else columns))
-    found = F.last("_right", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    met = both.withColumn("_found", found).where("_left is not null")
+    if width is None:
+        order = Window.partitionBy(*by).orderBy(*([F.desc(c) for c in columns] if forward else columns))
+        both = both.withColumn("_found", F.last("_right", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    else:
+        both = carried(both, {"_found": F.col("_right")}, by, list(columns), width, forward)
+    met = both.where("_left is not null")
     if tolerance is not None:
         met = met.withColumn("_found", F.when(F.abs(F.col("_found._time") - F.col("_at")) <= tolerance, F.col("_found")))
     return met.select("_left.*", *[F.col(f"_found.{c}").alias(c) for c in take])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.blocks import WIDTH, by_blocks, carried
+
 BY = ["session_id"]
 
 
@@ -43,6 +45,30 @@ def filled(value: str = "value", default: object = None, by: list[str] = BY, ord
     return F.coalesce(before, after, F.lit(default)) if default is not None else F.coalesce(before, after)
 
 
+def differenced(signal: DataFrame, value: str = "value", by: list[str] = BY, order: str = "idx", width: float = WIDTH) -> DataFrame:
+    """difference to the sample before (0 for the first), and rise (falls as 0), by blocks of a signal."""
+    made = {"difference": lambda keys: first_difference(value, keys, order), "rise": lambda keys: rises(value, keys, order)}
+    return by_blocks(signal, made, 1, 0, by, order, width)
+
+
+def enveloped(signal: DataFrame, widths: dict[str, int], value: str = "value", by: list[str] = BY, order: str = "idx", width: float = WIDTH) -> DataFrame:
+    """Centred moving means, by name and width of the mean, by blocks of a signal."""
+    made = {name: lambda keys, n=n: boxcar(n, value, keys, order) for name, n in widths.items()}
+    most = max(widths.values())
+    return by_blocks(signal, made, most // 2, (most - 1) // 2 if len(widths) == 1 else most // 2, by, order, width)
+
+
+def smoothed(signal: DataFrame, value: str = "value", by: list[str] = BY, order: str = "idx", width: float = WIDTH) -> DataFrame:
+    """smooth: the median of a sample and its neighbours, by blocks of a signal."""
+    return by_blocks(signal, {"smooth": lambda keys: median3(value, keys, order)}, 1, 1, by, order, width)
+
+
+def without_gaps(signal: DataFrame, value: str = "value", default: object = None, by: list[str] = BY, order: str = "idx", width: float = WIDTH) -> DataFrame:
+    """The signal, nulls of the value filled from before, or else from after, or else the default; by blocks, each carrying its last value on."""
+    met = carried(carried(signal, {"_filled": F.col(value)}, by, [order], width), {"_later": F.col(value)}, by, [order], width, descending=True)
+    return met.withColumn(value, F.coalesce("_filled", "_later", F.lit(default))).drop("_filled", "_later")
+
+
 def rms_energy(chunks: DataFrame, samples: str = "samples", rate: int = 44100, window_ms: float = 10, hop_ms: float = 5, keep: tuple[str, ...] = ("session_id",)) -> DataFrame:
     """frame, time_s, energy of each sample array: root mean square of windows that hop along; the last that would fit is left out."""
     width, hop = int(rate * window_ms / 1000), int(rate * hop_ms / 1000)
@@ -53,12 +79,15 @@ def rms_energy(chunks: DataFrame, samples: str = "samples", rate: int = 44100, w
     return each.select(*keep, "frame", (F.col("frame") * hop / F.lit(float(rate))).alias("time_s"), energy.alias("energy"))
 
 
-def frame_delta(frames: DataFrame, patch: str = "patch", order: str = "idx", by: list[str] = BY) -> DataFrame:
-    """delta: mean absolute difference of a frame's values to those of the frame before; null for the first."""
-    before = F.lag(patch).over(_order(by, order))
-    difference = F.zip_with(F.col(patch), before, lambda a, b: F.abs(a.cast("double") - b.cast("double")))
-    total = F.aggregate(difference, F.lit(0.0), lambda a, x: a + x)
-    return frames.withColumn("delta", F.when(before.isNotNull(), total / F.size(patch)))
+def frame_delta(frames: DataFrame, patch: str = "patch", order: str = "idx", by: list[str] = BY, width: float = WIDTH) -> DataFrame:
+    """delta: mean absolute difference of a frame's values to those of the frame before; null for the first. By blocks of frames."""
+
+    def delta(keys: list[str]) -> Column:
+        before = F.lag(patch).over(_order(keys, order))
+        difference = F.zip_with(F.col(patch), before, lambda a, b: F.abs(a.cast("double") - b.cast("double")))
+        return F.when(before.isNotNull(), F.aggregate(difference, F.lit(0.0), lambda a, x: a + x) / F.size(patch))
+
+    return by_blocks(frames, {"delta": delta}, 1, 0, by, order, width)
 
 
 def crop(patch: Column, width: int, top: int, bottom: int, left: int, right: int) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof, band_join, islands, range_join
+from tidemark.operators.blocks import WIDTH, running
 
 BY = ["session_id"]
 
@@ -44,25 +45,22 @@ def acquisition_metrics(rows: DataFrame) -> DataFrame:
     return rows.withColumn("acquisition_ms", F.bround((F.col("acquired") - F.col("start")) * 1000, 1)).withColumn("true_ttff_ms", F.bround((F.col("first_shot") - F.col("acquired")) * 1000, 1))
 
 
-def scoreboard(labelled: DataFrame, time: str = "t", by: list[str] = BY) -> DataFrame:
-    """tp, fp, fn, recall, precision, f1 up to and with each event's time."""
-    so_far = Window.partitionBy(*by).orderBy(time).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    total = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).over(so_far)
-    tp, fp, fn, gt = total(F.col("label") == "tp"), total(F.col("label") == "fp"), total(F.col("label") == "fn"), total(F.col("side") == "truth")
-    rows = labelled.select(*by, time, "side", "label", tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), gt.alias("_gt"))
+def scoreboard(labelled: DataFrame, time: str = "t", by: list[str] = BY, width: float = WIDTH) -> DataFrame:
+    """tp, fp, fn, recall, precision, f1 up to and with each event's time; summed by blocks of time, each with the totals of those before."""
+    counts = {name: F.when(F.col(column) == kind, 1).otherwise(0) for name, column, kind in (("tp", "label", "tp"), ("fp", "label", "fp"), ("fn", "label", "fn"), ("n_gt", "side", "truth"))}
+    rows = running(labelled.select(*by, time, "side", "label"), counts, by, time, width)
     precision = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp")) * 100).otherwise(0.0)
-    recall = F.when(F.col("_gt") > 0, F.col("tp") / F.col("_gt") * 100).otherwise(0.0)
+    recall = F.when(F.col("n_gt") > 0, F.col("tp") / F.col("n_gt") * 100).otherwise(0.0)
     f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
-    return rows.withColumn("recall", recall).withColumn("precision", precision).withColumn("f1", f1).drop("_gt")
+    return rows.withColumns({"recall": recall, "precision": precision, "f1": f1}).drop("n_gt")
 
 
-def tally(frames: DataFrame, events: DataFrame, time: str = "time_s", by: list[str] = BY) -> DataFrame:
-    """n: events up to and with each frame's time."""
+def tally(frames: DataFrame, events: DataFrame, time: str = "time_s", by: list[str] = BY, width: float = WIDTH) -> DataFrame:
+    """n: events up to and with each frame's time; counted by blocks of time, each with the totals of those before."""
     both = frames.select(*by, F.col(time).alias("_t"), F.lit(0).alias("_e"), F.struct(*frames.columns).alias("_row")).unionByName(
         events.select(*by, F.col(time).alias("_t"), F.lit(1).alias("_e")), allowMissingColumns=True
     )
-    n = F.sum("_e").over(Window.partitionBy(*by).orderBy("_t").rangeBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("n", n).where("_row is not null").select("_row.*", "n")
+    return running(both, {"n": F.col("_e")}, by, "_t", width).where("_row is not null").select("_row.*", "n")
 
 
 def visible(frames: DataFrame, events: DataFrame, before: float, after: float, time: str = "time_s", by: list[str] = BY) -> DataFrame:
@@ -71,9 +69,9 @@ def visible(frames: DataFrame, events: DataFrame, before: float, after: float, t
     return near.withColumn("offset", F.col("event_time") - F.col(time))
 
 
-def latest(frames: DataFrame, events: DataFrame, within: float, time: str = "time_s", by: list[str] = BY) -> DataFrame:
+def latest(frames: DataFrame, events: DataFrame, within: float, time: str = "time_s", by: list[str] = BY, width: float = WIDTH) -> DataFrame:
     """latest: the last event up to each frame that is no older than `within`; null without one."""
-    return asof(frames, events.select(*by, F.col(time).alias("_e"), F.col(time).alias("latest")), by, time, "_e", ["latest"], "backward", tolerance=within)
+    return asof(frames, events.select(*by, F.col(time).alias("_e"), F.col(time).alias("latest")), by, time, "_e", ["latest"], "backward", tolerance=within, width=width)
 
 
 def within_duration(events: DataFrame, sessions: DataFrame, time: str = "time_s", duration: str = "duration", by: list[str] = BY) -> DataFrame:
@@ -104,10 +102,10 @@ def pulse(timeline: DataFrame, label: str = "label", decay: float = 0.08, order:
     return rows.withColumn("pulse", F.coalesce(F.greatest(F.lit(0.0), 1 - decay * (F.col("_n") - F.col("_at"))), F.lit(0.0))).drop("_n", "_b", "_at")
 
 
-def step_value(frames: DataFrame, steps: DataFrame, value: str, time: str = "time_s", by: list[str] = BY) -> DataFrame:
+def step_value(frames: DataFrame, steps: DataFrame, value: str, time: str = "time_s", by: list[str] = BY, width: float = WIDTH) -> DataFrame:
     """The value of the last step at or before each frame; before the first step, its value."""
     first = steps.groupBy(*by).agg(F.min_by(value, time).alias("_first"))
-    met = asof(frames, steps.select(*by, F.col(time).alias("_st"), value), by, time, "_st", [value], "backward")
+    met = asof(frames, steps.select(*by, F.col(time).alias("_st"), value), by, time, "_st", [value], "backward", width=width)
     return met.join(first, by, "left").withColumn(value, F.coalesce(value, "_first")).drop("_first")
 
 

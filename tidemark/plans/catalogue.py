@@ -173,22 +173,22 @@ def rolling_hit_rate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def first_diff_clip(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(items(spark, sf).select(*KEY, "idx", signals.first_difference().alias("difference"), signals.rises().alias("rise")))
+    return rounded(signals.differenced(items(spark, sf)).select(*KEY, "idx", "difference", "rise"))
 
 
 @query
 def boxcar_envelope(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(items(spark, sf).select(*KEY, "idx", signals.boxcar(4).alias("envelope4"), signals.boxcar(5).alias("envelope5")))
+    return rounded(signals.enveloped(items(spark, sf), {"envelope4": 4, "envelope5": 5}).select(*KEY, "idx", "envelope4", "envelope5"))
 
 
 @query
 def median3(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(items(spark, sf).select(*KEY, "idx", signals.median3().alias("smooth")))
+    return rounded(signals.smoothed(items(spark, sf)).select(*KEY, "idx", "smooth"))
 
 
 @query
 def ffill_bfill(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(signal(spark, sf).select(*KEY, "idx", signals.filled("label", 12).alias("label")))
+    return rounded(signals.without_gaps(signal(spark, sf), "label", 12).select(*KEY, "idx", "label"))
 
 
 @query
@@ -357,7 +357,7 @@ def peaks_per_roi(spark: SparkSession, sf: str) -> DataFrame:
 def fuse_asof_backward(spark: SparkSession, sf: str) -> DataFrame:
     truth = minutes(spark, sf, "purchase")
     last = minutes(spark, sf, "click").select(*KEY, F.col("time_s").alias("shot"))
-    met = asof.asof(truth, last, KEY, "time_s", "shot", ["shot"], "backward", tolerance=720)
+    met = asof.asof(truth, last, KEY, "time_s", "shot", ["shot"], "backward", tolerance=720, width=1 << 16)
     return met.select(*KEY, "time_s", F.coalesce("shot", "time_s").alias("fused"))
 
 
