@@ -144,7 +144,7 @@ def test_lines_against_all_pairs(spark):
         groups.setdefault(find(i), []).append(i)
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "doc_id long, text string")
     rows = df.select("doc_id", "text")
-    found = passages.lines(rows, 32, passages.bands_for(0.8, 3, 0.995), 3)
+    found = passages.scanned(rows, 16, 20, 32, passages.bands_for(0.8, 3, 0.995), 3).where("kind = 'line'").withColumnRenamed("hash", "line")
     tied = passages.line_clusters(rows, found, 0.8)
     of_line = {r["line"]: r["doc_id"] for r in found.collect()}
     made = {}

@@ -7,6 +7,7 @@ name pass by unread.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -30,6 +31,8 @@ SETTINGS = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
 TUNED = "spark.tidemark.tuned"
+#: The folder that a table of materialize() has, in the path of one of its files.
+STAGE = re.compile(r".*/stage-[0-9a-f]{32}(?=/)")
 #: Characters of text that a task takes up at a time, and bytes of a table that it keeps from batch to batch.
 BATCH_BYTES, TABLE_BYTES = 1 << 20, 48 << 20
 
@@ -54,11 +57,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared_dir(spark)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """The same rows, written as Parquet in the shared folder and read again: computed once, lineage cut."""
+def materialize(df: DataFrame, *by: str) -> DataFrame:
+    """The same rows, written as Parquet in the shared folder and read again: computed once, lineage cut. by: columns that become folders."""
     spark = tuned(df.sparkSession)
     path = f"{scratch_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,10 +71,9 @@ def discard(*made: DataFrame | None) -> None:
         if df is None:
             continue
         spark = df.sparkSession
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if folder.rpartition("/")[2].startswith("stage-"):
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        for folder in {m[0] for m in map(STAGE.match, df.inputFiles()) if m}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts(docs: DataFrame, *columns: str) -> DataFrame:

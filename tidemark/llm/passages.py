@@ -92,32 +92,69 @@ def anchors(shingle: np.ndarray, usable: np.ndarray, spread: int) -> np.ndarray:
     return np.unique(place)
 
 
-def blocks(rows: DataFrame, spread: int, block_words: int) -> DataFrame:
-    """hash, doc_id, start, end (words): the anchored blocks of each text; those that follow each other with one hash are one."""
+def found_blocks(words: np.ndarray, text: np.ndarray, first: np.ndarray, shingle: np.ndarray, spread: int, block_words: int) -> tuple[np.ndarray, ...]:
+    """hash, text, start, end (words) of the anchored blocks of a batch; those that follow each other with one hash are one."""
+    n = len(words) - block_words + 1
+    if n < 1:
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    usable = np.zeros(len(words), bool)
+    usable[: len(words) - WIDTH + 1] = text[WIDTH - 1 :] == text[: len(words) - WIDTH + 1]
+    place = anchors(shingle, usable, spread)
+    place = place[place < n]
+    place = place[text[place] == text[place + block_words - 1]]
+    hashes = joined(words, block_words)[place].view(np.int64)
+    new = np.ones(len(place), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (text[place[1:]] != text[place[:-1]])
+    begins = np.flatnonzero(new)
+    ends = place[np.append(begins[1:], len(place))[: len(begins)] - 1] + block_words
+    place, hashes = place[begins], hashes[begins]
+    of_text = first[text[place]]
+    return hashes, text[place], place - of_text, ends - of_text
+
+
+def found_lines(raw: list[bytes], first: np.ndarray, shingle: np.ndarray, line_words: int, factors: np.ndarray, bands: int) -> tuple[np.ndarray, ...]:
+    """hash, text, start, end (words), band keys (a row each) of a batch's lines of at least line_words words. shingle: at each word of the batch, that of the five from there."""
+    split = [t.split(b"\n") for t in raw]
+    flat = [line for x in split for line in x]
+    owner = np.repeat(np.arange(len(raw)), [len(x) for x in split])
+    counts = np.fromiter((len(x.split()) for x in flat), np.int64, len(flat))
+    begins = np.cumsum(counts) - counts  # lines have their text's words, in order
+    long = np.flatnonzero(counts >= line_words)
+    if not len(long):
+        return (*(np.zeros(0, np.int64) for _ in range(4)), np.zeros((0, bands), np.uint64))
+    # shingles of the long lines, each line's together
+    sizes = counts[long] - WIDTH + 1
+    ends = np.cumsum(sizes)
+    take = np.arange(ends[-1]) + np.repeat(begins[long] - (ends - sizes), sizes)
+    own, starts = shingle[take], ends - sizes
+    keys, rows = np.zeros((len(long), bands), np.uint64), len(factors) // bands
+    for k, factor in enumerate(factors):
+        keys[:, k // rows] = mixed(keys[:, k // rows] + np.minimum.reduceat(mixed(own * factor), starts))
+    keys = mixed(keys + np.arange(1, bands + 1, dtype=np.uint64))
+    hashes = np.array([hashed(flat[i]) for i in long], np.int64)
+    start = begins[long] - first[owner[long]]
+    return hashes, owner[long], start, start + counts[long], keys
+
+
+def scanned(rows: DataFrame, spread: int, block_words: int, line_words: int, bands: int, band_rows: int, seed: int = 11) -> DataFrame:
+    """kind (block, line), hash, doc_id, start, end (words), bands (of lines): the anchored blocks and the long lines of each text, whose words are hashed once for both."""
+    factors = np.random.default_rng(seed).integers(1 << 62, size=bands * band_rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for part in slices(batches):
-            words, text, first, shingle = hasher.shingles([t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()])
-            n = len(words) - block_words + 1
-            if n < 1:
-                continue
-            usable = np.zeros(len(words), bool)
-            usable[: len(words) - WIDTH + 1] = text[WIDTH - 1 :] == text[: len(words) - WIDTH + 1]
-            place = anchors(shingle, usable, spread)
-            place = place[place < n]
-            place = place[text[place] == text[place + block_words - 1]]
-            hashes = joined(words, block_words)[place].view(np.int64)
-            new = np.ones(len(place), bool)
-            new[1:] = (hashes[1:] != hashes[:-1]) | (text[place[1:]] != text[place[:-1]])
-            begins = np.flatnonzero(new)
-            ends = place[np.append(begins[1:], len(place))[: len(begins)] - 1] + block_words
-            place, hashes = place[begins], hashes[begins]
-            of_text = first[text[place]]
-            columns = [pa.array(hashes), part.column(0).take(pa.array(text[place])), pa.array((place - of_text).astype(np.int32)), pa.array((ends - of_text).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["hash", "doc_id", "start", "end"])
-
-    return rows.select("doc_id", "text").mapInArrow(run, "hash long, doc_id long, start int, end int")
+            raw = [t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
+            words, text, first, shingle = hasher.shingles(raw)
+            of_block = found_blocks(words, text, first, shingle, spread, block_words)
+            *of_line, keys = found_lines(raw, first, shingle, line_words, factors, bands)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * bands, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
+            for kind, (hashes, owner, start, end), own in (("block", of_block, None), ("line", of_line, lists)):
+                if len(hashes):
+                    columns = [pa.repeat(kind, len(hashes)), pa.array(hashes), part.column(0).take(pa.array(owner)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))]
+                    columns.append(pa.nulls(len(hashes), pa.list_(pa.int64())) if own is None else own)
+                    yield pa.RecordBatch.from_arrays(columns, ["kind", "hash", "doc_id", "start", "end", "bands"])
+
+    return rows.select("doc_id", "text").mapInArrow(run, "kind string, hash long, doc_id long, start int, end int, bands array<long>")
 
 
 def with_neighbours(rows: DataFrame, shared: DataFrame, spread: int, block_words: int) -> DataFrame:
@@ -165,41 +202,6 @@ def around(words: np.ndarray, at: np.ndarray, step: int, sizes: np.ndarray) -> p
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(made[np.arange(most) < sizes[:, None]]))
 
 
-def lines(rows: DataFrame, line_words: int, bands: int, band_rows: int, seed: int = 11) -> DataFrame:
-    """line (hash of its text), doc_id, start, n_words, bands: a row for each line of at least line_words words."""
-    rng = np.random.default_rng(seed)
-    factors = rng.integers(1 << 62, size=bands * band_rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for part in slices(batches):
-            raw = [t.encode("utf-8", "surrogatepass").split(b"\n") for t in part.column(1).to_pylist()]
-            owner = np.repeat(np.arange(len(raw)), [len(x) for x in raw])
-            flat = [line for x in raw for line in x]
-            words, line, first, shingle = hasher.shingles(flat)
-            counts = np.bincount(line, minlength=len(flat))
-            long = np.flatnonzero(counts >= line_words)
-            if not len(long):
-                continue
-            # shingles of the long lines, each line's together
-            sizes = counts[long] - WIDTH + 1
-            ends = np.cumsum(sizes)
-            take = np.arange(ends[-1]) + np.repeat(first[long] - (ends - sizes), sizes)
-            own, starts = shingle[take], ends - sizes
-            keys = np.zeros((len(long), bands), np.uint64)
-            for k, factor in enumerate(factors):
-                keys[:, k // band_rows] = mixed(keys[:, k // band_rows] + np.minimum.reduceat(mixed(own * factor), starts))
-            keys = mixed(keys + np.arange(1, bands + 1, dtype=np.uint64))
-            hashes = np.array([hashed(flat[i]) for i in long], np.int64)
-            n_lines = np.bincount(owner)
-            begun = first[np.cumsum(n_lines) - n_lines]  # each text's first word
-            start = (first[long] - begun[owner[long]]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(long) + 1) * bands, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), part.column(0).take(pa.array(owner[long])), pa.array(start), pa.array(counts[long].astype(np.int32)), lists], ["line", "doc_id", "start", "n_words", "bands"])
-
-    return rows.select("doc_id", "text").mapInArrow(run, "line long, doc_id long, start int, n_words int, bands array<long>")
-
-
 def shingle_sets(rows: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFrame:
     """node (the line), shingles (distinct hashes): of the wanted lines alone, each read from one document that holds it."""
     holders = found.join(wanted, "line", "left_semi").groupBy("line").agg(F.min("doc_id").alias("doc_id"))
@@ -283,13 +285,13 @@ def repeats(docs: DataFrame, similarity: float = 0.8, recall: float = 0.995, ban
         first = spans.groupBy(key).agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_last")).where("first_doc_id < _last")
         return spans.join(first.drop("_last"), key).select("doc_id", "start", "end", "first_doc_id")
 
-    in_blocks = whole_runs(rows, materialize(blocks(rows, spread, block_words)), of_several, spread, block_words)
-    found = materialize(lines(rows, line_words, bands_for(similarity, band_rows, recall), band_rows))
+    scan = materialize(scanned(rows, spread, block_words, line_words, bands_for(similarity, band_rows, recall), band_rows), "kind")
+    in_blocks = whole_runs(rows, scan.where("kind = 'block'").select("hash", "doc_id", "start", "end"), of_several, spread, block_words)
+    found = scan.where("kind = 'line'").select(F.col("hash").alias("line"), "doc_id", "start", "end", "bands")
     tied = line_clusters(rows, found, similarity)
-    placed = found.join(tied, found["line"] == tied["node"], "left")
-    placed = placed.select(F.coalesce("root", "line").alias("root"), "doc_id", "start", (F.col("start") + F.col("n_words")).alias("end"))
+    placed = found.join(tied, found["line"] == tied["node"], "left").select(F.coalesce("root", "line").alias("root"), "doc_id", "start", "end")
     made = materialize(runs(in_blocks.unionByName(of_several(placed, "root")), least_words))
-    discard(in_blocks, found, tied)
+    discard(scan, in_blocks, tied)
     return made
 
 
@@ -303,7 +305,6 @@ def whole_runs(rows: DataFrame, found: DataFrame, of_several: Callable[[DataFram
     ends = [f(h).alias(f"{side}_{f.__name__}") for side, h in sides.items() for f in (F.min, F.max)]
     known = found.groupBy("hash").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_last")).where("first_doc_id < _last").drop("_last")
     blocks_of_several = materialize(found.join(known, "hash"))
-    discard(found)
     placed = materialize(with_neighbours(rows, blocks_of_several, spread, block_words))
     discard(blocks_of_several)
     same = placed.groupBy("hash").agg(*ends, F.min_by("block", "doc_id").alias("first_block")).select("hash", "first_block", *[(F.col(f"{side}_min") == F.col(f"{side}_max")).alias(f"{side}_same") for side in sides])
