@@ -101,3 +101,43 @@ def test_random_pages_against_a_parser(spark):
     assert [main_text(p) for p in pages] == wanted
     df = spark.createDataFrame([(i, "u", p, "x", "y") for i, p in enumerate(pages)], "page_id long, url string, html string, text string, n_chars string")
     assert {r["page_id"]: r["text"] for r in extract(df).collect()} == dict(enumerate(wanted))
+
+
+STORY = " ".join(f"<p>{'This is the text of the article and it is here for the reader to read, as it was written by the author of it. ' * 3}</p>" for _ in range(3))
+TOLD = " ".join(["This is the text of the article and it is here for the reader to read, as it was written by the author of it."] * 9)
+COMMENT = "<p>I do not agree with what is said here, as it was not so when I was there with the others, and that is all.</p>" * 3
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><form action='/' id='aspnetForm'><nav><a href='/'>Home</a></nav><div>{}</div></form></body>",
+        "<body><form method=post><article>{}</article></form></body>",
+        "<body><div class='post hentry comments-open'>{}</div></body>",
+        "<body><div class='wrapper footer-sticky'>{}</div></body>",
+        "<body><div class='page nav-down'>{}</div></body>",
+        "<body><div class='cookie-accepted'><main>{}</main></div></body>",
+        "<body><div class='nav-down'><article>{}</article></div></body>",
+        "<body><div id='app' class='modal-open'><article>{}</article></div></body>",
+        "<body><div class='modal'><article>{}</article></div></body>",
+        "<body><article>{}</article><div id='discussion'>" + COMMENT + "</div></body>",
+        "<body><div>{}</div><div class='comments'><article class='comment-body'>" + COMMENT + "</article></div></body>",
+        "<body><article>{}</article><form class='comment-form'><p>Leave a reply to this article, if you have one for the author.</p><textarea>x</textarea></form></body>",
+        "<body><div>{}</div><form class='search'><label>Search this site for what you want to know.</label></form></body>",
+    ],
+)
+def test_states_forms_and_readers(page):
+    assert main_text(page.replace("{}", STORY)) == TOLD
+
+
+def test_discussion_inside_an_article_stays():
+    page = f"<article>{STORY}<section id='discussion'>{STORY}</section></article>"
+    assert main_text(page) == f"{TOLD} {TOLD}"
+
+
+def test_a_page_of_short_paragraphs():
+    short = [f"Line {i} is short." for i in range(5)]
+    for around in ("<div>{}</div>", "<article>{}</article>", "{}"):
+        page = "<body><nav><a href='/'>Home</a> <a href='/x'>More</a></nav>" + around.format("".join(f"<p>{x}</p>" for x in short)) + "<footer><p>All rights are reserved.</p></footer></body>"
+        assert main_text(page) == " ".join(short)
+    assert main_text("<body><div>Menu</div><div>All rights reserved.</div></body>") == ""

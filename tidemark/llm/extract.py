@@ -40,15 +40,23 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSED_BY_BLOCK = frozenset("p li dt dd tr td th option".split())
 
 # Words in class, id or role that mark boilerplate. A token such as "post-comments" is marked by its first or its last part,
-# one such as "has-sidebar" is not. What WEAK words mark counts as text where it holds the article, or most of the page's running text.
+# one such as "has-sidebar" is not, nor one that ends in a state, such as "comments-open". What READERS wrote never counts as text; what STRONG words mark
+# does where it holds all of the page's articles, what WEAK words mark (and a form) where it holds an article, or most of the page's running text.
+READERS = frozenset("comment comments commentlist disqus respond replies".split())
 STRONG = frozenset(
-    "comment comments commentlist disqus respond replies cookie cookies consent gdpr nav navbar navigation breadcrumb breadcrumbs pagination pager footer contentinfo newsletter subscribe signup login popup modal".split()
+    "cookie cookies consent gdpr nav navbar navigation breadcrumb breadcrumbs pagination pager footer contentinfo newsletter subscribe signup login popup modal".split()
 )
 WEAK = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner notice overlay sidebar side-bar widget widgets related recommended recommendations share sharing social "
     "menu header masthead toolbar skip search tag tags complementary alert".split()
 )
 NOT_NOTED = frozenset("has no not with without is hide show enable enabled disable disabled".split())
+STATES = frozenset("open opened closed down up sticky accepted active inactive visible shown hidden on off loaded ready".split())
+#: Marks readers' words where it stands outside an article; inside it is a part of the text.
+DISCUSSION = "discussion"
+#: Sentences that make a page of short blocks a text.
+FEW = 3
+SENTENCE_ENDS = ".!?…。！？\"'”’)"
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: An element's attributes as browsers read them: a value in quotes, or all up to white space or the tag's end.
 ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
@@ -74,17 +82,14 @@ class Block:
 
 
 def noted(said: str) -> str:
-    """strong, weak or nothing: what the tokens of class, id and role mark."""
-    found = ""
+    """readers, strong, weak or nothing: what the tokens of class, id and role mark."""
+    found = set()
     for token in said.lower().split():
         parts = re.split("[-_]+", token)
-        if NOT_NOTED.isdisjoint(parts):
+        if NOT_NOTED.isdisjoint(parts) and (len(parts) == 1 or parts[-1] not in STATES):
             ends = {token, parts[0], parts[-1]}
-            if not STRONG.isdisjoint(ends):
-                return "strong"
-            if not WEAK.isdisjoint(ends):
-                found = "weak"
-    return found
+            found |= {kind for kind, words in (("readers", READERS), ("strong", STRONG), ("weak", WEAK)) if not words.isdisjoint(ends)}
+    return next((kind for kind in ("readers", "strong", "weak") if kind in found), "")
 
 
 class Open:
@@ -132,10 +137,11 @@ def blocks_of(page: str, low: int = 70, links: float = 0.3) -> list[Block]:
     """The page's blocks in order, empty ones left out; time is linear in the page's length, whatever its depth."""
     found: list[Block] = []
     open_, parts = Open(), []
-    #: of each element with a note: the note around it, its strength, whether it holds an article
+    #: of each element with a note: the note around it, its kind, how many articles it holds
     around: list[int] = []
-    strong: list[bool] = []
-    holds: list[bool] = []
+    kinds: list[str] = []
+    holds: list[int] = []
+    articles = 0
     link_chars = 0
     heading = False
 
@@ -181,17 +187,23 @@ def blocks_of(page: str, low: int = 70, links: float = 0.3) -> list[Block]:
             said.setdefault(own[1].lower(), own[2] or own[3] or own[4] or "")  # the first of a name counts
         unseen = unseen or name in UNSEEN or "hidden" in said or said.get("aria-hidden", "").lower() == "true" or bool(HIDING.search(said.get("style", "")))
         marked = noted(f"{said.get('class', '')} {said.get('id', '')} {said.get('role', '')}")
+        if not marked and DISCUSSION in f"{said.get('class', '')} {said.get('id', '')}".lower().split() and not open_.count("article"):
+            marked = "readers"
         if name in MAIN or said.get("role", "").lower() == "main":
             main = True
-            if note >= 0:
-                holds[note] = True
+            if not marked:
+                articles += 1
+                if note >= 0:
+                    holds[note] += 1
+        elif name == "form":  # a page of some frameworks is one form
+            marked = marked or "weak"
         # a header inside the article may hold its title; anywhere else it is the site's
         elif name in BOILERPLATE:
             boilerplate = boilerplate or not (name == "header" and main)
         if marked and name not in MAIN and name not in ("body", "html") and not (main and marked == "weak" and name in ("header", *HEADINGS)):
             around.append(note)
-            strong.append(marked == "strong")
-            holds.append(False)
+            kinds.append(marked)
+            holds.append(0)
             note = len(around) - 1
         open_.push((name, unseen, boilerplate, main, note))
         heading = heading or name in HEADINGS
@@ -200,11 +212,11 @@ def blocks_of(page: str, low: int = 70, links: float = 0.3) -> list[Block]:
             at = end.start() if end else len(page)
     text(page[at:])
     flush()
-    return settled(found, around, strong, holds, low, links)
+    return settled(found, around, kinds, holds, articles, low, links)
 
 
-def settled(found: list[Block], around: list[int], strong: list[bool], holds: list[bool], low: int, links: float) -> list[Block]:
-    """The blocks, those under a note marked as boilerplate, unless the note is weak and what it marks holds the article or most of the running text."""
+def settled(found: list[Block], around: list[int], kinds: list[str], holds: list[int], articles: int, low: int, links: float) -> list[Block]:
+    """The blocks, those under a note marked as boilerplate, unless what it marks holds what its kind asks for."""
     running = [0] * len(around)
     total = 0
     for block in found:
@@ -215,10 +227,11 @@ def settled(found: list[Block], around: list[int], strong: list[bool], holds: li
     for i in range(len(around) - 1, -1, -1):  # an inner note comes after the outer one
         if around[i] >= 0:
             running[around[i]] += running[i]
-            holds[around[i]] = holds[around[i]] or holds[i]
+            holds[around[i]] += holds[i]
     marks: list[bool] = []
     for i, outer in enumerate(around):
-        own = strong[i] or not (holds[i] or 2 * running[i] > total)
+        spared = {"readers": False, "strong": 0 < articles == holds[i], "weak": holds[i] > 0 or 2 * running[i] > total}
+        own = not spared[kinds[i]]
         marks.append(own or outer >= 0 and marks[outer])
     for block in found:
         block.boilerplate = block.boilerplate or block.note >= 0 and marks[block.note]
@@ -256,6 +269,11 @@ def foreign(text: str) -> bool:
     return 2 * sum(c > "\u024f" for c in letters) > len(letters)
 
 
+def sentence(block: Block) -> bool:
+    """Whether a short block reads like a sentence: some words, no links, an end."""
+    return not block.link_chars and block.text[-1] in SENTENCE_ENDS and (len(block.text.split()) >= 3 or foreign(block.text))
+
+
 def nearest(decided: list[str | None]) -> list[str | None]:
     """For each block the label of the last decided block before it."""
     found, last = [], None
@@ -273,9 +291,12 @@ def main_text(page: str | None, low: int = 70, high: int = 200, stop_low: float
     running = [b for b in blocks if not b.boilerplate and len(b.text) >= low and b.link_chars <= links * len(b.text)]
     known = any(stop_density(b.text) >= stop_low for b in running if not foreign(b.text))
     labels = [first_pass(b, low, high, stop_low, stop_high, links, known) for b in blocks]
-    if "good" not in labels:  # a page of short blocks: near good ones decide, else those of a marked article do
+    if "good" not in labels:  # a page of short blocks: near good ones decide, else those of a marked article do, or else sentences, if there are a few
         best = "near" if "near" in labels else "short"
-        labels = ["good" if x == best and (best == "near" or b.main) else x for x, b in zip(labels, blocks, strict=True)]
+        marked = any(b.main for b in blocks)
+        told = [x == best and (best == "near" or b.main or not marked and sentence(b)) for x, b in zip(labels, blocks, strict=True)]
+        if best == "near" or marked or sum(told) >= FEW:
+            labels = ["good" if t else x for x, t in zip(labels, told, strict=True)]
     decided = [x if x in ("good", "bad") and not b.boilerplate else None for x, b in zip(labels, blocks, strict=True)]
     before, after = nearest(decided), nearest(decided[::-1])[::-1]
     kept = []
