@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Letters that a reader takes for digits, and those digits.
@@ -150,3 +150,13 @@ def confidence_bar(confidence: Column, height: int) -> Column:
 def share(part: Column, whole: Column, digits: int = 3) -> Column:
     """part / max(whole, 1)."""
     return F.bround(part / F.greatest(whole, F.lit(1)), digits)
+
+
+def video_time(time: Column | str, offset: float) -> Column:
+    """A demo's time in the video that starts `offset` before it."""
+    return (F.col(time) if isinstance(time, str) else time) + offset
+
+
+def to_demo(rows: DataFrame, offset: float, time: str = "time_s") -> DataFrame:
+    """Rows in video time as rows in the demo's."""
+    return rows.withColumn(time, F.col(time) - offset)

@@ -344,10 +344,29 @@ def vote_cluster(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def peaks_per_roi(spark: SparkSession, sf: str) -> DataFrame:
-    rows = events(spark, sf)
-    order = Window.partitionBy("roi").orderBy("us", "event_id")
-    rows = rows.select(F.col("kind").alias("roi"), "us", "event_id", "value").withColumn("idx", (F.row_number().over(order) - 1).cast("long"))
-    return peaks.local_maxima(rows, by=["roi"]).groupBy("roi").agg(F.count("*").alias("n"))
+    """Peaks of each region's signal in each session, counted by region."""
+    by = [*KEY, "roi"]
+    order = Window.partitionBy(*by).orderBy("us", "event_id")
+    rows = events(spark, sf).select(*KEY, F.col("kind").alias("roi"), "us", "event_id", "value").withColumn("idx", (F.row_number().over(order) - 1).cast("long"))
+    return peaks.local_maxima(rows, by=by).groupBy("roi").agg(F.count("*").alias("n"))
+
+
+@query
+def calibration(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows behind a calibration chart, by panel: the brightness, its envelope and rises, accepted and rejected peaks, counts, and truths."""
+    rows = signals.enveloped(signals.differenced(signal(spark, sf)), {"envelope": 5})
+    long = automaton.stabilized(rows).select(*KEY, "idx", F.inline(F.array(*[F.struct(F.lit(n).alias("panel"), F.col(c).cast("double").alias("value")) for n, c in (("brightness", "value"), ("envelope", "envelope"), ("rise", "rise"), ("count", "stable"), ("count_raw", "raw"))])))
+    rise = rows.select(*KEY, "idx", F.col("rise").alias("value"))
+    found = peaks.find_peaks(rise, distance=3, prominence=30.0)
+    raw = peaks.find_peaks(rows, height=40.0, distance=3)
+    accepted = peaks.narrow(raw, rows, 40.0, 2)
+    marks = {"kill_peak": found, "shot": accepted, "shot_rejected": peaks.rejected(raw, accepted)}
+    drops = automaton.decrements(automaton.stabilized(rows), "stable").select(*KEY, "idx", F.lit("count_kill").alias("panel"), F.col("stable").cast("double").alias("value"))
+    truth = rows.where("kind = 'purchase'").select(*KEY, "idx", F.lit("truth").alias("panel"), F.lit(None).cast("double").alias("value"))
+    made = long.where("value is not null").unionByName(drops).unionByName(truth)
+    for panel, peak in marks.items():
+        made = made.unionByName(peak.select(*KEY, "idx", F.lit(panel).alias("panel"), F.col("height").cast("double").alias("value")))
+    return rounded(made)
 
 
 # matching
@@ -377,6 +396,16 @@ def align_full_outer(spark: SparkSession, sf: str) -> DataFrame:
     return matching.full_outer_alignment(*both(spark, sf), 1440)
 
 
+@query
+def aligned_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The alignment's rows as numbered in a report: by the audio's time, or else the count's; detections are in video time, an hour after the demo's."""
+    det, truth = both(spark, sf)
+    moved = scalars.to_demo(det.withColumn("time_s", F.col("time_s") + 60), 60)
+    rows = matching.full_outer_alignment(moved, truth, 1440)
+    order = Window.partitionBy(*KEY).orderBy(F.coalesce("audio_time", "time"), "match_status", "time")
+    return rows.withColumn("row", F.row_number().over(order).cast("long")).withColumn("video_time", scalars.video_time("time", 60))
+
+
 @query
 def alignment_stats(spark: SparkSession, sf: str) -> DataFrame:
     rows = matching.full_outer_alignment(*both(spark, sf), 1440)

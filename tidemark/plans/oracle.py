@@ -313,9 +313,9 @@ ORACLES |= {
     ),
     "peaks_per_roi": sql(
         "ev",
-        body="SELECT roi, count(*) AS n FROM (SELECT *, lag(v) OVER w AS p, lead(v) OVER w AS q FROM rn WINDOW w AS (PARTITION BY roi ORDER BY run)) WHERE v > p AND v > q GROUP BY 1",
+        body="SELECT roi, count(*) AS n FROM (SELECT *, lag(v) OVER w AS p, lead(v) OVER w AS q FROM rn WINDOW w AS (PARTITION BY session_id, roi ORDER BY run)) WHERE v > p AND v > q GROUP BY 1",
         more={
-            "rn": "SELECT roi, run, any_value(value) AS v FROM (SELECT *, sum(b) OVER (PARTITION BY roi ORDER BY us, event_id) AS run FROM (SELECT kind AS roi, us, event_id, value, CASE WHEN value = lag(value) OVER (PARTITION BY kind ORDER BY us, event_id) THEN 0 ELSE 1 END AS b FROM ev)) GROUP BY 1, 2"
+            "rn": "SELECT session_id, roi, run, any_value(value) AS v FROM (SELECT *, sum(b) OVER (PARTITION BY session_id, roi ORDER BY us, event_id) AS run FROM (SELECT session_id, kind AS roi, us, event_id, value, CASE WHEN value = lag(value) OVER (PARTITION BY session_id, kind ORDER BY us, event_id) THEN 0 ELSE 1 END AS b FROM ev)) GROUP BY 1, 2, 3"
         },
     ),
     "fuse_asof_backward": sql("ev", "gt", body="SELECT * FROM fused", more={"fused": "SELECT gt.session_id, gt.t AS time_s, coalesce(max(s.m), gt.t) AS fused FROM gt LEFT JOIN ev s ON s.session_id = gt.session_id AND s.kind = 'click' AND s.m BETWEEN gt.t - 720 AND gt.t GROUP BY 1, 2"}),
@@ -332,6 +332,28 @@ ORACLES |= {
         ELSE list_append(a, {'d': x.x, 'g': list_min(list_filter(x.g, lambda y: abs(x.x - y) <= 1440 AND NOT list_contains(list_transform(a, lambda q: q.g), y)))}) END, []::STRUCT(d BIGINT, g BIGINT)[])) AS p FROM sides)""",
     ),
     "align_full_outer": sql("al", body="SELECT * FROM al"),
+    "calibration": sql(
+        "smax",
+        "sig",
+        "stab3",
+        body=f"""SELECT session_id, idx, 'brightness' AS panel, value FROM sig WHERE value IS NOT NULL UNION ALL SELECT session_id, idx, 'envelope', round(e, 6) FROM en UNION ALL SELECT session_id, idx, 'rise', round(value, 6) FROM rs
+        UNION ALL SELECT session_id, idx, 'count', stable FROM stab3 UNION ALL SELECT session_id, idx, 'count_raw', raw FROM sig WHERE raw IS NOT NULL
+        UNION ALL SELECT session_id, idx, 'count_kill', stable FROM (SELECT *, lag(stable) OVER (PARTITION BY session_id ORDER BY idx) AS b FROM stab3) WHERE stable < b
+        UNION ALL SELECT session_id, idx, 'truth', NULL FROM sig WHERE kind = 'purchase' UNION ALL SELECT session_id, idx, 'kill_peak', round(height, 6) FROM ({prominent("pr2", "rs", 30.0)})
+        UNION ALL SELECT session_id, idx, 'shot', value FROM rn WHERE is_peak AND width <= 2 UNION ALL SELECT pk.session_id, pk.idx, 'shot_rejected', pk.height FROM pk JOIN rn ON rn.session_id = pk.session_id AND rn.idx = pk.idx WHERE width > 2""",
+        more=_NARROW
+        | {
+            "en": "SELECT session_id, idx, sum(value) OVER (PARTITION BY session_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS e FROM sig",
+            "rs": "SELECT session_id, idx, greatest(value - coalesce(lag(value) OVER (PARTITION BY session_id ORDER BY idx), value), 0) AS value FROM sig",
+            "rr": "SELECT session_id, run, min(idx) AS i0, max(idx) AS i1, any_value(value) AS v FROM (SELECT *, sum(b) OVER (PARTITION BY session_id ORDER BY idx) AS run FROM (SELECT *, CASE WHEN value = lag(value) OVER (PARTITION BY session_id ORDER BY idx) THEN 0 ELSE 1 END AS b FROM rs)) GROUP BY 1, 2",
+            "rm": "SELECT session_id, (i0 + i1) // 2 AS idx, v AS height FROM (SELECT *, lag(v) OVER w AS p, lead(v) OVER w AS q FROM rr WINDOW w AS (PARTITION BY session_id ORDER BY run)) WHERE v > p AND v > q",
+            "pr2": thinned("rm", "true", 3),
+        },
+    ),
+    "aligned_rows": sql(
+        "al",
+        body="SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY coalesce(audio_time, time), match_status, time) AS row, time + 60 AS video_time FROM al",
+    ),
     "alignment_stats": sql(
         "al",
         body="""SELECT *, CAST(rate >= 85 AS BIGINT) AS passes FROM (SELECT *, CASE WHEN n_matched + n_audio_only > 0 THEN round(100.0::DOUBLE * n_matched / (n_matched + n_audio_only), 6) ELSE 0 END AS rate FROM (
