@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import math
 import wave
 from collections.abc import Iterator
 
@@ -47,6 +48,36 @@ def write_parquet(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
+def write_clustered(df: DataFrame, path: str, by: tuple[str, ...] = ("session_id",), time: str = "time_s", files: int = 8, row_group_bytes: int = 8 << 20) -> None:
+    """Parquet files sorted by key and time, each of a range of its own, in row groups so small that their bounds tell which a time slice needs."""
+    ordered = df.repartitionByRange(files, *by, time).sortWithinPartitions(*by, time)
+    ordered.write.mode("overwrite").option("parquet.block.size", row_group_bytes).option("parquet.page.row.count.limit", 2000).parquet(path)
+
+
+def read_slice(spark: SparkSession, path: str, key: dict[str, object], low: object, high: object, time: str = "time_s") -> DataFrame:
+    """Rows of one key with low <= time < high; of write_clustered() files, whatever does not overlap the slice is skipped unread."""
+    df = spark.read.parquet(path)
+    for name, wanted in key.items():
+        df = df.where(F.col(name) == F.lit(wanted))
+    return df.where((F.col(time) >= F.lit(low)) & (F.col(time) < F.lit(high)))
+
+
+def read_at(spark: SparkSession, path: str, key: dict[str, object], at: float, reach: float = 1.0, time: str = "time_s") -> DataFrame:
+    """The last row of one key at or before a time (rows of that time: all), empty without one.
+
+    Slices that end there are read, each eight times as long as the one before, until one has a row; so a row is found by bounds,
+    not by reading all before it.
+    """
+    first = read_slice(spark, path, key, -float("inf"), float("inf"), time).agg(F.min(time)).first()[0]  # from the files' statistics where Spark pushes the aggregate, else one column
+    end = math.nextafter(at, math.inf)
+    while True:
+        rows = read_slice(spark, path, key, at - reach, end, time)
+        latest = rows.agg(F.max(time)).first()[0]
+        if latest is not None or first is None or at - reach <= first:
+            return rows.where(F.col(time) == F.lit(latest))
+        reach *= 8
+
+
 def truth_times(df: DataFrame, preferred: str = "kill_time_s", fallback: str = "engagement_start_s") -> DataFrame:
     """time_s of a truth table: the preferred column if the table has it, else the fallback; nulls go."""
     name = preferred if preferred in df.columns else fallback
