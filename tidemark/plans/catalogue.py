@@ -827,6 +827,35 @@ def stream_fusion(spark: SparkSession, sf: str) -> DataFrame:
     return made.select(*KEY, F.unix_micros("kill_ts").alias("kill_us"), F.unix_micros("shot_ts").alias("shot_us"))
 
 
+@query
+def stream_last_shot(spark: SparkSession, sf: str) -> DataFrame:
+    """Kills that end four days before the last event, or earlier: all of these the watermark has passed."""
+
+    def of(kind: str) -> DataFrame:
+        return event_stream(spark, sf).where(F.col("event_type") == kind).select(F.col("user_id").alias("session_id"), F.timestamp_micros("us").alias("ts"))
+
+    made = live.drained(live.live_last_shot(of("purchase"), of("click"), "12 hours", "1 day"), "last-shot")
+    rows = made.select(*KEY, F.unix_micros("kill_ts").alias("kill_us"), F.unix_micros("fused_ts").alias("fused_us"))
+    return rows.join(events(spark, sf).agg((F.max("us") - 4 * 86_400_000_000).alias("_end")).hint("broadcast"), F.col("kill_us") <= F.col("_end")).drop("_end")  # one row
+
+
+@query
+def stream_patches(spark: SparkSession, sf: str) -> DataFrame:
+    """Change of each embedding since the one before, of 50 that follow each other."""
+    rows = spark.readStream.schema(read(spark, sf, "embeddings").schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf)
+    frames = rows.select(F.expr("vec_id div 50").alias("session_id"), F.col("vec_id").alias("time_s"), F.col("embedding").alias("patch"))
+    made = live.drained(live.live_patch_delta(frames), "patches")
+    return rounded(made.select(F.col("time_s").cast("long").alias("vec_id"), "delta"))
+
+
+@query
+def stream_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Kept events and confirmed changes by time, of what a day's watermark has passed: up to a day before the last event."""
+    rows = event_stream(spark, sf).select(F.col("user_id").alias("session_id"), F.timestamp_micros("us").alias("ts"), F.when(F.col("k") % 11 != 0, 8 + F.floor(F.col("k") / 40) * 2).alias("label"))
+    made = live.drained(live.live_in_order(rows, live.Transitions(), "1 day", 3 * 86_400.0, "label"), "in-order")
+    return rounded(made.select(*KEY, F.round(F.col("time_s") * 1e6).cast("long").alias("us"), "from_count", "to_count"))
+
+
 # pixels
 
 

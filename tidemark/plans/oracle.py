@@ -553,6 +553,18 @@ ORACLES |= {
         body="""SELECT p.session_id, p.us AS kill_us, c.us AS shot_us FROM ev p JOIN ev c ON c.session_id = p.session_id AND c.us BETWEEN p.us - 43200000000 AND p.us
         WHERE p.kind = 'purchase' AND c.kind = 'click'""",
     ),
+    "stream_last_shot": sql(
+        "ev",
+        body="""SELECT p.session_id, p.us AS kill_us, coalesce(max(c.us), p.us) AS fused_us FROM ev p LEFT JOIN ev c ON c.session_id = p.session_id AND c.kind = 'click' AND c.us BETWEEN p.us - 43200000000 AND p.us
+        WHERE p.kind = 'purchase' AND p.us <= (SELECT max(us) - 345600000000 FROM ev) GROUP BY 1, 2""",
+    ),
+    "stream_in_order": sql(
+        "sig",
+        body="SELECT session_id, c.t AS us, c.f AS from_count, c.g AS to_count FROM chg WHERE c.t <= (SELECT max(us) - 86400000000 FROM sig)",
+        more={"lb": "SELECT session_id, us AS idx, CASE WHEN k % 11 <> 0 THEN 8 + (k // 40) * 2 END AS l FROM sig", "chg": CTES["auto"].replace("idx::DOUBLE", "idx").replace("t DOUBLE", "t BIGINT").replace("FROM lb2", "FROM lb")},
+    ),
+    "stream_patches": """SELECT vec_id, round(list_sum(list_transform(list_zip(embedding, b), lambda p: abs(p[1]::DOUBLE - p[2]::DOUBLE))) / len(embedding), 6) AS delta FROM (
+        SELECT vec_id, embedding, lag(embedding) OVER (PARTITION BY vec_id // 50 ORDER BY vec_id) AS b FROM embeddings)""",
     "otsu_levels": """SELECT vec_id, CAST(b AS BIGINT) AS level FROM (SELECT vec_id, b, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, b) AS r FROM (SELECT vec_id, b, power(m * n - q * t, 2) / (n * (t - n)) AS s FROM (
         SELECT vec_id, b, len(v)::DOUBLE AS t, list_sum(v)::DOUBLE AS m, len(list_filter(v, lambda x: x <= b))::DOUBLE AS n, coalesce(list_sum(list_filter(v, lambda x: x <= b)), 0)::DOUBLE AS q
         FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(least(floor(abs(x) * 512), 255) AS BIGINT)) AS v FROM embeddings), (SELECT unnest(range(256)) AS b)) WHERE n > 0 AND n < t)) WHERE r = 1""",
