@@ -64,3 +64,14 @@ def test_tally_and_scores_by_blocks(spark):
     assert rows(timeline.tally(frames, events, width=7)) == rows(timeline.tally(frames, events, width=10**6))
     labelled = spark.createDataFrame([(f"s{rng.randrange(3)}", *rng.choice([("detection", "tp"), ("detection", "fp"), ("truth", "fn"), ("truth", "matched")]), float(rng.randrange(40))) for _ in range(90)], "session_id string, side string, label string, t double")
     assert rows(timeline.scoreboard(labelled, width=5)) == rows(timeline.scoreboard(labelled, width=10**6))
+
+
+@pytest.mark.parametrize("rounds, bins", [(1, 3), (2, 4), (1, 4096)])
+def test_percentile_in_rounds(spark, rounds, bins):
+    rng = random.Random(bins)
+    of = {"one": [5.0], "same": [2.0] * 9, "two": [1.0, 7.0], "nulls": [None, None, 3.0], "wide": [rng.choice([-1e300, 1e-300, 0.0, 1e300]) for _ in range(50)]}
+    of |= {f"s{i}": [rng.choice([rng.random() * 10**6, float(rng.randrange(4))]) for _ in range(rng.randrange(1, 200))] for i in range(8)}
+    df = spark.createDataFrame([(s, v) for s, x in of.items() for v in x], "session_id string, value double")
+    for percent in (0, 12.5, 50, 98.7, 100):
+        made, plain = ({r["session_id"]: r["threshold"] for r in signals.percentile_threshold(df, percent, rounds=n, bins=bins).collect()} for n in (rounds, 0))
+        assert made == pytest.approx(plain, rel=1e-12)

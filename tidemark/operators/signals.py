@@ -130,9 +130,33 @@ def pooled(signal: DataFrame, every: int, value: str = "value", by: list[str] =
     return rows.groupBy(*by, "bucket").agg(F.max(F.when(F.col("bucket") > 0, F.col(value)).otherwise(0.0)).alias("peak"))
 
 
-def percentile_threshold(signal: DataFrame, percent: float, value: str = "value", by: list[str] = BY) -> DataFrame:
-    """threshold: the exact, interpolated percentile of each session's values."""
-    return signal.groupBy(*by).agg(F.percentile(value, percent / 100).alias("threshold"))
+def percentile_threshold(signal: DataFrame, percent: float, value: str = "value", by: list[str] = BY, rounds: int = 0, bins: int = 4096) -> DataFrame:
+    """threshold: the exact, interpolated percentile of each session's values; nulls don't count.
+
+    By percentile(), which holds a session's distinct values in memory; or, for signals too long for that, in rounds: each counts the values
+    between the bounds so far in bins of equal width and keeps the bin that the wanted rank lies in, all sessions at once.
+    What the last round leaves is counted by value.
+    """
+    if not rounds:
+        return signal.groupBy(*by).agg(F.percentile(value, percent / 100).alias("threshold"))
+    rows = signal.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    ends = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    at = (F.col("_n") - 1) * F.lit(percent / 100)
+    wanted = ends.select(*by, at.alias("_at"), F.explode(F.array(F.floor(at), F.ceil(at))).alias("_wanted"), F.col("_low"), F.col("_high")).distinct()
+    wanted = wanted.withColumn("_rank", F.col("_wanted"))
+    key, state = [*by, "_wanted"], ["_at", "_rank", "_low", "_high"]
+    for n in range(rounds + 1):
+        inside = rows.join(wanted, by).where(F.col("_v").between(F.col("_low"), F.col("_high")))
+        share = (F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low"))
+        place = F.when(F.col("_high") > F.col("_low"), F.floor(share * bins).cast("double")).otherwise(F.lit(0.0)) if n < rounds else F.col("_v")
+        counted = inside.groupBy(*key, "_at", "_rank", place.alias("_bin")).agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        so_far = Window.partitionBy(*key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # bins of a session
+        counted = counted.withColumn("_before", F.sum("_n").over(so_far) - F.col("_n"))
+        met = counted.where((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_n")))
+        wanted = met.withColumn("_rank", F.col("_rank") - F.col("_before")).select(*key, *state)
+    return wanted.groupBy(*by).agg(
+        F.when(F.count("*") == 1, F.max("_low")).otherwise((F.max("_wanted") - F.max("_at")) * F.min_by("_low", "_wanted") + (F.max("_at") - F.min("_wanted")) * F.max_by("_low", "_wanted")).alias("threshold")
+    )
 
 
 def subsampled(signal: DataFrame, every: int) -> DataFrame:

@@ -159,8 +159,8 @@ def one_tap_streak(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def shot_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    wide = engagement.wide_shots(engagements(spark, sf), 5)
-    return rounded(wide.select(*KEY, "engagement_id", *[f"shot_{k}_{c}" for k in range(1, 6) for c in ("time_s", "hit")]))
+    wide = engagement.wide_shots(engagements(spark, sf), 15)
+    return rounded(wide.select(*KEY, "engagement_id", *[f"shot_{k}_{c}" for k in range(1, 16) for c in ("time_s", "hit")]))
 
 
 @query
@@ -255,7 +255,7 @@ def subsample(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def percentile_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(signals.percentile_threshold(signal(spark, sf), 98.7))
+    return rounded(signals.percentile_threshold(signal(spark, sf), 98.7, rounds=1))
 
 
 # peaks

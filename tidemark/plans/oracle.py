@@ -206,7 +206,7 @@ ORACLES: dict[str, str] = {
         {", ".join(f"round_even(round(avg({c}), 6), 1) AS mean_{c}, {MED.format(c=c)} AS median_{c}, min({c}) AS min_{c}, max({c}) AS max_{c}" for c in ("ttff_ms", "ttk_ms", "total_duration_ms"))},
         round_even(round(stddev_samp(ttff_ms), 6), 1) AS std_ttff_ms, {MED.format(c="inter_engagement_gap_ms")} AS median_gap_ms, round_even(round(avg(inter_engagement_gap_ms), 6), 1) AS mean_gap_ms FROM em GROUP BY 1) JOIN stk USING (session_id)""",
     ),
-    "shot_pivot": sql("em", body=f"SELECT session_id, engagement_id, {', '.join(f'round(round_even(st[{k}] / 64.0::DOUBLE, 3), 6) AS shot_{k}_time_s, flags[{k}] AS shot_{k}_hit' for k in range(1, 6))} FROM em"),
+    "shot_pivot": sql("em", body=f"SELECT session_id, engagement_id, {', '.join(f'round(round_even(st[{k}] / 64.0::DOUBLE, 3), 6) AS shot_{k}_time_s, flags[{k}] AS shot_{k}_hit' for k in range(1, 16))} FROM em"),
     "rolling_hit_rate": sql(
         "em",
         body="""SELECT session_id, engagement_id, hit_rate, round(avg(hit_rate) OVER (PARTITION BY session_id ORDER BY engagement_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS rolling_hit_rate,
