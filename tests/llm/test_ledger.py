@@ -1,4 +1,5 @@
 import random
+import re
 
 import public_tokenizers
 import tiktoken
@@ -110,3 +111,44 @@ def test_a_batch_is_taken_back(spark, tmp_path):
     assert book.reversal("b9").count() == 0
     assert book.commit("b3", book.reversal("b2"))
     assert totals(book) == {("a", "en"): (2, 3)}
+
+
+def test_many_batches_are_few_tables(spark, tmp_path):
+    book = ledger.Ledger(spark, f"file://{tmp_path}/ledger", buckets=2, most_tables=3)
+    wanted = {}
+    for n in range(8):
+        change = [("insert", n, "a", "en", "one two three"), ("delete", n - 2, None, None, None)]
+        assert book.apply(f"b{n}", changes(spark, change), "words", words)
+        wanted = {"a": (min(n + 1, 2), 3 * min(n + 1, 2))}
+        assert {r["source"]: (r["n_docs"], r["n_tokens"]) for r in book.totals().collect()} == wanted
+        assert len(book._live()) <= 3
+    assert sorted(book.committed()) == [f"b{n}" for n in range(8)]
+    assert not book.apply("b3", None, "words", None)  # passed over unread
+    assert book.commit("undo", book.reversal("b7"))
+    assert {r["source"]: r["n_docs"] for r in book.totals().collect()} == {"a": 2}
+    assert {r["doc_id"] for r in book.held("words").collect()} == {5, 6}
+    number = sum(name.startswith(ledger.COMPACT) for name in book._markers())
+    assert book._mark(f"{ledger.COMPACT}{number:09d}", "x", ["b0"]) and not book._mark(f"{ledger.COMPACT}{number:09d}", "y")
+    book.drop()
+    assert not (tmp_path / "ledger").exists()
+
+
+def test_the_query_leaves_its_changes_in(spark):
+    import duckdb
+    import public_tokenizers
+
+    sf = "/root/testdata/sf0.001"
+    count = ledger.byte_pair_counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)()
+    quality = {}
+    for doc, good in duckdb.sql(f"select doc_id, quality from '{sf}/labels.parquet' where quality is not null").fetchall():
+        quality[doc] = min(good, quality.get(doc, 1))
+    wanted = {}
+    for doc, text, lang, source in duckdb.sql(f"select doc_id, text, lang, source from '{sf}/documents.parquet'").fetchall():
+        if quality.get(doc) != 0:
+            text = text or ""
+            n = wanted.setdefault((source, lang), [0, 0])
+            n[0] += 1
+            n[1] += count([re.sub(r"[\x20\x09-\x0D]+", " ", text) if doc in quality else text])[0]
+    made = ledger.op1_token_counts(spark, sf).collect()
+    assert 0 in quality.values() and 1 in quality.values()
+    assert {(r["source"], r["lang"]): [r["n_docs"], r["n_tokens"]] for r in made} == wanted

@@ -9,7 +9,8 @@ marker that names the attempt is created last, which only one attempt can do; a
 whose marker exists is passed over, what an attempt that failed or lost has written is never read.
 
 Rows are kept in buckets by hash of doc_id. A delete or revision reads the buckets of its documents
-alone, so what a small batch costs depends on its documents' buckets, not on the corpus.
+alone, so what a small batch costs depends on its documents' buckets, not on the corpus. Once there are more tables than a
+bound they are compacted into one, whose marker names those that it stands for; so a reader opens a few tables however many batches there were.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 import base64
 import functools
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,12 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, scratch_dir, table, texts, tuned
+from tidemark.llm.common import map_batches, materialize, scratch_dir, table, texts, tuned
 
 SIGNED = "doc_id long, source string, lang string, tokenizer string, n_docs long, n_tokens long"
 TOTALS = ("source", "lang", "tokenizer")
+#: The last line of a marker, and how a compaction's name begins.
+END, COMPACT = "end", "compact-"
 
 
 def byte_pair_counter(path: str, pattern: str) -> Callable[[], Callable[[list[str]], list[int]]]:
@@ -66,33 +69,57 @@ class Ledger:
     that it holds counts it twice, as a table with repeated rows does.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = tuned(spark), path.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, most_tables: int = 32):
+        self.spark, self.path, self.buckets, self.most_tables = tuned(spark), path.rstrip("/"), buckets, most_tables
 
     def _at(self, place: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{place}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def committed(self) -> dict[str, str]:
-        """The attempt that each committed batch was written by."""
+    def _markers(self) -> dict[str, list[str]]:
+        """By name of each committed table (a batch, or a compaction): the attempt that it was written by, then the tables that it stands for."""
         system, path = self._at("markers")
         made = {}
         for status in system.listStatus(path) if system.exists(path) else []:
             name = status.getPath().getName()
             if not name.startswith("."):
                 stream = system.open(status.getPath())
-                attempt = bytes(stream.readAllBytes()).decode()
+                said = bytes(stream.readAllBytes()).decode().split("\n")
                 stream.close()
-                if attempt:  # else just being written
-                    made[name] = attempt
+                if said[-1] == END:  # else just being written
+                    made[name] = said[:-1]
         return made
 
+    def committed(self) -> dict[str, str]:
+        """The attempt that each committed batch was written by."""
+        return {name: said[0] for name, said in self._markers().items() if not name.startswith(COMPACT)}
+
+    def _live(self) -> dict[str, str]:
+        """The attempts of the tables that are read: those that no compaction stands for."""
+        markers = self._markers()
+        covered = {name for said in markers.values() for name in said[1:]}
+        return {name: said[0] for name, said in sorted(markers.items()) if name not in covered}
+
+    def _mark(self, name: str, attempt: str, covers: Iterable[str] = ()) -> bool:
+        """Commits a table; False where another one of that name was committed before, and this one's files go."""
+        system, marker = self._at(f"markers/{name}")
+        try:
+            stream = system.create(marker, False)  # fails where it exists
+        except Py4JJavaError:
+            if not system.exists(marker):
+                raise
+            for kind in ("rows", "rollups"):
+                system.delete(self._at(f"{kind}/{name}/{attempt}")[1], True)
+            return False
+        stream.write(bytearray("\n".join([attempt, *covers, END]).encode()))
+        stream.close()
+        return True
+
     def _bucket(self, doc_id: str = "doc_id") -> Column:
         return F.pmod(F.xxhash64(doc_id), F.lit(self.buckets)).cast("int")
 
     def _read(self, kind: str, schema: str) -> DataFrame:
-        paths = [f"{self.path}/{kind}/{batch}/{attempt}" for batch, attempt in sorted(self.committed().items())]
-        parts = [self.spark.read.schema(schema).parquet(p) for p in paths]
+        parts = [self.spark.read.schema(schema).parquet(f"{self.path}/{kind}/{name}/{attempt}") for name, attempt in self._live().items()]  # most_tables and a few
         return functools.reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
 
     def rows(self, buckets: list[int] | None = None) -> DataFrame:
@@ -141,24 +168,43 @@ class Ledger:
         """
         if batch in self.committed():
             return False
+        made = self._mark(batch, self._written(batch, signed))
+        if made and len(self._live()) > self.most_tables:
+            self.compact()
+        return made
+
+    def apply(self, batch: str, changes: DataFrame, tokenizer: str, setup: Callable[[], Callable[[list[str]], list[int]]]) -> bool:
+        """Commits changes as a batch; one that was committed before is passed over unread."""
+        return batch not in self.committed() and self.commit(batch, self.signed(changes, tokenizer, setup))
+
+    def _written(self, name: str, signed: DataFrame) -> str:
+        """Writes a table's rows and rollups; the attempt."""
         attempt = uuid.uuid4().hex
-        rows, rollups = f"{self.path}/rows/{batch}/{attempt}", f"{self.path}/rollups/{batch}/{attempt}"
+        rows, rollups = f"{self.path}/rows/{name}/{attempt}", f"{self.path}/rollups/{name}/{attempt}"
         # a bucket's rows together, large ones in parts
         signed.withColumn("bucket", self._bucket()).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(rows)
         written = self.spark.read.schema(f"{SIGNED}, bucket int").parquet(rows)
         written.groupBy(*TOTALS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.parquet(rollups)
-        system, marker = self._at(f"markers/{batch}")
-        try:
-            stream = system.create(marker, False)  # fails where it exists
-        except Py4JJavaError:
-            if not system.exists(marker):
-                raise
-            for lost in (rows, rollups):
-                system.delete(self.spark._jvm.org.apache.hadoop.fs.Path(lost), True)
+        return attempt
+
+    def compact(self) -> bool:
+        """Puts the tables there are into one, what cancels out left away; the batches stay committed, and their files stay for readers of before.
+
+        A batch committed meanwhile is not among those that the new table stands for; of two compactions at once one counts.
+        """
+        live = self._live()
+        number = sum(name.startswith(COMPACT) for name in self._markers())
+        if len(live) < 2:
             return False
-        stream.write(bytearray(attempt.encode()))
-        stream.close()
-        return True
+        parts = [self.spark.read.schema(SIGNED).parquet(f"{self.path}/rows/{name}/{attempt}") for name, attempt in live.items()]
+        sums = functools.reduce(DataFrame.unionByName, parts).groupBy("doc_id", *TOTALS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
+        name = f"{COMPACT}{number:09d}"
+        return self._mark(name, self._written(name, sums), live)
+
+    def drop(self) -> None:
+        """Deletes the ledger's folder."""
+        system, path = self._at("")
+        system.delete(path, True)
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens over the rollups of committed batches; emptied groups go."""
@@ -168,8 +214,8 @@ class Ledger:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after four batches: all documents are inserted; the same again, which is passed over; those labelled bad are taken
-    down and empty texts revised; that review is taken back. So the totals are the table's."""
+    """Totals after three batches, the first of which comes twice: all documents are inserted; those labelled bad are deleted;
+    those labelled good are revised, their white space made one space each."""
     import public_tokenizers
 
     ledger = Ledger(spark, f"{scratch_dir(spark)}/ledger-{uuid.uuid4().hex}")
@@ -177,9 +223,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
     everything = docs.withColumn("op", F.lit("insert"))
     for _ in range(2):
-        ledger.commit("backfill", ledger.signed(everything, "byte_bpe_50k", setup))
-    taken = labels.where("quality = 0").select("doc_id", F.lit("delete").alias("op"))
-    empty = docs.where("text is null or text = ''").select("doc_id", "source", "lang", "text", F.lit("revise").alias("op"))
-    ledger.commit("review", ledger.signed(empty.unionByName(taken, allowMissingColumns=True), "byte_bpe_50k", setup))
-    ledger.commit("appeal", ledger.reversal("review"))
-    return ledger.totals()
+        ledger.apply("backfill", everything, "byte_bpe_50k", setup)
+    ledger.apply("review", labels.where("quality = 0").select("doc_id", *[F.lit(None).cast("string").alias(c) for c in ("source", "lang", "text")], F.lit("delete").alias("op")), "byte_bpe_50k", setup)
+    good = docs.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi").join(labels.where("quality = 0").select("doc_id"), "doc_id", "left_anti")
+    edited = good.select("doc_id", "source", "lang", F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ").alias("text"), F.lit("revise").alias("op"))
+    ledger.apply("edit", edited, "byte_bpe_50k", setup)
+    made = materialize(ledger.totals())
+    ledger.drop()
+    return made

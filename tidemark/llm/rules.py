@@ -99,7 +99,7 @@ def measured(text: str) -> tuple[int, ...]:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id and the measurements of each whole text; a null text measures as the empty one."""
+    """doc_id and the measurements of each whole text; a null text measures as the empty one. Repeated rows and null ids keep rows of their own; an empty table gives none."""
     names = [x.split()[0] for x in MEASURES.split(", ")]
 
     def each(columns: dict[str, list]) -> pa.RecordBatch:
