@@ -2,9 +2,11 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
-from tidemark.llm import simhash
+from tidemark.llm import common, simhash
 
 
 def brute(text):
@@ -71,3 +73,67 @@ def test_null_ids_and_repeated_rows(spark):
     text = "one two three four five six seven"
     docs = spark.createDataFrame([(None, text), (None, text), (7, "other words that differ from those above"), (7, "other words that differ from those above"), (None, "")], "doc_id long, text string")
     assert sorted(r["text"] for r in simhash.keep_first(docs).collect()) == sorted([text, "other words that differ from those above", ""])
+
+
+def signed(fp):
+    return fp - (1 << 64) if fp >> 63 else fp
+
+
+def linked(fps):
+    """Components of all pairs within 4 bits, by numpy."""
+    fps = np.array(sorted(fps), np.uint64)
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 4).tolist():
+            a, b = find(i), find(i + 1 + j)
+            root[max(a, b)] = min(a, b)
+    groups = {}
+    for i in range(len(fps)):
+        groups.setdefault(find(i), set()).add(int(fps[i]))
+    return {frozenset(g) for g in groups.values() if len(g) > 1}
+
+
+def test_finer_keys_are_shared_by_what_links(spark):
+    rng = random.Random(12)
+    pairs = []
+    for _ in range(300):
+        fp = rng.getrandbits(64)
+        pairs.append((fp, fp ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 5)))))
+    rows = spark.createDataFrame([(signed(fp), 1) for p in pairs for fp in p], "fp long, weight int")
+    fine = simhash.finer(simhash.postings(rows)).select("key", "node").distinct()
+    other = fine.select("key", fine["node"].alias("b"))
+    met = {(r["node"], r["b"]) for r in fine.join(other, "key").where("node <> b").select("node", "b").distinct().collect()}
+    assert {(signed(a), signed(b)) for a, b in pairs} <= met and len(met) < 4 * len(pairs)
+
+
+def test_crowded_bucket(spark, monkeypatch):
+    """Unlike fingerprints that share four bytes, some linked pairs and chains among them: few of them are compared."""
+    rng, shared = random.Random(13), 0x0123456700000000
+    fps = {shared | rng.getrandbits(32) for _ in range(6000)}
+    for fp in rng.sample(sorted(fps), 150):
+        for _ in range(rng.randrange(1, 4)):
+            fp ^= 1 << rng.randrange(32) ^ 1 << rng.randrange(64)
+            fps.add(fp)
+    nodes = spark.createDataFrame([(signed(fp), 1) for fp in sorted(fps)], "fp long, weight int")
+    compared = spark.sparkContext.accumulator(0)
+
+    def distance(a, b):
+        @F.udf("int")
+        def counted(x, y):
+            compared.add(1)
+            return bin((x ^ y) & (1 << 64) - 1).count("1")
+
+        return counted(a["node"], b["node"])
+
+    found = common.bucket_components(simhash.postings(nodes), distance, 4, nodes.select(F.col("fp").alias("node")), finer=simhash.finer).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r["root"], set()).add(r["node"] & (1 << 64) - 1)
+    assert {frozenset(g) for g in groups.values() if len(g) > 1} == linked(fps)
+    assert compared.value < 2_000_000  # of 18 million pairs; most in lists of some 23 that share a further byte

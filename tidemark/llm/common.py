@@ -35,6 +35,8 @@ TUNED = "spark.tidemark.tuned"
 STAGE = re.compile(r".*/stage-[0-9a-f]{32}(?=/)")
 #: Characters of text that a task takes up at a time, and bytes of a table that it keeps from batch to batch.
 BATCH_BYTES, TABLE_BYTES = 1 << 20, 48 << 20
+#: Components of a bucket that are compared with each other; buckets with more are split first, where their owner tells how.
+CROWDED = 64
 
 
 def tuned(spark: SparkSession) -> SparkSession:
@@ -197,7 +199,7 @@ def map_batches(df: DataFrame, each: Callable[..., pa.RecordBatch | None], schem
     return df.mapInArrow(run, schema)
 
 
-def bucket_components(members: DataFrame, distance: Callable[[Column, Column], Column], most: float, facts: DataFrame, rounds: int = 2, last: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def bucket_components(members: DataFrame, distance: Callable[[Column, Column], Column], most: float, facts: DataFrame, rounds: int = 2, last: Callable[[DataFrame], DataFrame] | None = None, finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """node, root: the components of the links between nodes that share a bucket and are at most `most` apart.
 
     members: key, node, weight, a row for each node and bucket that it is in. facts: a row for each node with
@@ -245,6 +247,8 @@ def bucket_components(members: DataFrame, distance: Callable[[Column, Column], C
         discard(links, step, past, before)
     left = materialize(mixed(_rooted(rooted.drop("root"), "node", roots)))
     discard(rooted, tops)
+    if finer:
+        left = _split(left, finer, mixed)
     new = close(last(left.select("node", "root").distinct())) if last else _near_groups(left, close, distance, most, facts, heaviest)
     discard(left)
     if new.isEmpty():
@@ -255,6 +259,18 @@ def bucket_components(members: DataFrame, distance: Callable[[Column, Column], C
     return made
 
 
+def _split(left: DataFrame, finer: Callable[[DataFrame], DataFrame], mixed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """left, the rows of crowded buckets under finer keys."""
+    crowded = materialize(left.groupBy("key").agg(F.approx_count_distinct("root").alias("n")).where(F.col("n") > CROWDED).select("key"))
+    made = left
+    if not crowded.isEmpty():
+        rows = left.join(crowded, "key", "left_anti").unionByName(finer(left.join(crowded, "key", "left_semi")).select(*left.columns))
+        made = materialize(mixed(rows))
+        discard(left)
+    discard(crowded)
+    return made
+
+
 def _near_groups(left: DataFrame, close: Callable, distance: Callable, most: float, facts: DataFrame, heaviest: Callable) -> DataFrame:
     """src, dst: links between nodes of different roots that share a bucket; left: key, node, weight, root of such buckets."""
     # each component's heaviest node in each bucket, how far its members lie from it, and how many it has

@@ -68,6 +68,16 @@ def postings(fps: DataFrame) -> DataFrame:
     return fps.select(F.explode(F.array(*keys)).alias("key"), F.col("fp").alias("node"), "weight")
 
 
+def finer(rows: DataFrame) -> DataFrame:
+    """Rows of postings (key, node and more) under keys of the posting and 4 of the 8 nibbles outside its positions: two fingerprints of a posting within 4 bits agree in as many."""
+    rest = F.array(*[F.array(*[F.lit(p) for p in range(8) if p not in positions]) for positions in POSTINGS])
+    rows = rows.withColumn("_rest", F.element_at(rest, F.shiftrightunsigned("key", 32).cast("int") + 1))
+    nibbles = F.flatten(F.transform("_rest", lambda p: F.transform(F.array(F.lit(0), F.lit(4)), lambda half: F.call_function("shiftrightunsigned", F.col("node"), p * 8 + half).bitwiseAND(F.lit(15)))))
+    rows = rows.withColumn("_nibbles", nibbles)
+    keys = [F.xxhash64("key", F.lit(n), *[F.element_at("_nibbles", p + 1) for p in places]) for n, places in enumerate(combinations(range(8), 4))]
+    return rows.withColumn("key", F.explode(F.array(*keys))).drop("_rest", "_nibbles")
+
+
 def differing_bits(a: Column, b: Column) -> Column:
     """Of two structs with a fingerprint each, the field node: a metric."""
     return F.bit_count(a["node"].bitwiseXOR(b["node"]))
@@ -82,7 +92,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFram
     """
     marked = materialize(fingerprints(docs, width, seed))
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("weight")))
-    reached = bucket_components(postings(distinct), differing_bits, 4, distinct.select(F.col("fp").alias("node")))
+    reached = bucket_components(postings(distinct), differing_bits, 4, distinct.select(F.col("fp").alias("node")), finer=finer)
     rooted = distinct.join(reached, distinct["fp"] == reached["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(named, "root").select("fp", "root", "component_id")
