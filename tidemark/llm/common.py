@@ -67,14 +67,14 @@ def materialize(df: DataFrame, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(*made: DataFrame | None) -> None:
-    """Deletes the tables of materialize() that these rows are read from, once nothing else will read them."""
+def discard(*made: DataFrame | None, part: str = "") -> None:
+    """Deletes the tables of materialize() that these rows are read from, or a folder of theirs, once nothing else will read them."""
     for df in made:
         if df is None:
             continue
         spark = df.sparkSession
         for folder in {m[0] for m in map(STAGE.match, df.inputFiles()) if m}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{part}".rstrip("/"))
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -305,6 +305,7 @@ def whole_runs(rows: DataFrame, found: DataFrame, of_several: Callable[[DataFram
     ends = [f(h).alias(f"{side}_{f.__name__}") for side, h in sides.items() for f in (F.min, F.max)]
     known = found.groupBy("hash").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_last")).where("first_doc_id < _last").drop("_last")
     blocks_of_several = materialize(found.join(known, "hash"))
+    discard(found, part="kind=block")  # most blocks stand once, and nothing reads them again; the lines stay
     placed = materialize(with_neighbours(rows, blocks_of_several, spread, block_words))
     discard(blocks_of_several)
     same = placed.groupBy("hash").agg(*ends, F.min_by("block", "doc_id").alias("first_block")).select("hash", "first_block", *[(F.col(f"{side}_min") == F.col(f"{side}_max")).alias(f"{side}_same") for side in sides])
