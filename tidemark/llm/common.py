@@ -35,8 +35,9 @@ TUNED = "spark.tidemark.tuned"
 STAGE = re.compile(r".*/stage-[0-9a-f]{32}(?=/)")
 #: Characters of text that a task takes up at a time, and bytes of a table that it keeps from batch to batch.
 BATCH_BYTES, TABLE_BYTES = 1 << 20, 48 << 20
-#: Components of a bucket that are compared with each other; buckets with more are split first, where their owner tells how.
-CROWDED = 64
+#: Components of a bucket that are compared with each other; buckets with more are split first, where their owner tells how. A split shuffles
+#: tens of rows a member, so it pays where a member would meet many hundreds.
+CROWDED = 1024
 
 
 def tuned(spark: SparkSession) -> SparkSession:
