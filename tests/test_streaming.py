@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tidemark.plans import catalogue
 from tidemark.streaming import live
 
 
@@ -78,3 +79,13 @@ def test_patches_across_batches(spark, tmp_path):
     frames = spark.readStream.schema("session_id string, time_s double, patch array<double>").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
     made, _, _ = run(spark, live.live_patch_delta(frames), f"file://{tmp_path}", "delta")
     assert made == [("s", 0.0, None), ("s", 1.0, 1.0), ("s", 3.0, 2.0), ("s", 4.0, None), ("s", 5.0, 1.0)]
+
+
+def test_streams_of_tables_in_parts(spark, tmp_path):
+    """Tables that are folders of part files give what they give as single files."""
+    single, parts = "/root/testdata/sf0.001", f"{tmp_path}/parts"
+    for name in ("events", "embeddings"):
+        spark.read.parquet(f"{single}/{name}.parquet").repartition(3).write.parquet(f"{parts}/{name}.parquet")
+    for name in ("stream_patches", "stream_delta"):
+        of_single, of_parts = (sorted(map(str, catalogue.queries()[name](spark, sf).collect())) for sf in (single, parts))
+        assert of_single and of_parts == of_single

@@ -785,7 +785,7 @@ def tick_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.readStream.schema(read(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    rows = live.table_stream(spark, sf, "events")
     return rows.withColumn("us", scalars.epoch_micros("ts")).withColumn("k", F.get_json_object("props", "$.k").cast("long"))
 
 
@@ -842,7 +842,7 @@ def stream_last_shot(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_patches(spark: SparkSession, sf: str) -> DataFrame:
     """Change of each embedding since the one before, of 50 that follow each other."""
-    rows = spark.readStream.schema(read(spark, sf, "embeddings").schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf)
+    rows = live.table_stream(spark, sf, "embeddings")
     frames = rows.select(F.expr("vec_id div 50").alias("session_id"), F.col("vec_id").alias("time_s"), F.col("embedding").alias("patch"))
     made = live.drained(live.live_patch_delta(frames), "patches")
     return rounded(made.select(F.col("time_s").cast("long").alias("vec_id"), "delta"))

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -222,6 +222,15 @@ def live_in_order(rows: DataFrame, walk: Dedup | Delta | Transitions, late: str,
     return timed.groupBy(key).applyInPandasWithState(each, f"{key} {kind}, time_s double{walk.schema}", "known array<double>, times array<double>, waiting array<double>, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table as a stream of its files, be it one file or a folder of part files.
+
+    The name is given as a pattern that it alone meets: a streamed path that is none must be a folder.
+    """
+    path = f"{sf}/{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf}/[{name[0]}]{name[1:]}.parquet")
+
+
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """Runs a stream over all that its source has now, into Parquet in the shared folder, and reads that."""
     spark = stream.sparkSession
