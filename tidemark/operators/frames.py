@@ -51,19 +51,21 @@ def digit_profile(width: int, sigma: float = 3.0, residual: float = 15.0, column
 def otsu_threshold(values: Column) -> Column:
     """The level of 0 to 255 that parts an array's values with the largest variance between the parts; the least of equals.
 
-    Levels at or below it are dark. All with array functions over a histogram of 256 counts.
+    Levels at or below it are dark. One pass over the sorted values: the parts change only at levels that the array holds, so of equal
+    parts the least level is one of them. A value beyond the levels closes the last part.
     """
-    counts = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: F.size(F.filter(values, lambda v: v == b)))
+    inside = F.concat(F.array_sort(F.filter(values, lambda v: v.between(0, 255))).cast("array<double>"), F.array(F.lit(256.0)))
     total, mass = F.size(values).cast("double"), F.aggregate(values, F.lit(0.0), lambda a, v: a + v.cast("double"))
-    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(-1.0).alias("best"), F.lit(0).alias("level"), F.lit(0).alias("b"))
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(-1.0).alias("best"), F.lit(0.0).alias("level"), F.lit(-1.0).alias("last"), total.alias("total"), mass.alias("mass"))
 
-    def step(a: Column, c: Column) -> Column:
-        n, s = a["n"] + c, a["s"] + c * a["b"]
-        spread = F.when((n > 0) & (n < total), (mass * n - s * total) ** 2 / (n * (total - n))).otherwise(-1.0)
+    def step(a: Column, v: Column) -> Column:
+        n, s, total, mass = a["n"], a["s"], a["total"], a["mass"]
+        spread = F.when((v > a["last"]) & (n > 0) & (n < total), (mass * n - s * total) ** 2 / (n * (total - n))).otherwise(-1.0)
         better = spread > a["best"]
-        return F.struct(n.alias("n"), s.alias("s"), F.when(better, spread).otherwise(a["best"]).alias("best"), F.when(better, a["b"]).otherwise(a["level"]).alias("level"), (a["b"] + 1).alias("b"))
+        best, level = F.when(better, spread).otherwise(a["best"]), F.when(better, a["last"]).otherwise(a["level"])
+        return F.struct((n + 1).alias("n"), (s + v).alias("s"), best.alias("best"), level.alias("level"), v.alias("last"), total.alias("total"), mass.alias("mass"))
 
-    return F.aggregate(counts, start, step)["level"]
+    return F.coalesce(F.aggregate(inside, start, step)["level"].cast("int"), F.lit(0))
 
 
 def fixed_threshold(values: Column, level: int = 140, inverse: bool = False) -> Column:
