@@ -18,6 +18,9 @@ from tidemark.plans.oracle import ORACLES
 from tidemark.streaming import live
 
 KEY = ["session_id"]
+#: Rows that a shuffle deals to a task, and its settings in bytes: of shuffled rows and of files that a task takes. A task of a long query sorts its
+#: rows some fifteen times, each in one page of memory (64 MB) at least; so many rows still fit into that.
+TASK_ROWS, TASK_BYTES = 1 << 18, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": 8 << 20, "spark.sql.files.maxPartitionBytes": 16 << 20}
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -39,6 +42,21 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def sized(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """The table, and shuffles dealt over as many tasks as its rows need, so that a task's memory does not grow with it.
+
+    A size that the application was started with stays, and a number where it is larger; Spark merges what is too small for a task.
+    """
+    df, conf = read(spark, sf, name), spark.conf
+    started = spark.sparkContext.getConf()
+    for setting, most in TASK_BYTES.items():
+        if not started.contains(setting):
+            conf.set(setting, str(most))
+    given = started.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", conf.get("spark.sql.shuffle.partitions"))
+    conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(max(int(given), -(-df.count() // TASK_ROWS))))  # counted from the footers of its files
+    return df
+
+
 def r6(column: Column | str) -> Column:
     return F.round(F.col(column) if isinstance(column, str) else column, 6)
 
@@ -54,7 +72,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
     us = scalars.epoch_micros("ts")
-    rows = read(spark, sf, "events").select(
+    rows = sized(spark, sf, "events").select(
         F.col("user_id").alias("session_id"), "event_id", F.col("event_type").alias("kind"), "value", F.get_json_object("props", "$.k").cast("long").alias("k"), us.alias("us")
     )
     return rows.withColumn("tick", F.expr("us div 14400000000")).withColumn("m", F.expr("us div 60000000"))
@@ -86,7 +104,7 @@ def signal(spark: SparkSession, sf: str) -> DataFrame:
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
     order = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    return read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("session_id"), (F.row_number().over(order) - 1).cast("long").alias("idx"), F.col("l_quantity").alias("value"))
+    return sized(spark, sf, "lineitem").select(F.col("l_suppkey").alias("session_id"), (F.row_number().over(order) - 1).cast("long").alias("idx"), F.col("l_quantity").alias("value"))
 
 
 def minutes(spark: SparkSession, sf: str, kind: str) -> DataFrame:
