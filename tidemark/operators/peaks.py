@@ -23,11 +23,11 @@ BY = ["session_id"]
 def local_maxima(signal: DataFrame, value: str = "value", by: list[str] = BY) -> DataFrame:
     """idx, height of samples above both neighbours; a plateau counts at its middle, rounded down; edges never."""
     order = Window.partitionBy(*by).orderBy("idx")
-    runs = islands(signal, by, ["idx"], F.col(value) != F.lag(value).over(order), "run")
-    runs = runs.groupBy(*by, "run").agg(F.min("idx").alias("_first"), F.max("idx").alias("_last"), F.first(value).alias("height"))
-    across = Window.partitionBy(*by).orderBy("run")
-    higher = (F.col("height") > F.lag("height").over(across)) & (F.col("height") > F.lead("height").over(across))
-    return runs.withColumn("_peak", higher).where("_peak").select(*by, F.floor((F.col("_first") + F.col("_last")) / 2).alias("idx"), "height")
+    # a row a run, its first, in the order that the rows are sorted in already
+    rows = signal.select(*by, "idx", F.col(value).alias("height"), F.coalesce(F.col(value) != F.lag(value).over(order), F.lit(True)).alias("_begins"), F.lag("idx").over(order).alias("_before"))
+    runs = rows.where("_begins").withColumns({"_lower": F.lag("height").over(order), "_higher": F.lead("height").over(order), "_last": F.lead("_before").over(order)})
+    found = runs.where((F.col("height") > F.col("_lower")) & (F.col("height") > F.col("_higher")))
+    return found.select(*by, F.floor((F.col("idx") + F.col("_last")) / 2).alias("idx"), "height")
 
 
 def find_peaks(signal: DataFrame, height: float | str | None = None, distance: int | None = None, prominence: float | None = None, value: str = "value", by: list[str] = BY) -> DataFrame:
