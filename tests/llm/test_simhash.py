@@ -137,3 +137,32 @@ def test_crowded_bucket(spark, monkeypatch):
         groups.setdefault(r["root"], set()).add(r["node"] & (1 << 64) - 1)
     assert {frozenset(g) for g in groups.values() if len(g) > 1} == linked(fps)
     assert compared.value < 2_000_000  # of 18 million pairs; most in lists of some 23 that share a further byte
+
+
+def test_few_sets_lie_outside_any_three_positions():
+    assert len(simhash.SOONER) == 14
+    assert all(any(not set(s) & set(other) for s in simhash.SOONER) for other in combinations(range(8), 3))
+
+
+def test_near_copies_take_few_rows(spark, monkeypatch):
+    """A group of near copies, with chains and unlike fingerprints beside it: rows that meet their roots are a few a node, not one a posting."""
+    rng = random.Random(21)
+    base, fps = rng.getrandbits(64), {rng.getrandbits(64) for _ in range(300)}
+    for _ in range(600):
+        fps.add(base ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(4))))
+    for fp in rng.sample(sorted(fps), 60):
+        fps.add(fp ^ sum(1 << b for b in rng.sample(range(64), 4)))
+    met, with_root = [], common.with_root
+
+    def counted(rows, of, roots):
+        met.append(rows.count())
+        return with_root(rows, of, roots)
+
+    for module in (common, simhash):
+        monkeypatch.setattr(module, "with_root", counted)
+    nodes = spark.createDataFrame([(signed(fp), 1) for fp in sorted(fps)], "fp long, weight int")
+    groups = {}
+    for r in simhash.components_of(nodes).collect():
+        groups.setdefault(r["root"], set()).add(r["node"] & (1 << 64) - 1)
+    assert {frozenset(g) for g in groups.values() if len(g) > 1} == linked(fps)
+    assert sum(met) < 25 * len(fps)

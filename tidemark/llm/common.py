@@ -200,7 +200,7 @@ def map_batches(df: DataFrame, each: Callable[..., pa.RecordBatch | None], schem
     return df.mapInArrow(run, schema)
 
 
-def bucket_components(members: DataFrame, distance: Callable[[Column, Column], Column], most: float, facts: DataFrame, rounds: int = 2, last: Callable[[DataFrame], DataFrame] | None = None, finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def bucket_components(members: DataFrame, distance: Callable[[Column, Column], Column], most: float, facts: DataFrame, rounds: int = 2, last: Callable[[DataFrame], DataFrame] | None = None, finer: Callable[[DataFrame], DataFrame] | None = None, sooner: tuple[DataFrame, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
     """node, root: the components of the links between nodes that share a bucket and are at most `most` apart.
 
     members: key, node, weight, a row for each node and bucket that it is in. facts: a row for each node with
@@ -213,9 +213,12 @@ def bucket_components(members: DataFrame, distance: Callable[[Column, Column], C
     linked, and only where that leaves a link possible by those members that it leaves. last, where given, does
     this last step in their stead: from node, root of the nodes that still share a bucket with another root's, the pairs a, b that
     may be linked. So a bucket of copies costs a row a member, and no two nodes that a chain of links joins are parted.
+
+    sooner, where given: members of a few buckets that most linked nodes share, which are compared with their heaviest nodes in the stead of all
+    members, and a function that gives all members (key, node, weight, root) by the roots so found. Buckets of one component then cost no more.
     """
     facts = facts.select("node", F.struct(*facts.columns).alias("fact"))
-    shared = materialize(of_several_nodes(members))
+    shared = materialize(of_several_nodes(sooner[0] if sooner else members))
 
     def close(pairs: DataFrame) -> DataFrame:
         """src, dst of the pairs a, b that are linked."""
@@ -226,15 +229,23 @@ def bucket_components(members: DataFrame, distance: Callable[[Column, Column], C
     def heaviest(rows: DataFrame, *by: str) -> DataFrame:
         return rows.groupBy(*by).agg(F.min_by(F.struct("node", "weight"), F.struct(-F.col("weight"), "node")).alias("_top")).select(*by, "_top.node", "_top.weight")
 
+    def several_roots(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+
     def mixed(rows: DataFrame) -> DataFrame:
         """The rows of buckets with several components."""
-        keys = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        return rows.join(keys, "key", "left_semi")
+        return rows.join(several_roots(rows), "key", "left_semi")
 
     hubs = heaviest(shared, "key").select("key", F.col("node").alias("b"))
     links = close(shared.select("key", F.col("node").alias("a")).join(hubs, "key"))
     roots = components(links)
-    rooted = materialize(mixed(_rooted(shared, "node", roots)))
+    if sooner:
+        rows = sooner[1](roots)
+        keys = materialize(several_roots(rows))  # few: written, so that Spark knows their size and broadcasts them, as long as they are
+        rooted = materialize(rows.join(keys, "key", "left_semi"))
+        discard(keys)
+    else:
+        rooted = materialize(mixed(with_root(shared, "node", roots)))
     discard(links, shared)
     tops = materialize(heaviest(rooted, "key", "root"))
     for _ in range(rounds):
@@ -244,9 +255,9 @@ def bucket_components(members: DataFrame, distance: Callable[[Column, Column], C
             discard(links)
             break
         roots, step, past, before = *_merged(roots, links), tops, roots
-        tops = materialize(heaviest(mixed(_rooted(tops, "root", step)), "key", "root"))
+        tops = materialize(heaviest(mixed(with_root(tops, "root", step)), "key", "root"))
         discard(links, step, past, before)
-    left = materialize(mixed(_rooted(rooted.drop("root"), "node", roots)))
+    left = materialize(mixed(with_root(rooted.drop("root"), "node", roots)))
     discard(rooted, tops)
     if finer:
         left = _split(left, finer, mixed)
@@ -311,7 +322,7 @@ def _facts(facts: DataFrame, name: str) -> DataFrame:
     return facts.select(F.col("node").alias(name), F.col("fact").alias(f"fact_{name}"))
 
 
-def _rooted(rows: DataFrame, of: str, roots: DataFrame) -> DataFrame:
+def with_root(rows: DataFrame, of: str, roots: DataFrame) -> DataFrame:
     """rows with `root`, that of the node (or former root) in the column `of`."""
     known = roots.select(F.col("node").alias("_of"), F.col("root").alias("_root"))
     return rows.join(known, rows[of] == known["_of"], "left").withColumn("root", F.coalesce("_root", of)).drop("_of", "_root")
@@ -319,12 +330,12 @@ def _rooted(rows: DataFrame, of: str, roots: DataFrame) -> DataFrame:
 
 def _merged(roots: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """node, root after further links between nodes, and what became of former roots that were tied."""
-    ends = [_rooted(links.select(F.col(c).alias("node"), F.col(o).alias("_other")), "node", roots) for c, o in (("src", "dst"), ("dst", "src"))]
+    ends = [with_root(links.select(F.col(c).alias("node"), F.col(o).alias("_other")), "node", roots) for c, o in (("src", "dst"), ("dst", "src"))]
     low = ends[0].select(F.col("node").alias("src"), F.col("_other").alias("dst"), F.col("root").alias("root_src"))
     high = ends[1].select(F.col("_other").alias("src"), F.col("node").alias("dst"), F.col("root").alias("root_dst"))
     step = materialize(components(low.join(high, ["src", "dst"]).select(F.col("root_src").alias("src"), F.col("root_dst").alias("dst"))))
     fresh = step.join(roots.select("node"), "node", "left_anti")
-    moved = _rooted(roots.withColumnRenamed("root", "_was"), "_was", step).select("node", "root")
+    moved = with_root(roots.withColumnRenamed("root", "_was"), "_was", step).select("node", "root")
     return materialize(moved.unionByName(fresh.select("node", "root"))), step
 
 

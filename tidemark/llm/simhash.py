@@ -7,7 +7,8 @@ and again. So the index posts the 70 sets of 4 positions with the bytes there: s
 posting is the same as a tally of 4 shared positional bytes, which is the guaranteed
 minimum, and a list holds a 2^32nd of unlike fingerprints. That is the count filter;
 what passes it is verified by its differing bits, and the result is exact. The index
-has 70 small rows for each distinct fingerprint at every size of the corpus: lists
+has 70 small rows for each distinct fingerprint at every size of the corpus (14 of them
+are looked at first, and what these link is one component in all lists): lists
 of 3 positions would be fewer (20), but hold 256 times as many chance meetings.
 """
 
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bucket_components, discard, identified, map_batches, materialize, same_rows, table
+from tidemark.llm.common import bucket_components, discard, identified, map_batches, materialize, same_rows, table, with_root
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -51,21 +52,24 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
 
 
 POSTINGS = tuple(combinations(range(8), 4))
+#: 14 of the sets, one of which lies outside any 3 positions (a Steiner system): all but some of the links over 4 bytes share a posting of these.
+SOONER = tuple(s for s in POSTINGS if s[0] ^ s[1] ^ s[2] ^ s[3] == 0)
 
 
 def byte_at(fp: Column, position: int) -> Column:
     return F.shiftrightunsigned(fp, 8 * position).bitwiseAND(F.lit(255))
 
 
-def postings(fps: DataFrame) -> DataFrame:
-    """key, node (the fingerprint), weight: a row for each set of positions; the key holds the set's number and the bytes there."""
+def postings(fps: DataFrame, *more: str, sets: tuple = POSTINGS) -> DataFrame:
+    """key, node (the fingerprint), weight, further columns: a row for each set of positions; the key holds the set's number and the bytes there."""
     keys = []
-    for number, positions in enumerate(POSTINGS):
+    for positions in sets:
+        number = POSTINGS.index(positions)
         key = F.lit(number).cast("long")
         for p in positions:
             key = F.shiftleft(key, 8).bitwiseOR(byte_at(F.col("fp"), p))
         keys.append(key)
-    return fps.select(F.explode(F.array(*keys)).alias("key"), F.col("fp").alias("node"), "weight")
+    return fps.select(F.explode(F.array(*keys)).alias("key"), F.col("fp").alias("node"), "weight", *more)
 
 
 def finer(rows: DataFrame) -> DataFrame:
@@ -83,6 +87,13 @@ def differing_bits(a: Column, b: Column) -> Column:
     return F.bit_count(a["node"].bitwiseXOR(b["node"]))
 
 
+def components_of(fps: DataFrame) -> DataFrame:
+    """node, root of the distinct fingerprints fp (with weight) that link. Most near copies are linked by the few postings of SOONER,
+    so that of all postings only those go on that still hold several components."""
+    sooner = postings(fps, sets=SOONER), lambda roots: postings(with_root(fps, "fp", roots), "root")
+    return bucket_components(postings(fps), differing_bits, 4, fps.select(F.col("fp").alias("node")), finer=finer, sooner=sooner)
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, text_hash, fp, root, component_id: a row for each row of docs; fingerprints link at 4 or fewer differing bits.
 
@@ -92,7 +103,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFram
     """
     marked = materialize(fingerprints(docs, width, seed))
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("weight")))
-    reached = bucket_components(postings(distinct), differing_bits, 4, distinct.select(F.col("fp").alias("node")), finer=finer)
+    reached = components_of(distinct)
     rooted = distinct.join(reached, distinct["fp"] == reached["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(named, "root").select("fp", "root", "component_id")
