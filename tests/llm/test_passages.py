@@ -1,6 +1,9 @@
 import random
+import time
+from itertools import groupby
 
 import numpy as np
+import xxhash
 
 from tidemark.llm import passages
 
@@ -174,3 +177,66 @@ def test_rows_of_one_doc_id_are_cut_by_their_own_text(spark):
     rows = [(1, f"{texts[0]}\n{passage}"), (2, f"{texts[1]} {passage}"), (2, f"{texts[2]}"), (2, f"{passage} {texts[3]}"), (2, f"{passage} {texts[3]}"), (None, passage), (None, passage), (7, None)]
     made = sorted(str(r["text"]) for r in passages.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert made == sorted(str(x) for x in [rows[0][1], texts[1], texts[2], f" {texts[3]}", f" {texts[3]}", passage, passage, None])
+
+
+def test_words_are_those_of_split_with_their_xxh64():
+    rng = random.Random(11)
+    texts = ["", " \n", "\x00 A\x0bb\x1cc", "é\u3000一 \ud800", *(" ".join("aBé一"[k % 4] * n for n in range(1, 70)) for k in range(4))]
+    texts += ["".join(rng.choice("ab\n \tZ") for _ in range(200)) for _ in range(20)]
+    batch = [t.encode("utf-8", "surrogatepass") for t in texts]
+    made, lower = passages.Words(batch), [t.translate(passages.LOWER) for t in batch]
+    assert made.hashes.tolist() == [xxhash.xxh64_intdigest(w, 3) for t in lower for w in t.split()]
+    assert made.text.tolist() == [n for n, t in enumerate(lower) for _ in t.split()]
+    lines = [x for t in lower for x in t.split(b"\n") if len(x.split()) >= 3]
+    assert [made.data[a:b] for a, b, _, _ in zip(*made.lines(3), strict=True)] == lines
+    assert made.lines(3)[3].tolist() == [len(x.split()) for x in lines]
+
+
+def test_words_not_met_before_are_hashed_in_the_time_of_some_splits():
+    # a dictionary of the words met took over twenty times as long
+    batch = [b" ".join(b"%x" % random.getrandbits(40) for _ in range(2000)) for _ in range(50)]
+
+    def took(f):
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    assert min(took(lambda: passages.Words(batch)) for _ in range(5)) < 8 * min(took(lambda: [t.split() for t in batch]) for _ in range(5)) + 0.005
+
+
+def test_blocks_reach_as_far_as_with_any_other_document(spark):
+    # contexts that agree in part: by brute force each number of words on a side is a key of its own
+    rng = random.Random(12)
+    core, sides, texts = prose(rng, 40), [prose(rng, 30) for _ in range(4)], []
+    for _ in range(30):
+        left, right = (list(rng.choice(sides)) for _ in range(2))
+        for side in (left, right):
+            if rng.random() < 0.6:
+                side[rng.randrange(30)] = prose(rng, 1)[0]
+        texts.append(prose(rng, rng.choice([0, 40])) + left[rng.randrange(30) :] + core + right[: rng.randrange(30)] + prose(rng, rng.choice([0, 40])))
+    rows = [(i // 2 if i < 8 else i, " ".join(t)) for i, t in enumerate(texts) if i % 2 or i >= 8]
+    words = {i: t.split() for i, t in rows}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    blocks = passages.scanned(df, 16, 20, 50, 8, 3).where("kind = 'block'").collect()
+    keys = {}
+    for b in blocks:
+        own = words[b["doc_id"]]
+        for n in range(16):
+            for key, start, end in ((("l", *own[b["start"] - n : b["end"]]), b["start"] - n, b["end"]), (("r", *own[b["start"] : b["end"] + n]), b["start"], b["end"] + n)):
+                if start >= 0 and end <= len(own):
+                    keys.setdefault((b["hash"], n, *key), set()).add((b["doc_id"], start, end))
+    spans = set()
+    for found_at in keys.values():
+        first = min(d for d, _, _ in found_at)
+        if any(d != first for d, _, _ in found_at):
+            spans |= {((d, d != first), start, end, first) for d, start, end in found_at}
+    wanted = []
+    for (doc, removed), own in groupby(sorted(spans), lambda x: x[0]):
+        merged = []
+        for _, start, end, first in own:
+            if merged and start <= merged[-1][1]:
+                merged[-1] = [merged[-1][0], max(end, merged[-1][1]), min(first, merged[-1][2])]
+            else:
+                merged.append([start, end, first])
+        wanted += [(doc, a, b, b - a, first, removed) for a, b, first in merged if b - a >= 32]
+    assert found(spark, rows, line_words=10**6) == sorted(wanted) and len({r[3] for r in wanted}) > 10

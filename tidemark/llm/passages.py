@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +30,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, HashedWords, bucket_components, discard, materialize, of_several_nodes, slices, spare, table, texts
+from tidemark.llm.common import WORD, bucket_components, discard, materialize, of_several_nodes, slices, spare, table, texts
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+NO_SPACE = np.ones(256, bool)
+NO_SPACE[[9, 10, 11, 12, 13, 32]] = False
 WIDTH = 5
 
 
@@ -41,28 +43,80 @@ def bands_for(similarity: float, rows: int, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
-class Hasher:
-    """Word hashes and shingle hashes of a batch of texts."""
-
-    def __init__(self) -> None:
-        self.words = HashedWords(3)
-
-    def shingles(self, batch: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word hashes, the text of each word, the first word of each text; and at each word the hash of the five
-        words that begin there (of no use where the text ends before)."""
-        words: list[bytes] = []
-        counts = np.zeros(len(batch), np.int64)
-        for n, text in enumerate(batch):
-            found = text.translate(LOWER).split()
-            counts[n] = len(found)
-            words += found
-        word = self.words.of(words)
-        return word, np.repeat(np.arange(len(batch)), counts), np.cumsum(counts) - counts, joined(word, WIDTH)
+class Words:
+    """The words of a batch of texts: `data` holds the texts in lower case (ASCII), a newline after each; starts, ends: where each word lies
+    in it; hashes; text: the text of each word; first: the first word of each text; past: the word after its last."""
+
+    def __init__(self, batch: list[bytes]):
+        self.data = b"\n".join([*batch, bytes(8)]).translate(LOWER)  # further bytes, as words are read by eight
+        sizes = np.fromiter(map(len, batch), np.int64, len(batch)) + 1
+        self.begins = np.cumsum(sizes) - sizes
+        self.bytes = np.frombuffer(self.data, np.uint8)[: sizes.sum()]
+        inside = np.zeros(len(self.bytes) + 1, bool)
+        inside[1:] = NO_SPACE[self.bytes]  # the last byte is a newline
+        bounds = np.flatnonzero(inside[1:] != inside[:-1])
+        self.starts, self.ends = bounds[::2], bounds[1::2]
+        self.first = np.searchsorted(self.starts, self.begins)
+        self.past = np.append(self.first[1:], len(self.starts))
+        self.text = np.repeat(np.arange(len(batch)), self.past - self.first)
+        self.hashes = xxh64(self.data, self.starts, self.ends, 3)
+
+    def shingles(self) -> np.ndarray:
+        """At each word the hash of the five words that begin there (of no use where the text ends before)."""
+        return joined(self.hashes, WIDTH)
+
+    def joined(self, begin: int, end: int) -> bytes:
+        """Those bytes' words, joined by single spaces."""
+        return b" ".join(self.data[begin:end].split())
+
+    def lines(self, least: int) -> tuple[np.ndarray, ...]:
+        """first byte, end, first word, number of words of the lines of at least so many words."""
+        ends = np.flatnonzero(self.bytes == 10)
+        past = np.searchsorted(self.starts, ends)
+        begins, of = np.append(0, ends[:-1] + 1)[: len(ends)], np.append(0, past[:-1])[: len(ends)]
+        long = np.flatnonzero(past - of >= least)
+        return begins[long], ends[long], of[long], (past - of)[long]
+
+
+def xxh64(data: bytes, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of each of these parts of data, which goes on for seven bytes after the last: parts of under 32 bytes all at once, longer ones one by one."""
+    one, two, three, four, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turned(x: np.ndarray, by: int) -> np.ndarray:
+        return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+    eight, four_bytes = (np.ndarray((len(data) - size + 1,), kind, data, strides=(1,)) for size, kind in ((8, "<u8"), (4, "<u4")))
+    sizes = ends - starts
+    made = sizes.astype(np.uint64) + np.uint64(seed) + five
+    long, at = np.flatnonzero(sizes >= 32), starts.copy()
+    for k in range(1, 4):
+        of = np.flatnonzero(sizes >= 8 * k)
+        if not len(of):
+            break
+        made[of] = turned(made[of] ^ (turned(eight[at[of]] * two, 31) * one), 27) * one + four
+        at[of] += 8
+    of = np.flatnonzero(sizes & 4)
+    made[of] = turned(made[of] ^ (four_bytes[at[of]].astype(np.uint64) * one), 23) * two + three
+    at[of] += 4
+    single = np.frombuffer(data, np.uint8)
+    for k in range(3):
+        of = np.flatnonzero(sizes & 3 > k)
+        made[of] = turned(made[of] ^ (single[at[of] + k].astype(np.uint64) * five), 11) * one
+    made = (made ^ (made >> np.uint64(33))) * two
+    made = (made ^ (made >> np.uint64(29))) * three
+    made ^= made >> np.uint64(32)
+    made[long] = np.fromiter((xxhash.xxh64_intdigest(data[starts[i] : ends[i]], seed) for i in long), np.uint64, len(long))
+    return made
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    return x ^ (x >> np.uint64(27))
+def mixed(x: np.ndarray, room: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """room: two arrays of that size to work in, the first of which the result is."""
+    made, part = room or (np.empty_like(x), np.empty_like(x))
+    np.right_shift(x, np.uint64(31), out=part)
+    np.bitwise_xor(x, part, out=made)
+    np.multiply(made, np.uint64(0x7FB5D329728EA185), out=made)
+    np.right_shift(made, np.uint64(27), out=part)
+    return np.bitwise_xor(made, part, out=made)
 
 
 def joined(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -85,7 +139,8 @@ def anchors(shingle: np.ndarray, usable: np.ndarray, spread: int) -> np.ndarray:
         step = min(width, spread - width)
         least = np.minimum(least[: len(least) - step], least[step:])
         width += step
-    full = np.convolve(usable.astype(np.int64), np.ones(spread, np.int64), "valid") == spread
+    so_far = np.append(0, np.cumsum(usable))
+    full = so_far[spread:] - so_far[:-spread] == spread
     at = np.flatnonzero(full)
     back = (np.uint64(0xFFFFFF) - (least[at] & np.uint64(0xFFFFFF))).astype(np.int64)
     place = at + ((back - at) & 0xFFFFFF)
@@ -112,28 +167,26 @@ def found_blocks(words: np.ndarray, text: np.ndarray, first: np.ndarray, shingle
     return hashes, text[place], place - of_text, ends - of_text
 
 
-def found_lines(raw: list[bytes], first: np.ndarray, shingle: np.ndarray, line_words: int, factors: np.ndarray, bands: int) -> tuple[np.ndarray, ...]:
+def found_lines(words: Words, shingle: np.ndarray, line_words: int, factors: np.ndarray, bands: int) -> tuple[np.ndarray, ...]:
     """hash, text, start, end (words), band keys (a row each) of a batch's lines of at least line_words words. shingle: at each word of the batch, that of the five from there."""
-    split = [t.split(b"\n") for t in raw]
-    flat = [line for x in split for line in x]
-    owner = np.repeat(np.arange(len(raw)), [len(x) for x in split])
-    counts = np.fromiter((len(x.split()) for x in flat), np.int64, len(flat))
-    begins = np.cumsum(counts) - counts  # lines have their text's words, in order
-    long = np.flatnonzero(counts >= line_words)
-    if not len(long):
+    byte, end_byte, begins, counts = words.lines(line_words)
+    if not len(begins):
         return (*(np.zeros(0, np.int64) for _ in range(4)), np.zeros((0, bands), np.uint64))
     # shingles of the long lines, each line's together
-    sizes = counts[long] - WIDTH + 1
+    sizes = counts - WIDTH + 1
     ends = np.cumsum(sizes)
-    take = np.arange(ends[-1]) + np.repeat(begins[long] - (ends - sizes), sizes)
-    own, starts = shingle[take], ends - sizes
-    keys, rows = np.zeros((len(long), bands), np.uint64), len(factors) // bands
+    starts = ends - sizes
+    own = shingle[np.arange(ends[-1]) + np.repeat(begins - starts, sizes)]
+    keys, rows = np.zeros((len(begins), bands), np.uint64), len(factors) // bands
+    room = np.empty_like(own), np.empty_like(own)
     for k, factor in enumerate(factors):
-        keys[:, k // rows] = mixed(keys[:, k // rows] + np.minimum.reduceat(mixed(own * factor), starts))
+        np.multiply(own, factor, out=room[0])
+        keys[:, k // rows] = mixed(keys[:, k // rows] + np.minimum.reduceat(mixed(room[0], room), starts))
     keys = mixed(keys + np.arange(1, bands + 1, dtype=np.uint64))
-    hashes = np.array([hashed(flat[i]) for i in long], np.int64)
-    start = begins[long] - first[owner[long]]
-    return hashes, owner[long], start, start + counts[long], keys
+    hashes = np.array([named(words.joined(a, b)) for a, b in zip(byte.tolist(), end_byte.tolist(), strict=True)], np.int64)
+    owner = words.text[begins]
+    start = begins - words.first[owner]
+    return hashes, owner, start, start + counts, keys
 
 
 def scanned(rows: DataFrame, spread: int, block_words: int, line_words: int, bands: int, band_rows: int, seed: int = 11) -> DataFrame:
@@ -141,12 +194,11 @@ def scanned(rows: DataFrame, spread: int, block_words: int, line_words: int, ban
     factors = np.random.default_rng(seed).integers(1 << 62, size=bands * band_rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
         for part in slices(batches):
-            raw = [t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
-            words, text, first, shingle = hasher.shingles(raw)
-            of_block = found_blocks(words, text, first, shingle, spread, block_words)
-            *of_line, keys = found_lines(raw, first, shingle, line_words, factors, bands)
+            words = Words(encoded(part.column(1)))
+            shingle = words.shingles()
+            of_block = found_blocks(words.hashes, words.text, words.first, shingle, spread, block_words)
+            *of_line, keys = found_lines(words, shingle, line_words, factors, bands)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * bands, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
             for kind, (hashes, owner, start, end), own in (("block", of_block, None), ("line", of_line, lists)):
                 if len(hashes):
@@ -158,21 +210,19 @@ def scanned(rows: DataFrame, spread: int, block_words: int, line_words: int, ban
 
 
 def with_neighbours(rows: DataFrame, shared: DataFrame, spread: int, block_words: int) -> DataFrame:
-    """The shared blocks (hash, doc_id, start, end, first_doc_id) with a 128-bit digest of their words, and left, right: hashes of the 1, 2, ... (under
-    spread) words before and after each, as many as the text has."""
+    """The shared blocks (hash, doc_id, start, end, first_doc_id) with a 128-bit digest of their words, and left, right: hashes (four bytes each) of the
+    1, 2, ... (under spread) words before and after each, as many as the text has."""
     of_doc = shared.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "start", "end", "first_doc_id")).alias("spans"))  # blocks of one document
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
         for part in slices(batches):
-            raw = [t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
-            words, text, first, _ = hasher.shingles(raw)
+            of_part = Words(encoded(part.column(1)))
+            words, first, past = of_part.hashes, of_part.first, of_part.past
             if len(words) < block_words:
                 continue
             lists = part.column(2)
             owner, spans = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy()), lists.flatten()
             hashes, start, end, of = (c.to_numpy() for c in spans.flatten())
-            past = np.append(first[1:], len(words))
             # of the rows that repeat a doc_id only those with the block itself
             fits = first[owner] + end <= past[owner]
             at = np.where(fits, first[owner] + start, 0)
@@ -180,56 +230,54 @@ def with_neighbours(rows: DataFrame, shared: DataFrame, spread: int, block_words
             owner, hashes, start, end, of, at = owner[fits], hashes[fits], start[fits], end[fits], of[fits], at[fits]
             after = first[owner] + end
             sides = [around(words, at - 1, -1, np.minimum(start, spread - 1)), around(words, after, 1, np.minimum(past[owner] - after, spread - 1))]
-            split, last, told = [], -1, []
-            for n, begin in zip(owner.tolist(), start.tolist(), strict=True):
-                if n != last:
-                    split, last = raw[n].translate(LOWER).split(), n
-                told.append(xxhash.xxh3_128_digest(b" ".join(split[begin : begin + block_words])))
+            bounds = zip(of_part.starts[at].tolist(), of_part.ends[at + block_words - 1].tolist(), strict=True)
+            told = [xxhash.xxh3_128_digest(of_part.joined(*x)) for x in bounds]
             columns = [pa.array(hashes), part.column(0).take(pa.array(owner)), pa.array(start), pa.array(end), pa.array(of), pa.array(told, pa.binary()), *sides]
             yield pa.RecordBatch.from_arrays(columns, ["hash", "doc_id", "start", "end", "first_doc_id", "block", "left", "right"])
 
-    schema = "hash long, doc_id long, start int, end int, first_doc_id long, block binary, left array<int>, right array<int>"
+    schema = "hash long, doc_id long, start int, end int, first_doc_id long, block binary, left binary, right binary"
     return rows.join(of_doc, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, schema)
 
 
-def around(words: np.ndarray, at: np.ndarray, step: int, sizes: np.ndarray) -> pa.ListArray:
+def around(words: np.ndarray, at: np.ndarray, step: int, sizes: np.ndarray) -> pa.Array:
     """For each place the hashes of the first, the first two, ... of `sizes` words from there on in that direction."""
     most = int(sizes.max(initial=0))
     chain, made = np.zeros(len(at), np.uint64), np.zeros((len(at), most), np.int32)
     for k in range(most):
         chain = mixed(chain * np.uint64(0x9E3779B97F4A7C15) + words[np.clip(at + k * step, 0, len(words) - 1)])
         made[:, k] = (chain >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(made[np.arange(most) < sizes[:, None]]))
+    bounds, held = np.append(0, 4 * np.cumsum(sizes)).astype(np.int32), made[np.arange(most) < sizes[:, None]]
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(held)])
 
 
-def shingle_sets(rows: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node (the line), shingles (distinct hashes): of the wanted lines alone, each read from one document that holds it."""
+def shingle_sets(rows: DataFrame, found: DataFrame, wanted: DataFrame, line_words: int = WIDTH) -> DataFrame:
+    """node (the line), shingles (distinct hashes): of the wanted lines alone, each read from one document that holds it. line_words: those that all of them have at least."""
     holders = found.join(wanted, "line", "left_semi").groupBy("line").agg(F.min("doc_id").alias("doc_id"))
     holders = holders.groupBy("doc_id").agg(F.collect_list("line").alias("wanted"))  # lines of one document
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
         for part in slices(batches):
-            kept, names = [], []
-            for text, some in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                some = set(some)
-                for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
-                    if (name := hashed(line)) in some:
-                        kept.append(line)
-                        names.append(name)
-                        some.discard(name)
-            words, line, first, shingle = hasher.shingles(kept)
-            counts = np.bincount(line, minlength=len(kept))
-            sets = [np.unique(shingle[first[i] : first[i] + counts[i] - WIDTH + 1].view(np.int64)) for i in range(len(kept))]
+            words = Words(encoded(part.column(0)))
+            shingle, some, names, sets = words.shingles().view(np.int64), [set(x) for x in part.column(1).to_pylist()], [], []
+            for begin, end, first, count in zip(*(x.tolist() for x in words.lines(line_words)), strict=True):
+                name, of = named(words.joined(begin, end)), some[words.text[first]]
+                if name in of:
+                    sets.append(np.unique(shingle[first : first + count - WIDTH + 1]))
+                    names.append(name)
+                    of.discard(name)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
     made = rows.join(holders, "doc_id").select("text", "wanted").mapInArrow(run, "node long, shingles array<long>")
     return made.dropDuplicates(["node"])  # rows that repeat a doc_id
 
 
-def hashed(line: bytes) -> int:
-    """Hash of a line's words, ASCII letters in lower case, joined by single spaces."""
-    return xxhash.xxh64_intdigest(b" ".join(line.translate(LOWER).split()), 42) - (1 << 63)
+def encoded(texts: pa.Array) -> list[bytes]:
+    return [t.encode("utf-8", "surrogatepass") for t in texts.to_pylist()]
+
+
+def named(line: bytes) -> int:
+    """Hash of a line: its words, ASCII letters in lower case, joined by single spaces."""
+    return xxhash.xxh64_intdigest(line, 42) - (1 << 63)
 
 
 def jaccard_distance(a: Column, b: Column) -> Column:
@@ -262,11 +310,11 @@ def prefix_pairs(left: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     return a.join(b, (a["shingle"] == b["shingle"]) & (F.col("root_a") < F.col("root_b")) & reach & ~F.arrays_overlap("before_a", "before_b")).select("a", "b")
 
 
-def line_clusters(rows: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+def line_clusters(rows: DataFrame, found: DataFrame, similarity: float, line_words: int = WIDTH) -> DataFrame:
     """node, root: lines that near duplicates tie together."""
     distinct = materialize(found.groupBy(F.col("line").alias("node")).agg(F.first("bands").alias("bands"), F.count("*").alias("weight")))
     members = materialize(of_several_nodes(distinct.select("node", "weight", F.explode("bands").alias("key"))))
-    sets = materialize(shingle_sets(rows, found, members.select(F.col("node").alias("line")).distinct()))
+    sets = materialize(shingle_sets(rows, found, members.select(F.col("node").alias("line")).distinct(), line_words))
     tied = bucket_components(members, jaccard_distance, 1 - similarity, sets, last=lambda left: prefix_pairs(left, sets, similarity))
     discard(distinct, members, sets)
     return tied
@@ -281,44 +329,64 @@ def repeats(docs: DataFrame, similarity: float = 0.8, recall: float = 0.995, ban
     """
     rows = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
 
-    def of_several(spans: DataFrame, key: str) -> DataFrame:
-        first = spans.groupBy(key).agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_last")).where("first_doc_id < _last")
-        return spans.join(first.drop("_last"), key).select("doc_id", "start", "end", "first_doc_id")
-
     scan = materialize(scanned(rows, spread, block_words, line_words, bands_for(similarity, band_rows, recall), band_rows), "kind")
-    in_blocks = whole_runs(rows, scan.where("kind = 'block'").select("hash", "doc_id", "start", "end"), of_several, spread, block_words)
+    in_blocks = whole_runs(rows, scan.where("kind = 'block'").select("hash", "doc_id", "start", "end"), spread, block_words)
     found = scan.where("kind = 'line'").select(F.col("hash").alias("line"), "doc_id", "start", "end", "bands")
-    tied = line_clusters(rows, found, similarity)
+    tied = line_clusters(rows, found, similarity, line_words)
     placed = found.join(tied, found["line"] == tied["node"], "left").select(F.coalesce("root", "line").alias("root"), "doc_id", "start", "end")
-    made = materialize(runs(in_blocks.unionByName(of_several(placed, "root")), least_words))
+    first = placed.groupBy("root").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_last")).where("first_doc_id < _last").drop("_last")
+    in_lines = placed.join(first, "root").select("doc_id", "start", "end", "first_doc_id")
+    made = materialize(runs(in_blocks.unionByName(in_lines), least_words))
     discard(scan, in_blocks, tied)
     return made
 
 
-def whole_runs(rows: DataFrame, found: DataFrame, of_several: Callable[[DataFrame, str], DataFrame], spread: int, block_words: int) -> DataFrame:
+def whole_runs(rows: DataFrame, found: DataFrame, spread: int, block_words: int) -> DataFrame:
     """doc_id, start, end, first_doc_id: blocks that several documents hold, with the words around them that they share.
 
     A block is verified by a 128-bit digest of its words: where those of one hash differ, the blocks that have the first document's are kept.
-    Where all that hold a block have the same words on a side, those are added; else each number of words is a key of its own.
+    The words that all that hold a block have alike on a side are added. Where three or more hold it, some may share more: blocks with
+    the same words on the whole side are a class, and each number of words of a class, not of each of its blocks, is a key of its own.
+    A block reaches as far as its class does, if an earlier document is in that or none is in any: else as far as its keys do.
     """
-    sides = {side: F.xxhash64(side) for side in ("left", "right")}
-    ends = [f(h).alias(f"{side}_{f.__name__}") for side, h in sides.items() for f in (F.min, F.max)]
+    sides = ("left", "right")
     known = found.groupBy("hash").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_last")).where("first_doc_id < _last").drop("_last")
     blocks_of_several = materialize(found.join(known, "hash"))
     discard(found, part="kind=block")  # most blocks stand once, and nothing reads them again; the lines stay
     placed = materialize(with_neighbours(rows, blocks_of_several, spread, block_words))
     discard(blocks_of_several)
-    same = placed.groupBy("hash").agg(*ends, F.min_by("block", "doc_id").alias("first_block")).select("hash", "first_block", *[(F.col(f"{side}_min") == F.col(f"{side}_max")).alias(f"{side}_same") for side in sides])
-    shared = materialize(placed.join(same, "hash").where("block = first_block").drop("block", "first_block"))
+    ends = [f(side).alias(f"{side}_{f.__name__}") for side in sides for f in (F.min, F.max)]
+    alike = [in_common(F.col(f"{side}_min"), F.col(f"{side}_max"), spread).alias(f"{side}_all") for side in sides]
+    common = placed.groupBy("hash").agg(*ends, F.min_by("block", "doc_id").alias("first_block"), F.count("*").alias("n")).select("hash", "first_block", "n", *alike)
+    more = [F.when((F.col("n") > 2) & (F.length(side) > 4 * F.col(f"{side}_all")), F.col(side)).alias(side) for side in sides]
+    shared = materialize(placed.join(common, "hash").where("block = first_block").select("hash", "doc_id", "start", "end", "first_doc_id", "left_all", "right_all", *more))
     discard(placed)
-    before, after = (F.when(F.col(f"{side}_same"), F.size(side)).otherwise(0) for side in sides)
-    whole = shared.withColumns({"start": F.col("start") - before, "end": F.col("end") + after}).select("doc_id", "start", "end", "first_doc_id")
-    parts = []
-    for side in sides:
-        part = shared.where(~F.col(f"{side}_same")).select("hash", "doc_id", "start", "end", F.posexplode(side).alias("n", "words"))
-        reach = {"start": F.col("start") - F.col("n") - 1} if side == "left" else {"end": F.col("end") + F.col("n") + 1}
-        parts.append(part.withColumns(reach).select(F.xxhash64("hash", F.lit(side), "n", "words").alias("key"), "doc_id", "start", "end"))
-    return whole.unionByName(of_several(parts[0].unionByName(parts[1]), "key"))
+    whole = shared.select("doc_id", (F.col("start") - F.col("left_all")).alias("start"), (F.col("end") + F.col("right_all")).alias("end"), "first_doc_id")
+
+    def reaching(rows: DataFrame, words: Column, first: str) -> DataFrame:
+        """The spans of these rows with so many words on the side."""
+        start, end = (F.when(F.col("side") == side, words).otherwise(0) for side in sides)
+        return rows.select("doc_id", (F.col("start") - start).alias("start"), (F.col("end") + end).alias("end"), F.col(first).alias("first_doc_id"))
+
+    def keys(rows: DataFrame, *columns: str) -> DataFrame:
+        numbers = F.sequence(F.col("all") + 1, (F.length("words") / 4).cast("int"))
+        rows = rows.select("hash", "side", "words", *columns, F.explode(numbers).alias("n"))
+        return rows.select(F.xxhash64("hash", "side", "n", F.substring("words", 4 * F.col("n") - 3, F.lit(4))).alias("key"), "side", "n", *columns)
+
+    one, other = (shared.where(F.col(side).isNotNull()).select("hash", F.lit(side).alias("side"), F.col(side).alias("words"), F.col(f"{side}_all").alias("all"), "doc_id", "start", "end", "first_doc_id") for side in sides)
+    apart = one.unionByName(other)
+    classes = materialize(apart.groupBy("hash", "side", "words", "all").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")))
+    of_class = materialize(apart.join(classes.drop("all"), ["hash", "side", "words"]).withColumn("done", F.expr("low < high and (low < doc_id or doc_id = first_doc_id)")))
+    held = keys(classes, "low", "high").groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("key", "low")
+    by_class = reaching(of_class.where("done"), (F.length("words") / 4).cast("int"), "low")
+    by_key = reaching(keys(of_class.where("not done"), "doc_id", "start", "end").join(held, "key"), F.col("n"), "low")
+    return whole.unionByName(by_class).unionByName(by_key)
+
+
+def in_common(low: Column, high: Column, spread: int) -> Column:
+    """How many words all of a group have alike from the first on, by the least and the greatest of their hashes in a row."""
+    differ = F.filter(F.sequence(F.lit(1), F.lit(spread)), lambda n: F.substring(low, 4 * n - 3, F.lit(4)) != F.substring(high, 4 * n - 3, F.lit(4)))
+    return F.when(low == high, F.length(low) / 4).otherwise(F.array_min(differ) - 1).cast("int")
 
 
 def runs(spans: DataFrame, least_words: int) -> DataFrame:
